@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, lengths, media
+from . import bpe, chat, lengths, media
 
 QUERIES = {
     "op1_token_counts": lengths.query,
     "op7_bpe": bpe.query,
     "op8_media": media.query,
+    "op9_chat": chat.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_chat": chat.SQL}
