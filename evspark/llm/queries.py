@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, lengths, media
+from . import bpe, chat, lengths, media, quality
 
 QUERIES = {
     "op1_token_counts": lengths.query,
     "op7_bpe": bpe.query,
     "op8_media": media.query,
     "op9_chat": chat.query,
+    "op10_quality": quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_chat": chat.SQL}
