@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, lengths, media, quality
+from . import bpe, chat, lengths, media, quality, toxicity
 
 QUERIES = {
     "op1_token_counts": lengths.query,
+    "op5_toxicity": toxicity.query,
     "op7_bpe": bpe.query,
     "op8_media": media.query,
     "op9_chat": chat.query,
