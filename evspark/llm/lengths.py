@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary, loaded
-from .common import map_texts, share, table
+from .common import cut_lineage, map_texts, share, table
 
 #: Lengths in a block of the suffix sums.
 SPAN = 4096
@@ -108,4 +108,4 @@ def totals_at(sums: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(histogram(token_lengths(table(spark, sf_dir, "documents"))))
+    return suffix_sums(cut_lineage(histogram(token_lengths(table(spark, sf_dir, "documents")))))  # read twice
