@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, lengths, media, quality, toxicity
+from . import bpe, chat, decontaminate, lengths, media, quality, toxicity
 
 QUERIES = {
     "op1_token_counts": lengths.query,
     "op5_toxicity": toxicity.query,
+    "op6_decontaminate": decontaminate.query,
     "op7_bpe": bpe.query,
     "op8_media": media.query,
     "op9_chat": chat.query,
     "op10_quality": quality.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_chat": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_decontaminate": decontaminate.SQL, "op9_chat": chat.SQL}
