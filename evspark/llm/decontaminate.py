@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, table
+from .common import BROADCAST_ROWS, cut_lineage, table
 
 #: Words of a window, of a k-gram, and k-grams of which the smallest is kept.
 WINDOW, GRAM = 10, 6
@@ -117,6 +117,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     each = fingerprints(_keyed(docs).withColumn("n_words", F.size("words").cast("long")), "prints", short)
     each = each.select("doc_id", "text_key", "n_words", F.explode_outer("prints").alias("print"))
     marked = each.join(of_items, "print", "left").groupBy("doc_id", "text_key", "n_words").agg(F.max("found").alias("found"))
+    marked = cut_lineage(marked)  # a small row for each document, read three times
 
     hit_keys = _small(marked.filter(F.col("found") == 1).select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")))
     own = docs.withColumn("text_key", F.xxhash64("text")).join(hit_keys, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left_semi")
