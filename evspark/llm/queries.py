@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, lengths, media, near_dedup, quality, suffix_dedup, toxicity
+from . import bpe, chat, decontaminate, lengths, media, near_dedup, quality, secrets, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_token_counts": lengths.query,
+    "op2_secrets": secrets.query,
     "op3_suffix_dedup": suffix_dedup.query,
     "op4_minhash": near_dedup.query,
     "op5_toxicity": toxicity.query,
