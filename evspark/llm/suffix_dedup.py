@@ -42,11 +42,11 @@ from .common import table
 SPAN, GRAM = 50, 20
 KEPT_OF = SPAN - GRAM + 1
 #: Bytes of text in a block, and of anchors in a bucket (about).
-BLOCK_BYTES, BUCKET_ANCHORS = 12 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_ANCHORS = 12 << 20, 1 << 19
 #: Blocks-and-documents that an anchor is in from which it counts as hot.
 HOT = 4000
 #: Starts of spans that are hashed at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 NO_ID = np.iinfo(np.int64).max
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _LOW = np.uint64((1 << 21) - 1)
@@ -74,6 +74,10 @@ def pieces_of(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     at = 0
     n = len(buf) - SPAN + 1
+    # Spans that reach over the end of their text are none.
+    over = np.zeros(max(0, n), bool)
+    places = (ends[:, None] - np.arange(1, SPAN)).ravel()
+    over[places[(places >= 0) & (places < n)]] = True
     while at < n:
         upto = min(n, at + CHUNK)
         part = buf[at : upto + SPAN - 1]
@@ -86,10 +90,7 @@ def pieces_of(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
         if have < KEPT_OF:
             x = np.minimum(x[: len(x) - (KEPT_OF - have)], x[KEPT_OF - have :])
         anchor = (x & _LOW).astype(np.int64)
-        # Spans that reach over the end of their text are none.
-        starts = np.arange(at, upto)
-        end = ends[np.searchsorted(ends, starts, side="right")]
-        anchor[starts + SPAN > end] = -1
+        anchor[over[at:upto]] = -1
         cut = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
         # Equal anchors on both sides of an end can't be: spans across it lie between.
         first = np.concatenate([[0], cut])
@@ -118,42 +119,40 @@ class Block:
         self.buf = np.frombuffer(data, np.uint8, int(offsets[-1] - offsets[0]), int(offsets[0])) if data is not None and len(texts) else np.zeros(0, np.uint8)
         self.ends = (offsets[1:] - offsets[0]).astype(np.int64)
         self.first, self.last, self.anchor = pieces_of(self.buf, self.ends) if len(self.buf) >= SPAN else pieces_of(np.zeros(0, np.uint8), self.ends)
-        self.doc = np.searchsorted(self.ends, self.first, side="right")
+        self.doc = np.repeat(np.arange(len(self.ends)), np.diff(np.searchsorted(self.first, self.ends), prepend=0))
+        # Distinct anchors in order; pieces in that order, and which distinct anchor each piece has.
+        self.sorted = np.argsort(self.anchor, kind="stable")
+        a = self.anchor[self.sorted]
+        self.new = np.concatenate([np.ones(min(1, len(a)), bool), a[1:] != a[:-1]])
+        self.known = a[self.new]
+        self.which = np.empty(len(a), np.int64)
+        self.which[self.sorted] = np.cumsum(self.new) - 1
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchor hashes in order, and in how many documents of the block each is (up to 255)."""
-        order = np.lexsort((self.ids[self.doc], self.anchor))
-        a, d = self.anchor[order], self.ids[self.doc][order]
-        new = np.concatenate([[True], a[1:] != a[:-1]]) if len(a) else np.zeros(0, bool)
-        other = new | np.concatenate([[True], d[1:] != d[:-1]]) if len(a) else new
-        at = np.flatnonzero(new)
-        return a[at], np.minimum(np.add.reduceat(other.astype(np.int64), at), 255).astype(np.uint8) if len(at) else np.zeros(0, np.uint8)
+        d = self.ids[self.doc][self.sorted]  # pieces are in doc_id order, so equal ids are neighbours
+        other = self.new | np.concatenate([np.zeros(min(1, len(d)), bool), d[1:] != d[:-1]])
+        at = np.flatnonzero(self.new)
+        return self.known, np.minimum(np.add.reduceat(other.astype(np.int64), at), 255).astype(np.uint8) if len(at) else np.zeros(0, np.uint8)
 
     def shared(self, mail: dict[int, tuple[bytes, bytes]], buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """For each piece, whether its anchor is shared, and whether it is hot, as the buckets answered."""
-        known, _ = self.anchors()
-        several, hot = np.zeros(len(known), bool), np.zeros(len(known), bool)
-        for bucket, own in by_bucket(known, buckets):
+        several, hot = np.zeros(len(self.known), bool), np.zeros(len(self.known), bool)
+        for bucket, own in by_bucket(self.known, buckets):
             bits = mail.get(bucket)
             if bits is not None:
                 several[own], hot[own] = (np.unpackbits(np.frombuffer(b, np.uint8), count=len(own)).astype(bool) for b in bits)
-        at = np.searchsorted(known, self.anchor)
-        return (several[at], hot[at]) if len(known) else (np.zeros(0, bool), np.zeros(0, bool))
+        return several[self.which], hot[self.which]
 
-    def strings(self, several: np.ndarray, hot: np.ndarray) -> tuple[dict[bytes, int], dict[bytes, int]]:
-        """Distinct strings to be asked about, with the place of one of their pieces and the smallest doc_id: pieces, and single spans of hot anchors."""
+    def strings(self, several: np.ndarray, hot: np.ndarray) -> list[tuple[list[bytes], np.ndarray, np.ndarray]]:
+        """Strings to be asked about, with where they start and the number of their piece: pieces, and single spans of hot anchors."""
         raw = self.buf.tobytes()
-        pieces: dict[bytes, int] = {}
-        spans: dict[bytes, int] = {}
-        ids = self.ids[self.doc]
         cold = np.flatnonzero(several & ~hot)
-        for a, b, d in zip(self.first[cold].tolist(), (self.last[cold] + SPAN).tolist(), ids[cold].tolist(), strict=True):
-            pieces.setdefault(raw[a:b], d)  # texts are in doc_id order, so the first is the smallest
+        pieces = [raw[a:b] for a, b in zip(self.first[cold].tolist(), (self.last[cold] + SPAN).tolist(), strict=True)]
         warm = np.flatnonzero(hot)
-        for a, b, d in zip(self.first[warm].tolist(), (self.last[warm] + 1).tolist(), ids[warm].tolist(), strict=True):
-            for s in range(a, b):
-                spans.setdefault(raw[s : s + SPAN], d)
-        return pieces, spans
+        n = self.last[warm] - self.first[warm] + 1
+        starts = np.repeat(self.first[warm] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return [(pieces, self.first[cold], cold), ([raw[a : a + SPAN] for a in starts.tolist()], starts, np.repeat(warm, n))]
 
 
 def by_bucket(hashes: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
@@ -167,12 +166,12 @@ def by_bucket(hashes: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
 
 
 def _mail_table(rows: list[tuple]) -> pa.Table:
-    kinds = {"block": pa.int64(), "bucket": pa.int64(), "kind": pa.int32(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
+    kinds = {"block": pa.int64(), "bucket": pa.int64(), "kind": pa.int32(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary(), "d": pa.binary()}
     cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
     return pa.table({k: pa.array(c, t) for (k, t), c in zip(kinds.items(), cols, strict=True)})
 
 
-MAIL = "block long, bucket long, kind int, a binary, b binary, c binary"
+MAIL = "block long, bucket long, kind int, a binary, b binary, c binary, d binary"
 # Kinds of mail to and from blocks.
 ANCHORS, PIECES = 1, 2
 
@@ -181,7 +180,7 @@ def send_anchors(buckets: int):
     def run(docs: pa.Table) -> pa.Table:
         block, known = Block(docs), docs.column("block")[0].as_py()
         hashes, counts = block.anchors()
-        return _mail_table([(known, bucket, ANCHORS, (hashes[own] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), counts[own].tobytes(), None) for bucket, own in by_bucket(hashes, buckets)])
+        return _mail_table([(known, bucket, ANCHORS, (hashes[own] >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), counts[own].tobytes(), None, None) for bucket, own in by_bucket(hashes, buckets)])
 
     return run
 
@@ -197,7 +196,7 @@ def answer_anchors(mail: pa.Table) -> pa.Table:
     several, hot = (total > 1)[inverse], (total >= HOT)[inverse]
     out, at = [], 0
     for r, n in zip(rows, size, strict=True):
-        out.append((r["block"], r["bucket"], ANCHORS, np.packbits(several[at : at + n]).tobytes(), np.packbits(hot[at : at + n]).tobytes(), None))
+        out.append((r["block"], r["bucket"], ANCHORS, np.packbits(several[at : at + n]).tobytes(), np.packbits(hot[at : at + n]).tobytes(), None, None))
         at += n
     return _mail_table(out)
 
@@ -210,28 +209,26 @@ def _string_hashes(strings: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, strings), np.uint64, len(strings))
 
 
-def _anchor_of(strings: list[bytes]) -> np.ndarray:
-    """Anchor hash of each piece: all its spans have the same one, so that of its first span."""
-    heads = np.frombuffer(b"".join(s[:SPAN] for s in strings), np.uint8)
-    return pieces_of(heads, np.arange(1, len(strings) + 1) * SPAN)[2] if strings else np.zeros(0, np.uint64)
-
-
 def send_pieces(buckets: int):
     def run(docs: pa.Table, mail: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _mail_table([])
         block, known = Block(docs), docs.column("block")[0].as_py()
-        pieces, spans = block.strings(*block.shared(_anchor_bits(mail), buckets))
-        out: dict[int, list[tuple[bytes, int]]] = {}
-        for strings, route in ((pieces, _anchor_of(list(pieces))), (spans, _string_hashes(list(spans)))):
-            items = list(strings.items())
-            for bucket, own in by_bucket(route, buckets):
+        out: dict[int, list[tuple[bytes, int, int]]] = {}
+        (pieces, _, of_piece), (spans, _, of_span) = block.strings(*block.shared(_anchor_bits(mail), buckets))
+        for strings, of, route in ((pieces, of_piece, block.anchor[of_piece]), (spans, of_span, _string_hashes(spans))):
+            distinct: dict[bytes, int] = {}
+            for k, s in enumerate(strings):
+                distinct.setdefault(s, k)  # texts are in doc_id order, so the first has the smallest
+            pick = np.fromiter(distinct.values(), np.int64, len(distinct))
+            items = list(zip(distinct, block.ids[block.doc[of[pick]]].tolist(), (route[pick] >> np.uint64(32)).tolist(), strict=True))
+            for bucket, own in by_bucket(route[pick], buckets):
                 out.setdefault(bucket, []).extend(items[i] for i in own.tolist())
         rows = []
         for bucket, items in out.items():
-            text = b"".join(s for s, _ in items)
-            size = np.array([len(s) for s, _ in items], np.uint8).tobytes()
-            rows.append((known, bucket, PIECES, text, size, np.array([d for _, d in items], "<i8").tobytes()))
+            text = b"".join(x[0] for x in items)
+            size = np.array([len(x[0]) for x in items], np.uint8).tobytes()
+            rows.append((known, bucket, PIECES, text, size, np.array([x[1] for x in items], "<i8").tobytes(), np.array([x[2] for x in items], "<u4").tobytes()))
         return _mail_table(rows)
 
     return run
@@ -279,7 +276,11 @@ def answer_pieces(mail: pa.Table) -> pa.Table:
     spans = size[one] - SPAN + 1
     base = np.cumsum(spans) - spans
     starts = np.repeat(at[one] - base, spans) + np.arange(int(spans.sum()))
-    of = first_documents(text, starts, np.repeat(first, spans))
+    of = np.repeat(first, spans)
+    # Equal spans have equal anchors: a string that is alone with its anchor needs no sorting.
+    _, group, members = np.unique(np.frombuffer(b"".join(r["d"] for r in rows), "<u4")[one], return_inverse=True, return_counts=True)
+    some = np.flatnonzero(np.repeat(members[group] > 1, spans)) if len(one) else base
+    of[some] = first_documents(text, starts[some], of[some])
     # Runs of spans of a string with the same first document.
     new = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
     new[base] = True
@@ -294,12 +295,12 @@ def answer_pieces(mail: pa.Table) -> pa.Table:
         lo += len(r["b"])
         runs = n_runs[own]
         pick = np.repeat(run_at[own] - (np.cumsum(runs) - runs), runs) + np.arange(int(runs.sum()))
-        out.append((r["block"], r["bucket"], PIECES, hashes[own].tobytes(), runs.astype(np.uint8).tobytes() + length[pick].astype(np.uint8).tobytes(), of[head[pick]].astype("<i8").tobytes()))
+        out.append((r["block"], r["bucket"], PIECES, hashes[own].tobytes(), runs.astype(np.uint8).tobytes() + length[pick].astype(np.uint8).tobytes(), of[head[pick]].astype("<i8").tobytes(), None))
     return _mail_table(out)
 
 
-def _answers(mail: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all answers to a block, by string hash in order: hash, place of its first run; then length and document of the runs."""
+def _answers(mail: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all answers to a block, by string hash in order: hash, place and number of its runs; then length and document of the runs."""
     hashes, runs, lengths, docs = [], [], [], []
     for r in mail.to_pylist():
         if r["kind"] == PIECES:
@@ -311,10 +312,10 @@ def _answers(mail: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
             docs.append(np.frombuffer(r["c"], "<i8"))
     if not hashes:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none
+        return none.astype(np.uint64), none, none, none, none
     h, n = np.concatenate(hashes), np.concatenate(runs)
     order = np.argsort(h, kind="stable")
-    return h[order], (np.cumsum(n) - n)[order], np.concatenate(lengths), np.concatenate(docs)
+    return h[order], (np.cumsum(n) - n)[order], n[order], np.concatenate(lengths), np.concatenate(docs)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -331,31 +332,22 @@ def remove(buckets: int, with_text: bool):
         if not docs.num_rows:
             return _result([], with_text)
         block = Block(docs)
-        several, hot = block.shared(_anchor_bits(mail), buckets)
-        hashes, run_at, lengths, firsts = _answers(mail)
+        hashes, run_at, n_runs, lengths, firsts = _answers(mail)
         raw = block.buf.tobytes()
         edge = np.zeros(len(raw) + 1, np.int32)
-        ids = block.ids[block.doc]
-
-        def mark(start: int, string: bytes, own: int, spans: int) -> None:
-            """Runs of spans of the string whose first document is smaller than its own."""
-            k = int(run_at[np.searchsorted(hashes, np.uint64(xxhash.xxh3_64_intdigest(string)))])
-            done = 0
-            while done < spans:
-                n = int(lengths[k])
-                if firsts[k] < own:
-                    edge[start + done] += 1
-                    edge[start + done + n + SPAN - 1] -= 1
-                done += n
-                k += 1
-
-        cold = np.flatnonzero(several & ~hot)
-        for a, b, d in zip(block.first[cold].tolist(), block.last[cold].tolist(), ids[cold].tolist(), strict=True):
-            mark(a, raw[a : b + SPAN], d, b - a + 1)
-        warm = np.flatnonzero(hot)
-        for a, b, d in zip(block.first[warm].tolist(), block.last[warm].tolist(), ids[warm].tolist(), strict=True):
-            for s in range(a, b + 1):
-                mark(s, raw[s : s + SPAN], d, 1)
+        for strings, starts, of in block.strings(*block.shared(_anchor_bits(mail), buckets)):
+            if not strings:
+                continue
+            at = np.searchsorted(hashes, _string_hashes(strings))
+            n = n_runs[at]
+            before = np.cumsum(n) - n
+            run_of = np.repeat(run_at[at] - before, n) + np.arange(int(n.sum()))
+            length = lengths[run_of]
+            past = np.cumsum(length) - length
+            start = np.repeat(starts, n) + past - np.repeat(past[before], n)
+            earlier = firsts[run_of] < np.repeat(block.ids[block.doc[of]], n)
+            np.add.at(edge, start[earlier], 1)
+            np.add.at(edge, (start + length + SPAN - 1)[earlier], -1)
         gone = np.cumsum(edge[:-1]) > 0
         out, lo = [], 0
         for i, hi in enumerate(block.ends.tolist()):
