@@ -7,13 +7,13 @@ last. Rounds stop for a document when its bins are full, usually after two. Two
 probability equal to the Jaccard similarity, with concentration as for independent ones.
 
 Equal sets are one node. BANDS bands of ROWS coordinates put nodes into buckets; two nodes of similarity
-0.75 share none with a probability of 3e-7. In each bucket all nodes are compared with the one of smallest
-doc_id only, by their full sets. Where the components of these links leave a bucket in several parts, the
-pairs across parts are compared too: first their sketches, a byte for each coordinate, inside tasks (a
-pair that is linked differs in more coordinates than allowed with a probability below 1e-8), then the
-rest by full sets. So a bucket of thousands of copies costs one comparison each, never all pairs, and no
-link between different components is lost. Large buckets are cut into chunks; only nodes outside a
-bucket's largest part go to all its chunks.
+0.75 share none with a probability of 3e-7. In each bucket all nodes are compared, by their full sets, with
+its centre only, the one of smallest doc_id. Where the components of these links leave the nodes around a
+centre in several parts, pairs across the parts are compared too: inside tasks, by full sets, each node
+outside the largest part with all others, and only links that join parts leave the task. So a group of
+thousands of copies costs one comparison each, no pairs are emitted, and no link that joins components is
+lost. Nodes around one centre are cut into cells of bounded size; those outside its largest part go to
+every cell that they have to be compared in.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A to Z; a text of one to four words has one shingle, one
 without words has none and is linked with nothing, as is a null doc_id (its component is null, it is
@@ -39,10 +39,8 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 40, 4
 SIZE = BANDS * ROWS
-#: Pairs with fewer equal sketch bytes are not compared: six deviations below the mean at the threshold.
-LEAST_EQUAL = int(SIZE * 0.75 - 6 * (SIZE * 0.75 * 0.25) ** 0.5)
-#: Nodes of a bucket that a task compares with each other's sketches at once.
-CHUNK = 2000
+#: Shingles in the rows, and in the columns, of a cell of nodes that a task compares.
+CELL = 300_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -105,23 +103,21 @@ def band_hashes(sketch: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles, digest of the set, band hashes, and a byte for each coordinate."""
+    """doc_id, text_key, n_shingles, digest of the set and band hashes."""
 
     def score():
         def work(texts: list[str]) -> list[pa.Array]:
             elements, sizes = shingles(texts)
             ends = np.cumsum(sizes)
             digest = [hashlib.blake2b(elements[e - s : e].tobytes(), digest_size=16).digest() for s, e in zip(sizes.tolist(), ends.tolist(), strict=True)]
-            sketch = sketches(elements, sizes)
-            bands = band_hashes(sketch).view(np.int64)
+            bands = band_hashes(sketches(elements, sizes)).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))
-            small = mix(sketch).astype(np.uint8)
-            return [pa.array(sizes), pa.array(digest, pa.binary()), lists, pa.array([r.tobytes() for r in small], pa.binary())]
+            return [pa.array(sizes), pa.array(digest, pa.binary()), lists]
 
         return work
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return map_texts(docs, ["doc_id", "text_key"], "n_shingles long, digest binary, bands array<long>, sketch binary", score)
+    return map_texts(docs, ["doc_id", "text_key"], "n_shingles long, digest binary, bands array<long>", score)
 
 
 def _if_small(df: DataFrame) -> DataFrame:
@@ -131,10 +127,14 @@ def _if_small(df: DataFrame) -> DataFrame:
 _LINK = T.StructType([T.StructField(c, T.BinaryType()) for c in ("a", "b")])
 
 
+def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and text of the documents with these ids."""
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(_if_small(ids.distinct()), "id", "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The links among pairs (a_doc, a, b_doc, b; a and b are digests), by the full sets of the documents' texts."""
-    ids = pairs.select(F.explode(F.array("a_doc", "b_doc")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(_if_small(ids), "id", "left_semi")
+    texts = _texts(docs, pairs.select(F.explode(F.array("a_doc", "b_doc")).alias("id")))
     a, b = (texts.select(F.col("id").alias(f"{s}_doc"), F.col("text").alias(f"{s}_text")) for s in "ab")
     both = pairs.join(a, "a_doc").join(b, "b_doc").select("a", "b", "a_text", "b_text")
 
@@ -183,63 +183,78 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _across(group: pa.Table) -> pa.Table:
-    """Pairs of one chunk of a bucket: parts differ, sizes allow a link, and enough sketch bytes are equal."""
-    n = group.num_rows
-    parts = group.column("part").to_pylist()
-    _, part = np.unique(np.array([p.hex() for p in parts]), return_inverse=True)
-    size = group.column("n_shingles").to_numpy()
-    every = group.column("everywhere").to_numpy(zero_copy_only=False).astype(bool)
-    home = group.column("home").to_numpy(zero_copy_only=False).astype(bool)
-    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(n, SIZE)
-    left, right = [], []
-    for i in np.flatnonzero(every).tolist():
-        # A pair of two nodes that are everywhere is taken in the home chunk of one of them.
-        ok = (part != part[i]) & home & (100 * np.minimum(size, size[i]) >= PERCENT * np.maximum(size, size[i]))
-        at = np.flatnonzero(ok)
-        at = at[(sketch[at] == sketch[i]).sum(axis=1) >= LEAST_EQUAL]
-        left += [i] * len(at)
-        right += at.tolist()
-    a, b = group.take(pa.array(left, pa.int64())), group.take(pa.array(right, pa.int64()))
-    return pa.table({"a_doc": a.column("doc").cast(pa.int64()), "a": a.column("digest"), "b_doc": b.column("doc").cast(pa.int64()), "b": b.column("digest")})
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """Each pair once, the smaller digest first."""
-    turn = F.col("a") > F.col("b")
-    pick = lambda x, y: F.when(turn, F.col(y)).otherwise(F.col(x))
-    return pairs.select(pick("a_doc", "b_doc").alias("a_doc"), pick("a", "b").alias("a"), pick("b_doc", "a_doc").alias("b_doc"), pick("b", "a").alias("b")).dropDuplicates(["a", "b"])
+def _across(cell: pa.Table) -> pa.Table:
+    """Links (a, b) that join parts, from the rows of a cell that are outside the largest part to all its columns."""
+    digest, part = cell.column("digest").to_pylist(), cell.column("part").to_pylist()
+    row, column = (cell.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("row", "column"))
+    elements, sizes = shingles([t or "" for t in cell.column("text").to_pylist()])
+    ends = np.cumsum(sizes)
+    own = np.array([hashlib.blake2b(elements[e - s : e].tobytes(), digest_size=16).digest() == d for s, e, d in zip(sizes.tolist(), ends.tolist(), digest, strict=True)])
+    column &= own  # a repeated id may bring another text: it is not the node's
+    values, index = np.unique(elements, return_inverse=True)
+    at = np.flatnonzero(column)
+    beside = np.concatenate([index[ends[k] - sizes[k] : ends[k]] for k in at.tolist()]) if len(at) else index[:0]
+    starts = np.cumsum(sizes[at]) - sizes[at]
+    joined = {p: p for p in part}
+
+    def root(p: bytes) -> bytes:
+        while joined[p] != p:
+            joined[p] = p = joined[joined[p]]
+        return p
+
+    links, marks = [], np.zeros(len(values), np.int64)
+    for i in np.flatnonzero(row & own).tolist() if len(at) else ():
+        mine = index[ends[i] - sizes[i] : ends[i]]
+        marks[mine] = 1
+        both = np.add.reduceat(marks[beside], starts)
+        marks[mine] = 0
+        for k in at[100 * both >= PERCENT * (sizes[i] + sizes[at] - both)].tolist():
+            if (p := root(part[i])) != (q := root(part[k])):
+                joined[p] = q
+                links.append((digest[i], digest[k]))
+    return pa.table({c: pa.array([x[k] for x in links], pa.binary()) for k, c in enumerate("ab")})
+
+
+def across_parts(stars: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) among the nodes around each centre that are in different parts."""
+    parts = stars.join(roots.select(F.col("id").alias("a"), "root"), "a", "left").select("a", "a_doc", "a_size", "b", F.coalesce("root", "a").alias("part"))
+    counts = parts.groupBy("b", "part").agg(F.struct(F.count(F.lit(1)), F.sum("a_size").alias("size")).alias("n"))
+    opened = counts.groupBy("b").agg(F.count(F.lit(1)).alias("n_parts"), F.sum("n.size").alias("size"), F.max(F.struct("n", "part")).alias("most")).filter(F.col("n_parts") > 1)
+    outside = F.col("size") - F.col("most.n.size")
+    opened = opened.select("b", F.col("most.part").alias("largest"), F.ceil(outside / CELL).cast("int").alias("rows"), F.ceil(F.col("size") / CELL).cast("int").alias("columns"))
+    members = parts.join(opened, "b").withColumns(
+        {"outside": F.col("part") != F.col("largest"), "i": F.pmod(F.xxhash64("a"), F.col("rows")).cast("int"), "j": F.pmod(F.xxhash64("a", F.lit(1)), F.col("columns")).cast("int")}
+    )
+    as_column = F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: F.struct(r.alias("r"), F.col("j").alias("c")))
+    as_row = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: F.struct(F.col("i").alias("r"), c.alias("c")))
+    members = members.withColumn("cell", F.explode(F.when(F.col("outside"), F.array_union(as_column, as_row)).otherwise(as_column)))
+    members = cut_lineage(
+        members.select(
+            F.col("b").alias("centre"), "cell.r", "cell.c", F.col("a").alias("digest"), F.col("a_doc").alias("id"), "part",
+            (F.col("outside") & (F.col("cell.r") == F.col("i"))).alias("row"), (F.col("cell.c") == F.col("j")).alias("column"),
+        )
+    )
+    return members.join(_texts(docs, members.select("id")), "id").groupBy("centre", "r", "c").applyInArrow(_across, _LINK).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and text_key of every row of docs."""
     rows = cut_lineage(sketched(docs))
     nodes = rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("digest")
-    nodes = cut_lineage(nodes.agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    nodes = cut_lineage(nodes.agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
     banded = nodes.select("digest", "doc", "n_shingles", F.explode("bands").alias("band"))
 
-    # Stars: every node of a bucket with the one of smallest doc_id.
+    # Every node of a bucket (a) with the one of smallest doc_id, the centre (b).
     centre = banded.groupBy("band").agg(F.min(F.struct("doc", "digest", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    fits = 100 * F.least("n_shingles", "c.n_shingles") >= PERCENT * F.greatest("n_shingles", "c.n_shingles")
-    stars = banded.join(centre, "band").filter((F.col("digest") != F.col("c.digest")) & fits)
-    stars = cut_lineage(_ordered(stars.select(F.col("doc").alias("a_doc"), F.col("digest").alias("a"), F.col("c.doc").alias("b_doc"), F.col("c.digest").alias("b"))))
-    links = cut_lineage(verified(stars, docs))
+    stars = banded.join(centre, "band").filter(F.col("digest") != F.col("c.digest"))
+    stars = stars.select(F.col("digest").alias("a"), F.col("doc").alias("a_doc"), F.col("n_shingles").alias("a_size"), F.col("c.digest").alias("b"), F.col("c.doc").alias("b_doc"), F.col("c.n_shingles").alias("b_size"))
+    stars = cut_lineage(stars.dropDuplicates(["a", "b"]))
+    fits = 100 * F.least("a_size", "b_size") >= PERCENT * F.greatest("a_size", "b_size")
+    links = cut_lineage(verified(stars.filter(fits), docs))
     roots = components(links)
-
-    # Buckets that are still in several parts: pairs across parts.
-    parts = banded.join(roots.withColumnRenamed("id", "digest"), "digest", "left").withColumn("part", F.coalesce("root", "digest"))
-    counts = parts.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
-    opened = counts.groupBy("band").agg(F.count(F.lit(1)).alias("n_parts"), F.sum("n").alias("n"), F.max(F.struct("n", "part")).alias("most")).filter(F.col("n_parts") > 1)
-    opened = opened.select("band", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), F.col("most.part").alias("largest"))
-    members = parts.join(opened, "band").select("band", "digest", "doc", "n_shingles", "part", "chunks", (F.col("part") != F.col("largest")).alias("everywhere"))
-    own = F.pmod(F.xxhash64("digest"), F.col("chunks")).cast("int")
-    members = members.withColumn("own", own).withColumn("chunk", F.explode(F.when(F.col("everywhere"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))))
-    members = members.join(nodes.select("digest", "sketch"), "digest").select("band", "chunk", "digest", "doc", "n_shingles", "part", "everywhere", (F.col("own") == F.col("chunk")).alias("home"), "sketch")
-    across = _ordered(members.groupBy("band", "chunk").applyInArrow(_across, "a_doc long, a binary, b_doc long, b binary"))
-    across = cut_lineage(across.join(stars.select("a", "b"), ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        links = links.union(verified(across, docs))
-        roots = components(links)
+    more = cut_lineage(across_parts(stars, roots, docs))
+    if not more.isEmpty():
+        roots = components(links.union(more))
 
     smallest = roots.join(nodes.select(F.col("digest").alias("id"), "doc"), "id").groupBy("root").agg(F.min("doc").alias("component"))
     of_node = nodes.select("digest", "doc").join(roots.withColumnRenamed("id", "digest"), "digest", "left").join(smallest, "root", "left")

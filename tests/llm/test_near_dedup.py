@@ -71,6 +71,20 @@ def test_chain(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_many_cells(spark, monkeypatch):
+    """Copies of very different distance from their first, compared in many small cells."""
+    monkeypatch.setattr(N, "CELL", 700)
+    rnd = random.Random(9)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(150)]
+    rows = [(0, " ".join(base))]
+    for d in range(1, 60):
+        w = list(base)
+        for k in range(rnd.choice([1, 4, 6, 8, 12])):
+            w[rnd.randrange(len(w))] = f"x{d if d % 3 else d // 6}_{k}"
+        rows.append((d, " ".join(w)))
+    assert run(spark, rows) == brute(rows)
+
+
 def test_sketch_estimates():
     rnd = np.random.default_rng(0)
     for n in (1, 3, 50, 1000):
