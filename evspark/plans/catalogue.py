@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import detect, search, store
+
+QUERIES = search.QUERIES | store.QUERIES | detect.QUERIES
+ORACLE_SQL = search.ORACLE_SQL | store.ORACLE_SQL | detect.ORACLE_SQL
