@@ -273,4 +273,17 @@ def keep_first(docs: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+#: DuckDB: all pairs that share a shingle, and a recursive walk along the links.
+SQL = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as words from documents
+), s as (select doc_id, case when len(words) >= 5 then list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' '))) when len(words) > 0 then [array_to_string(words, ' ')] else [] end as sh from w
+), x as (select doc_id, len(sh) as n, unnest(sh) as g from s
+), l as (select a.doc_id as a, b.doc_id as b from x a join x b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), e as (select a, b from l union all select b, a from l
+), r(doc, seen) as (select doc_id, doc_id from s union select e.b, r.seen from r join e on e.a = r.doc
+), m as (select doc, min(seen) as component_id from r group by doc)
+select doc_id, len(sh) as n_shingles, component_id, doc_id = component_id as kept from s join m on doc = doc_id
+"""

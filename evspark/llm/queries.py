@@ -17,4 +17,9 @@ QUERIES = {
     "op10_quality": quality.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_decontaminate": decontaminate.SQL, "op9_chat": chat.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_dedup": suffix_dedup.SQL,
+    "op4_minhash": near_dedup.SQL,
+    "op6_decontaminate": decontaminate.SQL,
+    "op9_chat": chat.SQL,
+}
