@@ -6,8 +6,8 @@ threshold for each grade. The expected severity is the sum of P(grade >= j) over
 The features are counts of words and of word beginnings (PREFIXES bytes, of longer words): in languages
 that build words from parts a slur is often only the beginning.
 
-The vocabulary is the features whose document counts differ most between the labelled grades 0 and above (a
-z-score of log odds with a prior), counted by Spark; at most VOCABULARY of them. The regression is fitted
+The vocabulary is the features whose document counts differ most between the labelled grades 0 and above (by
+likelihood ratio), counted by Spark; at most VOCABULARY of them. The regression is fitted
 on the driver from at most `sample` labelled documents (default 20,000, the ones with the smallest hash of
 doc_id), each as counts of vocabulary words. Everything else covers all rows and whole texts.
 
@@ -32,14 +32,14 @@ from .common import cut_lineage, map_texts, share, slices, table
 
 SAMPLE = 20_000
 VOCABULARY = 1024
-#: Documents that a word of the vocabulary is in, at least, and the least z-score of either sign.
-LEAST_DOCS, LEAST_Z = 4, 3.5
+#: Documents that a word of the vocabulary is in, at least, and its least likelihood ratio (chance gives this to one word in a thousand).
+LEAST_DOCS, LEAST_RATIO = 4, 10.83
 #: Features that a task counts before it hands them on.
 PARTIAL = 500_000
 #: A word of this log odds or more counts as strong.
 STRONG = 2.0
 #: Rejected from this probability of grade >= 1 on.
-REJECT = 0.5
+REJECT = 0.4
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -81,11 +81,11 @@ class Ordinal:
             found = self.counts(t)
             if found:
                 k = np.fromiter(found.keys(), np.int64, len(found))
-                eta[i] = self.weights[k] @ np.log1p(np.fromiter(found.values(), np.float64, len(found)))
+                eta[i] = self.weights[k] @ (1 + np.log(np.fromiter(found.values(), np.float64, len(found))))
         return 1 / (1 + np.exp(-np.clip(eta[:, None] - self.thresholds[None, :], -30, 30)))
 
 
-def fit_ordinal(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, n_words: int, *, steps: int = 400, penalty: float = 2e-4) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, n_words: int, *, steps: int = 600, penalty: float = 2e-5) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by gradient ascent (Adam) on the likelihood of the grades.
 
     rows and values: word indices and feature values of each document. A threshold is the last one plus
@@ -153,10 +153,17 @@ def strong_words(texts: DataFrame) -> list[tuple[bytes, float]]:
     of_class = by_word.filter(F.col("word") == F.lit(b"")).first()
     if of_class is None or not of_class.a or not of_class.b:
         return []
+    n_a, n_b = of_class.a, of_class.b
     a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    odds = F.log(a / (of_class.a + 1 - a)) - F.log(b / (of_class.b + 1 - b))
-    found = by_word.filter(F.col("word") != F.lit(b"")).select("word", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
-    rows = found.filter(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "word").limit(VOCABULARY).collect()
+    odds = F.log(a / (n_a + 1 - a)) - F.log(b / (n_b + 1 - b))
+    share_of = (F.col("a") + F.col("b")) / (n_a + n_b)
+
+    def term(seen, expected):
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
+
+    cells = term(F.col("a"), share_of * n_a) + term(n_a - F.col("a"), (1 - share_of) * n_a) + term(F.col("b"), share_of * n_b) + term(n_b - F.col("b"), (1 - share_of) * n_b)
+    found = by_word.filter(F.col("word") != F.lit(b"")).select("word", odds.alias("odds"), (2 * cells).alias("ratio"))
+    rows = found.filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "word").limit(VOCABULARY).collect()
     return [(bytes(r.word), r.odds) for r in rows]
 
 
@@ -182,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     if graded:
         hits = np.array([sum(n for k, n in zip(r[2], r[3], strict=True) if k in strong) for r in rows], np.int64)
         y = np.where(y > 0, 1 + (hits > 1) + (hits > 3), 0)
-    weights, thresholds = fit_ordinal([np.array(r[2], np.int64) for r in rows], [np.log1p(np.array(r[3], np.float64)) for r in rows], y, len(found))
+    weights, thresholds = fit_ordinal([np.array(r[2], np.int64) for r in rows], [1 + np.log(np.array(r[3], np.float64)) for r in rows], y, len(found))
     return Ordinal(vocabulary, weights, thresholds)
 
 

@@ -12,7 +12,7 @@ def likelihood(w, theta, rows, values, y):
         e = (w[r] * v).sum()
         s = lambda c: 1 / (1 + np.exp(c - e)) if np.isfinite(c) else float(c < 0)
         total += np.log(s(cuts[g]) - s(cuts[g + 1]))
-    return total - 0.5 * 2e-4 * len(y) * (w**2).sum()
+    return total - 0.5 * 2e-5 * len(y) * (w**2).sum()
 
 
 def test_fit_is_a_maximum():
