@@ -26,12 +26,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, share, table
+from .common import bound_batches, map_texts, share, table
 
 #: Longest word in bytes that the rank array takes.
 SHORT = 40
 #: Distinct words whose ids a task remembers; then it forgets them all.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 NO_RANK = np.int32(2**31 - 1)
 # Fixed value: the pre-tokenisation pattern of byte-level BPE vocabularies.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -225,6 +225,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, *, keep: tuple[str
     from pyspark.sql import types as T
 
     out = T.StructType([encoded.schema[c] for c in keep] + [T.StructField("decoded", T.StringType())])
+    bound_batches(encoded)
     return encoded.select(*dict.fromkeys([*keep, "ids"])).mapInArrow(run, out)
 
 

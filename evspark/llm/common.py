@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python task works on at once (a longer text is worked on alone).
 SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and Python tasks.
+BATCH_BYTES = 4 << 20
 #: Largest id list, in rows of at most 16 bytes, that is broadcast (so 16 MB); beyond it the same join shuffles.
 BROADCAST_ROWS = 1 << 20
 
@@ -29,6 +31,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bound_batches(df: DataFrame) -> None:
+    """Let Arrow batches hold BATCH_BYTES, since rows may be long, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key, None) is None:
+        df.sparkSession.conf.set(key, BATCH_BYTES)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Consecutive parts of a batch of at most `limit` bytes of text, or one row; null text reads as ''."""
     i = batch.schema.get_field_index(column)
@@ -60,7 +69,9 @@ def map_texts(
         for batch in batches:
             for part, texts in slices(batch, column):
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + work(texts), names=names)
+        pa.default_memory_pool().release_unused()  # the worker may idle while others need the memory
 
+    bound_batches(df)
     return df.select(*dict.fromkeys([*keep, column])).mapInArrow(run, out)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts, table
+from .common import bound_batches, map_texts, table
 
 #: Samples in a stored row; texts are padded with zeros to a positive multiple of it.
 ROW = 64
@@ -173,6 +173,7 @@ def inspect(stored: DataFrame, *, keep: tuple[str, ...] = ("doc_id", "n_bytes",
                 made = [pa.array([r[k] for r in rows], kind) for k, (_, _, kind) in enumerate(_READ)]
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep] + made, names=[*keep, *(n for n, _, _ in _READ)])
 
+    bound_batches(stored)
     return stored.select(*dict.fromkeys([*keep, "media"])).mapInArrow(run, T.StructType([stored.schema[c] for c in keep] + [T.StructField(n, kind) for n, kind, _ in _READ]))
 
 

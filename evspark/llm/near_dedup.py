@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, cut_lineage, map_texts, table
+from .common import BROADCAST_ROWS, bound_batches, cut_lineage, map_texts, table
 
 SHINGLE = 5
 #: Linked if 100 * intersection >= PERCENT * union.
@@ -161,6 +161,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                             found.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
+    bound_batches(both)
     return both.mapInArrow(run, _LINK).distinct()
 
 

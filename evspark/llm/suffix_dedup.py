@@ -37,12 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_batches, table
 
 SPAN, GRAM = 50, 20
 KEPT_OF = SPAN - GRAM + 1
 #: Bytes of text in a block, and of anchors in a bucket (about).
 BLOCK_BYTES, BUCKET_ANCHORS = 12 << 20, 1 << 19
+#: Blocks or buckets that a task works on, one after the other, at most (about).
+PER_TASK = 8
 #: Blocks-and-documents that an anchor is in from which it counts as hot.
 HOT = 4000
 #: Starts of spans that are hashed at once.
@@ -363,6 +365,12 @@ def remove(buckets: int, with_text: bool):
     return run
 
 
+def _dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
+    """df dealt by key to enough partitions for PER_TASK groups each, where the session's number of partitions is too low for that."""
+    least = -(-groups // PER_TASK)
+    return df.repartition(least, key) if least > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def deduplicate(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with_text: the remaining bytes as `kept` too."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -370,11 +378,12 @@ def deduplicate(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     blocks = max(1, -(-total // BLOCK_BYTES))
     buckets = max(1, -(-total * 2 // (KEPT_OF + 1) // BUCKET_ANCHORS))
     docs = docs.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)))
-    by_block = docs.groupBy("block")
-    asked = by_block.applyInArrow(send_anchors(buckets), MAIL)
+    bound_batches(docs)
+    by_block = _dealt(docs, "block", blocks).groupBy("block")
+    asked = _dealt(by_block.applyInArrow(send_anchors(buckets), MAIL), "bucket", buckets)
     bits = asked.groupBy("bucket").applyInArrow(answer_anchors, MAIL)
     asked = by_block.cogroup(bits.groupBy("block")).applyInArrow(send_pieces(buckets), MAIL)
-    answers = asked.groupBy("bucket").applyInArrow(answer_pieces, MAIL)
+    answers = _dealt(asked, "bucket", buckets).groupBy("bucket").applyInArrow(answer_pieces, MAIL)
     mail = bits.unionByName(answers)
     return by_block.cogroup(mail.groupBy("block")).applyInArrow(remove(buckets, with_text), RESULT + ", kept binary" * with_text)
 

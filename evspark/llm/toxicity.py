@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut_lineage, map_texts, share, slices, table
+from .common import bound_batches, cut_lineage, map_texts, share, slices, table
 
 SAMPLE = 20_000
 VOCABULARY = 1024
@@ -147,6 +147,7 @@ def strong_words(texts: DataFrame) -> list[tuple[bytes, float]]:
     def rows(found: dict[bytes, list[int]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), *[pa.array([n[y] for n in found.values()], pa.int64()) for y in (1, 0)]], names=["word", "a", "b"])
 
+    bound_batches(texts)
     each = texts.select("text", (F.col("y") > 0).cast("int").alias("toxic")).mapInArrow(counted, "word binary, a long, b long")
     by_word = each.groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).filter(F.col("a") + F.col("b") >= LEAST_DOCS)
     by_word = cut_lineage(by_word)
@@ -219,6 +220,7 @@ def keep_clean(docs: DataFrame, model: Ordinal) -> DataFrame:
             for part, texts in slices(batch):
                 yield part.filter(pa.array(ordinal.at_least(texts)[:, 0] < REJECT))
 
+    bound_batches(docs)
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
 
 

@@ -48,22 +48,21 @@ def corpus(seed, n=60):
     return rows
 
 
-def test_brute_force(spark, monkeypatch):
+def test_brute_force(spark):
     for seed in range(3):
         rows = corpus(seed)
         assert run(spark, rows) == brute(rows)
 
 
-def test_many_blocks_and_hot_anchors(spark):
+def test_many_blocks(spark, monkeypatch):
     rows = corpus(4, 150)
     want = brute(rows)
     df = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)
-    kept = S.BLOCK_BYTES, S.BUCKET_ANCHORS, S.HOT, S.CHUNK
-    try:
-        S.BLOCK_BYTES, S.BUCKET_ANCHORS = 2000, 100
-        assert sorted(map(tuple, S.deduplicate(df).collect()), key=str) == want
-    finally:
-        S.BLOCK_BYTES, S.BUCKET_ANCHORS, S.HOT, S.CHUNK = kept
+    monkeypatch.setattr(S, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(S, "BUCKET_ANCHORS", 100)
+    assert sorted(map(tuple, S.deduplicate(df).collect()), key=str) == want
+    monkeypatch.setattr(S, "PER_TASK", 1)
+    assert sorted(map(tuple, S.deduplicate(df).collect()), key=str) == want
 
 
 def test_hot_path_in_process(monkeypatch):
