@@ -392,15 +392,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents"))
 
 
-#: DuckDB: every window of 50 bytes, as hexadecimal text, with the first document that has it.
+#: DuckDB: every window of 50 bytes, as hexadecimal text, with the first document that has it; runs of their starts are removed.
 SQL = """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents
 ), w as (select doc_id, i, substr(h, 2 * i + 1, 100) as g from (select doc_id, h, unnest(range(0, length(h) // 2 - 49)) as i from d where length(h) >= 100)
-), f as (select g, min(doc_id) as first from w group by g
-), c as (select distinct doc_id, p from (select doc_id, unnest(range(i, i + 50)) as p from w join f using (g) where first < doc_id)
-), n as (select doc_id, count(*) as n_removed, count(*) filter (before is distinct from p - 1) as n_spans from (select doc_id, p, lag(p) over (partition by doc_id order by p) as before from c) group by doc_id
-), k as (select doc_id, string_agg(substr(h, 2 * p + 1, 2), '' order by p) as kept from (select doc_id, h, unnest(range(0, length(h) // 2)) as p from d where doc_id in (select doc_id from n)) anti join c using (doc_id, p) group by doc_id)
-select doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
-  sha256(unhex(case when n_removed is null then h else coalesce(kept, '') end)) as kept_sha256
-from d left join n using (doc_id) left join k using (doc_id)
+), b as (select doc_id, i from (select doc_id, i, min(doc_id) over (partition by g) as first from w) where first < doc_id
+), s as (select doc_id, i, sum(opens) over (partition by doc_id order by i) as run from (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as opens from b)
+), r as (select doc_id, run, min(i) as lo, max(i) + 50 as hi from s group by doc_id, run
+), k as (select doc_id, lo, hi, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as past from r
+), n as (select doc_id, sum(hi - lo) as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * past + 1, 2 * (lo - past)), '' order by lo) || substr(any_value(h), 2 * max(hi) + 1) as kept from k join d using (doc_id) group by doc_id)
+select doc_id, length(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+from d left join n using (doc_id)
 """
