@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import security as X
 from ..operators import alerts as A
+from ..operators import findings as D
+from ..operators import indicators as N
 from ..operators import ioc, lists
 from ..sources import ingest
-from ..sources.envelope import stand_in
+from ..sources.envelope import STAND_IN_SQL, stand_in
 from .search import SECOND, SQL_SECOND
 
 
@@ -198,7 +200,79 @@ def machines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.by_machine_and_severity(_alerts(spark, sf_dir), "group_key", "severity", ["critical", "high", "medium", "low"])
 
 
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _alerts(spark, sf_dir)
+    return a.select("severity", F.col("group_key").alias("agent"), F.col("rule_name").alias("package"), F.col("created_at").alias("detected_at"))
+
+
+def daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.daily_summary(_findings(spark, sf_dir).filter("detected_at >= '1998-01-01'"))
+
+
+def disk_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = stand_in(spark, sf_dir)
+    n = F.col("id").cast("long")
+    samples = e.filter("collector_id is not null").select(F.col("collector_id").alias("host"), F.col("received_at").alias("at"), (n % 100).alias("used"), F.lit(100).alias("size"))
+    return D.disk_health(samples, "2024-01-20 00:00:00").withColumn("at", F.date_format("at", SECOND))
+
+
+def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = _read(spark, sf_dir, "supplier").filter("s_suppkey < 14").select(F.concat(F.lit("c"), F.col("s_suppkey").cast("string")).alias("name"), F.lit("2024-01-29 00:00:00").cast("timestamp").alias("last_seen"))
+    return D.collector_overview(registry, stand_in(spark, sf_dir), "2024-01-30 00:00:00").withColumn("last_at", F.date_format("last_at", SECOND))
+
+
+def packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.range(24).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("rule_id"), F.concat(F.lit("pack"), (F.col("id") % 4).cast("string")).alias("pack"))
+    return D.pack_usage(rules, _alerts(spark, sf_dir))
+
+
+def unparsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = stand_in(spark, sf_dir)
+    reason = F.when(F.col("id").cast("long") % 4 == 0, '{"_parse_error":"timeout"}').when(F.col("id").cast("long") % 9 == 0, '{"_parse_error":"other"}').otherwise(F.col("parsed"))
+    return D.unparsed(e.withColumn("parsed", reason), ["timeout", "too long"])
+
+
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders").filter("o_orderkey < 2000")
+    ids = F.concat_ws(", ", "o_orderstatus", F.when(F.col("o_orderkey") % 2 == 0, "X"))
+    p = D.paired_lists(ids, F.col("o_orderpriority"))
+    return o.select("o_orderkey", F.size(p).alias("n"), F.get(p, F.lit(0))["id"].alias("id"), F.get(p, F.lit(0))["name"].alias("name"))
+
+
+def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _read(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    ip = F.concat_ws(".", F.lit("203"), (k % 5).cast("string"), (k % 7).cast("string"), (k % 250).cast("string"))
+    return c.select(F.lit("ip").alias("type"), ip.alias("value"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"), F.lit("low").alias("severity"), (k % 4 > 0).alias("enabled")).dropDuplicates(["type", "value"])
+
+
+def library_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _read(spark, sf_dir, "supplier").select(F.explode(F.array(F.concat(F.lit(" 203[.]1.1."), (F.col("s_suppkey") % 250).cast("string")), F.lit("not one"), F.lit("Bad[.]example"))).alias("value"))
+    keep = _library(spark, sf_dir).select("type", "value", F.lit("old").alias("source"), "severity", F.lit(False).alias("enabled"))
+    return N.imported(keep, lines, "new", "high")
+
+
+def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _read(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    block = F.concat_ws(".", (k % 256).cast("string"), ((k * 5) % 256).cast("string"), F.lit("0"), F.concat(F.lit("0/"), (k % 25 + 4).cast("string")))
+    return s.select(k, N.refusal(block).alias("refused"), N.normal_value(F.lit("domain"), F.concat(F.lit("*.Host"), k.cast("string"), F.lit("[.]Example."))).alias("domain"), N.normal_value(F.lit("hash"), F.upper(F.md5(k.cast("string")))).alias("hash"), N.normal_value(F.lit("url"), F.lit("HTTPS://no")).alias("url"))
+
+
 QUERIES = {
+    "finding_facets": lambda s, d: D.facets(_findings(s, d), ["severity", "agent", "package"]),
+    "finding_cardinality": lambda s, d: D.cardinalities(_findings(s, d), ["agent", "package"], exact=True),
+    "findings_since": lambda s, d: D.detected_since(_findings(s, d), "1998-01-01 00:00:00"),
+    "findings_daily": daily_summary,
+    "disk_health": disk_health,
+    "collector_overview": overview,
+    "pack_usage": packs,
+    "unparsed_by_reason": unparsed,
+    "paired_lists": pairs,
+    "indicator_import": library_import,
+    "indicator_listing": lambda s, d: N.listing(_library(s, d), "ip", None, "203.1", 10, 50).select("type", "value"),
+    "indicator_sources": lambda s, d: N.by_source(_library(s, d).withColumn("source", F.lit("all")).withColumn("enabled", F.lit(True))).withColumn("types", F.array_join("types", ",")),
+    "list_value_checks": checks,
     "dup_groups_ranked": duplicates,
     "merge_plan": merge_plan,
     "latest_per_key": latest,
@@ -231,7 +305,23 @@ _CANDIDATES_SQL = f"""k as (select distinct doc_id, key from (
   select doc_id, 'ip:' || unnest(regexp_extract_all(' ' || replace(lower(text), ' ', '  ') || ' ', '[^0-9.]({_IP})(?:[^0-9.]|\\.[^0-9])', 1)) as key from documents
   union all select doc_id, 'email:' || unnest(regexp_extract_all(lower(text), '{_MAIL}')) from documents
   union all select doc_id, (case length(h) when 32 then 'md5:' when 40 then 'sha1:' else 'sha256:' end) || h from (select doc_id, unnest(regexp_extract_all(lower(text), '\\b(?:[0-9a-f]{{64}}|[0-9a-f]{{40}}|[0-9a-f]{{32}})\\b')) as h from documents)))"""
+_LIBRARY_SQL = "lib as (select distinct '203.' || (c_custkey % 5) || '.' || (c_custkey % 7) || '.' || (c_custkey % 250) as value from customer)"
 ORACLE_SQL = {
+    "finding_facets": f"with {_ALERTS_SQL}, f as (select facet, value, count(*) as n from (select unnest(['severity', 'agent', 'package']) as facet, unnest([severity, group_key, rule_name]) as value from a) group by 1, 2), r as (select *, row_number() over (partition by facet order by n desc, value) as rn from f) select facet, value, n from r where rn <= 10",
+    "finding_cardinality": f"with {_ALERTS_SQL} select count(distinct group_key) as agent, count(distinct rule_name) as package from a",
+    "findings_since": f"with {_ALERTS_SQL} select severity, count(*) as n from a where created_at >= timestamp '1998-01-01' group by 1",
+    "findings_daily": f"with {_ALERTS_SQL}, d as (select strftime(created_at, '%Y-%m-%d') as day, count(*) filter (rank = 0) as critical, count(*) filter (rank = 1) as high, count(*) filter (rank = 2) as medium, count(*) filter (rank = 3) as low, count(*) as total from a where created_at >= timestamp '1998-01-01' group by 1) select *, total - lag(total) over (order by day) as change from d",
+    "disk_health": f"with {STAND_IN_SQL}, h as (select collector_id as host, arg_max(cast(id as bigint) % 100, received_at) as used, max(received_at) as m from e where collector_id is not null and received_at <= timestamp '2024-01-20' and received_at >= timestamp '2024-01-20' - interval 6 hour group by 1) select host, strftime(m, {SQL_SECOND}) as at, cast(used as integer) as percent, m < timestamp '2024-01-20' - interval 15 minute as stale, used >= 90 as full from h",
+    "collector_overview": f"with {STAND_IN_SQL}, r as (select 'c' || s_suppkey as name, timestamp '2024-01-29' as last_seen from supplier where s_suppkey < 14), c as (select collector_id as seen, count(*) as n_week, count(*) filter (received_at >= timestamp '2024-01-29') as n_day, max(received_at) as m from e where received_at >= timestamp '2024-01-23' and collector_id is not null group by 1) select coalesce(name, seen) as name, name is not null as registered, coalesce(n_week, 0) as n_week, coalesce(n_day, 0) as n_day, strftime(greatest(last_seen, m), {SQL_SECOND}) as last_at from r full join c on name = seen",
+    "pack_usage": f"with {_ALERTS_SQL}, r as (select 'r' || i as rule_id, 'pack' || (i % 4) as pack from (select unnest(range(24)) as i)) select pack, count(distinct r.rule_id) as n_rules, count(id) as n_alerts from r left join a on a.rule_id = r.rule_id group by 1",
+    "unparsed_by_reason": "select 'timeout' as reason, count(*) filter (event_id % 4 = 0) as n from events union all select 'too long', 0 union all select 'other', count(*) filter (event_id % 4 <> 0 and event_id % 9 = 0) from events",
+    "paired_lists": "select o_orderkey, case when o_orderkey % 2 = 0 then 2 else 1 end as n, o_orderstatus as id, case when o_orderkey % 2 = 1 then o_orderpriority end as name from orders where o_orderkey < 2000",
+    "indicator_import": f"with {_LIBRARY_SQL}, n as (select distinct '203.1.1.' || (s_suppkey % 250) as value from supplier) select 'ip' as type, value, 'old' as source, 'low' as severity, false as enabled from lib where value not in (select value from n) union all select 'ip', value, 'new', 'high', true from n union all select 'domain', 'bad.example', 'new', 'high', true",
+    "indicator_listing": f"with {_LIBRARY_SQL} select 'ip' as type, value from lib where contains(value, '203.1') order by value limit 50 offset 10",
+    "indicator_sources": f"with {_LIBRARY_SQL} select 'all' as source, count(*) as n, count(*) as n_enabled, 'ip' as types from lib",
+    "list_value_checks": """with s as (select s_suppkey as k, s_suppkey % 25 + 4 as bits, (s_suppkey % 256) * 16777216 + ((s_suppkey * 5) % 256) * 65536 as ip from supplier), r as (select *, ip - ip % cast(pow(2, 32 - bits) as bigint) as lo, ip - ip % cast(pow(2, 32 - bits) as bigint) + cast(pow(2, 32 - bits) as bigint) - 1 as hi from s),
+p(a, b) as (values (167772160, 184549375), (2886729728, 2887778303), (3232235520, 3232301055), (2130706432, 2147483647), (2851995648, 2852061183), (1681915904, 1686110207), (0, 16777215), (3758096384, 4026531839), (4026531840, 4294967295))
+select k as s_suppkey, case when bits < 8 then 'too wide' when exists (select 1 from p where lo <= b and a <= hi) then 'private' end as refused, 'host' || k || '.example' as domain, md5(cast(k as varchar)) as hash, cast(null as varchar) as url from r""",
     "dup_groups_ranked": f"with {_ALERTS_SQL}, d as (select id, ident, group_key, count(*) over (partition by ident, group_key) as n, cast(row_number() over (partition by ident, group_key order by coalesce(first_event_at, created_at), id) as integer) as rn from a) select * from d where n > 1 and rn <= 50",
     "merge_plan": f"""with {_ALERTS_SQL}, p as (select *, row_number() over (partition by ident, group_key order by coalesce(first_event_at, created_at), id) as rn from a)
 select ident, group_key, max(id) filter (rn = 1) as primary_id, count(*) as n, (['critical', 'high', 'medium', 'low'])[min(rank) + 1] as severity, case when bool_or(status = 'open') then 'open' else 'acknowledged' end as status,
