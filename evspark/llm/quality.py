@@ -14,6 +14,8 @@ rows are scored each; other columns are not read.
 
 from __future__ import annotations
 
+from operator import eq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +29,7 @@ SAMPLE = 20_000
 THRESHOLD = 0.3
 FEATURES = (
     "log_bytes", "upper", "digits", "symbols", "pipes", "stops", "marks", "lines", "non_ascii",
-    "word_length", "distinct_words", "distinct_lines", "short_words", "brackets", "longest_word", "spaces",
+    "word_length", "distinct_words", "distinct_lines", "short_words", "brackets", "longest_word", "spaces", "repeats",
 )
 
 _KINDS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#$%&*@^~_=+", b"|", b".,;:", b"!?", b"\n", bytes(range(128, 256)), b"<>{}[]()/\\", b" \t\r"]
@@ -47,7 +49,7 @@ def features(texts: list[str]) -> np.ndarray:
         out[i] = (
             np.log1p(len(raw)), upper, digits, symbols, pipes, stops, marks, lines, high,
             sizes.mean(), len(set(words)) / max(1, len(words)), len(set(own_lines)) / max(1, len(own_lines)),
-            (sizes <= 2).mean(), brackets, np.log1p(sizes.max()), spaces,
+            (sizes <= 2).mean(), brackets, np.log1p(sizes.max()), spaces, sum(map(eq, words, words[1:])) / max(1, len(words)),
         )
     return out
 
@@ -66,6 +68,7 @@ class Gam:
         self.pairs: list[tuple[int, int]] = []
         self.pair_tables: list[np.ndarray] = []
         self.base = 0.0
+        self.rows = 0
 
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, x[:, f], side="right") for f, e in enumerate(self.edges)], axis=1) if self.edges else np.zeros((len(x), 0), int)
@@ -75,7 +78,8 @@ class Gam:
         gl, hl, nl = np.cumsum(g)[:-1], np.cumsum(h)[:-1], np.cumsum(n)[:-1]
         gr, hr, nr = g.sum() - gl, h.sum() - hl, n.sum() - nl
         gain = gl**2 / (hl + self.shrink) + gr**2 / (hr + self.shrink)
-        gain[(nl < self.leaf) | (nr < self.leaf)] = -1
+        least = min(self.leaf, max(4.0, self.rows / 60))  # fewer rows allow smaller leaves
+        gain[(nl < least) | (nr < least)] = -1
         at = int(gain.argmax()) if len(gain) else 0
         return (float(gain[at]) if len(gain) else -1.0), at + 1
 
@@ -113,6 +117,7 @@ class Gam:
     def fit(self, x: np.ndarray, y: np.ndarray) -> Gam:
         if not len(y):
             return self
+        self.rows = len(y)
         p = (y.sum() + 0.5) / (len(y) + 1)
         self.base = float(np.log(p / (1 - p)))
         if y.min() == y.max():
