@@ -77,9 +77,11 @@ def pieces_of(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     at = 0
     n = len(buf) - SPAN + 1
     # Spans that reach over the end of their text are none.
-    over = np.zeros(max(0, n), bool)
-    places = (ends[:, None] - np.arange(1, SPAN)).ravel()
-    over[places[(places >= 0) & (places < n)]] = True
+    own = np.unique(ends)  # so that at most SPAN of these stretches overlap
+    edge = np.zeros(max(0, n) + 1, np.int16)
+    np.add.at(edge, np.clip(own - SPAN + 1, 0, len(edge) - 1), 1)
+    np.add.at(edge, np.clip(own, 0, len(edge) - 1), -1)
+    over = np.cumsum(edge[:-1], dtype=np.int16) > 0
     while at < n:
         upto = min(n, at + CHUNK)
         part = buf[at : upto + SPAN - 1]
