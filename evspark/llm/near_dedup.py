@@ -223,6 +223,7 @@ def across_parts(stars: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFra
     opened = counts.groupBy("b").agg(F.count(F.lit(1)).alias("n_parts"), F.sum("n.size").alias("size"), F.max(F.struct("n", "part")).alias("most")).filter(F.col("n_parts") > 1)
     outside = F.col("size") - F.col("most.n.size")
     opened = opened.select("b", F.col("most.part").alias("largest"), F.ceil(outside / CELL).cast("int").alias("rows"), F.ceil(F.col("size") / CELL).cast("int").alias("columns"))
+    opened = _if_small(cut_lineage(opened))  # beside the few centres that are open, the many nodes of one needn't be dealt by it
     members = parts.join(opened, "b").withColumns(
         {"outside": F.col("part") != F.col("largest"), "i": F.pmod(F.xxhash64("a"), F.col("rows")).cast("int"), "j": F.pmod(F.xxhash64("a", F.lit(1)), F.col("columns")).cast("int")}
     )
