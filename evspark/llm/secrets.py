@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, table
+from .common import BROADCAST_ROWS, cut_lineage, table
 
 #: A finding counts as a secret from this share of the trees' votes on.
 SECRET = 0.5
@@ -165,6 +165,7 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, mask: str =
     """docs with all secrets in the text replaced by mask; n_chars, if there is one, follows the text."""
     of = findings(docs, model).filter("secret").groupBy(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key")).agg(F.collect_set("value").alias("s_values"))
     of = of.withColumn("s_values", F.array_sort("s_values", lambda a, b: F.char_length(b) - F.char_length(a)))
+    of = cut_lineage(of)  # read twice; a row for each document that has secrets
     small = of.select("s_id").limit(BROADCAST_ROWS // 16 + 1).count() <= BROADCAST_ROWS // 16  # rows of a few short strings
     both = docs.join(F.broadcast(of) if small else of, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.xxhash64("text") == F.col("s_key")), "left")
     text = F.when(F.col("s_values").isNull(), F.col("text")).otherwise(F.aggregate("s_values", F.col("text"), lambda t, v: F.replace(t, v, F.lit(mask))))
