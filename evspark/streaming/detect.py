@@ -10,17 +10,21 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.fields import event_time
 from ..operators import ioc
+from ..sources.tables import EventTable
 
 
 def deduplicated(events: DataFrame, within: str = "1 hour") -> DataFrame:
-    """Drop repeats of (id, received_at) that arrive within the watermark."""
+    """Drop repeats of (id, received_at) that arrive within the watermark; rows that are later than it are left out."""
     return events.withWatermark("received_at", within).dropDuplicatesWithinWatermark(["id", "received_at"])
 
 
-def ingest(events: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append a stream of events to a folder by tenant and day; the checkpoint makes it resume where it was."""
-    rows = deduplicated(events).withColumn("day", F.date_format("received_at", "yyyy-MM-dd")).withColumn("ts", event_time())
-    return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("tenant_id", "day").trigger(**(trigger or {"processingTime": "60 seconds"})).start()
+def ingest(events: DataFrame, path: str, checkpoint: str, tenant: str, **trigger) -> StreamingQuery:
+    """Append a stream of events to a table; each batch stores only what is new, so repeats and replays do no harm and late events are kept."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        EventTable(batch.sparkSession, path).append(batch, tenant)
+
+    return each_batch(events, store, checkpoint, **trigger)
 
 
 def indicator_hits(events: DataFrame, indicators: DataFrame) -> DataFrame:

@@ -142,9 +142,9 @@ def test_streams(spark, tmp_path):
     a = events(spark).filter("tenant_id = 'a'")
     for k in range(2):
         a.write.mode("append").parquet(str(tmp_path / "in"))  # every event twice
-    stream = lambda: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
-    detect.ingest(stream(), str(tmp_path / "out"), str(tmp_path / "c1"), availableNow=True).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 10
+    stream = lambda n=1000: spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", n).parquet(str(tmp_path / "in"))
+    detect.ingest(stream(5), str(tmp_path / "out"), str(tmp_path / "c1"), "a", availableNow=True).awaitTermination()
+    assert EventTable(spark, str(tmp_path / "out")).read("a").count() == 10
     ind = spark.createDataFrame([("ip", "203.0.113.9", "s", "high", True)], "type string, value string, source string, severity string, enabled boolean")
     seen: list = []
     detect.each_batch(detect.indicator_hits(detect.deduplicated(stream()), ind), lambda df, n: seen.extend(r.id for r in df.collect()), str(tmp_path / "c2"), availableNow=True).awaitTermination()
