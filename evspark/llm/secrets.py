@@ -7,6 +7,9 @@ it. The forest is Spark's own, fitted on labelled findings (before, value, after
 such a table of EXAMPLES rows by rule, for when there are none of one's own; its size doesn't depend on the
 documents. Scoring is a projection: a document's candidates are exploded in place, nothing is shuffled.
 
+A candidate is the whole value, of any length: an assigned value up to white space, a quote or one of <>,; and in
+quotes up to the closing one, a token as far as its characters go, a private key up to its end line.
+
 Null and empty texts have no candidates. Findings carry doc_id, a hash of the text (which tells repeated ids
 apart), start (from 1, in code points) and length; repeated rows have their findings each. Very long texts
 are scanned whole. An empty table has no findings. Other columns are not read by `findings` and are kept by
@@ -34,9 +37,17 @@ BESIDE = 40
 
 # Names that secrets are assigned to, and forms of known tokens.
 NAMES = "password|passwd|passphrase|pwd|token|secret|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret|credentials?"
-KNOWN = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{20,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|eyJ[A-Za-z0-9_-]{5,2000}\.[A-Za-z0-9_-]{5,2000}\.[A-Za-z0-9_-]{0,2000}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+# A private key block goes up to its end line; where that is missing, as far as lines of a key follow.
+PEM = (
+    r"-----BEGIN [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:(?:[^-]|-(?!----))*+-----END [A-Z0-9 ]{0,30}PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:\s*+(?:Proc-Type|DEK-Info): [^\r\n]*+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]*+={1,2})?)"
+)
+KNOWN = rf"(?:AKIA|ASIA)[A-Z0-9]{{16}}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{{20,}}+|xox[abprs]-[A-Za-z0-9-]{{10,}}+|eyJ[A-Za-z0-9_-]{{5,}}+\.[A-Za-z0-9_-]{{5,}}+\.[A-Za-z0-9_-]*+|{PEM}"
 ASSIGNED = rf"(?i:{NAMES})[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?"
-CANDIDATE = rf"{KNOWN}|{ASSIGNED}[^\s\"'<>,;]{{6,255}}|(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]{{0,64}}[0-9])[A-Za-z0-9+/_=-]{{16,255}}"
+# A quoted value goes up to its closing quote in the same paragraph. Possessive quantifiers: values of any length, without recursion.
+QUOTED = "|".join(rf"(?<={q})(?:[^{q}\\\n]|\\[\s\S]|\n(?![ \t\r]*+\n)){{6,}}+(?={q})" for q in "\"'")
+CANDIDATE = rf"{KNOWN}|{ASSIGNED}(?:{PEM}|{QUOTED}|[^\s\"'<>,;]{{6,}}+)|(?<![A-Za-z0-9+/_=.-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{{16,}}+"
 # Words that cover ordinary values, words beside secrets, and words beside what only looks like one.
 DICTIONARY = "password|example|sample|secret|change|dummy|placeholder|insert|token|test|your|here|user|admin|name|value|default|null|none|true|false|config|file|path|home|local|server|client|service|version|release|final|draft|report|readme|image|photo|index|main|data|table|group|system|number|order|page|item|list|type|code|python|spark|http|https|www|com|org|lib|usr|bin|src|the|and|for|with|this|that|from|into|over|under|after|before|january|february|march|april|june|july|august|september|october|november|december"
 NEAR_SECRET = NAMES + "|login|bearer|authorization|signing"
@@ -63,12 +74,12 @@ def with_features(found: DataFrame) -> DataFrame:
         "lower": _share(v, "[a-z]"),
         "other": _share(v, "[^A-Za-z0-9]"),
         "hex": has(v, "^(?:[0-9a-f]+|[0-9A-F]+)$"),
-        "variety": F.size(F.array_distinct(F.split(v, ""))) / n,
+        "variety": F.size(F.array_distinct(F.split(v, ""))) / F.least(n, F.lit(64)),  # an alphabet is not larger, however long the value
         "vowels": _share(low, "[aeiou]"),
         "covered": 1 - F.char_length(F.regexp_replace(low, DICTIONARY, "")) / n,
         "path": F.greatest(has(v, r"^[/.~]|/[A-Za-z_.-]{2,}/|\.[a-z]{2,4}$|^[A-Za-z]+(?:[_-][A-Za-z]+)+"), has(F.col("before"), r"[/\\]$|://\S*$")),
         "assigned": has(F.col("before"), rf"(?:{ASSIGNED})$"),
-        "known": has(v, rf"^(?:{KNOWN})"),
+        "known": has(v, KNOWN),  # anywhere: a quoted value may hold more than the token
         "near_secret": has(beside, NEAR_SECRET),
         "near_other": has(F.lower("before"), NEAR_OTHER),
         "repeats": has(v, r"(.)\1{3}|(?:0123|1234|abcd|qwer)"),
@@ -82,11 +93,14 @@ def examples(spark: SparkSession, rows: int = EXAMPLES) -> DataFrame:
     hexes = lambda k, n: F.substring(F.sha2(F.concat(F.lit(k), i.cast("string")), 256), 1, n)
     mixed = lambda k, n: F.substring(F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit(k), i.cast("string")), 512))), "+/=", "Qz7"), 1, n)
     pick = lambda k, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.pmod(F.xxhash64(i, F.lit(k)), F.lit(len(xs))) + 1).cast("int"))
+    long = lambda k, parts, n: F.substring(F.concat(*[mixed(f"{k}{p}", 86) for p in range(parts)]), 1, n)
+    lines = lambda k, parts: F.concat_ws("\n", *[mixed(f"{k}{p}", 64) for p in range(parts)])
     word = lambda k: pick(k, "report", "order", "photo", "server", "release", "index", "table", "config", "draft", "client")
     name = pick("n", "password", "token", "secret", "api_key", "passwd", "access-key", "client_secret", "pwd", "credential", "auth_key")
     sep = pick("s", "=", " = ", ": ", ":", '="', ' = "', ': "', "='")
     prose = pick("p", "the of and ", "it was on ", "and here. ", "see ", "is used with ", "")
     assigned = F.concat(prose, name, sep)
+    quoted = F.concat(prose, name, pick("u", '="', ' = "', ': "', "='"))
     true = [
         (prose, F.concat(F.lit("AKIA"), F.upper(mixed("a", 16)))),
         (assigned, F.concat(F.lit("AKIA"), F.upper(mixed("b", 16)))),
@@ -100,6 +114,10 @@ def examples(spark: SparkSession, rows: int = EXAMPLES) -> DataFrame:
         (assigned, F.concat(mixed("m", 7), pick("y", "!", "#", "$", "%", "&"), mixed("o", 5))),
         (assigned, mixed("q", 12)),
         (prose, F.concat(F.lit("xoxb-"), F.conv(hexes("r", 10), 16, 10), F.lit("-"), mixed("t", 24))),
+        (assigned, long("la", 8, pick("lb", 100, 200, 400, 600))),
+        (prose, F.concat(F.lit("eyJ"), mixed("lc", 30), F.lit("."), long("ld", 8, pick("le", 100, 200, 400, 600)), F.lit("."), mixed("lf", 43))),
+        (pick("lg", "", "private_key: ", 'private_key = "'), F.concat(F.lit("-----BEGIN "), pick("lh", "", "RSA ", "EC "), F.lit("PRIVATE KEY-----\n"), lines("li", 8), F.lit("\n-----END PRIVATE KEY-----"))),
+        (quoted, F.concat(mixed("qa", 5), pick("qb", ",", ";", "<", ">", " ", ", "), mixed("qc", 8), pick("qd", "", "!", "#", ";"), mixed("qe", 4))),
     ]
     other = pick("o", "sha256 ", "checksum: ", "commit ", "md5 ", "digest=", "revision ", "hash ", "build ", "etag: ")
     false = [
@@ -115,6 +133,8 @@ def examples(spark: SparkSession, rows: int = EXAMPLES) -> DataFrame:
         (prose, F.lpad(F.conv(hexes("V", 13), 16, 10), 16, "4")),
         (F.concat(prose, F.lit("https://www.example.com/")), F.concat_ws("-", word("W"), word("X"), F.conv(hexes("Y", 5), 16, 10))),
         (prose, F.concat(word("Z"), word("1"), word("2"), pick("3", "1", "2", "2021", "2024"))),
+        (prose, long("na", 8, pick("nb", 100, 200, 400, 600))),
+        (quoted, pick("nc", "please enter your password here", "the name of the client, not the value", "your secret goes here", "is not set; see the config file", "must be changed after the release", "<insert your token here>", "change this value, please")),
     ]
     kinds = [(b, v, label) for group, label in ((true, 1), (false, 0)) for b, v in group]
     after = F.when(F.pmod(i, F.lit(3)) == 0, '" and then').otherwise(" and then")

@@ -1,4 +1,6 @@
+import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,3 +74,29 @@ def test_findings_and_redaction(spark, model):
 def test_empty(spark, model):
     none = spark.createDataFrame([], SCHEMA)
     assert S.findings(none, model).count() == 0 and S.redact(none, model).count() == 0
+
+
+def test_whole_values_are_masked(spark):
+    """No part of a long value survives: a bare or quoted assignment, a JWT, keys with and without their end line."""
+    rnd = random.Random(3)
+    run = lambda n: "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(n))
+    body = [run(64) for _ in range(60)]
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C3D\n\n" + "\n".join(body) + "\nQz9=\n"
+    end = "-----END RSA PRIVATE KEY-----"
+    values = [f"{run(600)}", f"eyJ{run(40)}.{run(5000)}.{run(2500)}", key + end, key, "ab1,c<9X;q7 Zk>w2", 'p9,\\"Xq7;Lm2 w8', f"ghp_{run(600)}", f"{run(30)},{run(300)}"]
+    texts = ["secret=%s", "see %s here", "x\n%s\ny", "x\n%s\ny", 'password="%s" rest', 'token: "%s" rest', "use %s now", "client_secret='%s' rest"]
+    extra = [('private_key = "%s" rest', key + end), ("private_key: %s rest", key + end), ('"api_key": "%s", "b": 1', values[0]), ("token=%s rest", values[1])]
+    pairs = [*zip(texts, values, strict=True), *extra]
+    docs = spark.createDataFrame([(i, t % v) for i, (t, v) in enumerate(pairs)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in S.redact(docs, S.fit(S.examples(spark))).collect()}
+    for i, (t, v) in enumerate(pairs):
+        assert got[i].replace("\n[", "[").split() == (t % "[SECRET]").replace("\n[", "[").split(), (i, got[i][:300])
+    assert {(r.start, r.length) for r in S.candidates(docs).selectExpr("doc_id", "start", "length(value) as length").collect() if r.doc_id == 0} == {(8, 600)}
+
+
+def test_runs_without_an_end_are_linear(spark):
+    """Headers without an end line, quotes without a closing one and very long runs: no recursion and no repeated scans."""
+    texts = ["-----BEGIN PRIVATE KEY----- " * 20000, 'token="a b ' * 20000, "-" * 500000 + "1", "password=" + "a1" * 500000, "-----BEGIN PRIVATE KEY-----" + "- " * 300000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n for r in S.candidates(docs).groupBy("doc_id").agg(F.max(F.char_length("value")).alias("n")).collect()}
+    assert got[3] == 1000000 and got[2] == 500001
