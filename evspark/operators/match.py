@@ -23,7 +23,7 @@ def by_capture(pattern: str) -> Column:
 
 
 def match_groups(
-    events: DataFrame, *conditions: Column, group: Column | None = None, after: str | None = None, threshold: int = 1, limit: int = 100
+    events: DataFrame, *conditions: Column, group: Column | None = None, after: str | None = None, threshold: int = 1, limit: int = MOST_GROUPS
 ) -> DataFrame:
     """group_key, n, first_at, last_at, sample_ids (newest SAMPLES), sample_raw (of the newest); most frequent first.
 

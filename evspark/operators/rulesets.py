@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import predicates as P
 from ..functions.fields import event_time
 from ..functions.rules import nest
-from .match import by_capture, by_field, match_groups
+from .match import MOST_GROUPS, by_capture, by_field, match_groups
 
 #: Keys of a document, and code points of a value, that rules may leave at most.
 MOST_KEYS, MOST_CHARS = 200, 8192
@@ -118,7 +118,7 @@ def hits(events: DataFrame, rule: Detection, now: str) -> DataFrame:
     """rule_id, rule_name, group_key, severity, n, first_at and last_at of the groups that reach the threshold in the window before now."""
     group = None if rule.group == "none" else by_field(rule.group.removeprefix("field:")) if rule.group.startswith("field:") else by_capture(rule.group)
     since = F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(rule.window_minutes))
-    found = match_groups(events.filter(event_time() > since), *rule.conditions(), group=group, threshold=rule.threshold)
+    found = match_groups(events.filter(event_time() > since), *rule.conditions(), group=group, threshold=rule.threshold, limit=MOST_GROUPS)
     return found.select(F.lit(rule.name).alias("rule_id"), F.lit(rule.name).alias("rule_name"), "group_key", F.lit(rule.severity).alias("severity"), "n", "first_at", "last_at", "sample_ids", "sample_raw")
 
 

@@ -7,6 +7,7 @@ from evspark.functions import predicates as P
 from evspark.functions import rules as R
 from evspark.operators import alerts as A
 from evspark.operators import ioc, lists, rulesets, store, watch
+from evspark.operators.match import by_capture, match_groups
 from evspark.sources import ingest
 from evspark.sources.envelope import SCHEMA
 from evspark.sources.tables import EventTable, backup, copied, day_digests
@@ -152,3 +153,16 @@ def test_streams(spark, tmp_path):
     q = detect.windowed_counts(stream(), F.col("source_type"), "30 minutes", "30 minutes").writeStream.format("memory").queryName("w").outputMode("complete").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sum(r.n for r in spark.table("w").collect()) == 20
+
+
+def test_a_run_raises_more_than_100_groups(spark):
+    """A distributed attack: 300 addresses over the threshold, each of them a hit; 1000 at most."""
+    at = T0 + timedelta(minutes=5)
+    many = spark.range(1100 * 2).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("Failed password from 10.0."), F.concat_ws(".", (F.col("id") % 1100 / 256).cast("int").cast("string"), (F.col("id") % 1100 % 256).cast("string"))).alias("raw"), (F.col("id") % 1100).alias("host"))
+    e = many.select("id", F.lit("a").alias("tenant_id"), F.lit("syslog").alias("source_type"), F.lit("c1").alias("collector_id"), F.lit(at).alias("received_at"), F.lit(at).alias("event_time"), "raw", F.lit("{}").alias("parsed"), "host")
+    rule = rulesets.Detection("f", "high", lambda: [P.contains("_raw", "failed password")], r"from (\S+)", 2, 10)
+    now = str(T0 + timedelta(minutes=10))
+    got = rulesets.hits(e.filter("host < 300").drop("host"), rule, now).collect()
+    assert len({r.group_key for r in got}) == len(got) == 300 and {r.n for r in got} == {2}
+    assert rulesets.hits(e.drop("host"), rule, now).count() == 1000
+    assert match_groups(e.filter("host < 300").drop("host"), group=by_capture(r"from (\S+)")).count() == 300
