@@ -17,7 +17,8 @@ every cell that they have to be compared in.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A to Z; a text of one to four words has one shingle, one
 without words has none and is linked with nothing, as is a null doc_id (its component is null, it is
-kept). Repeated ids are told apart by their text. An empty table gives an empty result. Other columns are
+kept). Repeated ids are told apart by their text; `keep_first`
+keeps one row of a group even so, but all rows without words or id. An empty table gives an empty result. Other columns are
 not read.
 """
 
@@ -240,7 +241,7 @@ def across_parts(stars: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFra
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and text_key of every row of docs."""
+    """doc_id, n_shingles, component_id, kept, text_key and group_key (null: linked with nothing) of every row of docs."""
     rows = cut_lineage(sketched(docs))
     nodes = rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("digest")
     nodes = cut_lineage(nodes.agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
@@ -260,22 +261,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     smallest = roots.join(nodes.select(F.col("digest").alias("id"), "doc"), "id").groupBy("root").agg(F.min("doc").alias("component"))
     of_node = nodes.select("digest", "doc").join(roots.withColumnRenamed("id", "digest"), "digest", "left").join(smallest, "root", "left")
-    of_node = of_node.select(F.col("digest").alias("node"), F.coalesce("component", "doc").alias("component"))
+    of_node = of_node.select(F.col("digest").alias("node"), F.coalesce("component", "doc").alias("component"), F.coalesce("root", "digest").alias("group"))
     out = rows.join(of_node, F.col("digest") == F.col("node"), "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_key").select(
-        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_key"
+    group = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("group"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_key", group.alias("group_key")).select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "text_key", "group_key"
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that stand for their group."""
-    gone = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    return docs.join(_if_small(gone), (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_key")), "left_anti")
+    marks = near_duplicates(docs)
+    gone = marks.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
+    out = docs.join(_if_small(gone), (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_key")), "left_anti")
+    repeated = cut_lineage(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    return out if repeated.isEmpty() else _first_of_repeated(out, marks, repeated)
+
+
+def _first_of_repeated(docs: DataFrame, marks: DataFrame, repeated: DataFrame) -> DataFrame:
+    """docs with one row where several of a group carry its smallest id: that of smallest text_key, and one of equal rows.
+
+    Groups are told apart by group_key, as unrelated texts under one id have the same component_id.
+    """
+    same = marks.filter(F.col("kept") & F.col("group_key").isNotNull()).join(_if_small(repeated), "doc_id", "left_semi")
+    same = cut_lineage(same.groupBy("group_key", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")))
+    first = same.groupBy("group_key", "doc_id").agg(F.min("text_key").alias("first_key"), F.sum("n").alias("rows")).filter("rows > 1")
+    several = same.drop("n").join(first, ["group_key", "doc_id"])
+    several = cut_lineage(several.select(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key"), (F.col("text_key") == F.col("first_key")).alias("first")))
+    at = (F.col("doc_id") == F.col("s_id")) & (F.xxhash64("text") == F.col("s_key"))
+    one = docs.join(_if_small(several.filter("first")), at, "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(_if_small(several), at, "left_anti").union(one)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_key", "group_key")
 
 
 #: DuckDB: all pairs that share a shingle, and a recursive walk along the links.

@@ -112,3 +112,18 @@ def test_empty(spark):
     assert run(spark, []) == []
     df = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (3, None)], "doc_id long, text string")
     assert sorted(r.doc_id for r in N.keep_first(df).collect()) == [1, 3]
+
+
+def test_keep_first_of_repeated_ids(spark):
+    """One row of a group stays where its smallest id is repeated; unrelated texts under one id, and rows that are linked with nothing, stay."""
+    long = [f"w{i}" for i in range(60)]
+    near, other = " ".join([*long[:-1], "x"]), " ".join(f"o{i}" for i in range(20))
+    rows = [(1, " ".join(long)), (1, " ".join(long)), (1, near), (2, near), (1, other), (1, other), (3, other)]
+    rows += [(1, ""), (1, ""), (None, other), (None, other), (5, "q r s t u v"), (5, "q r s t u v"), (7, "k l m n o p"), (7, None)]
+    docs = spark.createDataFrame([(d, t, str(i)) for i, (d, t) in enumerate(rows)], "doc_id long, text string, extra string")
+    got = N.keep_first(docs)
+    assert got.columns == docs.columns
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    assert len([x for x in left if x in ((1, " ".join(long)), (1, near))]) == 1
+    rest = [x for x in left if x not in ((1, " ".join(long)), (1, near))]
+    assert sorted(rest, key=str) == sorted([(1, other), (1, ""), (1, ""), (None, other), (None, other), (5, "q r s t u v"), (7, "k l m n o p"), (7, None)], key=str)
