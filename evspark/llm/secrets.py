@@ -100,6 +100,8 @@ def examples(spark: SparkSession, rows: int = EXAMPLES) -> DataFrame:
     sep = pick("s", "=", " = ", ": ", ":", '="', ' = "', ': "', "='")
     prose = pick("p", "the of and ", "it was on ", "and here. ", "see ", "is used with ", "")
     assigned = F.concat(prose, name, sep)
+    opaque = F.concat(prose, pick("ta", "Authorization: Bearer ", "authorization: bearer ", "the password is ", "login with ", "my secret token is ", "SIGNING KEY ", "API_KEY ", "private_key\n", "the passphrase was ", "credentials "))
+    telling = F.concat(prose, pick("tb", "login page ", "the password policy of ", "one token of ", "a secret in ", "authorization for ", "credentials in "))
     quoted = F.concat(prose, name, pick("u", '="', ' = "', ': "', "='"))
     true = [
         (prose, F.concat(F.lit("AKIA"), F.upper(mixed("a", 16)))),
@@ -118,6 +120,11 @@ def examples(spark: SparkSession, rows: int = EXAMPLES) -> DataFrame:
         (prose, F.concat(F.lit("eyJ"), mixed("lc", 30), F.lit("."), long("ld", 8, pick("le", 100, 200, 400, 600)), F.lit("."), mixed("lf", 43))),
         (pick("lg", "", "private_key: ", 'private_key = "'), F.concat(F.lit("-----BEGIN "), pick("lh", "", "RSA ", "EC "), F.lit("PRIVATE KEY-----\n"), lines("li", 8), F.lit("\n-----END PRIVATE KEY-----"))),
         (quoted, F.concat(mixed("qa", 5), pick("qb", ",", ";", "<", ">", " ", ", "), mixed("qc", 8), pick("qd", "", "!", "#", ";"), mixed("qe", 4))),
+        (opaque, mixed("tc", 20)),
+        (opaque, mixed("td", 43)),
+        (opaque, hexes("te", 32)),
+        (opaque, hexes("tf", 40)),
+        (opaque, long("tg", 4, pick("th", 64, 100, 200, 300))),
     ]
     other = pick("o", "sha256 ", "checksum: ", "commit ", "md5 ", "digest=", "revision ", "hash ", "build ", "etag: ")
     false = [
@@ -135,6 +142,11 @@ def examples(spark: SparkSession, rows: int = EXAMPLES) -> DataFrame:
         (prose, F.concat(word("Z"), word("1"), word("2"), pick("3", "1", "2", "2021", "2024"))),
         (prose, long("na", 8, pick("nb", 100, 200, 400, 600))),
         (quoted, pick("nc", "please enter your password here", "the name of the client, not the value", "your secret goes here", "is not set; see the config file", "must be changed after the release", "<insert your token here>", "change this value, please")),
+        (F.concat(telling, other), hexes("nd", 40)),
+        (F.concat(telling, other), hexes("ne", 64)),
+        (telling, F.concat_ws("_", word("nf"), word("ng"), F.concat(F.lit("v"), pick("nh", "1", "2", "3", "10")), word("ni"))),
+        (telling, F.concat_ws("-", word("nj"), word("nk"), pick("nl", "2019", "2021", "2024"), pick("nm", "01-31", "12-05"))),
+        (F.concat(telling, F.lit("uuid ")), F.concat_ws("-", hexes("nn", 8), hexes("nx", 4), hexes("np", 4), hexes("nq", 4), hexes("nr", 12))),
     ]
     kinds = [(b, v, label) for group, label in ((true, 1), (false, 0)) for b, v in group]
     after = F.when(F.pmod(i, F.lit(3)) == 0, '" and then').otherwise(" and then")
