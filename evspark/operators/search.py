@@ -40,7 +40,7 @@ class Search:
     aggregates: dict[str, Column] = field(default_factory=dict)
     keys: tuple[str, ...] = ()
     order: tuple[tuple[str, bool], ...] = ()
-    rows: int = DEFAULT_LIMIT
+    rows: int | None = DEFAULT_LIMIT
 
     def where(self, *conditions: Column) -> Search:
         return replace(self, conditions=self.conditions + conditions)
@@ -65,6 +65,13 @@ class Search:
     def limit(self, rows: int) -> Search:
         return replace(self, rows=max(1, min(MOST_ROWS, int(rows))))
 
+    def unlimited(self) -> Search:
+        """All rows or groups; such a search has no pages."""
+        return replace(self, rows=None)
+
+    def _first(self, ordered: DataFrame, extra: int) -> DataFrame:
+        return ordered if self.rows is None else ordered.limit(self.rows + extra)
+
     def _ordered(self, extra: int) -> DataFrame:
         found = self.events
         for condition in self.conditions:
@@ -75,9 +82,9 @@ class Search:
             aggregates = [a.alias(n) for n, a in self.aggregates.items()]
             found = found.groupBy(*keys).agg(*aggregates) if keys else found.agg(*aggregates)
             default = [F.col(list(self.aggregates)[-1]).desc_nulls_first()]
-            return found.orderBy(*(last or default), *[F.col(f"`{k}`").asc_nulls_first() for k in self.keys]).limit(self.rows + extra)
+            return self._first(found.orderBy(*(last or default), *[F.col(f"`{k}`").asc_nulls_first() for k in self.keys]), extra)
         by = [text_of(k).asc_nulls_last() if up else text_of(k).desc_nulls_last() for k, up in self.order]
-        found = found.orderBy(*(by or [event_time().desc()]), F.col("id").desc()).limit(self.rows + extra)
+        found = self._first(found.orderBy(*(by or [event_time().desc()]), F.col("id").desc()), extra)
         if self.columns:
             return found.select(*[text_of(name).alias(alias) for alias, name in self.columns.items()])
         return found.select(F.col("id").alias("_id"), event_time().alias("_time"), "source_type", "collector_id", F.col("raw").alias("_raw"), "parsed")
@@ -87,6 +94,8 @@ class Search:
 
     def page(self) -> tuple[list[Row], bool]:
         """At most the limit's rows, and whether there were more."""
+        if self.rows is None:
+            raise ValueError("a page needs a limit")
         rows = self._ordered(1).collect()
         return rows[: self.rows], len(rows) > self.rows
 

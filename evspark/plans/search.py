@@ -60,7 +60,7 @@ def count_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comp_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir).comp("source_type", "collector_id", n="count", with_k=("count", "k"), kinds=("count_distinct", "k")).limit(5000).frame()
+    return _search(spark, sf_dir).comp("source_type", "collector_id", n="count", with_k=("count", "k"), kinds=("count_distinct", "k")).unlimited().frame()
 
 
 def comp_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,15 @@ def test_match_groups(a):
     assert [(r.group_key, r.n) for r in match_groups(a, group=by_field("host")).collect()] == [("web01", 4), ("MBP", 1), ("mbp", 1), ("rtr", 1), ("unknown", 1), ("web02", 1), ("web03", 1)]
     assert {r.group_key: r.n for r in match_groups(a, group=by_capture(r"from (\S+)")).collect()} == {"unknown": 9, "203.0.113.9": 1}
     assert [r.n for r in match_groups(a, group=by_field("app_name"), threshold=2).collect()] == [3, 2, 2]
+
+
+def test_unlimited(spark, monkeypatch):
+    """All groups and rows beyond MOST_ROWS, also in the query over groupings."""
+    from evspark.plans import search as plans
+
+    many = spark.range(6000).select(F.col("id").cast("string").alias("id"), F.lit("t").alias("tenant_id"), F.lit("s").alias("source_type"), F.concat(F.lit("c"), "id").alias("collector_id"), F.lit("2026-10-01").cast("timestamp").alias("received_at"), F.lit(None).cast("timestamp").alias("event_time"), F.lit("r").alias("raw"), F.lit('{"k":1}').alias("parsed"))
+    monkeypatch.setattr(plans, "stand_in", lambda *_: many)
+    assert plans.comp_multi(spark, "").count() == 6000
+    assert Search(many).unlimited().frame().count() == 6000 and Search(many).frame().count() == 1000
+    with pytest.raises(ValueError):
+        Search(many).unlimited().page()
