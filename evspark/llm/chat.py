@@ -1,10 +1,15 @@
 """Chat formatting with Spark expressions only: sorted turn structs become one marked text per conversation.
 
+The turns of a conversation are collected as structs and sorted. A fold over them (`aggregate`) merges adjacent turns of
+one role into blocks; it runs over CHUNK turns at a time, since a fold copies what it has gathered at every step, and
+blocks that meet at a chunk's border are written as one. All blocks are then joined into the text.
+
 Template. A run of adjacent turns with one role is a block ``<|im_start|>ROLE\\n...<|im_end|>\\n``; the
 turns of a block are joined by ``<|im_turn|>``, so that merging loses no boundary. Inside texts and roles
 ``&`` becomes ``&amp;`` and ``<|`` becomes ``&lt;|`` (in roles a newline also becomes ``&#10;``), so no
 marker can come from a text and the escapes can be undone. The loss mask has a span for every turn, in
-code points of the formatted text, with a flag that is true for the roles that are trained on.
+code points of the formatted text, with a flag that is true for the roles that are trained on; the text
+that is trained on is cut from the formatted text by these spans.
 
 Turns are ordered by (turn, role, text), nulls first, so that ties and repeated rows have one order. A
 null text is empty, a null role is ''. Rows with a null conversation id form one conversation. An empty
@@ -14,13 +19,17 @@ has to fit in a task; different conversations are spread by their id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 # The template's markers.
 START, END, TURN = "<|im_start|>", "<|im_end|>\n", "<|im_turn|>"
+#: Elements of an array that are folded, summed or cut together, so that long arrays cost no more for each element than short ones.
+CHUNK = 256
 
 
 def escape(c: Column) -> Column:
@@ -39,35 +48,73 @@ def unescape_role(c: Column) -> Column:
     return unescape(F.replace(c, F.lit("&#10;"), F.lit("\n")))
 
 
+def _chunks(array: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """f(slice, number) of each CHUNK elements."""
+    last = F.floor((F.size(array) - 1) / CHUNK).cast("int")
+    numbers = F.when(F.size(array) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, lambda k: f(F.slice(array, k * CHUNK + 1, F.lit(CHUNK)), k))
+
+
+def _total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0).cast("long"), lambda n, x: n + x)
+
+
+def _before(sizes: Column) -> Column:
+    """For each element of an array of up to CHUNK sizes, the sum of those before it."""
+    return F.transform(sizes, lambda _, i: _total(F.slice(sizes, F.lit(1), i)))
+
+
+def _merged(turns: Column) -> Column:
+    """Blocks (role, bodies) of adjacent turns of one role, from sorted turns (role, body)."""
+    block = "struct<role:string,bodies:array<string>>"
+
+    def step(blocks: Column, t: Column) -> Column:
+        last = F.get(blocks, F.size(blocks) - 1)
+        own = F.struct(t["role"].alias("role"), F.array(t["body"]).alias("bodies"))
+        longer = F.struct(t["role"].alias("role"), F.concat(last["bodies"], F.array(t["body"])).alias("bodies"))
+        joined = F.concat(F.slice(blocks, F.lit(1), F.greatest(F.size(blocks) - 1, F.lit(0))), F.array(longer))
+        return F.when(last["role"] == t["role"], joined).otherwise(F.concat(blocks, F.array(own))).cast(f"array<{block}>")
+
+    return F.aggregate(turns, F.array().cast(f"array<{block}>"), step)
+
+
 def format_chats(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """conv_id, formatted and mask: array of (start, length, loss), one per turn, start from 0."""
-    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
-    of = Window.partitionBy("conv_id").orderBy(*order)
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select(
-        "conv_id",
-        "role",
-        F.row_number().over(of).alias("i"),
-        (~F.lag("role").over(of).eqNullSafe(F.col("role"))).alias("opens"),
-        (~F.lead("role").over(of).eqNullSafe(F.col("role"))).alias("closes"),
-        escape(F.col("text")).alias("body"),
-    )
-    before = F.when(F.col("opens"), F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))).otherwise(F.lit(TURN))
-    rows = rows.withColumns({"before": before, "after": F.when(F.col("closes"), F.lit(END)).otherwise(F.lit(""))})
-    size = F.char_length("before") + F.char_length("body") + F.char_length("after")
-    rows = rows.withColumn("past", F.sum(size.cast("long")).over(Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)) - size)
-    each = F.struct(
-        "i",
-        F.concat("before", "body", "after").alias("piece"),
-        (F.col("past") + F.char_length("before")).alias("start"),
-        F.char_length("body").cast("long").alias("length"),
-        F.col("role").isin(*trained).alias("loss"),
-    )
-    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(each)).alias("t"))
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    rows = turns.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text")).alias("t"))
+    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))  # nulls come first
+    chats = chats.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), escape(t["text"]).alias("body"))).alias("t"))
+    chats = chats.select("conv_id", F.flatten(_chunks(F.col("t"), lambda part, _: _merged(part))).alias("blocks"))
+    of = lambda i: F.get("blocks", i)["role"]
+
+    def piece(b: Column, i: Column) -> Column:
+        opens, closes = ~of(i - 1).eqNullSafe(b["role"]), ~of(i + 1).eqNullSafe(b["role"])
+        head = F.when(opens, F.concat(F.lit(START), escape_role(b["role"]), F.lit("\n"))).otherwise(F.lit(TURN))
+        return F.struct(
+            head.alias("head"),
+            F.array_join(b["bodies"], TURN).alias("body"),
+            F.when(closes, F.lit(END)).otherwise(F.lit("")).alias("tail"),
+            F.transform(b["bodies"], lambda x: F.char_length(x)).alias("sizes"),
+            b["role"].isin(*trained).alias("loss"),
+        )
+
+    chats = chats.select("conv_id", F.transform("blocks", piece).alias("p"))
+    size = F.transform("p", lambda p: F.char_length(p["head"]) + F.char_length(p["body"]) + F.char_length(p["tail"]))
+    chats = chats.select("conv_id", "p", size.alias("size"))
+    chats = chats.withColumn("of_chunk", _chunks(F.col("size"), lambda part, _: _total(part)))
+    chats = chats.withColumn("chunk_at", F.transform("of_chunk", lambda _, k: _total(F.slice("of_chunk", F.lit(1), k))))
+    at = F.flatten(_chunks(F.col("size"), lambda part, k: F.transform(_before(part), lambda n: n + F.get("chunk_at", k))))
+    chats = chats.select("conv_id", "p", at.alias("at"))
+
+    def spans(p: Column, i: Column) -> Column:
+        steps = F.transform(p["sizes"], lambda n: n + len(TURN))
+        start = F.get("at", i) + F.char_length(p["head"])
+        return F.zip_with(_before(steps), p["sizes"], lambda before, n: F.struct((start + before).alias("start"), n.cast("long").alias("length"), p["loss"].alias("loss")))
+
     return chats.select(
         "conv_id",
-        F.array_join(F.transform("t", lambda t: t["piece"]), "").alias("formatted"),
-        F.transform("t", lambda t: F.struct(t["start"], t["length"], t["loss"])).alias("mask"),
+        F.array_join(F.transform("p", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
+        F.flatten(F.transform("p", spans)).alias("mask"),
     )
 
 
@@ -85,11 +132,17 @@ def read_back(chats: DataFrame) -> DataFrame:
     return chats.withColumn("turns", F.flatten(F.transform(full, turns_of)))
 
 
-def under_mask(c: str = "turns", mask: str = "mask") -> Column:
-    """Texts of the parsed turns whose span in the mask is flagged, in order, and as long as that span says."""
-    both = F.arrays_zip(F.col(c).alias("turn"), F.col(mask).alias("span"))
-    same = F.filter(both, lambda b: b["span"]["loss"] & (F.char_length(escape(b["turn"]["text"])) == b["span"]["length"]))
-    return F.transform(same, lambda b: b["turn"]["text"])
+def under_mask(formatted: str = "formatted", mask: str = "mask") -> Column:
+    """The texts of the flagged spans of the mask, cut from the formatted text and unescaped, in order."""
+    flagged = F.filter(F.col(mask), lambda m: m["loss"])
+
+    def cut(part: Column, _: Column) -> Column:
+        first, last = F.get(part, F.lit(0)), F.get(part, F.size(part) - 1)
+        # A place in a text is found by counting from its beginning: the stretch of these spans is cut out first.
+        stretch = F.substr(F.col(formatted), (first["start"] + 1).cast("int"), (last["start"] + last["length"] - first["start"]).cast("int"))
+        return F.transform(F.array(stretch), lambda s: F.transform(part, lambda m: unescape(F.substr(s, (m["start"] - first["start"] + 1).cast("int"), m["length"].cast("int")))))
+
+    return F.flatten(F.flatten(_chunks(flagged, cut)))
 
 
 def digests(turns: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at once (a longer text is worked on alone).
 SLICE_BYTES = 1 << 20
@@ -22,15 +23,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. A temporary one stands in for it only where all tasks run on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df to the cluster's shared checkpoint folder and read it from there."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """Names for columns that are joined to df: each as it is, or with underscores before it if df has one of that name, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
+    """doc_id, text and y of labelled documents: at most `sample` pairs of id and label, those of the smallest hashes of doc_id.
+
+    The same tables give the same rows in every run: of an id that has several texts the one of smallest hash is taken.
+    Null ids and labels are left out.
+    """
+    some = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("labelled_id"), F.col(label).cast("int").alias("y")).distinct()
+    some = some.orderBy(F.xxhash64("labelled_id"), "labelled_id", "y").limit(sample)
+    # The bound makes the broadcast small: an id and a label for each row.
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("labelled_id"))
+    return texts.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y")
+
+
 def bound_batches(df: DataFrame) -> None:
     """Let Arrow batches hold BATCH_BYTES, since rows may be long, unless the session has a bound of its own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

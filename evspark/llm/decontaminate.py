@@ -3,8 +3,8 @@
 Every text becomes words, hashed k-grams of words, and of each window of neighbouring k-grams the smallest
 hash is kept. With k + w - 1 = 10 two texts that share 10 words share a kept hash, so joining the
 fingerprints of documents and benchmark items finds every document that can have a hit. These documents
-are then extended exactly: all their windows are joined with the items' windows as words, and the hit
-spans are merged into counts. An item of fewer than 10 words is one window of its own length; documents
+are then extended from the places of the fingerprints found: the windows around these places are joined
+with the items' windows as words, and the hit spans are merged into counts. An item of fewer than 10 words is one window of its own length; documents
 are fingerprinted with all k-grams of those lengths as well (at most nine, only where such items exist).
 
 Fingerprints of the benchmark are broadcast only if a count shows that they are few (BROADCAST_ROWS);
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut_lineage, table
+from .common import BROADCAST_ROWS, cut_lineage, fresh, table
 
 #: Words of a window, of a k-gram, and k-grams of which the smallest is kept.
 WINDOW, GRAM = 10, 6
@@ -79,13 +79,41 @@ def _of_length(m: int):
 def fingerprints(df: DataFrame, out: str, lengths: list[int]) -> DataFrame:
     """df (with array column words) and column out: kept hashes of 10-word windows, and all grams of the given shorter lengths."""
     keep = df.columns
-    df = df.withColumn("h1", F.transform("words", lambda w: F.xxhash64(w)))
+    df = _hashed(df)
     df = _smallest(_grams(df, GRAM, "grams"), "grams", KEPT_OF, "kept")
     for m in lengths:
         df = _grams(df, m, f"short{m}")
     return df.select(*keep, F.array_distinct(F.concat("kept", *[F.transform(f"short{m}", _of_length(m)) for m in lengths])).alias(out))
 
 
+def _hashed(df: DataFrame) -> DataFrame:
+    return df.withColumn("h1", F.transform("words", lambda w: F.xxhash64(w)))
+
+
+def extended(docs: DataFrame, prints: DataFrame, short: list[int]) -> DataFrame:
+    """doc_id, text_key, pos, length and gram (its words) of the windows of docs that hold a fingerprint of `prints` (column print).
+
+    A k-gram whose hash is a fingerprint can lie in the KEPT_OF windows that start at or before it; every window that a
+    document shares with an item has such a k-gram. For windows of the shorter lengths the fingerprint is the whole window.
+    """
+    keys = ["doc_id", "text_key"]
+    seeds = _grams(_hashed(docs), GRAM, "grams")
+    for m in short:
+        seeds = _grams(seeds, m, f"short{m}")
+    of = [(WINDOW, KEPT_OF, F.col("grams"))] + [(m, 1, F.transform(f"short{m}", _of_length(m))) for m in short]
+    seeds = seeds.select(*keys, *[h.alias(f"of{m}") for m, _, h in of])
+    placed = lambda m, back: F.transform(f"of{m}", lambda h, i: F.struct(F.lit(m).alias("length"), F.lit(back).alias("back"), i.alias("at"), h.alias("print")))
+    at = F.flatten(F.array(*[placed(m, back) for m, back, _ in of]))
+    found = seeds.select(*keys, F.explode_outer(at).alias("s")).select(*keys, "s.*").join(prints.select("print"), "print")
+    starts = F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("back") + 1), F.col("at")))
+    starts = found.select(*keys, "length", starts.alias("pos")).groupBy(*keys).agg(F.collect_set(F.struct("length", "pos")).alias("starts"))
+    starts = starts.select(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key"), "starts")
+    both = docs.join(starts, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_key") == F.col("s_key"))).select(*keys, "words", "starts")
+    fits = F.filter("starts", lambda s: s["pos"] + s["length"] <= F.size("words"))
+    texts = F.transform(fits, lambda s: F.struct(s["pos"].alias("pos"), s["length"].alias("length"), F.array_join(F.slice("words", s["pos"] + 1, s["length"]), " ").alias("gram")))
+    return both.select(*keys, F.explode_outer(texts).alias("w")).select(*keys, "w.*").filter(F.col("pos").isNotNull())
+
+
 def windows(words: Column, length: Column | int) -> Column:
     """All windows of `length` words, as text, in order."""
     n = F.size(words) - length
@@ -103,13 +131,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, text_key, n_words, n_hit, n_items, items (sorted ids as text) for every row of docs."""
+    docs = docs.select("doc_id", "text")
     bench = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
     bench = bench.withColumn("length", F.least(F.lit(WINDOW), F.size("words")))
     short = sorted(r[0] for r in bench.filter(F.col("length") < WINDOW).select("length").distinct().collect())  # at most nine
 
     of_items = fingerprints(bench.filter(F.col("length") == WINDOW).select("item", "words"), "prints", []).select(F.explode_outer("prints").alias("print"))
     for m in short:
-        whole = _grams(bench.filter(F.col("length") == m).withColumn("h1", F.transform("words", lambda w: F.xxhash64(w))), m, "whole")
+        whole = _grams(_hashed(bench.filter(F.col("length") == m)), m, "whole")
         of_items = of_items.unionByName(whole.select(_of_length(m)(F.element_at("whole", 1)).alias("print")))
     # explode_outer here and below: for explode Spark infers a filter, and copies the nested expressions into it.
     of_items = _small(of_items.filter(F.col("print").isNotNull()).distinct().withColumn("found", F.lit(1)))
@@ -121,12 +150,10 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     hit_keys = _small(marked.filter(F.col("found") == 1).select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")))
     own = docs.withColumn("text_key", F.xxhash64("text")).join(hit_keys, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left_semi")
-    own = own.select("doc_id", "text_key", words_of(F.col("text")).alias("words")).dropDuplicates(["doc_id", "text_key"])
-    lengths = F.array(*[F.lit(m) for m in [*short, WINDOW]])
-    own = own.select("doc_id", "text_key", "words", F.explode(lengths).alias("length"))
-    own = own.select("doc_id", "text_key", "length", F.posexplode(windows(F.col("words"), F.col("length"))).alias("pos", "gram"))
+    own = own.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", words_of(F.col("text")).alias("words"))
+    places = cut_lineage(extended(own, of_items, short))
     of_bench = bench.select("item", "length", F.explode(windows(F.col("words"), F.col("length"))).alias("gram")).distinct()
-    hits = own.join(_small(of_bench), ["length", "gram"]).select("doc_id", "text_key", "pos", "length", "item")
+    hits = places.join(_small(of_bench), ["length", "gram"]).select("doc_id", "text_key", "pos", "length", "item")
 
     by_doc = ["doc_id", "text_key"]
     spans = hits.groupBy(*by_doc, "pos").agg(F.max("length").alias("length"))
@@ -154,8 +181,9 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that no window of an item occurs in."""
-    hit = contamination(docs, items).filter(F.col("n_hit") > 0).select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_key")), "left_anti")
+    hit_id, hit_key = fresh(docs, "hit_id", "hit_key")
+    hit = contamination(docs, items).filter(F.col("n_hit") > 0).select(F.col("doc_id").alias(hit_id), F.col("text_key").alias(hit_key)).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(hit_id)) & (F.xxhash64("text") == F.col(hit_key)), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ from .common import bound_batches, map_texts, table
 ROW = 64
 #: Side of the square tile that is written as NPY.
 TILE = 16
+#: Samples that are summed at once as doubles.
+STRIP = 1 << 18
 _HEADER = re.compile(rb"P([1-6])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:(?:\s|#[^\n]*\n)+(\d+))?\s")
 
 
@@ -95,10 +97,12 @@ def grey(image: np.ndarray) -> np.ndarray:
 
 
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Area averages of a grey image as doubles: the integral image is interpolated at the new pixels' edges."""
-    h, w = image.shape
-    total = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
+    """Area averages of an image, in grey, as doubles.
+
+    The integral image is interpolated at the new pixels' edges. Only its rows at these edges are kept, and those below each are
+    summed STRIP samples at a time, so an image of any size takes little more memory than its samples.
+    """
+    h, w = image.shape[:2]
 
     def edges(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
         x = np.arange(m + 1) * n / m
@@ -106,7 +110,16 @@ def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
         return lo, x - lo
 
     (y, fy), (x, fx) = edges(h, height), edges(w, width)
-    rows = total[y] * (1 - fy)[:, None] + total[y + 1] * fy[:, None]
+    step = max(1, STRIP // w)
+    rows, total, at = np.zeros((height + 1, w + 1)), np.zeros(w + 1), 0
+    for k, (lo, part) in enumerate(zip(y.tolist(), fy.tolist(), strict=True)):
+        while at < lo:
+            upto = min(lo, at + step)
+            total[1:] += np.cumsum(grey(image[at:upto]).sum(axis=0, dtype=np.float64))
+            at = upto
+        rows[k] = total
+        if part:
+            rows[k, 1:] += part * np.cumsum(grey(image[lo : lo + 1])[0], dtype=np.float64)
     at = rows[:, x] * (1 - fx) + rows[:, x + 1] * fx
     sums = at[1:, 1:] - at[:-1, 1:] - at[1:, :-1] + at[:-1, :-1]
     return sums / (h * w / (height * width))
@@ -114,13 +127,13 @@ def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
 
 def difference_hash(image: np.ndarray) -> str:
     """16 hex digits: of 8 rows of 9 area averages, whether each is below its right neighbour."""
-    small = np.round(resize(grey(image), 8, 9), 6)
+    small = np.round(resize(image, 8, 9), 6)
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
 def tile(image: np.ndarray, side: int = TILE) -> bytes:
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(resize(grey(image), side, side)), 0, 255).astype(np.uint8))
+    np.save(out, np.clip(np.rint(resize(image, side, side)), 0, 255).astype(np.uint8))
     return out.getvalue()
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_ROWS, bound_batches, cut_lineage, map_texts, table
+from .common import BROADCAST_ROWS, bound_batches, cut_lineage, fresh, map_texts, table
 
 SHINGLE = 5
 #: Linked if 100 * intersection >= PERCENT * union.
@@ -273,8 +273,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that stand for their group."""
     marks = near_duplicates(docs)
-    gone = marks.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
-    out = docs.join(_if_small(gone), (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_key")), "left_anti")
+    gone_id, gone_key = fresh(docs, "gone_id", "gone_key")
+    gone = marks.filter(~F.col("kept")).select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct()
+    out = docs.join(_if_small(gone), (F.col("doc_id") == F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_key)), "left_anti")
     repeated = cut_lineage(docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     return out if repeated.isEmpty() else _first_of_repeated(out, marks, repeated)
 
@@ -288,9 +289,10 @@ def _first_of_repeated(docs: DataFrame, marks: DataFrame, repeated: DataFrame) -
     same = cut_lineage(same.groupBy("group_key", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")))
     first = same.groupBy("group_key", "doc_id").agg(F.min("text_key").alias("first_key"), F.sum("n").alias("rows")).filter("rows > 1")
     several = same.drop("n").join(first, ["group_key", "doc_id"])
-    several = cut_lineage(several.select(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key"), (F.col("text_key") == F.col("first_key")).alias("first")))
-    at = (F.col("doc_id") == F.col("s_id")) & (F.xxhash64("text") == F.col("s_key"))
-    one = docs.join(_if_small(several.filter("first")), at, "left_semi").dropDuplicates(["doc_id", "text"])
+    s_id, s_key, s_first = fresh(docs, "s_id", "s_key", "s_first")
+    several = cut_lineage(several.select(F.col("doc_id").alias(s_id), F.col("text_key").alias(s_key), (F.col("text_key") == F.col("first_key")).alias(s_first)))
+    at = (F.col("doc_id") == F.col(s_id)) & (F.xxhash64("text") == F.col(s_key))
+    one = docs.join(_if_small(several.filter(F.col(s_first))), at, "left_semi").dropDuplicates(["doc_id", "text"])
     return docs.join(_if_small(several), at, "left_anti").union(one)
 
 

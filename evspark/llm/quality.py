@@ -6,7 +6,7 @@ most of what is left get two-dimensional tables in the same way. A score is the
 sum of a document's table entries, so scoring is one lookup for each feature and pair.
 
 The model is fitted on the driver from at most `sample` labelled rows (default 20,000, the ones with the
-smallest hash of doc_id), with FEATURES doubles each. Everything else covers all rows. Scores depend on the
+smallest hash of doc_id, one text for each id), with FEATURES doubles each. Everything else covers all rows. Scores depend on the
 text alone. Null and empty texts have a score too. Rows with a null or other label than 0 or 1 are not
 learnt from; without labels every score is 0.5, with labels of one class it is close to that class. Repeated
 rows are scored each; other columns are not read.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, share, table
+from .common import labelled_texts, map_texts, share, table
 
 #: Labelled rows that are learnt from at most.
 SAMPLE = 20_000
@@ -171,10 +171,8 @@ def with_features(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Gam:
     """Model of the labelled documents; labels has doc_id and the label column."""
-    some = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("labelled_id"), F.col(label).cast("int").alias("y"))
-    some = some.orderBy(F.xxhash64("labelled_id"), "labelled_id", "y").limit(sample)
-    texts = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "y")
-    rows = sorted((r.doc_id, r.y, r.features) for r in with_features(texts, ("doc_id", "y")).limit(2 * sample).collect())
+    texts = labelled_texts(docs, labels.filter(F.col(label).isin(0, 1)), label, sample)
+    rows = sorted((r.doc_id, r.y, r.features) for r in with_features(texts, ("doc_id", "y")).collect())
     return Gam().fit(np.array([r[2] for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r[1] for r in rows], np.float64))
 
 

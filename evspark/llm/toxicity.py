@@ -11,9 +11,9 @@ likelihood ratio), counted by Spark; at most VOCABULARY of them. The regression
 on the driver from at most `sample` labelled documents (default 20,000, the ones with the smallest hash of
 doc_id), each as counts of vocabulary words. Everything else covers all rows and whole texts.
 
-The labels table marks documents as toxic or not. `graded` makes grades of it: 0 for the ones that are
-not, and 1 to 3 for the toxic ones by how many strong words of the vocabulary they have (up to 1, up to
-3, more).
+Grades are what the labels say: 0, 1, 2 and so on, with a threshold for each above 0. Labels that only tell toxic documents
+from others, as those of the query, give one threshold, and the expected severity is then the probability of being toxic; no
+finer grades are made up.
 
 Null and empty texts have no words and get the grade that the thresholds alone give. Null labels or ids
 aren't learnt from; without labels, or with labels of one kind, every severity is that of the prior.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, cut_lineage, map_texts, share, slices, table
+from .common import bound_batches, cut_lineage, labelled_texts, map_texts, share, slices, table
 
 SAMPLE = 20_000
 VOCABULARY = 1024
@@ -36,8 +36,6 @@ VOCABULARY = 1024
 LEAST_DOCS, LEAST_RATIO = 4, 10.83
 #: Features that a task counts before it hands them on.
 PARTIAL = 500_000
-#: A word of this log odds or more counts as strong.
-STRONG = 2.0
 #: Rejected from this probability of grade >= 1 on.
 REJECT = 0.4
 
@@ -119,14 +117,8 @@ def fit_ordinal(rows: list[np.ndarray], values: list[np.ndarray], grades: np.nda
     return p[:n_words], np.concatenate([p[n_words : n_words + 1], p[n_words] + np.cumsum(np.exp(p[n_words + 1 :]))])
 
 
-def _sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    some = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("labelled_id"), F.col(label).cast("int").alias("y"))
-    some = some.orderBy(F.xxhash64("labelled_id"), "labelled_id", "y").limit(sample)
-    return docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "y")
-
-
-def strong_words(texts: DataFrame) -> list[tuple[bytes, float]]:
-    """Words of the vocabulary with their log odds, from rows of text and y (0, or above: toxic)."""
+def telling_words(texts: DataFrame) -> list[bytes]:
+    """Words of the vocabulary, from rows of text and y (0, or above: toxic)."""
 
     def counted(batches):
         found: dict[bytes, list[int]] = {}
@@ -155,25 +147,22 @@ def strong_words(texts: DataFrame) -> list[tuple[bytes, float]]:
     if of_class is None or not of_class.a or not of_class.b:
         return []
     n_a, n_b = of_class.a, of_class.b
-    a, b = F.col("a") + 0.5, F.col("b") + 0.5
-    odds = F.log(a / (n_a + 1 - a)) - F.log(b / (n_b + 1 - b))
     share_of = (F.col("a") + F.col("b")) / (n_a + n_b)
 
     def term(seen, expected):
         return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(F.lit(0.0))
 
     cells = term(F.col("a"), share_of * n_a) + term(n_a - F.col("a"), (1 - share_of) * n_a) + term(F.col("b"), share_of * n_b) + term(n_b - F.col("b"), (1 - share_of) * n_b)
-    found = by_word.filter(F.col("word") != F.lit(b"")).select("word", odds.alias("odds"), (2 * cells).alias("ratio"))
+    found = by_word.filter(F.col("word") != F.lit(b"")).select("word", (2 * cells).alias("ratio"))
     rows = found.filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "word").limit(VOCABULARY).collect()
-    return [(bytes(r.word), r.odds) for r in rows]
+    return [bytes(r.word) for r in rows]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, graded: bool = True) -> Ordinal:
-    """Model of labelled documents; labels has doc_id and the label: 0 and 1 to be graded by `graded`, or grades from 0."""
-    texts = _sampled(docs, labels, label, sample)
-    found = strong_words(texts)
-    vocabulary = {w: k for k, (w, _) in enumerate(found)}
-    strong = {k for k, (_, odds) in enumerate(found) if odds >= STRONG}
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Ordinal:
+    """Model of labelled documents; labels has doc_id and the label, a grade from 0."""
+    texts = cut_lineage(labelled_texts(docs, labels, label, sample))  # read twice, at most `sample` rows
+    found = telling_words(texts)
+    vocabulary = {w: k for k, w in enumerate(found)}
     held = share(docs.sparkSession, Ordinal(vocabulary, np.zeros(len(found)), np.zeros(1)))
 
     def score():
@@ -185,11 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
         return work
 
-    rows = sorted((r.doc_id, r.y, r.k, r.n) for r in map_texts(texts, ["doc_id", "y"], "k array<int>, n array<int>", score).limit(2 * sample).collect())
+    rows = sorted((r.doc_id, r.y, r.k, r.n) for r in map_texts(texts, ["doc_id", "y"], "k array<int>, n array<int>", score).collect())
     y = np.array([r[1] for r in rows], np.int64)
-    if graded:
-        hits = np.array([sum(n for k, n in zip(r[2], r[3], strict=True) if k in strong) for r in rows], np.int64)
-        y = np.where(y > 0, 1 + (hits > 1) + (hits > 3), 0)
     weights, thresholds = fit_ordinal([np.array(r[2], np.int64) for r in rows], [1 + np.log(np.array(r[3], np.float64)) for r in rows], y, len(found))
     return Ordinal(vocabulary, weights, thresholds)
 
@@ -221,7 +207,8 @@ def keep_clean(docs: DataFrame, model: Ordinal) -> DataFrame:
                 yield part.filter(pa.array(ordinal.at_least(texts)[:, 0] < REJECT))
 
     bound_batches(docs)
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    plain = docs.toDF(*[c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])  # names of any form
+    return plain.mapInArrow(run, T.StructType(plain.schema.fields)).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,28 @@ def test_digests(spark):
     assert chat.digests(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_loss_is_read_under_the_mask(spark):
+    """A mask that is shifted, or shorter, gives another text."""
+    chats = chat.format_chats(spark.createDataFrame(ROWS, SCHEMA).filter("conv_id = 1")).cache()
+    read = lambda df: df.select(chat.F.array_join(chat.under_mask(), "").alias("x")).first().x
+    right = read(chats)
+    assert right == "<|im_end|>\n<|im_start|>user\nhi<|im_turn|>" + "é\n\n日本 🙂"
+    for change in ("transform(mask, m -> struct(m.start + 1 as start, m.length as length, m.loss as loss))", "transform(mask, m -> struct(0L as start, m.length as length, m.loss as loss))", "transform(mask, m -> struct(m.start as start, m.length - 1 as length, m.loss as loss))", "transform(mask, m -> struct(m.start as start, m.length as length, not m.loss as loss))"):
+        assert read(chats.withColumn("mask", chat.F.expr(change))) != right
+
+
+def test_many_turns(spark):
+    """More turns than a chunk holds, in runs of every length, across chunks' borders."""
+    roles = ["user" if i % 7 < 3 or 200 < i < 700 else "assistant" for i in range(1500)]
+    turns = [(1, i, r, f"{i} <| & {'x' * (i % 13)}") for i, r in enumerate(roles)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(4)
+    r = chat.digests(df).first()
+    loss = "".join(t for _, _, role, t in turns if role == "assistant")
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (1500, len(loss), sha(loss)) and r.turns_sha256 == sha("".join(f"{a}\n{b}\n" for _, _, a, b in turns))
+    f = chat.format_chats(df).first().formatted
+    assert f.count("<|im_start|>") == sum(i == 0 or roles[i - 1] != roles[i] for i in range(1500))
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_sql(spark, sf):
     d = f"/root/testdata/{sf}"

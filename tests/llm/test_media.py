@@ -35,6 +35,22 @@ def test_resize(h, w, a, b):
     assert np.allclose(media.resize(x, a, b), want)
 
 
+def test_large_images_in_strips(monkeypatch):
+    """Strips give the same averages as the whole, and take far less memory than doubles of all samples."""
+    import tracemalloc
+
+    x = R.integers(0, 256, (5000, 64), np.uint8)
+    want = np.add.reduceat(x.astype(float), np.arange(0, 5000, 625), axis=0) / 625
+    for strip in (64, 1000, 1 << 18):
+        monkeypatch.setattr(media, "STRIP", strip)
+        assert np.allclose(media.resize(x, 8, 64), want)
+    big = np.zeros((1 << 18, 64), np.uint8)
+    tracemalloc.start()
+    media.difference_hash(big)
+    assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    tracemalloc.stop()
+
+
 def test_query(spark):
     rows = [(1, "abc", "k"), (2, None, "k"), (3, "", "k"), (4, "é" * 500, "k"), (5, "x" * 64, "k"), (6, "abc", "k"), (None, "a\0", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, media string")

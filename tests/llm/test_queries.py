@@ -25,4 +25,7 @@ def test_as_sql(spark, name):
 
 
 def test_all_eleven():
+    import __spark_entry__
+
     assert sorted(n.split("_")[0] for n in Q.QUERIES) == sorted(f"op{i}" for i in range(1, 11))
+    assert {*Q.QUERIES, "pipeline"} <= set(__spark_entry__.queries())

@@ -56,3 +56,33 @@ def test_held_out(spark):
     good = np.mean([r.toxic for r in got if not r.y])
     print(len(got), bad, good, np.mean([r.severity for r in got if r.y]))
     assert bad > 0.9 and good < 0.02
+
+
+def test_graded_labels(spark):
+    """With four grades in the labels there are three thresholds; severity follows the grades, by brute force from the tables of the model."""
+    rnd = np.random.default_rng(1)
+    words = ["awful", "nasty", "rude", "kind", "tree", "house", "river", "cloud"]
+    pull = np.array([3.0, 2.0, 1.2, -1.0, 0, 0, 0, 0])
+    rows, grades = [], []
+    for i in range(1200):
+        have = rnd.choice(8, rnd.integers(1, 6))
+        eta = sum(pull[k] for k in set(have)) + rnd.logistic() * 0.3
+        rows.append((i, " ".join(words[k] for k in have)))
+        grades.append((i, sum(bool(eta > c) for c in (1, 2.5, 4.5))))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(grades, "doc_id long, toxic int")
+    model = X.fit(docs, labels.filter("doc_id % 4 > 0"))
+    assert len(model.thresholds) == 3 and (np.diff(model.thresholds) > 0).all()
+    got = {r.doc_id: r for r in X.score(docs.filter("doc_id % 4 = 0"), model).collect()}
+    for d, r in got.items():
+        counts = {}
+        for w in rows[d][1].split():
+            for f in X.word_features(w.encode()):
+                if f in model.vocabulary:
+                    counts[f] = counts.get(f, 0) + 1
+        eta = sum(model.weights[model.vocabulary[f]] * (1 + np.log(n)) for f, n in counts.items())
+        p = [1 / (1 + np.exp(t - eta)) for t in model.thresholds]
+        assert abs(r.severity - sum(p)) < 1e-9 and abs(r.p_toxic - p[0]) < 1e-9 and r.grade == sum(x >= 0.5 for x in p)
+    right = {g: np.mean([got[d].grade == g for d, y in grades if d in got and y == g]) for g in range(4)}
+    means = [np.mean([got[d].severity for d, y in grades if d in got and y == g]) for g in range(4)]
+    print(right, means)
+    assert (np.diff(means) > 0.3).all() and min(right.values()) > 0.5
