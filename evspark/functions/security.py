@@ -10,27 +10,37 @@ SEVERITIES = ("critical", "high", "medium", "low")
 BANDS = ((12, "critical"), (8, "high"), (5, "medium"))
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+# In events an octet below 100 may have a zero before it.
+_LOOSE = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
+LOOSE_IPV4 = rf"{_LOOSE}(?:\.{_LOOSE}){{3}}"
+MAIL = r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
 DOMAIN = r"(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z]{2,24}"
 
 
 def refang(c: Column) -> Column:
     """hxxp, [.], (.), {.}, [:], [@] and (at) as they were."""
+    # The spellings by which indicators are made harmless.
     c = F.regexp_replace(c, r"(?i)^hxxp", "http")
     c = F.regexp_replace(c, r"\[\.\]|\(\.\)|\{\.\}", ".")
     c = F.regexp_replace(c, r"\[:\]", ":")
     return F.regexp_replace(c, r"(?i)\[@\]|\(at\)", "@")
 
 
+#: Code points of an indicator at most.
+MOST_INDICATOR = 2048
+
+
 def classify(c: Column) -> Column:
     """url, md5, sha1, sha256, ip, email or domain, in this order, or null."""
     v = F.lower(refang(F.trim(c)))
+    v = F.when(F.char_length(v) <= MOST_INDICATOR, v)
     return (
-        F.when(v.rlike(r"^https?://[^\s/]+"), "url")
+        F.when(v.rlike(r"^https?://\S+\z"), "url")
         .when(v.rlike(r"^[0-9a-f]{32}\z"), "md5")
         .when(v.rlike(r"^[0-9a-f]{40}\z"), "sha1")
         .when(v.rlike(r"^[0-9a-f]{64}\z"), "sha256")
-        .when(v.rlike(rf"^{IPV4}\z"), "ip")
-        .when(v.rlike(rf"^[^\s@]+@{DOMAIN}\z"), "email")
+        .when(v.rlike(rf"^{LOOSE_IPV4}\z"), "ip")
+        .when(v.rlike(rf"^{MAIL}\z"), "email")
         .when(v.rlike(rf"^{DOMAIN}\z"), "domain")
     )
 
@@ -54,23 +64,32 @@ def url_prefixes(url: Column) -> Column:
     return F.array_distinct(F.concat(F.array(url, bare, F.concat(origin, F.lit("/"))), paths))
 
 
+#: Every text with a candidate has one of these; prose has few, so that it costs one pass.
+_HINT = r"[a-z0-9]\.[a-z]{2}|[0-9]\.[0-9]|[0-9a-f]{32}|://|@"
+
+
 def candidates(raw: Column) -> Column:
-    """Distinct `type:value` strings that an indicator could be equal to: addresses, hashes, URLs and their prefixes, mail addresses, domains and their parents."""
+    """Distinct `type:value` strings that an indicator could be equal to: addresses, hashes, URLs and their prefixes, mail addresses, domains and their parents.
+
+    URLs lose closing punctuation at their end. Each kind stands between characters that aren't ASCII letters, digits or
+    underscores. Null has no candidates.
+    """
     low = F.lower(raw)
-    found = lambda p, g=0: F.regexp_extract_all(low, F.lit(p), F.lit(g))
-    urls = found(r"https?://[^\s\"'<>]+")
-    hashes = found(r"\b(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})\b")
+    found = lambda p: F.regexp_extract_all(low, F.lit(p), F.lit(0))
+    urls = F.transform(found(r"(?<!\w)https?://[^\s\"'<>]+"), lambda u: F.regexp_replace(u, r"[.,;)\]]+\z", ""))
+    urls = F.filter(urls, lambda u: u.rlike("^https?://[^/?#]"))
+    hashes = found(r"(?<!\w)(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?!\w)")
     kind = lambda h: F.when(F.char_length(h) == 32, "md5:").when(F.char_length(h) == 40, "sha1:").otherwise("sha256:")
-    domains = F.filter(found(rf"(?<![a-z0-9.-]){DOMAIN}(?![a-z0-9-])"), lambda d: ~d.rlike(rf"^{IPV4}\z"))
-    return F.array_distinct(
+    every = F.array_distinct(
         F.concat(
-            _typed("ip", found(rf"(?<![0-9.]){IPV4}(?![0-9]|\.[0-9])")),
+            _typed("ip", found(rf"(?<!\w){LOOSE_IPV4}(?!\w)")),
             F.transform(hashes, lambda h: F.concat(kind(h), h)),
             _typed("url", F.flatten(F.transform(urls, url_prefixes))),
-            _typed("email", found(rf"[a-z0-9._%+-]+@{DOMAIN}")),
-            _typed("domain", F.flatten(F.transform(domains, parent_domains))),
+            _typed("email", found(rf"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w)){MAIL}")),
+            _typed("domain", F.flatten(F.transform(found(rf"(?<!\w){DOMAIN}(?!\w)"), parent_domains))),
         )
     )
+    return F.when(low.rlike(_HINT), every).otherwise(F.array().cast("array<string>"))
 
 
 def ipv4_number(c: Column) -> Column:

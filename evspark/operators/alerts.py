@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.security import SEVERITIES, severity_of_rank, severity_rank
 
 MOST_MEMBERS = 50
+#: Who closed an alert that no person did.
+PLATFORM = "platform"
 
 
 def identity() -> Column:
@@ -15,11 +17,17 @@ def identity() -> Column:
 
 
 def duplicates(alerts: DataFrame) -> DataFrame:
-    """Alerts that share rule and group with others: n of them, and rn, their place by first event, creation and id."""
-    group = [identity(), F.col("group_key")]
-    place = Window.partitionBy(*group).orderBy(F.coalesce("first_event_at", "created_at"), "id")
-    found = alerts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*group))).withColumn("rn", F.row_number().over(place))
-    return found.filter((F.col("n") > 1) & (F.col("rn") <= MOST_MEMBERS)).withColumn("ident", identity()).orderBy(F.desc("n"), "ident", "group_key", "rn")
+    """Alerts that share rule and group with others: n of them, and rn, their place by first event, creation and id.
+
+    Groups are counted by partial aggregation, and of the ranks only the first MOST_MEMBERS of each task are shuffled, so a group may be of any size.
+    """
+    named = alerts.withColumn("ident", identity())
+    n = named.groupBy("ident", "group_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    place = Window.partitionBy("ident", "group_key").orderBy(F.coalesce("first_event_at", "created_at"), "id")
+    first = named.withColumn("rn", F.row_number().over(place)).filter(F.col("rn") <= MOST_MEMBERS)
+    n = n.select(F.col("ident").alias("n_ident"), F.col("group_key").alias("n_key"), "n")
+    found = first.join(n, (F.col("ident") == F.col("n_ident")) & F.col("group_key").eqNullSafe(F.col("n_key"))).drop("n_ident", "n_key")
+    return found.orderBy(F.desc("n"), "ident", "group_key", "rn")
 
 
 def merge_plan(alerts: DataFrame) -> DataFrame:
@@ -135,13 +143,79 @@ def to_notify(channels: DataFrame, alerts: DataFrame, sent: DataFrame) -> DataFr
     return pairs.filter(worse & (F.col("created_at") >= F.col("since")) & named).select("channel_id", "alert_id").join(sent, ["channel_id", "alert_id"], "left_anti")
 
 
-def technique_union(alerts: DataFrame, samples: DataFrame, most: int = 20) -> DataFrame:
-    """For each alert, the distinct comma-separated techniques of its sample events in order of first sight (samples: alert_id, pos, techniques)."""
-    each = samples.select("alert_id", "pos", F.posexplode(F.split("techniques", r"\s*,\s*")).alias("at", "technique")).filter(F.col("technique") != "")
-    first = each.groupBy("alert_id", "technique").agg(F.min(F.struct("pos", "at")).alias("place"))
-    found = first.groupBy("alert_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("place", "technique"))), lambda t: t["technique"]), 1, most).alias("techniques"))
-    return alerts.join(found.withColumnRenamed("alert_id", "id"), "id", "left")
+#: Techniques and tactics of an alert at most.
+MOST_TECHNIQUES, MOST_TACTICS = 20, 14
+
+
+def _first_seen(samples: DataFrame, column: str, most: int) -> DataFrame:
+    """Per alert_id, the distinct values of a comma-separated column in order of first sight; of each alert only the first `most` are gathered."""
+    each = samples.select("alert_id", "pos", F.posexplode(F.split(column, r"\s*,\s*")).alias("at", "value")).filter(F.col("value") != "")
+    first = each.groupBy("alert_id", "value").agg(F.min(F.struct("pos", "at")).alias("place"))
+    rank = F.row_number().over(Window.partitionBy("alert_id").orderBy("place", "value"))
+    some = first.withColumn("rank", rank).filter(F.col("rank") <= most)
+    return some.groupBy("alert_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda t: t["value"]).alias(column))
+
+
+def technique_union(alerts: DataFrame, samples: DataFrame, most: int = MOST_TECHNIQUES) -> DataFrame:
+    """Alerts with the techniques, and where samples have such a column the tactics, of their sample events in order of first sight (samples: alert_id, pos, techniques[, tactics])."""
+    for column, limit in (("techniques", most), ("tactics", MOST_TACTICS)):
+        if column in samples.columns:
+            alerts = alerts.join(_first_seen(samples, column, limit).withColumnRenamed("alert_id", "id"), "id", "left")
+    return alerts
 
 
 def with_technique(alerts: DataFrame, prefix: str) -> DataFrame:
     return alerts.filter(F.exists("techniques", lambda t: F.upper(t).startswith(prefix.upper())))
+
+
+def inspected(ids: DataFrame, alerts: DataFrame, case_alerts: DataFrame, cases: DataFrame, case_id: str | int | None = None) -> DataFrame:
+    """For each asked id (column id): `missing`, `free`, `mine` (in the given case) or `taken`, and the case that has the alert."""
+    of_case = case_alerts.select(F.col("alert_id").alias("c_alert"), F.col("case_id")).join(cases.select("case_id", "case_number"), "case_id", "left")
+    found = ids.select("id").distinct().join(alerts.select(F.col("id").alias("a_id"), "severity"), F.col("id") == F.col("a_id"), "left")
+    found = found.join(of_case, F.col("a_id") == F.col("c_alert"), "left")
+    own = F.lit(False) if case_id is None else F.coalesce(F.col("case_id") == F.lit(case_id), F.lit(False))
+    state = F.when(F.col("a_id").isNull(), "missing").when(F.col("case_id").isNull(), "free").when(own, "mine").otherwise("taken")
+    return found.select("id", "severity", state.alias("state"), "case_id", "case_number")
+
+
+def rules_with_open(rules: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Rules (rule_id, name, severity and others) with their alerts that aren't closed, worst severity first, then by name."""
+    n = alerts.filter(F.col("status") != "closed").groupBy("rule_id").agg(F.count(F.lit(1)).alias("open_alerts"))
+    found = rules.join(n, "rule_id", "left").withColumn("open_alerts", F.coalesce("open_alerts", F.lit(0)))
+    return found.orderBy(F.least(severity_rank(F.col("severity")), F.lit(len(SEVERITIES) - 1)), "name")
+
+
+def recovered(alerts: DataFrame, deliveries: DataFrame, channels: DataFrame, noted: DataFrame, already: DataFrame, now: str, manual_hours: int | None = None) -> DataFrame:
+    """Channel and alert pairs that are to hear that an alert is over.
+
+    Alerts closed within a day that no rule made and that aren't merged, whose message was sent to a channel that is on and wants
+    to know; closed by the platform (noted: alert_id) or, with manual_hours, by a person within so many hours. Channels switched
+    on later hear only of alerts closed after that; pairs in `already` are left out.
+    """
+    at = F.lit(now).cast("timestamp")
+    hours = lambda n: at - F.make_dt_interval(F.lit(0), F.lit(n))
+    closed = alerts.filter((F.col("status") == "closed") & F.col("rule_id").isNull() & F.col("merged_into_id").isNull() & (F.col("updated_at") > hours(24)))
+    closed = closed.select(F.col("id").alias("alert_id"), "updated_at").join(noted.select("alert_id").distinct().withColumn("noted", F.lit(True)), "alert_id", "left")
+    by_hand = F.lit(False) if manual_hours is None else F.col("updated_at") > hours(manual_hours)
+    closed = closed.filter(F.col("noted").isNotNull() | by_hand).select("alert_id", "updated_at")
+    sent = deliveries.filter(F.col("status") == "sent").select("channel_id", "alert_id").distinct()
+    on = channels.filter(F.col("enabled") & F.col("notify_recovered")).select("channel_id", F.col("notify_recovered_at").alias("since"))
+    pairs = closed.join(sent, "alert_id").join(on, "channel_id").filter(F.col("since").isNull() | (F.col("updated_at") >= F.col("since")))
+    return pairs.select("channel_id", "alert_id").join(already.select("channel_id", "alert_id"), ["channel_id", "alert_id"], "left_anti")
+
+
+def unparsed_plan(reasons: DataFrame, active: DataFrame, latest: DataFrame, threshold: int, cooldown_minutes: int = 60) -> DataFrame:
+    """What the watch over unparsed events does: one row to raise an alert, or a row for each to close.
+
+    reasons: reason, n in the window; active: id of open or acknowledged alerts; latest: at most one row of status, closed_by and age_s.
+    Raised at the threshold if none is active, but not within the cool-down of one that a person closed; a threshold of 0 turns the watch off.
+    """
+    total = reasons.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    by_hand = (F.col("status") == "closed") & ~F.coalesce(F.col("closed_by") == PLATFORM, F.lit(False))
+    cooling = bool(latest.agg(F.max(by_hand & (F.col("age_s") < cooldown_minutes * 60)).alias("c")).first().c)
+    over = threshold > 0 and total >= threshold
+    rows = active if not over else active.limit(0)
+    closed = rows.select(F.lit("close").alias("action"), F.col("id").cast("string").alias("id"), F.lit(total).cast("long").alias("total"))
+    if not over or cooling or not active.isEmpty():
+        return closed
+    return reasons.sparkSession.range(1).select(F.lit("raise").alias("action"), F.lit(None).cast("string").alias("id"), F.lit(total).cast("long").alias("total"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.network import ip_range
 from ..functions.security import DOMAIN, classify, ipv4_range, refang
 
 # Private and reserved IPv4 blocks.
@@ -13,22 +14,35 @@ WIDEST_BITS = 8
 
 
 def imported(library: DataFrame, lines: DataFrame, source: str, severity: str, column: str = "value") -> DataFrame:
-    """The library (type, value, source, severity, enabled) after an import of lines: what is known takes the new source and severity and is enabled again."""
+    """The library (type, value, source, severity, enabled) after an import of lines: what is known takes the new source and severity and is enabled again.
+
+    Other columns of the library keep their values for what is known, but expires_at, which an import clears.
+    """
     typed = lines.select(classify(F.col(column)).alias("type"), F.lower(refang(F.trim(F.col(column)))).alias("value")).filter(F.col("type").isNotNull()).dropDuplicates()
-    new = typed.select("type", "value", F.lit(source).alias("source"), F.lit(severity).alias("severity"), F.lit(True).alias("enabled"))
-    return library.join(new.select("type", "value"), ["type", "value"], "left_anti").unionByName(new)
+    new = typed.select("type", "value", F.lit(True).alias("_new"))
+    both = library.withColumn("_old", F.lit(True)).join(new, ["type", "value"], "full_outer")
+    changed = {"source": F.lit(source), "severity": F.lit(severity), "enabled": F.lit(True)} | ({"expires_at": F.lit(None).cast(library.schema["expires_at"].dataType)} if "expires_at" in library.columns else {})
+    return both.withColumns({c: F.when(F.col("_new"), v).otherwise(F.col(c)) for c, v in changed.items()}).select(*library.columns)
 
 
 def listing(library: DataFrame, kind: str | None = None, source: str | None = None, text: str | None = None, offset: int = 0, limit: int = 200) -> DataFrame:
     for value, condition in ((kind, lambda v: F.col("type") == v), (source, lambda v: F.col("source") == v), (text, lambda v: F.contains("value", F.lower(F.lit(v))))):
         if value is not None:
             library = library.filter(condition(value))
-    return library.orderBy("type", "value").offset(offset).limit(min(limit, 200))
+    newest = [F.col("created_at").desc(), F.col("id").asc()] if {"created_at", "id"} <= set(library.columns) else []
+    return library.orderBy(*newest, "type", "value").offset(offset).limit(min(limit, 200))
+
+
+def by_type(library: DataFrame, now: str) -> DataFrame:
+    """Per type: indicators, and active ones: enabled and not expired."""
+    live = F.col("enabled") & (F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now).cast("timestamp")))
+    return library.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.count_if(live).alias("n_active"))
 
 
 def by_source(library: DataFrame) -> DataFrame:
-    """Per source: indicators, enabled ones, and their types."""
-    return library.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("enabled").alias("n_enabled"), F.sort_array(F.collect_set("type")).alias("types"))
+    """Per source: indicators, enabled ones, their types, and the last update where the library has one."""
+    last = [F.max("updated_at").alias("last_update")] if "updated_at" in library.columns else []
+    return library.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if("enabled").alias("n_enabled"), F.sort_array(F.collect_set("type")).alias("types"), *last)
 
 
 def feeds_due(feeds: DataFrame, now: str) -> DataFrame:
@@ -45,6 +59,7 @@ def normal_value(kind: Column, value: Column) -> Column:
     url = F.concat(F.lower(F.regexp_extract(v, r"^(https?://[^/?#]+)", 1)), F.regexp_replace(F.regexp_extract(v, r"^https?://[^/?#]+([^#]*)", 1), r"^/$", ""))
     return (
         F.when((kind == "ip") & ipv4_range(v).isNotNull(), v)
+        .when((kind == "ip") & v.contains(":"), ip_range(v)["text"])
         .when((kind == "domain") & domain.rlike(rf"^{DOMAIN}\z"), domain)
         .when((kind == "url") & v.rlike(r"^https?://[^\s/?#]+"), url)
         .when((kind == "hash") & low.rlike(r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})\z"), low)

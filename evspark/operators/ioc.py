@@ -1,31 +1,72 @@
-"""Indicators of compromise: candidates of events joined with indicators."""
+"""Indicators of compromise: candidates of events joined with indicators, and the alerts that they raise."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut_lineage
 from ..functions.security import candidates
 
 SAMPLES, SAMPLE_CHARS = 5, 300
+# Fixed value: the rule name of the alerts.
+RULE = "IOC match"
+
+
+def active(indicators: DataFrame, now: str | None = None) -> DataFrame:
+    """Indicators that are enabled and, where the library has such a column, not expired by now."""
+    found = indicators.filter(F.col("enabled"))
+    if now is None or "expires_at" not in indicators.columns:
+        return found
+    return found.filter(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now).cast("timestamp")))
 
 
 def matches(events: DataFrame, indicators: DataFrame) -> DataFrame:
     """Event and indicator pairs: id, received_at, raw, key, source, severity. Each pair once.
 
-    Whether the indicators are broadcast is Spark's choice by their size.
+    Whether the indicators are broadcast is Spark's choice by their size. Of several indicators of one key the one of the
+    smallest source and severity names it.
     """
     each = events.select("id", "received_at", "raw", F.explode(candidates(F.col("raw"))).alias("key"))
-    keys = indicators.filter(F.col("enabled")).select(F.concat("type", F.lit(":"), F.lower("value")).alias("key"), "source", "severity").dropDuplicates(["key"])
+    keys = active(indicators).select(F.concat("type", F.lit(":"), F.lower("value")).alias("key"), "source", "severity")
+    keys = keys.groupBy("key").agg(F.min(F.struct("source", "severity")).alias("s")).select("key", "s.*")
     return each.join(keys, "key")
 
 
 def matched(events: DataFrame, indicators: DataFrame) -> DataFrame:
-    """Per indicator: n events, first_at, last_at and the first SAMPLES events in order of arrival."""
-    found = matches(events, indicators)
-    sample = F.struct("received_at", "id", F.left("raw", F.lit(SAMPLE_CHARS)).alias("raw"))
-    counts = found.groupBy("key", "severity").agg(F.count(F.lit(1)).alias("n"), F.min("received_at").alias("first_at"), F.max("received_at").alias("last_at"), F.min(sample).alias("first"))
+    """Per indicator: n events, first_at, last_at and the first SAMPLES events in order of arrival.
+
+    The pairs are found once and written, since counts and samples both read them.
+    """
+    found = cut_lineage(matches(events, indicators).withColumn("raw", F.left("raw", F.lit(SAMPLE_CHARS))))
+    sample = F.struct("received_at", "id", "raw")
+    counts = found.groupBy("key", "source", "severity").agg(F.count(F.lit(1)).alias("n"), F.min("received_at").alias("first_at"), F.max("received_at").alias("last_at"), F.min(sample).alias("first"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy("received_at", "id"))
     some = found.select("key", "received_at", "id").withColumn("rank", rank).filter(F.col("rank") <= SAMPLES)
     ids = some.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("sample_ids"))
-    return counts.join(ids, "key").select("key", "severity", "n", "first_at", "last_at", "sample_ids", F.col("first.raw").alias("sample_raw"))
+    return counts.join(ids, "key").select("key", "source", "severity", "n", "first_at", "last_at", "sample_ids", F.col("first.raw").alias("sample_raw"))
+
+
+def group_key(key: Column) -> Column:
+    return F.concat(F.lit("ioc:"), key)
+
+
+def alerted(alerts: DataFrame, found: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """Alerts after a scan (found: as `matched` gives), and the new ones among them.
+
+    The hits of an indicator are added to the count of its open or acknowledged alert, the one of smallest id if there are
+    several, whose last event moves; indicators without such an alert get a new one.
+    """
+    at = F.lit(now).cast("timestamp")
+    mine = alerts.filter((F.col("rule_name") == RULE) & F.col("status").isin("open", "acknowledged"))
+    mine = mine.groupBy(F.col("group_key").alias("open_key")).agg(F.min("id").alias("open_id"))
+    hits = found.withColumn("open_key", group_key(F.col("key"))).join(mine, "open_key", "left")
+    added = hits.filter(F.col("open_id").isNotNull()).select(F.col("open_id").alias("hit_id"), F.col("n").alias("hit_n"), F.col("last_at").alias("hit_last"))
+    after = alerts.join(added, F.col("id") == F.col("hit_id"), "left").withColumns(
+        {"event_count": F.col("event_count") + F.coalesce("hit_n", F.lit(0)), "last_event_at": F.coalesce("hit_last", "last_event_at")}
+    )
+    new = hits.filter(F.col("open_id").isNull()).select(
+        F.sha2(F.concat_ws("|", F.lit(RULE), "open_key", F.lit(now)), 256).alias("id"), F.lit(None).cast("string").alias("rule_id"), F.lit(RULE).alias("rule_name"), F.col("open_key").alias("group_key"),
+        "severity", F.lit("open").alias("status"), F.col("n").alias("event_count"), F.col("first_at").alias("first_event_at"), F.col("last_at").alias("last_event_at"), at.alias("created_at"),
+    )
+    return after.select(*alerts.columns).unionByName(new.select(*[c for c in new.columns if c in alerts.columns]), allowMissingColumns=True), new

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.network import ip_range
 from ..functions.security import ipv4_range, parent_domains
 
 
@@ -45,13 +46,15 @@ def covered_domains(values: DataFrame, allowed: DataFrame, value: str, domain: s
 def reconciled(listed: DataFrame, current: DataFrame, now: str) -> DataFrame:
     """A feed's indicators (type, value, source, severity, enabled, expires_at) after an import of current (type, value, source, severity).
 
-    Rows of the same source that are no longer listed expire now, listed ones are refreshed and enabled, rows of
-    other sources stay as they are, and new ones are added.
+    Rows of an imported source that it no longer lists expire now, listed ones are refreshed and enabled, rows of
+    other sources stay as they are, and new ones are added (of several sources, under the smallest source and severity).
     """
     key = ["type", "value"]
-    new = current.dropDuplicates(key)
-    sources = new.select(F.col("source").alias("import_source")).distinct()
-    old = listed.join(new.select(*key, F.lit(True).alias("still")), key, "left").join(F.broadcast(sources.limit(1)), F.col("source") == F.col("import_source"), "left")
+    new = current.groupBy(*key).agg(F.min(F.struct("source", "severity")).alias("s")).select(*key, "s.*")
+    sources = current.select(F.col("source").alias("import_source")).distinct()
+    still = current.select(*key, F.col("source").alias("still_source"), F.lit(True).alias("still")).distinct()
+    old = listed.join(still, (listed["type"] == still["type"]) & (listed["value"] == still["value"]) & (F.col("source") == F.col("still_source")), "left")
+    old = old.select(listed["*"], "still").join(sources, F.col("source") == F.col("import_source"), "left")
     same = F.col("import_source").isNotNull()
     gone = same & F.col("still").isNull() & (F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now).cast("timestamp")))
     old = old.withColumn("enabled", F.when(same & F.col("still"), F.lit(True)).otherwise(F.col("enabled")))
@@ -65,6 +68,39 @@ def shrank(now: Column, before: Column) -> Column:
     return (now < 0.2 * before) & (before >= 20)
 
 
+def etag(entries: DataFrame, now: str) -> DataFrame:
+    """One row: the SHA-256 of the published list, its lines joined by newlines. The list's own size bounds the row."""
+    lines = F.array_join(F.sort_array(F.collect_list("value")), "\n")
+    return published(entries, now).agg(F.sha2(lines.cast("binary"), 256).alias("etag"))
+
+
+def with_counts(lists: DataFrame, entries: DataFrame, now: str) -> DataFrame:
+    """Lists (list_id, name) with their active entries (list_id, value, expires_at), by name whatever its case."""
+    active = entries.filter(F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now).cast("timestamp")))
+    n = active.groupBy("list_id").agg(F.count(F.lit(1)).alias("entry_count"))
+    return lists.join(n, "list_id", "left").withColumn("entry_count", F.coalesce("entry_count", F.lit(0))).orderBy(F.lower("name"), "list_id")
+
+
+def overlapping_any(left: DataFrame, right: DataFrame, left_value: str, right_value: str) -> DataFrame:
+    """Pairs of rows whose IPv4 or IPv6 addresses or blocks overlap, joined by equal prefixes as in `overlapping`, at most 129 for a block."""
+
+    def blocks(rows: DataFrame, value: str) -> DataFrame:
+        found = rows.withColumn("_r", ip_range(F.col(value))).filter(F.col("_r.start").isNotNull())
+        digits = F.filter(F.split(F.hex("_r.start"), ""), lambda h: h != "")
+        start = F.array_join(F.transform(digits, lambda h: F.lpad(F.conv(h, 16, 2), 4, "0")), "")
+        ends = F.array_join(F.transform(F.filter(F.split(F.hex("_r.end"), ""), lambda h: h != ""), lambda h: F.lpad(F.conv(h, 16, 2), 4, "0")), "")
+        same = F.array_position(F.zip_with(F.split(start, ""), F.split(ends, ""), lambda a, b: a == b), F.lit(False))
+        return found.withColumn("_bits", F.when(same == 0, start).otherwise(F.left(start, (same - 1).cast("int")))).drop("_r")
+
+    a, b = blocks(left, left_value), blocks(right, right_value)
+    up = lambda rows, strictly: rows.withColumn("_at", F.explode(F.transform(F.sequence(F.lit(0), F.char_length("_bits") - int(strictly)), lambda n: F.left("_bits", n))))
+    key = lambda rows: rows.withColumn("_at", F.col("_bits"))
+    longer = lambda rows: up(rows.filter(F.char_length("_bits") > 0), True)
+    inside = up(a, False).drop("_bits").join(key(b).drop("_bits"), "_at")
+    around = key(a).drop("_bits").join(longer(b).drop("_bits"), "_at")
+    return inside.unionByName(around).drop("_at")
+
+
 def published(entries: DataFrame, now: str) -> DataFrame:
     """Active values in order, one a row."""
     active = F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now).cast("timestamp"))

@@ -20,27 +20,51 @@ MOST_KEYS, MOST_CHARS = 200, 8192
 
 @dataclass(frozen=True)
 class Rule:
-    """Where `when` holds, set fields (a dotted name nests), and remove document keys by pattern (`*` for anything)."""
+    """Where `when` holds, set fields (a dotted name nests), and remove document keys by pattern (`*` for anything).
+
+    With `keep` only the keys that fit one of its patterns stay, of those that the document had and those that are set.
+    """
 
     name: str
     when: Column
     fields: dict[str, Column]
     remove: tuple[str, ...] = ()
     source_type: str | None = None
+    keep: tuple[str, ...] = ()
 
     def applies(self) -> Column:
         own = F.lit(True) if self.source_type is None else F.lower("source_type") == self.source_type.lower()
         return F.coalesce(own & self.when, F.lit(False))
 
 
-def merged(document: Column, fields: dict[str, Column], remove: Sequence[str] = ()) -> Column:
+def _fits(key: Column, globs: Sequence[str]) -> Column:
+    patterns = ["^" + "".join(".*" if c == "*" else f"\\Q{c}\\E" for c in g) + "$" for g in globs]
+    return reduce(lambda a, b: a | b, [key.rlike(p) for p in patterns], F.lit(False))
+
+
+def merged(document: Column, fields: dict[str, Column], remove: Sequence[str] = (), keep: Sequence[str] = ()) -> Column:
     """The JSON document with these fields set; values that are not touched keep their types."""
     as_map = lambda c: F.from_json(c, "map<string,variant>")
     new = as_map(nest({k: F.left(v, F.lit(MOST_CHARS)) for k, v in fields.items()}))
-    patterns = ["^" + "".join(".*" if c == "*" else f"\\Q{c}\\E" for c in r) + "$" for r in remove]
-    gone = lambda k: reduce(lambda a, b: a | b, [k.rlike(p) for p in patterns], F.lit(False))
-    old = F.map_filter(as_map(document), lambda k, v: ~gone(k) & ~F.map_contains_key(new, k))
-    return F.to_json(F.map_concat(old, new))
+    old = F.map_filter(as_map(document), lambda k, v: ~_fits(k, remove) & ~F.map_contains_key(new, k))
+    all_keys = F.map_concat(old, new)
+    return F.to_json(F.map_filter(all_keys, lambda k, v: _fits(k, keep)) if keep else all_keys)
+
+
+def altered(events: DataFrame, *sets: dict[str, Column]) -> DataFrame:
+    """Columns set stage by stage, so that later ones see what earlier ones made."""
+    for fields in sets:
+        events = events.withColumns(fields)
+    return events
+
+
+def parsed_or_kept(events: DataFrame, rules: Sequence[Rule], error: str = "PARSE_ERROR") -> DataFrame:
+    """As `parsed`, but a row whose document can't be read keeps it as text under `_unparsed`, with `_parse_error`, instead of failing the batch."""
+    broken = F.try_parse_json(F.col("parsed")).isNull() & F.col("parsed").isNotNull()
+    kept = F.to_json(F.struct(F.lit(error).alias("_parse_error"), F.col("parsed").alias("_unparsed")))
+    marked = events.withColumns({"_kept": F.when(broken, kept), "parsed": F.when(broken, F.lit("{}")).otherwise(F.col("parsed"))})
+    done = parsed(marked, rules)
+    return done.withColumns({"parsed": F.coalesce("_kept", "parsed"), "rule": F.when(F.col("_kept").isNull(), F.col("rule"))}).drop("_kept")
 
 
 def parsed(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -50,7 +74,7 @@ def parsed(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     which = reduce(lambda c, r: c.when(r.applies(), F.lit(r.name)), rules[1:], F.when(rules[0].applies(), F.lit(rules[0].name)))
     events = events.withColumn("rule", which)
     document = reduce(
-        lambda c, r: c.when(F.col("rule") == r.name, merged(F.col("parsed"), r.fields, r.remove)), rules[1:], F.when(F.col("rule") == rules[0].name, merged(F.col("parsed"), rules[0].fields, rules[0].remove))
+        lambda c, r: c.when(F.col("rule") == r.name, merged(F.col("parsed"), r.fields, r.remove, r.keep)), rules[1:], F.when(F.col("rule") == rules[0].name, merged(F.col("parsed"), rules[0].fields, rules[0].remove, rules[0].keep))
     )
     return events.withColumn("parsed", document.otherwise(F.col("parsed")))
 
@@ -108,10 +132,15 @@ class Detection:
     threshold: int = 1
     window_minutes: int = 60
     techniques: tuple[str, ...] = field(default=())
+    run_every_minutes: int = 1
+    suppress_minutes: int | None = None
 
     def __post_init__(self):
-        if not 1 <= self.threshold <= 100_000 or not 1 <= self.window_minutes <= 10_080:
-            raise ValueError("threshold is 1 to 100000 and window_minutes 1 to 10080")
+        for name, most in (("threshold", 100_000), ("window_minutes", 10_080), ("run_every_minutes", 1440)):
+            if not 1 <= getattr(self, name) <= most:
+                raise ValueError(f"{name} is 1 to {most}")
+        if self.suppress_minutes is not None and not 1 <= self.suppress_minutes <= 10_080:
+            raise ValueError("suppress_minutes is 1 to 10080")
 
 
 def hits(events: DataFrame, rule: Detection, now: str) -> DataFrame:

@@ -58,9 +58,10 @@ class Search:
         made = {alias: aggregate(a) if isinstance(a, str) else aggregate(*a) for alias, a in aggregates.items()}
         return replace(self, aggregates=made, keys=by)
 
-    def sort(self, *keys: str, ascending: bool = False) -> Search:
-        """Nulls come last either way."""
-        return replace(self, order=tuple((k, ascending) for k in keys))
+    def sort(self, *keys: str | tuple[str, str], ascending: bool = False) -> Search:
+        """By keys in the given direction, or pairs of a key and `asc` or `desc`. Nulls come last either way."""
+        pairs = [(k, ascending) if isinstance(k, str) else (k[0], k[1] == "asc") for k in keys]
+        return replace(self, order=tuple(pairs))
 
     def limit(self, rows: int) -> Search:
         return replace(self, rows=max(1, min(MOST_ROWS, int(rows))))

@@ -34,9 +34,10 @@ def raise_and_close(down: DataFrame, known: DataFrame, open_alerts: DataFrame, m
     return raised.unionByName(over.select("key", F.lit("close").alias("action"), F.lit(None).cast("timestamp").alias("since")))
 
 
-def newest_per_day(rows: DataFrame, key: str, at: str) -> DataFrame:
-    """The last row of each key and day."""
-    w = Window.partitionBy(key, F.to_date(at)).orderBy(F.desc(at))
+def newest_per_day(rows: DataFrame, key: str, at: str, *ties: str) -> DataFrame:
+    """The last row of each key and day; of equal times the one of the largest `ties`, else of all columns."""
+    others = ties or tuple(c for c in rows.columns if c not in (key, at))
+    w = Window.partitionBy(key, F.to_date(at)).orderBy(F.desc(at), *[F.desc(c) for c in others])
     return rows.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
 
 
@@ -47,8 +48,28 @@ def day_over_day(rows: DataFrame, key: str, day: str, value: str) -> DataFrame:
 
 
 def p95(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """Nearest-rank 95th percentile, exact."""
-    return rows.groupBy(*by).agg(F.expr(f"percentile_disc(0.95) within group (order by `{value}`)").alias("p95"))
+    """Nearest-rank 95th percentile, exact.
+
+    Equal values are counted before anything else, so what is ranked are distinct values; their running counts are taken within
+    ranges of values of each group and over the ranges' sums, so that no task holds all of a group.
+    """
+    v = F.col(value).cast("double")
+    counts = rows.filter(v.isNotNull()).groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    # A range is the values that agree in sign and the leading bits of the exponent and fraction, so about an eighth of a power of two.
+    size = F.greatest(F.abs("_v"), F.lit(1e-300))
+    counts = counts.withColumn("_r", F.when(F.col("_v") == 0, F.lit(0)).otherwise(F.signum("_v") * (F.floor(F.log2(size) * 8) + 20_000)))
+    key = [F.col(c) for c in by]
+    sums = counts.groupBy(*by, "_r").agg(F.sum("_n").alias("_s"))
+    of = Window.partitionBy(*key)
+    sums = sums.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_r").alias("_q"), (F.sum("_s").over(of.orderBy("_r")) - F.col("_s")).alias("_before"), F.sum("_s").over(of).alias("_all"), "_s")
+    place = F.ceil(F.lit(0.95) * F.col("_all"))
+    sums = sums.filter((F.col("_before") < place) & (F.col("_before") + F.col("_s") >= place))  # the range that the percentile is in
+    same = F.col("_r") == F.col("_q")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy(*key, "_r").orderBy("_v")
+    found = counts.join(sums, same).withColumn("_upto", F.sum("_n").over(inside) + F.col("_before"))
+    return found.filter(F.col("_upto") >= place).groupBy(*by).agg(F.min("_v").alias("p95"))
 
 
 def daily_growth(days: DataFrame, now: str, most: int = 7) -> DataFrame:
@@ -82,8 +103,62 @@ def median_limit(brokers: DataFrame) -> DataFrame:
 
 def thinned(samples: DataFrame, at: str, points: int = 240) -> DataFrame:
     """The newest sample of each of `points` equal spans of the time that the samples cover."""
-    bounds = samples.agg(F.min(at).cast("double").alias("lo"), F.max(at).cast("double").alias("hi"))  # one row
-    place = F.least(F.lit(points - 1), F.floor((F.col(at).cast("double") - F.col("lo")) * points / F.greatest(F.lit(1e-6), F.col("hi") - F.col("lo"))))
+    bounds = samples.agg(F.min(at).cast("double").alias("lo"), F.max(at).cast("double").alias("hi")).first()  # one row
+    if bounds.lo is None:
+        return samples
+    lo, hi = F.lit(bounds.lo), F.lit(bounds.hi)
+    place = F.least(F.lit(points - 1), F.floor((F.col(at).cast("double") - lo) * points / F.greatest(F.lit(1e-6), hi - lo)))
     row = F.struct(at, *[c for c in samples.columns if c != at])
-    spans = samples.join(F.broadcast(bounds)).groupBy(place.alias("span")).agg(F.max(row).alias("r"))
+    spans = samples.groupBy(place.alias("span")).agg(F.max(row).alias("r"))
     return spans.select("r.*").orderBy(at)
+
+
+def retired(collectors: DataFrame, now: str, days: int = 7) -> DataFrame:
+    """One row: all collectors, and those not seen for so many days, or never."""
+    return collectors.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("last_seen").isNull() | (F.col("last_seen") < _ago(now, days * 1440))).alias("retired"))
+
+
+def with_default_watch(collectors: DataFrame, now: str, disconnect: bool, silent_minutes: int | None, days: int = 7) -> DataFrame:
+    """Collectors (watch_disconnect, watch_silent_min, watch_exclude, last_seen) with what they are watched for.
+
+    A collector's own setting wins; else the default holds, unless the collector is excluded or was not seen for so many days.
+    """
+    covered = ~F.coalesce("watch_exclude", F.lit(False)) & F.coalesce(F.col("last_seen") >= _ago(now, days * 1440), F.lit(False))
+    own = F.coalesce("watch_disconnect", F.lit(False))
+    watched = own | (F.lit(disconnect) & covered)
+    minutes = F.coalesce("watch_silent_min", F.when(covered, F.lit(silent_minutes).cast("int")))
+    return collectors.withColumns({"disconnect": watched, "disconnect_by_default": watched & ~own, "silent_minutes": minutes, "silent_by_default": F.col("watch_silent_min").isNull() & minutes.isNotNull()})
+
+
+def rules_due(rules: DataFrame, now: str) -> DataFrame:
+    """Enabled rules (last_run_at, run_every_minutes) whose next run has come, with half a minute of grace."""
+    every = F.greatest(F.coalesce("run_every_minutes", F.lit(1)), F.lit(1))
+    due = F.col("last_run_at").isNull() | (F.col("last_run_at") <= F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (every * 60 - 30).cast("decimal(18,6)")))
+    return rules.filter(F.col("enabled") & due)
+
+
+def rule_health(rules: DataFrame, now: str) -> DataFrame:
+    """One row: enabled rules that are behind by more than five of their intervals (ten minutes at least), and those with an error."""
+    wait = F.greatest(F.lit(10), 5 * F.coalesce("run_every_minutes", F.lit(1)))
+    behind = F.col("enabled") & (F.coalesce("last_run_at", "created_at") < _ago(now, wait))
+    return rules.agg(F.count_if(behind).alias("rules_behind"), F.count_if(F.col("enabled") & F.col("last_error").isNotNull()).alias("rules_with_errors"))
+
+
+# Measures of capacity, from which value on (or below which) they are a warning and critical.
+CAPACITY_ABOVE = {"mem_pct": (85, 92), "cpu_pct": (70, 85), "load_per_cpu": (1.5, 3)}
+CAPACITY_BELOW = {"disk_free_pct": (20, 10), "days_to_full": (30, 14)}
+
+
+def capacity_findings(measures: DataFrame) -> DataFrame:
+    """host, measure, value and severity of the measures of each host that are beyond their limits, and of hosts without any `ok`."""
+    have = [c for c in (*CAPACITY_ABOVE, *CAPACITY_BELOW) if c in measures.columns]
+    each = measures.select("host", F.inline(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in have])))
+    severity = F.lit(None).cast("string")
+    for c, (warn, critical) in CAPACITY_ABOVE.items():
+        severity = F.when((F.col("measure") == c) & (F.col("value") >= critical), "critical").when((F.col("measure") == c) & (F.col("value") >= warn), "warning").otherwise(severity)
+    for c, (warn, critical) in CAPACITY_BELOW.items():
+        severity = F.when((F.col("measure") == c) & (F.col("value") < critical), "critical").when((F.col("measure") == c) & (F.col("value") < warn), "warning").otherwise(severity)
+    rated = each.withColumn("severity", severity)
+    found = rated.filter(F.col("severity").isNotNull())
+    fine = rated.groupBy("host").agg(F.count("severity").alias("n")).filter(F.col("n") == 0).select("host", F.lit(None).cast("string").alias("measure"), F.lit(None).cast("double").alias("value"), F.lit("ok").alias("severity"))
+    return found.unionByName(fine)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detect, search, store
+from . import detect, platform, search, store
 
-QUERIES = search.QUERIES | store.QUERIES | detect.QUERIES
-ORACLE_SQL = search.ORACLE_SQL | store.ORACLE_SQL | detect.ORACLE_SQL
+QUERIES = search.QUERIES | store.QUERIES | detect.QUERIES | platform.QUERIES
+ORACLE_SQL = search.ORACLE_SQL | store.ORACLE_SQL | detect.ORACLE_SQL | platform.ORACLE_SQL

@@ -40,19 +40,19 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fields_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir).where(P.dataset("error")).fields("source_type", number="k", who="_raw", key="_id").limit(500).frame()
+    return _search(spark, sf_dir).where(P.dataset("error")).fields("source_type", number="k", who="_raw", key="_id").unlimited().frame()
 
 
 def time_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir).fields("_id", "_time", "_insert_time").limit(300).frame()
+    return _search(spark, sf_dir).fields("_id", "_time", "_insert_time").unlimited().frame()
 
 
 def time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir).between("2024-01-05 00:00:00", "2024-01-06 12:00:00").fields("_id").limit(5000).frame()
+    return _search(spark, sf_dir).between("2024-01-05 00:00:00", "2024-01-06 12:00:00").fields("_id").unlimited().frame()
 
 
 def raw_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _search(spark, sf_dir).where(P.dataset("signup")).limit(200).frame().withColumn("_time", F.date_format("_time", SECOND))
+    return _search(spark, sf_dir).where(P.dataset("signup")).unlimited().frame().withColumn("_time", F.date_format("_time", SECOND))
 
 
 def count_by(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +80,10 @@ def sort_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir).where(P.present("k")).sort("k", "_id", ascending=True).fields("_id", "k").limit(100).frame()
 
 
+def sort_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir).sort(("source_type", "asc"), ("k", "desc"), ("_id", "asc")).fields("_id", "k").limit(1000).frame()
+
+
 def default_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _search(spark, sf_dir).comp("k", n="count", total=("sum", "k")).limit(20).frame()
 
@@ -139,6 +143,7 @@ QUERIES = {
     "xql_comp_global": comp_global,
     "xql_comp_distinct": comp_distinct,
     "xql_sort_limit": sort_limit,
+    "xql_sort_mixed": sort_mixed,
     "xql_default_sort_comp": default_sort,
     "xql_top_columns": top_columns,
     "match_none": match_none,
@@ -160,20 +165,21 @@ ORACLE_SQL = {
     "xql_filter_regex": _where("regexp_matches(raw, '(?is)^(ERROR|view) .*=[0-4]$')"),
     "xql_filter_number": _where("cast(k as double) > 9 and cast(k as double) <= 30"),
     "xql_filter_not": _where("not k = '7' and (source_type = 'click' or not collector_id = 'c3')"),
-    "xql_fields_alias": f'with {STAND_IN_SQL} select source_type, k as "number", raw as who, id as "key" from e where source_type = \'error\' order by evt desc, id desc limit 500',
-    "xql_time_text": f"with {STAND_IN_SQL} select id as _id, cast(evt as varchar) as _time, cast(received_at as varchar) as _insert_time from e order by evt desc, id desc limit 300",
-    "xql_time_range": f"with {STAND_IN_SQL} select id as _id from e where evt between timestamp '2024-01-05 00:00:00' and timestamp '2024-01-06 12:00:00' order by evt desc, id desc limit 5000",
-    "xql_raw_mode": f"with {STAND_IN_SQL} select id as _id, strftime(evt, {SQL_SECOND}) as _time, source_type, collector_id, raw as _raw, parsed from e where source_type = 'signup' order by evt desc, id desc limit 200",
+    "xql_fields_alias": f'with {STAND_IN_SQL} select source_type, k as "number", raw as who, id as "key" from e where source_type = \'error\'',
+    "xql_time_text": f"with {STAND_IN_SQL} select id as _id, cast(evt as varchar) as _time, cast(received_at as varchar) as _insert_time from e",
+    "xql_time_range": f"with {STAND_IN_SQL} select id as _id from e where evt between timestamp '2024-01-05 00:00:00' and timestamp '2024-01-06 12:00:00'",
+    "xql_raw_mode": f"with {STAND_IN_SQL} select id as _id, strftime(evt, {SQL_SECOND}) as _time, source_type, collector_id, raw as _raw, parsed from e where source_type = 'signup'",
     "xql_comp_count_by": f"with {STAND_IN_SQL} select source_type, count(*) as n from e group by 1",
     "xql_comp_multi": f"with {STAND_IN_SQL} select source_type, collector_id, count(*) as n, count(k) as with_k, count(distinct k) as kinds from e group by 1, 2",
     "xql_comp_numeric": f"with {STAND_IN_SQL} select collector_id, sum(cast(k as double)) as total, min(cast(k as double)) as least, max(cast(k as double)) as most, round(avg(cast(k as double)), 6) as mean from e group by 1",
     "xql_comp_global": f"with {STAND_IN_SQL} select count(*) as n, count(k) as with_k, sum(cast(k as double)) as total from e where source_type = 'no such'",
     "xql_comp_distinct": f"with {STAND_IN_SQL} select count(distinct collector_id) as collectors, count(distinct raw) as raws from e",
     "xql_sort_limit": f"with {STAND_IN_SQL} select id as _id, k from e where k is not null order by k, id limit 100",
+    "xql_sort_mixed": f"with {STAND_IN_SQL} select id as _id, k from e order by source_type, k desc nulls last, id limit 1000",
     "xql_default_sort_comp": f"with {STAND_IN_SQL} select k, count(*) as n, sum(cast(k as double)) as total from e group by 1 order by total desc nulls first, k nulls first limit 20",
     "xql_top_columns": f"with {STAND_IN_SQL} select name, count(*) as n from (select unnest(json_keys(parsed)) as name from e) group by 1 order by n desc, name limit 40",
-    "match_none": _match_sql("source_type = 'error' and evt > timestamp '2024-01-10 00:00:00'", "'all'", 1, 100),
-    "match_field": _match_sql("true", "coalesce(collector_id, 'unknown')", 1, 100),
+    "match_none": _match_sql("source_type = 'error' and evt > timestamp '2024-01-10 00:00:00'", "'all'", 1, 1000),
+    "match_field": _match_sql("true", "coalesce(collector_id, 'unknown')", 1, 1000),
     "match_capture": _match_sql("true", "coalesce(nullif(regexp_extract(raw, 'user=(\\d)\\d', 1), ''), 'unknown')", 1, 20),
     "match_threshold": _match_sql("cast(k as double) > 20", "coalesce(k, 'unknown')", 20, 50),
 }

@@ -54,8 +54,8 @@ def raise_close(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_custkey < 50")
-    last = W.newest_per_day(o.withColumn("at", F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.pmod("o_orderkey", F.lit(50000)).cast("decimal(18,6)"))), "o_custkey", "at")
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    last = W.newest_per_day(o.withColumn("at", F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.pmod("o_orderkey", F.lit(50000)).cast("decimal(18,6)"))), "o_custkey", "at", "o_orderkey")
     return W.day_over_day(last, "o_custkey", "at", "o_orderkey").select("o_custkey", "o_orderkey", "previous", "change")
 
 
@@ -123,5 +123,5 @@ select g.grp, cast(m as bigint) as max_agents, cast(n as bigint) as enrolled, ca
     "median_limit": "select cast(floor(quantile_cont(cast(10 + c_custkey % 30 as double), 0.5)) as bigint) as median_limit from customer where c_custkey % 11 <> 0",
     "daily_growth": f"with {STAND_IN_SQL}, d as (select strftime(received_at, '%Y-%m-%d') as day, count(*) as n from e group by 1 having day < '2024-01-30' order by day desc limit 7) select case when count(*) >= 2 then cast(floor(avg(n)) as bigint) end as per_day from d",
     "p95_by_key": "select l_returnflag, l_linestatus, quantile_disc(l_extendedprice, 0.95) as p95 from lineitem group by 1, 2",
-    "trend_day_over_day": "with o as (select o_custkey, o_orderkey, o_orderdate + to_seconds(o_orderkey % 50000) as evt from orders where o_custkey < 50), l as (select * from (select *, row_number() over (partition by o_custkey, cast(evt as date) order by evt desc) as rn from o) where rn = 1) select o_custkey, o_orderkey, lag(o_orderkey) over w as previous, o_orderkey - lag(o_orderkey) over w as change from l window w as (partition by o_custkey order by evt)",
+    "trend_day_over_day": "with o as (select o_custkey, o_orderkey, o_orderdate + to_seconds(o_orderkey % 50000) as evt from orders), l as (select * from (select *, row_number() over (partition by o_custkey, cast(evt as date) order by evt desc, o_orderkey desc) as rn from o) where rn = 1) select o_custkey, o_orderkey, lag(o_orderkey) over w as previous, o_orderkey - lag(o_orderkey) over w as change from l window w as (partition by o_custkey order by evt)",
 }

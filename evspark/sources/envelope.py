@@ -19,6 +19,16 @@ SCHEMA = T.StructType(
     ]
 )
 MOST_RAW, MOST_SOURCE, MOST_COLLECTOR, MOST_PARSED = 65_536, 100, 255, 1 << 20
+#: Levels of objects and arrays in a document at most.
+MOST_DEPTH = 32
+
+
+def depth(document: Column) -> Column:
+    """Levels of objects and arrays of a JSON text: brackets outside strings, counted as they open and close."""
+    brackets = F.regexp_replace(F.regexp_replace(document, r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]{}]", "")
+    steps = F.transform(F.filter(F.split(brackets, ""), lambda b: b != ""), lambda b: F.when(b.isin("[", "{"), 1).otherwise(-1))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    return F.aggregate(steps, start, lambda a, x: F.struct((a["now"] + x).alias("now"), F.greatest(a["most"], a["now"] + x).alias("most")), lambda a: a["most"])
 
 
 def cleaned(events: DataFrame) -> DataFrame:
@@ -33,6 +43,7 @@ def cleaned(events: DataFrame) -> DataFrame:
         (F.char_length(collector) > MOST_COLLECTOR, "collector_id"),
         (raw.isNull() | (raw == "") | (F.char_length(raw) > MOST_RAW), "raw"),
         (F.try_parse_json(parsed).isNull() | ~parsed.rlike(r"^\s*\{") | (F.octet_length(parsed) > MOST_PARSED), "parsed"),
+        (depth(parsed) > MOST_DEPTH, "parsed is too deep"),
     ]
     reason = F.coalesce(*[F.when(c, F.lit(m)) for c, m in bad])
     return events.select(

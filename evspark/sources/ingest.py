@@ -7,66 +7,136 @@ from pyspark.sql import functions as F
 
 from ..functions.security import classify, refang
 
-MOST_LINE = 8192
-# Names of syslog severities by number.
-SYSLOG_SEVERITIES = ("emergency", "alert", "critical", "error", "warning", "notice", "informational", "debug")
-_FILE_LINE = r"^(\w{3}\s+\d{1,2} \d{2}:\d{2}:\d{2}|\d{4}-\d{2}-\d{2}[T ]\S+)\s+(\S+)\s+([\w./-]+?)(?:\[(\d+)\])?:\s?(.*)$"
-_RFC5424 = r"^<(\d{1,3})>(\d) (\S+) (\S+) (\S+) (\S+) (\S+) (-|(?:\[.*?\])+) ?(.*)$"
-_RFC3164 = r"^<(\d{1,3})>(\w{3}\s+\d{1,2} \d{2}:\d{2}:\d{2}) (\S+) ([\w./-]+?)(?:\[(\d+)\])?: ?(.*)$"
+MOST_LINE, MOST_HOST = 8192, 200
+#: Indicators of a feed at most; a longer one is refused whole, since a cut list would let the wrong ones expire.
+MOST_ITEMS = 50_000
+# Names of syslog severities and facilities by number, as they are stored.
+SYSLOG_SEVERITIES = ("emerg", "alert", "crit", "err", "warning", "notice", "info", "debug")
+SYSLOG_FACILITIES = (
+    "kern", "user", "mail", "daemon", "auth", "syslog", "lpr", "news", "uucp", "cron", "authpriv", "ftp", "ntp", "security", "console", "solaris-cron",
+    "local0", "local1", "local2", "local3", "local4", "local5", "local6", "local7",
+)
+# Keys that a JSON feed's list can be under, and fields of its items that can hold the indicator, in this order.
+FEED_LISTS = ("indicators", "iocs", "data", "items", "results", "values", "observables")
+FEED_FIELDS = ("value", "indicator", "ioc", "observable", "ip", "ip_address", "domain", "hostname", "url", "hash", "sha256", "sha1", "md5", "email")
+
+# Pieces of log lines. A stamp is a date with a time, or month, day and time without a year.
+_CLOCK = "[0-9]{2}:[0-9]{2}:[0-9]{2}"
+_YEARLESS = rf"\w{{3}}\s+[0-9]{{1,2}}\s{_CLOCK}"
+_FULL_STAMP = rf"[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ]{_CLOCK}\S*"
+_PROGRAM = r"[^\s:\[\]]+"
+_PRIORITY = "^<([0-9]{1,3})>"
+_FILE_LINE = rf"^({_FULL_STAMP}|[A-Z][a-z]{{2}}\s+[0-9]{{1,2}}\s{_CLOCK})\s+(\S+)\s+({_PROGRAM})(?:\[([0-9]+)\])?:\s*(.*)$"
+_RFC5424 = _PRIORITY + r"[0-9]\s+" + r"(\S+)\s+" * 5 + r"(?:(\[.*?\]|-)\s?)?(.*)$"
+_RFC3164 = rf"{_PRIORITY}({_YEARLESS})\s+(\S+)\s+([^:]+):\s*(.*)$"
 
 
 def line_time(c: Column) -> Column:
-    """Only times that begin with a full date are trusted."""
-    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}"), F.coalesce(F.try_to_timestamp(c), F.try_to_timestamp(F.regexp_replace(c, " ", "T"))))
+    """Only times that begin with a full date are trusted; without a zone they are UTC."""
+    t = F.regexp_replace(F.trim(c), r"^([0-9]{4}-[0-9]{2}-[0-9]{2}) ", "$1T")
+    t = F.regexp_replace(t, r"([+-][0-9]{2})([0-9]{2})$", "$1:$2")
+    return F.when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.try_to_timestamp(t))
 
 
-def _part(c: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(c, "(?s)" + pattern, group), F.lit(""))
+def _groups(df: DataFrame, text: Column, pattern: str, groups: int, name: str) -> DataFrame:
+    """df and column `name`: the groups of a pattern in a text as an array, null for texts of another form. The text is matched once."""
+    mark = "\u0001"
+    marked = F.regexp_replace(text, pattern, mark.join(["", *[f"${g}" for g in range(1, groups + 1)]]))
+    return df.withColumn(name, F.when(F.startswith(marked, F.lit(mark)) & ~F.startswith(text, F.lit(mark)), F.split(marked, mark)))
 
 
 def text_lines(lines: DataFrame, host: str | None = None, column: str = "value") -> DataFrame:
-    """raw, event_time and parsed of lines of a log file; lines of another form keep only their text."""
+    """raw, event_time and parsed of lines of a log file; lines of another form keep only their text and the given host. Blank lines are left out."""
     c = F.left(F.col(column), F.lit(MOST_LINE))
-    p = lambda g: _part(c, _FILE_LINE, g)
-    known = c.rlike("(?s)" + _FILE_LINE)
-    parsed = F.when(
-        known, F.struct(F.lit("syslog").alias("format"), p(2).alias("host"), p(3).alias("app_name"), p(4).alias("proc_id"), p(5).alias("message"))
-    ).otherwise(F.struct(F.lit("plain").alias("format"), F.lit(host).cast("string").alias("host"), F.lit(None).cast("string").alias("app_name"), F.lit(None).cast("string").alias("proc_id"), c.alias("message")))
-    rows = lines.filter(F.trim(F.col(column)) != "")
-    return rows.select(c.alias("raw"), F.when(known, line_time(p(1))).alias("event_time"), F.to_json(parsed).alias("parsed"))
-
-
-def syslog(messages: DataFrame, column: str = "value") -> DataFrame:
-    """raw, event_time and parsed of syslog messages: RFC 5424, then RFC 3164, then the priority alone."""
-    c = F.left(F.col(column), F.lit(MOST_LINE))
-    new, old = c.rlike("(?s)" + _RFC5424), c.rlike("(?s)" + _RFC3164)
-    a, b = (lambda g: _part(c, _RFC5424, g)), (lambda g: _part(c, _RFC3164, g))
-    pick = lambda x, y: F.when(new, F.nullif(x, F.lit("-"))).when(old, y)
-    priority = F.regexp_extract(c, r"^<(\d{1,3})>", 1).try_cast("int")
-    parsed = F.struct(
-        F.when(new, "rfc5424").when(old, "rfc3164").otherwise("plain").alias("format"),
-        F.floor(priority / 8).alias("facility"),
-        F.get(F.array(*[F.lit(s) for s in SYSLOG_SEVERITIES]), F.pmod(priority, F.lit(8))).alias("severity"),
-        pick(a(4), b(3)).alias("host"),
-        pick(a(5), b(4)).alias("app_name"),
-        pick(a(6), b(5)).alias("proc_id"),
-        F.coalesce(F.when(new, a(9)).when(old, b(6)), F.regexp_replace(c, r"^<\d{1,3}>", "")).alias("message"),
+    rows = _groups(lines.filter(F.trim(F.col(column)) != "").select(c.alias("raw")), F.col("raw"), _FILE_LINE, 5, "g")
+    g = lambda i: F.get("g", F.lit(i))
+    known = F.struct(F.lit("syslog-file").alias("format"), g(2).alias("host"), g(3).alias("app_name"), F.nullif(g(4), F.lit("")).alias("proc_id"), g(5).alias("message"))
+    other = F.struct(F.lit("plain").alias("format"), F.lit(host).cast("string").alias("host"), F.col("raw").alias("message"))
+    parsed = F.when(F.col("g").isNotNull(), F.to_json(known, {"ignoreNullFields": "false"})).otherwise(F.to_json(other, {"ignoreNullFields": "false"}))
+    return rows.select("raw", line_time(g(1)).alias("event_time"), parsed.alias("parsed"))
+
+
+def syslog(messages: DataFrame, column: str = "value", year: int | None = None) -> DataFrame:
+    """raw, event_time and parsed of syslog messages: RFC 5424, then RFC 3164, then the priority alone.
+
+    Times without a year are of `year`, else of the current one. Blank messages are left out.
+    """
+    rows = messages.select(F.trim(F.left(F.col(column), F.lit(MOST_LINE))).alias("raw")).filter(F.col("raw") != "")
+    rows = _groups(_groups(rows, F.col("raw"), _RFC5424, 8, "n"), F.col("raw"), _RFC3164, 5, "o")
+    new, old = F.col("n").isNotNull(), F.col("n").isNull() & F.col("o").isNotNull()
+    n, o = (lambda i: F.get("n", F.lit(i))), (lambda i: F.get("o", F.lit(i)))
+    filled = lambda c: F.nullif(F.nullif(c, F.lit("-")), F.lit(""))
+    priority = F.coalesce(n(1), o(1), F.regexp_extract("raw", _PRIORITY, 1)).try_cast("int")
+    names = lambda xs: F.array(*[F.lit(x) for x in xs])
+    which = F.floor(priority / 8).cast("int")
+    head = [
+        F.when(new, "rfc5424").when(old, "rfc3164").otherwise("unstructured").alias("format"),
+        F.when(priority.isNotNull(), F.coalesce(F.get(names(SYSLOG_FACILITIES), which), F.concat(F.lit("unknown("), which.cast("string"), F.lit(")")))).alias("facility"),
+        F.get(names(SYSLOG_SEVERITIES), F.pmod(priority, F.lit(8))).alias("severity"),
+        F.when(new, n(3)).when(old, o(3)).alias("host"),
+    ]
+    message = F.when(new, n(8)).when(old, o(5)).otherwise(F.col("raw")).alias("message")
+    with_ids = F.struct(*head, filled(n(4)).alias("app_name"), filled(n(5)).alias("proc_id"), filled(n(6)).alias("msg_id"), filled(n(7)).alias("structured_data"), message)
+    with_tag = F.struct(*head, F.trim(o(4)).alias("tag"), message)
+    keep = {"ignoreNullFields": "false"}
+    parsed = F.when(new, F.to_json(with_ids, keep)).when(old, F.to_json(with_tag, keep)).otherwise(F.to_json(F.struct(*head, message), keep))
+    of_year = F.lit(str(year)) if year else F.year(F.current_timestamp()).cast("string")
+    yearless = F.try_to_timestamp(F.concat(of_year, F.lit(" "), F.regexp_replace(o(2), r"\s+", " ")), F.lit("yyyy MMM d HH:mm:ss"))
+    return rows.select("raw", F.when(new, F.try_to_timestamp(n(2))).when(old, yearless).alias("event_time"), parsed.alias("parsed"))
+
+
+def json_batch(rows: DataFrame, host: str | None = None) -> DataFrame:
+    """raw, event_time and parsed of JSON rows with raw or message, and optionally time, host and fields (JSON text).
+
+    The document holds the fields, and over them format, host (else the given one) and message. Rows without text are left out.
+    """
+    have = lambda c: F.col(c).cast("string") if c in rows.columns else F.lit(None).cast("string")
+    raw = F.left(F.coalesce(have("raw"), have("message")), F.lit(MOST_LINE))
+    own = F.struct(
+        F.lit("json").alias("format"),
+        F.left(F.coalesce(F.nullif(have("host"), F.lit("")), F.lit(host).cast("string")), F.lit(MOST_HOST)).alias("host"),
+        F.left(F.coalesce(have("message"), raw), F.lit(MOST_LINE)).alias("message"),
     )
-    return messages.select(c.alias("raw"), F.when(new, line_time(a(3))).alias("event_time"), F.to_json(parsed).alias("parsed"))
-
-
-def json_batch(rows: DataFrame) -> DataFrame:
-    """raw, event_time and parsed of JSON rows with raw or message, and optionally time and fields (JSON text)."""
-    have = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
-    raw = F.coalesce(have("raw"), have("message"))
-    return rows.select(raw.alias("raw"), line_time(have("time")).alias("event_time"), F.coalesce(have("fields"), F.lit("{}")).alias("parsed")).filter(F.trim("raw") != "")
+    as_map = lambda c: F.from_json(c, "map<string,variant>")
+    own_map = as_map(F.to_json(own))
+    fields = F.when(have("fields").rlike(r"^\s*\{"), as_map(have("fields")))
+    kept = F.map_filter(F.coalesce(fields, as_map(F.lit("{}"))), lambda k, v: ~k.isin("format", "host", "message"))
+    found = rows.select(raw.alias("raw"), line_time(have("time")).alias("event_time"), F.to_json(F.map_concat(kept, own_map)).alias("parsed"))
+    return found.filter(F.trim("raw") != "")
+
+
+def _bare(c: Column) -> Column:
+    """A feed's line without its comment."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"^\s*(?:#|;|//).*$", ""), r"\s+(?:#|;|//)\s.*$", ""))
+
+
+def csv_cells(line: Column) -> Column:
+    """Cells of a line between commas, semicolons and tabs outside quotes; a quote inside quotes is written twice."""
+    cells = F.regexp_extract_all(line, F.lit(r'((?:"(?:[^"]|"")*+"|[^,;\t"]|")*+)(?:[,;\t]|$)'), F.lit(1))
+    return F.transform(cells, lambda c: F.trim(F.replace(F.regexp_replace(F.replace(c, F.lit('""'), F.lit("\u0001")), '"', ""), F.lit("\u0001"), F.lit('"'))))
+
+
+def feed_values(lines: DataFrame, source: str, severity: str, column: str = "value", form: str = "csv") -> DataFrame:
+    """type, value, source and severity of a feed: of text, the first word of each line; of CSV, the first cell that is an indicator; of JSON, one document a row.
+
+    A JSON document is a list, or has one under a key of FEED_LISTS; its items are texts, or objects with the indicator in a field of FEED_FIELDS.
+    """
+    if form == "json":
+        c = F.trim(F.col(column))
+        lists = F.coalesce(F.when(c.startswith("["), c), *[F.when(F.get_json_object(c, f"$.{k}").startswith("["), F.get_json_object(c, f"$.{k}")) for k in FEED_LISTS])
+        items = lines.select(F.explode(F.from_json(lists, "array<variant>")).alias("v")).select(F.to_json("v").alias("j"))
+        fields = [F.get_json_object("j", f"$.{k}") for k in FEED_FIELDS]
+        of_object = F.get(F.filter(F.array(*fields), lambda f: classify(f).isNotNull()), F.lit(0))
+        cell = F.when(F.col("j").startswith("{"), of_object).when(F.col("j").startswith('"'), F.get_json_object(F.concat(F.lit("["), "j", F.lit("]")), "$[0]"))
+        found = items.select(cell.alias("cell"))
+    else:
+        bare = _bare(F.col(column))
+        first = F.get(F.filter(csv_cells(bare), lambda x: classify(x).isNotNull()), F.lit(0)) if form == "csv" else F.regexp_extract(bare, r"^(\S+)", 1)
+        found = lines.select(first.alias("cell"))
+    typed = found.select(classify(F.col("cell")).alias("type"), F.lower(refang(F.trim("cell"))).alias("value")).filter(F.col("type").isNotNull())
+    return typed.dropDuplicates().withColumns({"source": F.lit(source), "severity": F.lit(severity)})
 
 
-def feed_values(lines: DataFrame, source: str, severity: str, column: str = "value") -> DataFrame:
-    """type, value, source and severity of a text or CSV feed: comments cut, the first cell of a line that is an indicator."""
-    bare = F.trim(F.regexp_replace(F.col(column), r"(^|\s)(#|//|;).*$", ""))
-    cells = F.transform(F.split(bare, r"[,;\t]"), lambda x: F.trim(F.regexp_replace(F.trim(x), r'^"|"$', "")))
-    first = F.get(F.filter(cells, lambda x: classify(x).isNotNull()), F.lit(0))
-    found = lines.select(first.alias("cell")).filter(F.col("cell").isNotNull())
-    typed = found.select(classify(F.col("cell")).alias("type"), F.lower(refang(F.trim("cell"))).alias("value"))
-    return typed.dropDuplicates().withColumns({"source": F.lit(source), "severity": F.lit(severity)})
+def refused(values: DataFrame) -> bool:
+    """Whether a feed has more than MOST_ITEMS indicators."""
+    return values.limit(MOST_ITEMS + 1).count() > MOST_ITEMS

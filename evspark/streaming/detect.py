@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -18,15 +18,62 @@ def deduplicated(events: DataFrame, within: str = "1 hour") -> DataFrame:
     return events.withWatermark("received_at", within).dropDuplicatesWithinWatermark(["id", "received_at"])
 
 
+def _arrival(spark: SparkSession, checkpoint: str, number: int) -> str:
+    """The time that a batch first arrived, kept beside the checkpoint, so that a replay of the batch has it too."""
+    folder = f"{checkpoint}-arrivals/{number}"
+    spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")).write.mode("ignore").parquet(folder)
+    kept = spark.read.schema("at string").parquet(folder).first()
+    if kept is None:  # a failed write left an empty folder
+        spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")).write.mode("overwrite").parquet(folder)
+        kept = spark.read.schema("at string").parquet(folder).first()
+    return kept.at
+
+
 def ingest(events: DataFrame, path: str, checkpoint: str, tenant: str, **trigger) -> StreamingQuery:
-    """Append a stream of events to a table; each batch stores only what is new, so repeats and replays do no harm and late events are kept."""
+    """Append a stream of events to a table; each batch stores only what is new, so repeats and replays do no harm and late events are kept.
+
+    Rows without an id or a time of arrival get both from their batch's number and first arrival.
+    """
 
     def store(batch: DataFrame, number: int) -> None:
-        EventTable(batch.sparkSession, path).append(batch, tenant)
+        spark = batch.sparkSession
+        EventTable(spark, path).append(batch, tenant, now=_arrival(spark, checkpoint, number), batch=f"{checkpoint}#{number}")
 
     return each_batch(events, store, checkpoint, **trigger)
 
 
+class Versions:
+    """A small table that every batch writes anew, as a numbered version: a batch that comes again starts from the version before it."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def _numbers(self) -> list[int]:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        done = [f.getPath() for f in (fs.listStatus(hadoop) if fs.exists(hadoop) else [])]
+        return sorted(int(p.getName()) for p in done if p.getName().isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def before(self, number: int | None = None) -> DataFrame:
+        """The newest version before this number, or of all."""
+        have = [n for n in self._numbers() if number is None or n < number]
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{have[-1]}") if have else self.spark.createDataFrame([], self.schema)
+
+    def write(self, number: int, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{number}")
+
+
+def indicator_alerts(events: DataFrame, indicators: DataFrame, alerts: Versions, checkpoint: str, **trigger) -> StreamingQuery:
+    """Scan a stream for indicators and keep their alerts; the place in the stream moves only with the alerts of the batch, so nothing is missed or counted twice."""
+
+    def scan(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        after, _ = ioc.alerted(alerts.before(number), ioc.matched(batch, indicators), _arrival(spark, checkpoint, number))
+        alerts.write(number, after)
+
+    return each_batch(events, scan, checkpoint, **trigger)
+
+
 def indicator_hits(events: DataFrame, indicators: DataFrame) -> DataFrame:
     """Stream-static join: each event with the indicators it has."""
     return ioc.matches(events, indicators)

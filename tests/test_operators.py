@@ -128,7 +128,7 @@ def test_rulesets(spark):
 def test_sources(spark):
     lines = spark.createDataFrame([("Oct  1 00:00:01 web01 sshd[42]: Failed password",), ("2024-01-02T03:04:05Z h app: x",), ("free text",), (" ",)], "value string")
     got = ingest.text_lines(lines, "me").select(*[F.get_json_object("parsed", f"$.{k}") for k in ("format", "host", "app_name", "proc_id", "message")], "event_time").collect()
-    assert [tuple(r) for r in got] == [("syslog", "web01", "sshd", "42", "Failed password", None), ("syslog", "h", "app", None, "x", datetime(2024, 1, 2, 3, 4, 5)), ("plain", "me", None, None, "free text", None)]
+    assert [tuple(r) for r in got] == [("syslog-file", "web01", "sshd", "42", "Failed password", None), ("syslog-file", "h", "app", None, "x", datetime(2024, 1, 2, 3, 4, 5)), ("plain", "me", None, None, "free text", None)]
     j = ingest.json_batch(spark.createDataFrame([("m", None, "2024-01-02 03:04:05"), (None, "r", "Jan 1"), (" ", None, None)], "message string, raw string, time string")).collect()
     assert [(r.raw, r.event_time) for r in j] == [("m", datetime(2024, 1, 2, 3, 4, 5)), ("r", None)]
 
