@@ -19,17 +19,14 @@ has to fit in a task; different conversations are spread by their id.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import before, chunks, let, sums_before
 from .common import table
 
 # The template's markers.
 START, END, TURN = "<|im_start|>", "<|im_end|>\n", "<|im_turn|>"
-#: Elements of an array that are folded, summed or cut together, so that long arrays cost no more for each element than short ones.
-CHUNK = 256
 
 
 def escape(c: Column) -> Column:
@@ -48,34 +45,21 @@ def unescape_role(c: Column) -> Column:
     return unescape(F.replace(c, F.lit("&#10;"), F.lit("\n")))
 
 
-def _chunks(array: Column, f: Callable[[Column, Column], Column]) -> Column:
-    """f(slice, number) of each CHUNK elements."""
-    last = F.floor((F.size(array) - 1) / CHUNK).cast("int")
-    numbers = F.when(F.size(array) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(numbers, lambda k: f(F.slice(array, k * CHUNK + 1, F.lit(CHUNK)), k))
-
-
-def _total(sizes: Column) -> Column:
-    return F.aggregate(sizes, F.lit(0).cast("long"), lambda n, x: n + x)
-
-
-def _before(sizes: Column) -> Column:
-    """For each element of an array of up to CHUNK sizes, the sum of those before it."""
-    return F.transform(sizes, lambda _, i: _total(F.slice(sizes, F.lit(1), i)))
-
-
 def _merged(turns: Column) -> Column:
     """Blocks (role, bodies) of adjacent turns of one role, from sorted turns (role, body)."""
     block = "struct<role:string,bodies:array<string>>"
 
     def step(blocks: Column, t: Column) -> Column:
-        last = F.get(blocks, F.size(blocks) - 1)
+        # The block that is open lies beside the ones that are done, so that a step doesn't copy these.
+        opened, done = blocks["open"], blocks["done"]
         own = F.struct(t["role"].alias("role"), F.array(t["body"]).alias("bodies"))
-        longer = F.struct(t["role"].alias("role"), F.concat(last["bodies"], F.array(t["body"])).alias("bodies"))
-        joined = F.concat(F.slice(blocks, F.lit(1), F.greatest(F.size(blocks) - 1, F.lit(0))), F.array(longer))
-        return F.when(last["role"] == t["role"], joined).otherwise(F.concat(blocks, F.array(own))).cast(f"array<{block}>")
+        longer = F.struct(t["role"].alias("role"), F.concat(opened["bodies"], F.array(t["body"])).alias("bodies"))
+        same = F.coalesce(opened["role"] == t["role"], F.lit(False))
+        closed = F.when(same | opened.isNull(), done).otherwise(F.concat(done, F.array(opened)))
+        return F.struct(closed.alias("done"), F.when(same, longer).otherwise(own).alias("open"))
 
-    return F.aggregate(turns, F.array().cast(f"array<{block}>"), step)
+    start = F.struct(F.array().cast(f"array<{block}>").alias("done"), F.lit(None).cast(block).alias("open"))
+    return F.aggregate(turns, start, step, lambda blocks: F.concat(blocks["done"], F.array(blocks["open"])))
 
 
 def format_chats(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -84,7 +68,7 @@ def format_chats(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) ->
     rows = turns.select("conv_id", F.struct("turn", role.alias("role"), text.alias("text")).alias("t"))
     chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))  # nulls come first
     chats = chats.select("conv_id", F.transform("t", lambda t: F.struct(t["role"].alias("role"), escape(t["text"]).alias("body"))).alias("t"))
-    chats = chats.select("conv_id", F.flatten(_chunks(F.col("t"), lambda part, _: _merged(part))).alias("blocks"))
+    chats = chats.select("conv_id", F.flatten(chunks(F.col("t"), lambda part, _: _merged(part))).alias("blocks"))
     of = lambda i: F.get("blocks", i)["role"]
 
     def piece(b: Column, i: Column) -> Column:
@@ -100,21 +84,16 @@ def format_chats(turns: DataFrame, trained: tuple[str, ...] = ("assistant",)) ->
 
     chats = chats.select("conv_id", F.transform("blocks", piece).alias("p"))
     size = F.transform("p", lambda p: F.char_length(p["head"]) + F.char_length(p["body"]) + F.char_length(p["tail"]))
-    chats = chats.select("conv_id", "p", size.alias("size"))
-    chats = chats.withColumn("of_chunk", _chunks(F.col("size"), lambda part, _: _total(part)))
-    chats = chats.withColumn("chunk_at", F.transform("of_chunk", lambda _, k: _total(F.slice("of_chunk", F.lit(1), k))))
-    at = F.flatten(_chunks(F.col("size"), lambda part, k: F.transform(_before(part), lambda n: n + F.get("chunk_at", k))))
-    chats = chats.select("conv_id", "p", at.alias("at"))
 
-    def spans(p: Column, i: Column) -> Column:
+    def spans(p: Column, at: Column) -> Column:
         steps = F.transform(p["sizes"], lambda n: n + len(TURN))
-        start = F.get("at", i) + F.char_length(p["head"])
-        return F.zip_with(_before(steps), p["sizes"], lambda before, n: F.struct((start + before).alias("start"), n.cast("long").alias("length"), p["loss"].alias("loss")))
+        spans_of = lambda start: F.zip_with(before(steps), p["sizes"], lambda past, n: F.struct((start + past).alias("start"), n.cast("long").alias("length"), p["loss"].alias("loss")))
+        return let(at + F.char_length(p["head"]), spans_of)
 
     return chats.select(
         "conv_id",
         F.array_join(F.transform("p", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
-        F.flatten(F.transform("p", spans)).alias("mask"),
+        F.flatten(F.zip_with("p", let(size, sums_before), spans)).alias("mask"),
     )
 
 
@@ -140,9 +119,9 @@ def under_mask(formatted: str = "formatted", mask: str = "mask") -> Column:
         first, last = F.get(part, F.lit(0)), F.get(part, F.size(part) - 1)
         # A place in a text is found by counting from its beginning: the stretch of these spans is cut out first.
         stretch = F.substr(F.col(formatted), (first["start"] + 1).cast("int"), (last["start"] + last["length"] - first["start"]).cast("int"))
-        return F.transform(F.array(stretch), lambda s: F.transform(part, lambda m: unescape(F.substr(s, (m["start"] - first["start"] + 1).cast("int"), m["length"].cast("int")))))
+        return let(stretch, lambda s: F.transform(part, lambda m: unescape(F.substr(s, (m["start"] - first["start"] + 1).cast("int"), m["length"].cast("int")))))
 
-    return F.flatten(F.flatten(_chunks(flagged, cut)))
+    return let(flagged, lambda some: F.flatten(chunks(some, cut)))
 
 
 def digests(turns: DataFrame) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import let, sums_before
 from .bpe import default_vocabulary
 from .common import BROADCAST_ROWS, cut_lineage, fresh, table
 
@@ -231,9 +232,6 @@ def fit_for(found: DataFrame) -> RandomForestClassificationModel:
     return fit(labelled(found).unionByName(made))
 
 
-_BLOCK = 256
-
-
 def _parts(text: Column) -> tuple[Column, Column]:
     """The candidates of a text with the names that they are assigned to, and the gaps before, between and after them."""
     return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
@@ -249,19 +247,15 @@ def candidates(docs: DataFrame) -> DataFrame:
     some = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").filter(F.col("text").rlike(CANDIDATE))
     hits, gaps = _parts(F.col("text"))
     cut = some.select("doc_id", "text_key", hits.alias("hits"), gaps.alias("gaps"))
-    # Where each hit starts: the lengths of all gaps and hits before it, summed by blocks so that many hits cost no more each than few.
-    cut = cut.withColumn("size", F.zip_with("gaps", "hits", lambda g, h: F.char_length(g) + F.coalesce(F.char_length(h), F.lit(0))))
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size("hits") / _BLOCK).cast("int")), lambda b: total(F.slice("size", b * _BLOCK + 1, F.lit(_BLOCK))))
-    cut = cut.withColumn("blocks", blocks)
-    cut = cut.withColumn("before_block", F.transform("blocks", lambda _, b: total(F.slice("blocks", F.lit(1), b))))
-
-    def candidate(hit: Column, i: Column) -> Column:
-        block = F.floor(i / _BLOCK).cast("int")
-        at = F.get("before_block", block) + total(F.slice("size", block * _BLOCK + 1, i - block * _BLOCK)) + F.char_length(F.get("gaps", i)) + 1
-        return F.struct(i.alias("place"), hit.alias("hit"), at.alias("at"), F.right(F.get("gaps", i), F.lit(BESIDE)).alias("left"), F.left(F.get("gaps", i + 1), F.lit(BESIDE)).alias("after"))
-
-    each = cut.select("doc_id", "text_key", F.explode(F.transform("hits", candidate)).alias("c")).select("doc_id", "text_key", "c.*").withColumn("head", _head(F.col("hit")))
+    # Where each hit starts: the lengths of all gaps and hits before it.
+    size = F.zip_with("gaps", "hits", lambda g, h: (F.char_length(g) + F.coalesce(F.char_length(h), F.lit(0))).cast("long"))
+
+    def candidate(hit: Column, i: Column, gaps: Column, before: Column) -> Column:
+        at = (F.get(before, i) + F.char_length(F.get(gaps, i)) + 1).cast("int")
+        return F.struct(i.alias("place"), hit.alias("hit"), at.alias("at"), F.right(F.get(gaps, i), F.lit(BESIDE)).alias("left"), F.left(F.get(gaps, i + 1), F.lit(BESIDE)).alias("after"))
+
+    each = let(F.col("gaps"), lambda gaps: let(sums_before(size), lambda before: F.transform("hits", lambda hit, i: candidate(hit, i, gaps, before))))
+    each = cut.select("doc_id", "text_key", F.explode(each).alias("c")).select("doc_id", "text_key", "c.*").withColumn("head", _head(F.col("hit")))
     value = F.substr("hit", F.char_length("head") + 1)
     kind = F.when(value.rlike(rf"^(?:{KNOWN})"), "known").when(F.col("head") != "", "assigned").otherwise("token")
     return each.select("doc_id", "text_key", "place", F.concat("left", "head").alias("before"), value.alias("value"), "after", (F.col("at") + F.char_length("head")).alias("start"), kind.alias("kind"))
@@ -290,7 +284,7 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel, mask: str =
     small = of.agg(F.coalesce(F.sum(F.size(s_flags) + F.lit(16)), F.lit(0))).first()[0] <= 16 * BROADCAST_ROWS  # bytes
     both = docs.join(F.broadcast(of) if small else of, F.col("doc_id").eqNullSafe(F.col(s_id)) & (F.xxhash64("text") == F.col(s_key)), "left")
     hits, gaps = _parts(F.col("text"))
-    kept = F.transform(hits, lambda h, i: F.when(F.get(s_flags, i), F.concat(_head(h), F.lit(mask))).otherwise(h))
+    kept = let(F.col(s_flags), lambda flags: F.transform(hits, lambda h, i: F.when(F.get(flags, i), F.concat(_head(h), F.lit(mask))).otherwise(h)))
     masked = F.array_join(F.zip_with(gaps, kept, lambda g, h: F.concat(g, F.coalesce(h, F.lit("")))), "")
     out = both.withColumn("text", F.when(F.col(s_flags).isNull(), F.col("text")).otherwise(masked))
     if "n_chars" in docs.columns:
