@@ -10,12 +10,12 @@ same anchor form one piece of text. Documents are dealt by id into blocks of abo
 1. Each block sends the hash of each of its anchors once to the hash's bucket. The bucket answers, with a
    bit for each, which anchors are in more than one document, and which are in very many (HOT).
 2. Each block sends each distinct piece around a shared anchor once, with the smallest doc_id that has it,
-   to the anchor's bucket. For a hot anchor it sends single spans instead, to buckets by the span's hash,
-   so that the many different surroundings of a frequent passage don't meet in one place. A bucket sorts
-   the suffixes that start spans (a suffix array), compares neighbours for a common prefix of SPAN bytes,
-   and takes for each suffix the previous position in suffix order with a smaller doc_id (equal prefixes
-   are ordered by doc_id, so the next smaller position never adds one): where the longest previous factor
-   reaches SPAN, the start of the run of equal prefixes is the first document that has it.
+   to the anchor's bucket. A bucket sorts the suffixes that start spans (a suffix array), compares neighbours
+   for their common prefixes, finds for each suffix the previous and the next place in suffix order of a
+   smaller doc_id, and takes the longer of the two common prefixes: the longest previous factor. Spans whose
+   factor reaches SPAN are in an earlier document.
+   The many different surroundings of a frequent passage would meet in one bucket: of hot anchors the single
+   spans are told their first document by a hash instead, in a window that may spill.
 3. The answer goes back to the block, which marks, removes and hashes.
 
 So texts move once, to their block; after that only hashes, bits, and pieces of shared text move, each at
@@ -33,16 +33,19 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, table
 
 SPAN, GRAM = 50, 20
 KEPT_OF = SPAN - GRAM + 1
+#: Bytes of a piece at most.
+LONGEST = SPAN + KEPT_OF - 1
 #: Bytes of text in a block, and of anchors in a bucket (about).
-BLOCK_BYTES, BUCKET_ANCHORS = 12 << 20, 1 << 19
+BLOCK_BYTES, BUCKET_ANCHORS = 12 << 20, 1 << 18
 #: Blocks or buckets that a task works on, one after the other, at most (about).
 PER_TASK = 8
 #: Blocks-and-documents that an anchor is in from which it counts as hot.
@@ -148,15 +151,17 @@ class Block:
                 several[own], hot[own] = (np.unpackbits(np.frombuffer(b, np.uint8), count=len(own)).astype(bool) for b in bits)
         return several[self.which], hot[self.which]
 
-    def strings(self, several: np.ndarray, hot: np.ndarray) -> list[tuple[list[bytes], np.ndarray, np.ndarray]]:
-        """Strings to be asked about, with where they start and the number of their piece: pieces, and single spans of hot anchors."""
-        raw = self.buf.tobytes()
-        cold = np.flatnonzero(several & ~hot)
-        pieces = [raw[a:b] for a, b in zip(self.first[cold].tolist(), (self.last[cold] + SPAN).tolist(), strict=True)]
-        warm = np.flatnonzero(hot)
-        n = self.last[warm] - self.first[warm] + 1
-        starts = np.repeat(self.first[warm] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        return [(pieces, self.first[cold], cold), ([raw[a : a + SPAN] for a in starts.tolist()], starts, np.repeat(warm, n))]
+    def pieces(self, which: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The pieces that are asked for as strings, where they start, and their numbers."""
+        raw, own = self.buf.tobytes(), np.flatnonzero(which)
+        return [raw[a:b] for a, b in zip(self.first[own].tolist(), (self.last[own] + SPAN).tolist(), strict=True)], self.first[own], own
+
+    def spans(self, which: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The single spans of the pieces that are asked for, where they start, and their pieces' numbers."""
+        raw, own = self.buf.tobytes(), np.flatnonzero(which)
+        n = self.last[own] - self.first[own] + 1
+        starts = np.repeat(self.first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return [raw[a : a + SPAN] for a in starts.tolist()], starts, np.repeat(own, n)
 
 
 def by_bucket(hashes: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
@@ -177,7 +182,7 @@ def _mail_table(rows: list[tuple]) -> pa.Table:
 
 MAIL = "block long, bucket long, kind int, a binary, b binary, c binary, d binary"
 # Kinds of mail to and from blocks.
-ANCHORS, PIECES = 1, 2
+ANCHORS, PIECES, HOT_SPANS = 1, 2, 3
 
 
 def send_anchors(buckets: int):
@@ -213,56 +218,128 @@ def _string_hashes(strings: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, strings), np.uint64, len(strings))
 
 
+def _first_of(strings: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Distinct strings and the place of the first of each: texts are in doc_id order, so it has the smallest."""
+    distinct: dict[bytes, int] = {}
+    for k, s in enumerate(strings):
+        distinct.setdefault(s, k)
+    return list(distinct), np.fromiter(distinct.values(), np.int64, len(distinct))
+
+
 def send_pieces(buckets: int):
     def run(docs: pa.Table, mail: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _mail_table([])
         block, known = Block(docs), docs.column("block")[0].as_py()
-        out: dict[int, list[tuple[bytes, int, int]]] = {}
-        (pieces, _, of_piece), (spans, _, of_span) = block.strings(*block.shared(_anchor_bits(mail), buckets))
-        for strings, of, route in ((pieces, of_piece, block.anchor[of_piece]), (spans, of_span, _string_hashes(spans))):
-            distinct: dict[bytes, int] = {}
-            for k, s in enumerate(strings):
-                distinct.setdefault(s, k)  # texts are in doc_id order, so the first has the smallest
-            pick = np.fromiter(distinct.values(), np.int64, len(distinct))
-            items = list(zip(distinct, block.ids[block.doc[of[pick]]].tolist(), (route[pick] >> np.uint64(32)).tolist(), strict=True))
-            for bucket, own in by_bucket(route[pick], buckets):
-                out.setdefault(bucket, []).extend(items[i] for i in own.tolist())
+        several, hot = block.shared(_anchor_bits(mail), buckets)
+        pieces, _, of = block.pieces(several & ~hot)
+        strings, pick = _first_of(pieces)
+        anchor, doc = block.anchor[of[pick]], block.ids[block.doc[of[pick]]]
         rows = []
-        for bucket, items in out.items():
-            text = b"".join(x[0] for x in items)
-            size = np.array([len(x[0]) for x in items], np.uint8).tobytes()
-            rows.append((known, bucket, PIECES, text, size, np.array([x[1] for x in items], "<i8").tobytes(), np.array([x[2] for x in items], "<u4").tobytes()))
+        for bucket, own in by_bucket(anchor, buckets):
+            items = [strings[i] for i in own.tolist()]
+            size = np.array([len(x) for x in items], np.uint8).tobytes()
+            rows.append((known, bucket, PIECES, b"".join(items), size, doc[own].astype("<i8").tobytes(), (anchor[own] >> np.uint64(32)).astype("<u4").tobytes()))
         return _mail_table(rows)
 
     return run
 
 
-def first_documents(text: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For each suffix of text at starts: the smallest of docs over all those with the same SPAN first bytes.
+def _span_key(span: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(span)
+
+
+def send_spans(buckets: int):
+    """For each distinct single span around a hot anchor: the block, a 128-bit hash of the span and the block's smallest document with it."""
+
+    def run(docs: pa.Table, mail: pa.Table) -> pa.Table:
+        none = pa.table({"block": pa.array([], pa.int64()), "span": pa.array([], pa.binary()), "doc": pa.array([], pa.int64())})
+        bits = _anchor_bits(mail)
+        if not docs.num_rows or not any(any(b) for _, b in bits.values()):
+            return none
+        block, known = Block(docs), docs.column("block")[0].as_py()
+        spans, _, of = block.spans(block.shared(bits, buckets)[1])
+        strings, pick = _first_of(spans)
+        keys = [_span_key(s) for s in strings]
+        return pa.table({"block": pa.array([known] * len(keys), pa.int64()), "span": pa.array(keys, pa.binary()), "doc": pa.array(block.ids[block.doc[of[pick]]])})
+
+    return run
+
 
-    Suffixes are sorted by these bytes and, where equal, by doc. A suffix whose longest common prefix
-    with the one before is SPAN has its previous smaller position in the run of equal prefixes.
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bytes that two rows of equally long byte strings have in common at their beginnings."""
+    other = a != b
+    return np.where(other.any(axis=1), other.argmax(axis=1), a.shape[1])
+
+
+def suffix_array(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of strings (start and length in text) in order, those that are equal by docs, and the common prefix of each with the one before it (0 for the first).
+
+    Suffixes are at most LONGEST bytes long; zero bytes after their end only break ties, as the prefixes are cut to the lengths.
     """
-    window = np.ndarray((max(0, len(text) - SPAN + 1), SPAN), np.uint8, text.data, 0, (1, 1))
-    keys = np.ascontiguousarray(window[starts]).view(f"V{SPAN}").ravel()
-    # Big-endian words compare like the bytes; 6 of them and the last 2 bytes make up SPAN.
-    words = keys.view(np.uint8).reshape(-1, SPAN)
-    cols = [np.ascontiguousarray(words[:, k : k + 8]).view(">u8").ravel().astype(np.uint64) for k in range(0, SPAN - 2, 8)]
-    cols.append(np.ascontiguousarray(words[:, SPAN - 2 :]).view(">u2").ravel().astype(np.uint64))
-    suffix = np.lexsort((docs, *cols[::-1]))
-    equal = np.ones(max(0, len(suffix) - 1), bool)  # longest common prefix with the suffix before reaches SPAN
-    for c in cols:
-        equal &= c[suffix[1:]] == c[suffix[:-1]]
-    run = np.cumsum(np.concatenate([[1], ~equal])) - 1 if len(suffix) else np.zeros(0, np.int64)
-    head = np.flatnonzero(np.concatenate([[True], ~equal])) if len(suffix) else run
-    out = np.empty(len(starts), np.int64)
-    out[suffix] = docs[suffix[head]][run]
+    padded = np.concatenate([text, np.zeros(LONGEST, np.uint8)])
+    window = np.ndarray((len(text), LONGEST), np.uint8, padded.data, 0, (1, 1))
+    rows = window[starts]
+    rows[np.arange(LONGEST)[None, :] >= lengths[:, None]] = 0
+    # Big-endian words compare like their bytes.
+    words = rows.view(">u8").astype(np.uint64)
+    order = np.lexsort((docs, lengths, *words.T[::-1]))
+    prefix = np.zeros(len(order), np.int64)
+    for lo in range(1, len(order), CHUNK):
+        hi = min(len(order), lo + CHUNK)
+        here, last = order[lo:hi], order[lo - 1 : hi - 1]
+        prefix[lo:hi] = np.minimum(_common(rows[here], rows[last]), np.minimum(lengths[here], lengths[last]))
+    return order, prefix
+
+
+def _smaller_before(docs: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """For each place in suffix order, the common prefix with the nearest place before it that has a smaller doc (0 if there is none).
+
+    That place is found by halving steps: `least[k]` and `shortest[k]` hold the smallest doc, and the shortest common prefix, of the
+    2**k places up to each one, so a step of 2**k places is taken wherever it holds no smaller doc.
+    """
+    n = len(docs)
+    least, shortest = [docs], [prefix]
+    # Places whose common prefix is below SPAN separate stretches that need not be looked across.
+    cuts = np.flatnonzero(prefix < SPAN)
+    longest = int(np.diff(np.concatenate([cuts, [n]])).max()) if n else 1
+    while 1 << len(least) <= longest:
+        step = 1 << (len(least) - 1)
+        for held in (least, shortest):
+            held.append(np.concatenate([held[-1][:step], np.minimum(held[-1][step:], held[-1][:-step])]))
+    at, length = np.arange(n), np.full(n, LONGEST)
+    # The places before `at` are looked at; `length` is the common prefix with the place `at`.
+    for k in range(len(least) - 1, -1, -1):
+        step = 1 << k
+        go = np.flatnonzero(at >= step)
+        here = at[go] - 1
+        keep = least[k][here] >= docs[go]
+        go = go[keep]
+        length[go] = np.minimum(length[go], shortest[k][at[go]])
+        at[go] -= step
+    ok = at > 0
+    out = np.zeros(n, np.int64)
+    before = at[ok] - 1
+    reached = docs[before] < docs[ok]
+    out[ok] = np.where(reached, np.minimum(length[ok], prefix[at[ok]]), 0)
     return out
 
 
+def previous_factors(docs: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix, in suffix order: the longest prefix that it has in common with a suffix of a smaller doc.
+
+    It is had in common with the previous or the next place in suffix order of a smaller doc, as all others lie beyond these.
+    Factors shorter than SPAN may come out as shorter ones.
+    """
+    after = np.concatenate([prefix[:1], prefix[:0:-1]])  # from the end: with the place after
+    return np.maximum(_smaller_before(docs, prefix), _smaller_before(docs[::-1], after)[::-1])
+
+
 def answer_pieces(mail: pa.Table) -> pa.Table:
-    """For each string that a block asked about: its hash and runs of (length, first document) over its spans."""
+    """For each string that a block asked about: the smallest document that has it, and its longest previous factors as runs of starts that are covered.
+
+    A string that a smaller document has too is covered whole; of the smallest document's, the spans whose factor reaches SPAN are.
+    """
     rows = mail.to_pylist()
     size = np.frombuffer(b"".join(r["b"] for r in rows), np.uint8).astype(np.int64)
     docs = np.frombuffer(b"".join(r["c"] for r in rows), "<i8")
@@ -280,46 +357,47 @@ def answer_pieces(mail: pa.Table) -> pa.Table:
     spans = size[one] - SPAN + 1
     base = np.cumsum(spans) - spans
     starts = np.repeat(at[one] - base, spans) + np.arange(int(spans.sum()))
+    lengths = np.repeat(at[one] + size[one], spans) - starts
     of = np.repeat(first, spans)
     # Equal spans have equal anchors: a string that is alone with its anchor needs no sorting.
     _, group, members = np.unique(np.frombuffer(b"".join(r["d"] for r in rows), "<u4")[one], return_inverse=True, return_counts=True)
     some = np.flatnonzero(np.repeat(members[group] > 1, spans)) if len(one) else base
-    of[some] = first_documents(text, starts[some], of[some])
-    # Runs of spans of a string with the same first document.
-    new = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
-    new[base] = True
-    head = np.flatnonzero(new)
-    length = np.diff(np.concatenate([head, [len(of)]]))
-    n_runs = np.add.reduceat(new.astype(np.int64), base) if len(base) else base
-    run_at = np.cumsum(n_runs) - n_runs
+    factor = np.zeros(len(of), np.int64)
+    order, prefix = suffix_array(text, starts[some], lengths[some], of[some])
+    factor[some[order]] = previous_factors(of[some][order], prefix)
+    earlier = factor >= SPAN
     hashes = _string_hashes(list(number))
     out, lo = [], 0
     for r in rows:
-        own = which[lo : lo + len(r["b"])]
-        lo += len(r["b"])
-        runs = n_runs[own]
-        pick = np.repeat(run_at[own] - (np.cumsum(runs) - runs), runs) + np.arange(int(runs.sum()))
-        out.append((r["block"], r["bucket"], PIECES, hashes[own].tobytes(), runs.astype(np.uint8).tobytes() + length[pick].astype(np.uint8).tobytes(), of[head[pick]].astype("<i8").tobytes(), None))
+        n = len(r["b"])
+        own = which[lo : lo + n]
+        # Of the document that the string is first in, the flags of its spans; of any other, all of them.
+        mine = docs[lo : lo + n] == first[own]
+        lo += n
+        count = np.where(mine, spans[own], 0)
+        pick = np.repeat(base[own] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        flags = np.packbits(earlier[pick]).tobytes() if len(pick) else b""
+        out.append((r["block"], r["bucket"], PIECES, hashes[own].tobytes(), count.astype(np.uint8).tobytes(), flags, first[own].astype("<i8").tobytes()))
     return _mail_table(out)
 
 
-def _answers(mail: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all answers to a block, by string hash in order: hash, place and number of its runs; then length and document of the runs."""
-    hashes, runs, lengths, docs = [], [], [], []
+def _answers(mail: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all answers to a block about pieces, by string hash in order: hash, first document and place of its flags; then all flags."""
+    hashes, firsts, places, flags, n = [], [], [], [], 0
     for r in mail.to_pylist():
         if r["kind"] == PIECES:
-            h = np.frombuffer(r["a"], np.uint64)
-            b = np.frombuffer(r["b"], np.uint8).astype(np.int64)
-            hashes.append(h)
-            runs.append(b[: len(h)])
-            lengths.append(b[len(h) :])
-            docs.append(np.frombuffer(r["c"], "<i8"))
+            count = np.frombuffer(r["b"], np.uint8).astype(np.int64)
+            hashes.append(np.frombuffer(r["a"], np.uint64))
+            firsts.append(np.frombuffer(r["d"], "<i8"))
+            places.append(n + np.cumsum(count) - count)
+            flags.append(np.unpackbits(np.frombuffer(r["c"], np.uint8), count=int(count.sum())).astype(bool))
+            n += int(count.sum())
     if not hashes:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none, none
-    h, n = np.concatenate(hashes), np.concatenate(runs)
+        return none.astype(np.uint64), none, none, none.astype(bool)
+    h = np.concatenate(hashes)
     order = np.argsort(h, kind="stable")
-    return h[order], (np.cumsum(n) - n)[order], n[order], np.concatenate(lengths), np.concatenate(docs)
+    return h[order], np.concatenate(firsts)[order], np.concatenate(places)[order], np.concatenate(flags)
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -336,22 +414,29 @@ def remove(buckets: int, with_text: bool):
         if not docs.num_rows:
             return _result([], with_text)
         block = Block(docs)
-        hashes, run_at, n_runs, lengths, firsts = _answers(mail)
         raw = block.buf.tobytes()
         edge = np.zeros(len(raw) + 1, np.int32)
-        for strings, starts, of in block.strings(*block.shared(_anchor_bits(mail), buckets)):
-            if not strings:
-                continue
-            at = np.searchsorted(hashes, _string_hashes(strings))
-            n = n_runs[at]
-            before = np.cumsum(n) - n
-            run_of = np.repeat(run_at[at] - before, n) + np.arange(int(n.sum()))
-            length = lengths[run_of]
-            past = np.cumsum(length) - length
-            start = np.repeat(starts, n) + past - np.repeat(past[before], n)
-            earlier = firsts[run_of] < np.repeat(block.ids[block.doc[of]], n)
-            np.add.at(edge, start[earlier], 1)
-            np.add.at(edge, (start + length + SPAN - 1)[earlier], -1)
+        several, hot = block.shared(_anchor_bits(mail), buckets)
+        pieces, starts, of = block.pieces(several & ~hot)
+        if pieces:
+            hashes, firsts, flag_at, flags = _answers(mail)
+            at = np.searchsorted(hashes, _string_hashes(pieces))
+            n = block.last[of] - block.first[of] + 1
+            later = block.ids[block.doc[of]] > firsts[at]
+            np.add.at(edge, starts[later], 1)
+            np.add.at(edge, (starts + n + SPAN - 1)[later], -1)
+            own, n = np.flatnonzero(~later), n[~later]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            covered = (np.repeat(starts[own], n) + step)[flags[np.repeat(flag_at[at[own]], n) + step]]
+            np.add.at(edge, covered, 1)
+            np.add.at(edge, covered + SPAN, -1)
+        spans, starts, of = block.spans(hot)
+        if spans:
+            first = {r["a"]: r["bucket"] for r in mail.filter(pc.equal(mail.column("kind"), HOT_SPANS)).select(["a", "bucket"]).to_pylist()}
+            firsts = np.fromiter((first[k] for k in map(_span_key, spans)), np.int64, len(spans))
+            covered = starts[firsts < block.ids[block.doc[of]]]
+            np.add.at(edge, covered, 1)
+            np.add.at(edge, covered + SPAN, -1)
         gone = np.cumsum(edge[:-1]) > 0
         out, lo = [], 0
         for i, hi in enumerate(block.ends.tolist()):
@@ -384,9 +469,15 @@ def deduplicate(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     by_block = _dealt(docs, "block", blocks).groupBy("block")
     asked = _dealt(by_block.applyInArrow(send_anchors(buckets), MAIL), "bucket", buckets)
     bits = asked.groupBy("bucket").applyInArrow(answer_anchors, MAIL)
-    asked = by_block.cogroup(bits.groupBy("block")).applyInArrow(send_pieces(buckets), MAIL)
+    with_bits = by_block.cogroup(bits.groupBy("block"))
+    asked = with_bits.applyInArrow(send_pieces(buckets), MAIL)
     answers = _dealt(asked, "bucket", buckets).groupBy("bucket").applyInArrow(answer_pieces, MAIL)
-    mail = bits.unionByName(answers)
+    # Spans around hot anchors: each block has at most one row of a span, and rows beyond memory are spilled.
+    spans = with_bits.applyInArrow(send_spans(buckets), "block long, span binary, doc long")
+    none = F.lit(None).cast("binary")
+    first = F.min("doc").over(Window.partitionBy("span"))
+    told = spans.select("block", first.alias("bucket"), F.lit(HOT_SPANS).alias("kind"), F.col("span").alias("a"), none.alias("b"), none.alias("c"), none.alias("d"))
+    mail = bits.unionByName(answers).unionByName(told)
     return by_block.cogroup(mail.groupBy("block")).applyInArrow(remove(buckets, with_text), RESULT + ", kept binary" * with_text)
 
 

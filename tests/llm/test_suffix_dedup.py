@@ -81,21 +81,41 @@ def test_hot_path_in_process(monkeypatch):
     to = lambda t, b: t.filter(pa.compute.equal(t["block"], b))
     asked = pa.concat_tables([S.send_pieces(buckets)(p, to(bits, b)) for b, p in enumerate(parts)])
     answers = pa.concat_tables([S.answer_pieces(g) for g in group(asked, "bucket")])
-    both = pa.concat_tables([bits, answers])
+    spans = pa.concat_tables([S.send_spans(buckets)(p, to(bits, b)) for b, p in enumerate(parts)]).to_pylist()
+    assert spans and asked.num_rows
+    first = {}
+    for r in spans:
+        first[r["span"]] = min(first.get(r["span"], S.NO_ID), r["doc"])
+    told = S._mail_table([(r["block"], first[r["span"]], S.HOT_SPANS, r["span"], None, None, None) for r in spans])
+    both = pa.concat_tables([bits, answers, told])
     got = [tuple(r.values()) for b, p in enumerate(parts) for r in S.remove(buckets, False)(p, to(both, b)).to_pylist()]
     assert sorted(got, key=str) == brute(rows)
 
 
-def test_first_documents():
+def test_longest_previous_factors():
+    """Against brute force, on strings of few letters with long repeats and zero bytes at their ends: all factors of SPAN and more are found as they are."""
     rnd = np.random.default_rng(3)
-    text = rnd.integers(0, 2, 400).astype(np.uint8).repeat(9)
-    starts = np.arange(len(text) - 49)
-    docs = rnd.integers(0, 50, len(starts))
-    raw = text.tobytes()
-    want = {}
-    for s, d in zip(starts, docs, strict=True):
-        want[raw[s : s + 50]] = min(want.get(raw[s : s + 50], 99), d)
-    assert S.first_documents(text, starts, docs).tolist() == [want[raw[s : s + 50]] for s in starts]
+    for seed in range(4):
+        base = [bytes(rnd.integers(0, 2, 400).astype(np.uint8).repeat(rnd.integers(1, 9))) + b"\0" * 70 for _ in range(2 + seed)]
+        strings = [b[k : k + n] for b in base for k in rnd.integers(0, len(base[0]) - 80, 30).tolist() for n in [int(rnd.integers(50, 81))] if len(b[k : k + n]) >= 50]
+        docs_of = rnd.integers(0, 12, len(strings))
+        size = np.array([len(s) for s in strings])
+        at = np.cumsum(size) - size
+        starts = np.concatenate([np.arange(a, a + n - 49) for a, n in zip(at, size, strict=True)])
+        ends = np.repeat(at + size, size - 49)
+        docs = np.repeat(docs_of, size - 49)
+        text = np.frombuffer(b"".join(strings), np.uint8)
+        order, prefix = S.suffix_array(text, starts, ends - starts, docs)
+        got = np.empty(len(starts), np.int64)
+        got[order] = S.previous_factors(docs[order], prefix)
+        raw = text.tobytes()
+        suffix = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        common = lambda x, y: next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        assert all(suffix[a] <= suffix[b] for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True))
+        for i in range(0, len(suffix), 7):
+            want = max((common(suffix[i], suffix[k]) for k in range(len(suffix)) if docs[k] < docs[i]), default=0)
+            assert got[i] == want if want >= S.SPAN else got[i] < S.SPAN
+    assert S.previous_factors(np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
 
 
 def test_empty_and_text(spark):
