@@ -41,7 +41,7 @@ PERCENT = 75
 BANDS, ROWS = 40, 4
 SIZE = BANDS * ROWS
 #: Shingles in the rows, and in the columns, of a cell of nodes that a task compares.
-CELL = 300_000
+CELL = 150_000
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -185,6 +185,16 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """id and root after further links: only the components that these touch are looked at again."""
+    ends = more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(roots.select("id"), "id", "left_anti")
+    known = cut_lineage(roots.unionByName(ends.select("id", F.col("id").alias("root"))))
+    of = lambda side: known.select(F.col("id").alias(side), F.col("root").alias(f"{side}_root"))
+    over = components(more.join(of("a"), "a").join(of("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    over = over.select(F.col("id").alias("root"), F.col("root").alias("over"))
+    return cut_lineage(known.join(over, "root", "left").select("id", F.coalesce("over", "root").alias("root")))
+
+
 def _across(cell: pa.Table) -> pa.Table:
     """Links (a, b) that join parts, from the rows of a cell that are outside the largest part to all its columns."""
     digest, part = cell.column("digest").to_pylist(), cell.column("part").to_pylist()
@@ -257,7 +267,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links)
     more = cut_lineage(across_parts(stars, roots, docs))
     if not more.isEmpty():
-        roots = components(links.union(more))
+        roots = _joined(roots, more)
 
     smallest = roots.join(nodes.select(F.col("digest").alias("id"), "doc"), "id").groupBy("root").agg(F.min("doc").alias("component"))
     of_node = nodes.select("digest", "doc").join(roots.withColumnRenamed("id", "digest"), "digest", "left").join(smallest, "root", "left")
