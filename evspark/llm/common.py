@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut_lineage, shared_folder  # noqa: F401
+
 #: Bytes of text that a Python task works on at once (a longer text is worked on alone).
 SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch between Spark and Python tasks.
@@ -23,24 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. A temporary one stands in for it only where all tasks run on this machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="spark-")
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared checkpoint folder and read it from there."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
-
-
 def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
     """Names for columns that are joined to df: each as it is, or with underscores before it if df has one of that name, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []
