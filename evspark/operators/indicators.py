@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ipaddress
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,3 +77,33 @@ def refusal(value: Column, allow_private: bool = False) -> Column:
     for p in own:
         private = private | ((r["start"] <= p["end"]) & (p["start"] <= r["end"]))
     return F.when(wide, "too wide").when(F.lit(not allow_private) & private, "private")
+
+
+# Widest blocks of a block list by family, addresses that are on no list, and private ones.
+WIDEST_PREFIX = {4: 8, 6: 32}
+NEVER = ("0.0.0.0/8", "127.0.0.0/8", "224.0.0.0/4", "240.0.0.0/4", "::/128", "::1/128", "ff00::/8")
+PRIVATE_ANY = ("10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "100.64.0.0/10", "fc00::/7", "fe80::/10")
+
+
+def _bounds(block: str) -> tuple[bytes, bytes]:
+    net = ipaddress.ip_network(block)
+    base = 0xFFFF << 32 if net.version == 4 else 0
+    first, last = int(net.network_address), int(net.broadcast_address)
+    return (base + first).to_bytes(16, "big"), (base + last).to_bytes(16, "big")
+
+
+def refusal_any(values: DataFrame, value: str, allow_private: bool = False) -> DataFrame:
+    """values with `refused`: why an IPv4 or IPv6 address or block can't be on a block list: not one, too wide, reserved, or private; null if it can."""
+    found = values.withColumn("_r", ip_range(F.col(value)))
+    start, end, text = F.col("_r.start"), F.col("_r.end"), F.col("_r.text")
+    prefix = F.regexp_extract(text, r"/([0-9]+)$", 1).try_cast("int")
+    wide = prefix < F.when(text.contains(":"), WIDEST_PREFIX[6]).otherwise(WIDEST_PREFIX[4])
+
+    def meets(blocks: tuple[str, ...]) -> Column:
+        hit = F.lit(False)
+        for lo, hi in map(_bounds, blocks):
+            hit = hit | ((start <= F.lit(hi)) & (F.lit(lo) <= end))
+        return hit
+
+    reason = F.when(text.isNull(), "no address").when(wide, "too wide").when(meets(NEVER), "reserved").when(F.lit(not allow_private) & meets(PRIVATE_ANY), "private")
+    return found.withColumn("refused", reason).drop("_r")

@@ -79,3 +79,25 @@ def test_ipv6(spark):
 def test_severities(spark):
     df = spark.createDataFrame([("critical", 12), ("low", 4), ("odd", 8), (None, 5)], "s string, n int")
     assert [tuple(r) for r in df.select(X.severity_rank(F.col("s")), X.severity_of_level(F.col("n"))).collect()] == [(0, "critical"), (3, "low"), (4, "high"), (4, "medium")]
+
+
+def test_guards_of_both_families(spark):
+    """Against the rules by Python's own address arithmetic."""
+    import ipaddress
+
+    from evspark.operators import indicators as N
+
+    values = ["10.0.0.0/7", "8.8.8.8", "127.0.0.1", "224.0.0.0/8", "10.1.2.3", "100.64.1.0/24", "2001:db8::/31", "2001:db8::1", "::1", "ff02::1", "fd00::1", "fe80::/64", "x", "010.1.1.1", "0.0.0.0/1", "::ffff:0:0/96"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for allow in (False, True):
+        got = {r.v: r.refused for r in N.refusal_any(df, "v", allow).collect()}
+        for v in values:
+            try:
+                net = ipaddress.ip_network(v, strict=False)
+            except ValueError:
+                assert got[v] == "no address"
+                continue
+            meets = lambda blocks: any(b.version == net.version and b.overlaps(net) for b in map(ipaddress.ip_network, blocks))  # noqa: B023,E731
+            want = "too wide" if net.prefixlen < N.WIDEST_PREFIX[net.version] else "reserved" if meets(N.NEVER) else "private" if meets(N.PRIVATE_ANY) and not allow else None
+            if v != "::ffff:0:0/96":  # IPv4 in IPv6 form is judged as what it holds
+                assert got[v] == want, v
