@@ -30,6 +30,8 @@ An empty table gives an empty result. Columns other than doc_id and text are not
 from __future__ import annotations
 
 import hashlib
+import inspect
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -210,8 +212,12 @@ def answer_anchors(mail: pa.Table) -> pa.Table:
     return _mail_table(out)
 
 
+def _of_kind(mail: pa.Table, kind: int) -> list[dict]:
+    return mail.filter(pc.equal(mail.column("kind"), kind)).to_pylist()
+
+
 def _anchor_bits(mail: pa.Table) -> dict[int, tuple[bytes, bytes]]:
-    return {r["bucket"]: (r["a"], r["b"]) for r in mail.to_pylist() if r["kind"] == ANCHORS}
+    return {r["bucket"]: (r["a"], r["b"]) for r in _of_kind(mail, ANCHORS)}
 
 
 def _string_hashes(strings: list[bytes]) -> np.ndarray:
@@ -280,10 +286,13 @@ def suffix_array(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, docs
     padded = np.concatenate([text, np.zeros(LONGEST, np.uint8)])
     window = np.ndarray((len(text), LONGEST), np.uint8, padded.data, 0, (1, 1))
     rows = window[starts]
-    rows[np.arange(LONGEST)[None, :] >= lengths[:, None]] = 0
-    # Big-endian words compare like their bytes.
-    words = rows.view(">u8").astype(np.uint64)
+    for lo in range(0, len(rows), CHUNK):
+        rows[lo : lo + CHUNK][np.arange(LONGEST)[None, :] >= lengths[lo : lo + CHUNK, None]] = 0
+    # Big-endian words compare like their bytes: they are swapped in place, and back.
+    words = rows.view(np.uint64)
+    words.byteswap(inplace=True)
     order = np.lexsort((docs, lengths, *words.T[::-1]))
+    words.byteswap(inplace=True)
     prefix = np.zeros(len(order), np.int64)
     for lo in range(1, len(order), CHUNK):
         hi = min(len(order), lo + CHUNK)
@@ -307,7 +316,7 @@ def _smaller_before(docs: np.ndarray, prefix: np.ndarray) -> np.ndarray:
         step = 1 << (len(least) - 1)
         for held in (least, shortest):
             held.append(np.concatenate([held[-1][:step], np.minimum(held[-1][step:], held[-1][:-step])]))
-    at, length = np.arange(n), np.full(n, LONGEST)
+    at, length = np.arange(n, dtype=np.int32), np.full(n, LONGEST, np.uint8)
     # The places before `at` are looked at; `length` is the common prefix with the place `at`.
     for k in range(len(least) - 1, -1, -1):
         step = 1 << k
@@ -318,7 +327,7 @@ def _smaller_before(docs: np.ndarray, prefix: np.ndarray) -> np.ndarray:
         length[go] = np.minimum(length[go], shortest[k][at[go]])
         at[go] -= step
     ok = at > 0
-    out = np.zeros(n, np.int64)
+    out = np.zeros(n, np.uint8)
     before = at[ok] - 1
     reached = docs[before] < docs[ok]
     out[ok] = np.where(reached, np.minimum(length[ok], prefix[at[ok]]), 0)
@@ -332,7 +341,9 @@ def previous_factors(docs: np.ndarray, prefix: np.ndarray) -> np.ndarray:
     Factors shorter than SPAN may come out as shorter ones.
     """
     after = np.concatenate([prefix[:1], prefix[:0:-1]])  # from the end: with the place after
-    return np.maximum(_smaller_before(docs, prefix), _smaller_before(docs[::-1], after)[::-1])
+    ranks = np.unique(docs, return_inverse=True)[1].astype(np.int32)  # the steps hold many copies: small numbers do
+    prefix, after = prefix.astype(np.uint8), after.astype(np.uint8)
+    return np.maximum(_smaller_before(ranks, prefix), _smaller_before(ranks[::-1], after)[::-1])
 
 
 def answer_pieces(mail: pa.Table) -> pa.Table:
@@ -362,12 +373,13 @@ def answer_pieces(mail: pa.Table) -> pa.Table:
     # Equal spans have equal anchors: a string that is alone with its anchor needs no sorting.
     _, group, members = np.unique(np.frombuffer(b"".join(r["d"] for r in rows), "<u4")[one], return_inverse=True, return_counts=True)
     some = np.flatnonzero(np.repeat(members[group] > 1, spans)) if len(one) else base
-    factor = np.zeros(len(of), np.int64)
+    factor = np.zeros(len(of), np.uint8)
     order, prefix = suffix_array(text, starts[some], lengths[some], of[some])
     factor[some[order]] = previous_factors(of[some][order], prefix)
     earlier = factor >= SPAN
     hashes = _string_hashes(list(number))
     out, lo = [], 0
+    del order, prefix, starts, lengths
     for r in rows:
         n = len(r["b"])
         own = which[lo : lo + n]
@@ -384,14 +396,13 @@ def answer_pieces(mail: pa.Table) -> pa.Table:
 def _answers(mail: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all answers to a block about pieces, by string hash in order: hash, first document and place of its flags; then all flags."""
     hashes, firsts, places, flags, n = [], [], [], [], 0
-    for r in mail.to_pylist():
-        if r["kind"] == PIECES:
-            count = np.frombuffer(r["b"], np.uint8).astype(np.int64)
-            hashes.append(np.frombuffer(r["a"], np.uint64))
-            firsts.append(np.frombuffer(r["d"], "<i8"))
-            places.append(n + np.cumsum(count) - count)
-            flags.append(np.unpackbits(np.frombuffer(r["c"], np.uint8), count=int(count.sum())).astype(bool))
-            n += int(count.sum())
+    for r in _of_kind(mail, PIECES):
+        count = np.frombuffer(r["b"], np.uint8).astype(np.int64)
+        hashes.append(np.frombuffer(r["a"], np.uint64))
+        firsts.append(np.frombuffer(r["d"], "<i8"))
+        places.append(n + np.cumsum(count) - count)
+        flags.append(np.unpackbits(np.frombuffer(r["c"], np.uint8), count=int(count.sum())).view(bool))
+        n += int(count.sum())
     if not hashes:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none.astype(bool)
@@ -432,7 +443,9 @@ def remove(buckets: int, with_text: bool):
             np.add.at(edge, covered + SPAN, -1)
         spans, starts, of = block.spans(hot)
         if spans:
-            first = {r["a"]: r["bucket"] for r in mail.filter(pc.equal(mail.column("kind"), HOT_SPANS)).select(["a", "bucket"]).to_pylist()}
+            told = mail.filter(pc.equal(mail.column("kind"), HOT_SPANS))
+            first = dict(zip(told.column("a").to_pylist(), told.column("bucket").to_pylist(), strict=True))
+            del told
             firsts = np.fromiter((first[k] for k in map(_span_key, spans)), np.int64, len(spans))
             covered = starts[firsts < block.ids[block.doc[of]]]
             np.add.at(edge, covered, 1)
@@ -452,6 +465,24 @@ def remove(buckets: int, with_text: bool):
     return run
 
 
+def _returning(work: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """work, which hands memory back after each group, since a worker may idle while others need it. The number of tables has to stay visible to Spark."""
+
+    def one(a: pa.Table) -> pa.Table:
+        try:
+            return work(a)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    def two(a: pa.Table, b: pa.Table) -> pa.Table:
+        try:
+            return work(a, b)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return one if len(inspect.signature(work).parameters) == 1 else two
+
+
 def _dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
     """df dealt by key to enough partitions for PER_TASK groups each, where the session's number of partitions is too low for that."""
     least = -(-groups // PER_TASK)
@@ -467,18 +498,18 @@ def deduplicate(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     docs = docs.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("text"))), F.lit(blocks)))
     bound_batches(docs)
     by_block = _dealt(docs, "block", blocks).groupBy("block")
-    asked = _dealt(by_block.applyInArrow(send_anchors(buckets), MAIL), "bucket", buckets)
-    bits = asked.groupBy("bucket").applyInArrow(answer_anchors, MAIL)
+    asked = _dealt(by_block.applyInArrow(_returning(send_anchors(buckets)), MAIL), "bucket", buckets)
+    bits = asked.groupBy("bucket").applyInArrow(_returning(answer_anchors), MAIL)
     with_bits = by_block.cogroup(bits.groupBy("block"))
-    asked = with_bits.applyInArrow(send_pieces(buckets), MAIL)
-    answers = _dealt(asked, "bucket", buckets).groupBy("bucket").applyInArrow(answer_pieces, MAIL)
+    asked = with_bits.applyInArrow(_returning(send_pieces(buckets)), MAIL)
+    answers = _dealt(asked, "bucket", buckets).groupBy("bucket").applyInArrow(_returning(answer_pieces), MAIL)
     # Spans around hot anchors: each block has at most one row of a span, and rows beyond memory are spilled.
-    spans = with_bits.applyInArrow(send_spans(buckets), "block long, span binary, doc long")
+    spans = with_bits.applyInArrow(_returning(send_spans(buckets)), "block long, span binary, doc long")
     none = F.lit(None).cast("binary")
     first = F.min("doc").over(Window.partitionBy("span"))
     told = spans.select("block", first.alias("bucket"), F.lit(HOT_SPANS).alias("kind"), F.col("span").alias("a"), none.alias("b"), none.alias("c"), none.alias("d"))
     mail = bits.unionByName(answers).unionByName(told)
-    return by_block.cogroup(mail.groupBy("block")).applyInArrow(remove(buckets, with_text), RESULT + ", kept binary" * with_text)
+    return by_block.cogroup(mail.groupBy("block")).applyInArrow(_returning(remove(buckets, with_text)), RESULT + ", kept binary" * with_text)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
