@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, lengths, media, near_dedup, quality, secrets, sharding, suffix_dedup, toxicity
+from . import bpe, chat, decontaminate, divergence, lengths, media, near_dedup, quality, secrets, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_token_counts": lengths.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_media": media.query,
     "op9_chat": chat.query,
     "op10_quality": quality.query,
+    "op11_divergence": divergence.query,
     "op13_sharding": sharding.query,
 }
 
@@ -23,5 +24,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_minhash": near_dedup.SQL,
     "op6_decontaminate": decontaminate.SQL,
     "op9_chat": chat.SQL,
+    "op11_divergence": divergence.SQL,
     "op13_sharding": sharding.SQL,
 }
