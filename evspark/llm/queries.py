@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, divergence, lengths, media, near_dedup, quality, secrets, sharding, suffix_dedup, toxicity
+from . import bpe, chat, decontaminate, divergence, hard_negatives, lengths, media, near_dedup, quality, secrets, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_token_counts": lengths.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat": chat.query,
     "op10_quality": quality.query,
     "op11_divergence": divergence.query,
+    "op12_hard_negatives": hard_negatives.query,
     "op13_sharding": sharding.query,
 }
 
@@ -25,5 +26,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_decontaminate": decontaminate.SQL,
     "op9_chat": chat.SQL,
     "op11_divergence": divergence.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
     "op13_sharding": sharding.SQL,
 }
