@@ -158,11 +158,14 @@ def rules_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STRUCTURED = ('[x a="1"] ', "- ", r'[x a="\]\"\\" b="2"][y@1 c="[z"] ', "[no data] ")
+
+
 def syslog(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = stand_in(spark, sf_dir)
     n = F.col("id").cast("long")
     text = lambda k: (n % k).cast("string")
-    line = F.when(n % 3 == 0, F.concat(F.lit("<"), text(192), F.lit(">1 2024-01-02T03:04:05Z host"), text(5), F.lit(" app "), text(100), F.lit(" - "), F.when(n % 2 == 0, F.lit("[x a=\"1\"] ")).otherwise(F.lit("- ")), F.col("raw")))
+    line = F.when(n % 3 == 0, F.concat(F.lit("<"), text(192), F.lit(">1 2024-01-02T03:04:05Z host"), text(5), F.lit(" app "), text(100), F.lit(" - "), F.element_at(F.array(*[F.lit(x) for x in _STRUCTURED]), (n % 4 + 1).cast("int")), F.col("raw")))
     line = line.when(n % 3 == 1, F.concat(F.lit("<"), text(192), F.lit(">Jan  2 03:04:05 host"), text(5), F.lit(" app["), text(100), F.lit("]: "), F.col("raw"))).otherwise(F.concat(F.lit(" "), F.col("raw"), F.lit(" ")))
     keys = ("format", "facility", "severity", "host", "app_name", "proc_id", "msg_id", "structured_data", "tag", "message")
     found = ingest.syslog(e.select(line.alias("value")), year=2024).select(*[F.get_json_object("parsed", f"$.{k}").alias(k) for k in keys], F.date_format("event_time", SECOND).alias("evt"))
@@ -208,7 +211,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.daily_summary(_findings(spark, sf_dir).filter("detected_at >= '1998-01-01'"))
+    return D.daily_summary(_findings(spark, sf_dir))
 
 
 def disk_health(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,6 +251,13 @@ def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.lit("ip").alias("type"), ip.alias("value"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"), F.lit("low").alias("severity"), (k % 4 > 0).alias("enabled")).dropDuplicates(["type", "value"])
 
 
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as indicators of three sources, of several types, not all of them enabled."""
+    k = F.col("c_custkey")
+    kind = F.element_at(F.array(*[F.lit(t) for t in ("ip", "url", "md5", "email")]), (F.floor(k % 12 / 3) % 3 + k % 2 + 1).cast("int"))
+    return _read(spark, sf_dir, "customer").select(kind.alias("type"), F.concat(F.lit("s"), (k % 3).cast("string")).alias("source"), (k % 4 > 0).alias("enabled"))
+
+
 def library_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _read(spark, sf_dir, "supplier").select(F.explode(F.array(F.concat(F.lit(" 203[.]1.1."), (F.col("s_suppkey") % 250).cast("string")), F.lit("not one"), F.lit("Bad[.]example"))).alias("value"))
     keep = _library(spark, sf_dir).select("type", "value", F.lit("old").alias("source"), "severity", F.lit(False).alias("enabled"))
@@ -273,7 +283,7 @@ QUERIES = {
     "paired_lists": pairs,
     "indicator_import": library_import,
     "indicator_listing": lambda s, d: N.listing(_library(s, d), "ip", None, "203.1", 10, 50).select("type", "value"),
-    "indicator_sources": lambda s, d: N.by_source(_library(s, d).withColumn("source", F.lit("all")).withColumn("enabled", F.lit(True))).withColumn("types", F.array_join("types", ",")),
+    "indicator_sources": lambda s, d: N.by_source(_sources(s, d)).withColumn("types", F.array_join("types", ",")),
     "list_value_checks": checks,
     "dup_groups_ranked": duplicates,
     "merge_plan": merge_plan,
@@ -283,7 +293,7 @@ QUERIES = {
     "cases_with_counts": cases,
     "notify_theta": notify,
     "severity_rank_list": ranked,
-    "severity_summary": lambda s, d: A.severity_summary(_alerts(s, d).filter("severity <> 'medium'")),
+    "severity_summary": lambda s, d: A.severity_summary(_alerts(s, d)),
     "severity_buckets": lambda s, d: A.severity_buckets(_alerts(s, d)),
     "severity_bands": bands,
     "my_alerts": lambda s, d: A.mine(_alerts(s, d), "u4").withColumn("oldest_open", F.date_format("oldest_open", SECOND)),
@@ -328,7 +338,7 @@ ORACLE_SQL = {
     "finding_facets": f"with {_ALERTS_SQL}, f as (select facet, value, count(*) as n from (select unnest(['severity', 'agent', 'package']) as facet, unnest([severity, group_key, rule_name]) as value from a) group by 1, 2), r as (select *, row_number() over (partition by facet order by n desc, value) as rn from f) select facet, value, n from r where rn <= 10",
     "finding_cardinality": f"with {_ALERTS_SQL} select count(distinct group_key) as agent, count(distinct rule_name) as package from a",
     "findings_since": f"with {_ALERTS_SQL} select severity, count(*) as n from a where created_at >= timestamp '1998-01-01' group by 1",
-    "findings_daily": f"with {_ALERTS_SQL}, d as (select strftime(created_at, '%Y-%m-%d') as day, count(*) filter (rank = 0) as critical, count(*) filter (rank = 1) as high, count(*) filter (rank = 2) as medium, count(*) filter (rank = 3) as low, count(*) as total from a where created_at >= timestamp '1998-01-01' group by 1) select *, total - lag(total) over (order by day) as change from d",
+    "findings_daily": f"with {_ALERTS_SQL}, d as (select strftime(created_at, '%Y-%m-%d') as day, count(*) filter (rank = 0) as critical, count(*) filter (rank = 1) as high, count(*) filter (rank = 2) as medium, count(*) filter (rank = 3) as low, count(*) as total from a group by 1) select *, total - lag(total) over (order by day) as change from d",
     "disk_health": f"with {STAND_IN_SQL}, h as (select collector_id as host, arg_max(cast(id as bigint) % 100, received_at) as used, max(received_at) as m from e where collector_id is not null and received_at <= timestamp '2024-01-20' and received_at >= timestamp '2024-01-20' - interval 6 hour group by 1) select host, strftime(m, {SQL_SECOND}) as at, cast(used as integer) as percent, m < timestamp '2024-01-20' - interval 15 minute as stale, used >= 90 as full from h",
     "collector_overview": f"with {STAND_IN_SQL}, r as (select 'c' || s_suppkey as name, timestamp '2024-01-29' as last_seen from supplier), c as (select collector_id as seen, count(*) as n_week, count(*) filter (received_at >= timestamp '2024-01-29') as n_day, max(received_at) as m from e where received_at >= timestamp '2024-01-23' and collector_id is not null group by 1) select coalesce(name, seen) as name, name is not null as registered, coalesce(n_week, 0) as n_week, coalesce(n_day, 0) as n_day, strftime(greatest(last_seen, m), {SQL_SECOND}) as last_at from r full join c on name = seen",
     "pack_usage": f"with {_ALERTS_SQL}, r as (select 'r' || i as rule_id, 'pack' || (i % 4) as pack from (select unnest(range(24)) as i)) select pack, count(distinct r.rule_id) as n_rules, count(id) as n_alerts from r left join a on a.rule_id = r.rule_id group by 1",
@@ -336,7 +346,7 @@ ORACLE_SQL = {
     "paired_lists": "select o_orderkey, case when o_orderkey % 2 = 0 then 2 else 1 end as n, o_orderstatus as id, case when o_orderkey % 2 = 1 then o_orderpriority end as name from orders",
     "indicator_import": f"with {_LIBRARY_SQL}, n as (select distinct '203.1.1.' || (s_suppkey % 250) as value from supplier) select 'ip' as type, value, 'old' as source, 'low' as severity, false as enabled from lib where value not in (select value from n) union all select 'ip', value, 'new', 'high', true from n union all select 'domain', 'bad.example', 'new', 'high', true",
     "indicator_listing": f"with {_LIBRARY_SQL} select 'ip' as type, value from lib where contains(value, '203.1') order by value limit 50 offset 10",
-    "indicator_sources": f"with {_LIBRARY_SQL} select 'all' as source, count(*) as n, count(*) as n_enabled, 'ip' as types from lib",
+    "indicator_sources": "select 's' || (c_custkey % 3) as source, count(*) as n, count(*) filter (c_custkey % 4 > 0) as n_enabled, string_agg(distinct type, ',' order by type) as types from (select c_custkey, (['ip', 'url', 'md5', 'email'])[c_custkey % 12 // 3 % 3 + c_custkey % 2 + 1] as type from customer) group by 1",
     "list_value_checks": """with s as (select s_suppkey as k, s_suppkey % 25 + 4 as bits, (s_suppkey % 256) * 16777216 + ((s_suppkey * 5) % 256) * 65536 as ip from supplier), r as (select *, ip - ip % cast(pow(2, 32 - bits) as bigint) as lo, ip - ip % cast(pow(2, 32 - bits) as bigint) + cast(pow(2, 32 - bits) as bigint) - 1 as hi from s),
 p(a, b) as (values (167772160, 184549375), (2886729728, 2887778303), (3232235520, 3232301055), (2130706432, 2147483647), (2851995648, 2852061183), (1681915904, 1686110207), (0, 16777215), (3758096384, 4026531839), (4026531840, 4294967295))
 select k as s_suppkey, case when bits < 8 then 'too wide' when exists (select 1 from p where lo <= b and a <= hi) then 'private' end as refused, 'host' || k || '.example' as domain, md5(cast(k as varchar)) as hash, cast(null as varchar) as url from r""",
@@ -358,7 +368,7 @@ select rule_id, status, count(*) as n, cast(sum(event_count) as bigint) as event
     "notify_theta": f"""with {_ALERTS_SQL}, c(channel_id, tenant_id, worst, since, f) as (values ('mail', 't0', 1, timestamp '1996-01-01', null), ('chat', 't1', 3, timestamp '1998-01-01', 'rule 1'), ('page', 't2', 0, timestamp '1992-01-01', null))
 select channel_id, count(*) as n, min(id) as least, max(id) as most from a join c on a.tenant_id = c.tenant_id and rank <= worst and created_at >= since and (f is null or contains(lower(rule_name), f)) where not (channel_id = 'mail' and cast(id as bigint) % 2 = 0) group by 1""",
     "severity_rank_list": f"with {_ALERTS_SQL} select id, severity from a order by rank, last_event_at desc, id limit 100",
-    "severity_summary": f"with {_ALERTS_SQL} select s as severity, (select count(*) from a where severity = s and severity <> 'medium') as n from (select unnest(['critical', 'high', 'medium', 'low']) as s)",
+    "severity_summary": f"with {_ALERTS_SQL} select s as severity, (select count(*) from a where severity = s) as n from (select unnest(['critical', 'high', 'medium', 'low']) as s)",
     "severity_buckets": f"with {_ALERTS_SQL} select case when rank < 4 then severity else 'unknown' end as severity, count(*) as n from a group by 1",
     "severity_bands": "select case when p_size % 16 >= 12 then 'critical' when p_size % 16 >= 8 then 'high' when p_size % 16 >= 5 then 'medium' else 'low' end as severity, count(*) as n from part group by 1",
     "my_alerts": f"with {_ALERTS_SQL} select severity, status, count(*) as n, strftime(min(created_at) filter (status = 'open'), {SQL_SECOND}) as oldest_open from a where assignee_id = 'u4' group by 1, 2",
@@ -387,6 +397,6 @@ select page_id, domain from h join d on host = domain or ends_with(host, '.' ||
   (['emerg', 'alert', 'crit', 'err', 'warning', 'notice', 'info', 'debug'])[n % 8 + 1] as severity from (select event_id as n, event_type || ' user=' || user_id as raw from events))
 select case n % 3 when 0 then 'rfc5424' when 1 then 'rfc3164' else 'unstructured' end as format, case when n % 3 < 2 then facility end as facility, case when n % 3 < 2 then severity end as severity,
   case when n % 3 < 2 then 'host' || (n % 5) end as host, case when n % 3 = 0 then 'app' end as app_name, case when n % 3 = 0 then cast(n % 100 as varchar) end as proc_id, cast(null as varchar) as msg_id,
-  case when n % 3 = 0 and n % 2 = 0 then '[x a="1"]' end as structured_data, case when n % 3 = 1 then 'app[' || (n % 100) || ']' end as tag, raw as message, case when n % 3 < 2 then '2024-01-02 03:04:05' end as evt, count(*) as n
+  case when n % 3 = 0 then (['[x a="1"]', null, '[x a="\\]\\"\\\\" b="2"][y@1 c="[z"]', null])[n % 4 + 1] end as structured_data, case when n % 3 = 1 then 'app[' || (n % 100) || ']' end as tag, case when n % 12 = 3 then '[no data] ' || raw else raw end as message, case when n % 3 < 2 then '2024-01-02 03:04:05' end as evt, count(*) as n
 from f group by all""",
 }

@@ -88,14 +88,16 @@ def envelope_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = stand_in(spark, sf_dir)
     n = F.col("id").cast("long")
     deep = F.concat(F.repeat(F.lit('{"a":['), 17), F.lit("1"), F.repeat(F.lit("]}"), 17))
-    parsed = F.when(n % 10 == 0, F.lit("[1]")).when(n % 10 == 1, F.lit("{bad")).when(n % 10 == 2, deep).when(n % 10 == 3, F.lit('{"t":"[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[[["}')).otherwise(F.col("parsed"))
+    parsed = F.when(n % 10 == 0, F.lit("[1]")).when(n % 10 == 1, F.lit("{bad")).when(n % 10 == 2, deep).when(n % 10 == 3, F.concat(F.lit('{"t":"\\\\'), F.repeat(F.lit('\\"['), 40), F.lit('","[[{{":1}'))).otherwise(F.col("parsed"))
+    hidden = F.concat(F.lit('{"\\\\":'), F.repeat(F.lit('{"\\"]}":'), 33), F.lit("1"), F.repeat(F.lit("}"), 34))
+    parsed = F.when(n % 20 == 16, hidden).otherwise(parsed)
     raw = F.when(n % 10 == 4, F.lit("")).otherwise(F.col("raw"))
     source = F.when(n % 10 == 5, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("source_type")))
     checked = cleaned(e.withColumns({"parsed": parsed, "raw": raw, "source_type": source}))
     return checked.groupBy(F.coalesce("rejected", F.concat(F.lit("stored "), "source_type")).alias("result")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_ENVELOPE_SQL = """select case event_id % 10 when 0 then 'parsed' when 1 then 'parsed' when 2 then 'parsed is too deep' when 4 then 'raw' when 5 then 'source_type' else 'stored ' || event_type end as result, count(*) as n from events group by 1"""
+_ENVELOPE_SQL = """select case when event_id % 20 = 16 then 'parsed is too deep' else case event_id % 10 when 0 then 'parsed' when 1 then 'parsed' when 2 then 'parsed is too deep' when 4 then 'raw' when 5 then 'source_type' else 'stored ' || event_type end end as result, count(*) as n from events group by 1"""
 
 
 def timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:

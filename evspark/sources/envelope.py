@@ -25,7 +25,8 @@ MOST_DEPTH = 32
 
 def depth(document: Column) -> Column:
     """Levels of objects and arrays of a JSON text: brackets outside strings, counted as they open and close."""
-    brackets = F.regexp_replace(F.regexp_replace(document, r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^\[\]{}]", "")
+    outside = F.regexp_replace(F.regexp_replace(document, r"(?s)\\.", ""), '"[^"]*"', "")  # escapes go first, so that quotes only bound strings
+    brackets = F.regexp_replace(outside, r"[^\[\]{}]", "")
     steps = F.transform(F.filter(F.split(brackets, ""), lambda b: b != ""), lambda b: F.when(b.isin("[", "{"), 1).otherwise(-1))
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
     return F.aggregate(steps, start, lambda a, x: F.struct((a["now"] + x).alias("now"), F.greatest(a["most"], a["now"] + x).alias("most")), lambda a: a["most"])

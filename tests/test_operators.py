@@ -166,3 +166,41 @@ def test_a_run_raises_more_than_100_groups(spark):
     assert len({r.group_key for r in got}) == len(got) == 300 and {r.n for r in got} == {2}
     assert rulesets.hits(e.drop("host"), rule, now).count() == 1000
     assert match_groups(e.filter("host < 300").drop("host"), group=by_capture(r"from (\S+)")).count() == 300
+
+
+def test_syslog_by_the_grammar(spark):
+    data = r'[a@1 k="x\]y" q="say \"hi\"" e="\\"][b][c z=""]'
+    lines = [
+        (rf"<34>1 2024-01-02T03:04:05Z h app 7 ID {data} the [text]", ("rfc5424", "h", "app", "7", "ID", data, None, "the [text]")),
+        ("<34>1 2024-01-02T03:04:05Z h app 7 ID - - dash", ("rfc5424", "h", "app", "7", "ID", None, None, "- dash")),
+        ("<34>1 2024-01-02T03:04:05Z h - - - [not data] text", ("rfc5424", "h", None, None, None, None, None, "[not data] text")),
+        ('<34>1 2024-01-02T03:04:05Z h - - - [a b="open] text', ("rfc5424", "h", None, None, None, None, None, '[a b="open] text')),
+        ('<34>1 - h app - - [a b="1"]', ("rfc5424", "h", "app", None, None, '[a b="1"]', None, "")),
+        ("<13>Oct  1 00:00:01 h su[1]: a: b", ("rfc3164", "h", None, None, None, None, "su[1]", "a: b")),
+        ("<13>Oct  1 00:00:01 h no colon", ("unstructured", None, None, None, None, None, None, "<13>Oct  1 00:00:01 h no colon")),
+        ("<13>Foo  1 00:00:01 h tag: x", ("unstructured", None, None, None, None, None, None, "<13>Foo  1 00:00:01 h tag: x")),
+        ("<34>0 t h a p m - version 0", ("unstructured", None, None, None, None, None, None, "<34>0 t h a p m - version 0")),
+        ("plain", ("unstructured", None, None, None, None, None, None, "plain")),
+    ]
+    keys = ("format", "host", "app_name", "proc_id", "msg_id", "structured_data", "tag", "message")
+    got = ingest.syslog(spark.createDataFrame([(x,) for x, _ in lines], "value string"), year=2024)
+    got = {r.raw: tuple(r)[1:] for r in got.select("raw", *[F.get_json_object("parsed", f"$.{k}") for k in keys]).collect()}
+    assert got == dict(lines)
+    long = "<34>1 - h a - - [a b=\"" + r"\]" * 4000 + "\"] end"
+    assert ingest.syslog(spark.createDataFrame([(long,)], "value string")).select(F.get_json_object("parsed", "$.message")).first()[0] == "end"
+
+
+def test_depth_ignores_strings(spark):
+    from evspark.sources.envelope import depth
+
+    docs = [('{"k":"[[[[ \\" ]"}', 1), (r'{"\\":[1]}', 2), ('{"[{":{"a\\\\":"}"}}', 2), ("{}", 1), ('{"a":"' + '\\"[' * 300_000 + '"}', 1)]
+    got = spark.createDataFrame(docs, "d string, n int").select(depth(F.col("d")).alias("depth"), "n").collect()
+    assert [r.depth for r in got] == [r.n for r in got]
+
+
+@pytest.mark.parametrize("document", ["{bad", '{"other": []}', "7", '"text"', ""])
+def test_broken_feeds_are_refused(spark, document):
+    lines = spark.createDataFrame([(document,)], "value string")
+    with pytest.raises(Exception, match="BAD_FORMAT"):
+        ingest.feed_values(lines, "feed", "low", form="json").collect()
+    assert ingest.feed_values(spark.createDataFrame([('{"data": []}',)], "value string"), "feed", "low", form="json").count() == 0
