@@ -51,22 +51,28 @@ def group_key(key: Column) -> Column:
     return F.concat(F.lit("ioc:"), key)
 
 
-def alerted(alerts: DataFrame, found: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
-    """Alerts after a scan (found: as `matched` gives), and the new ones among them.
+def changed(alerts: DataFrame, found: DataFrame, now: str) -> DataFrame:
+    """The alerts that a scan (found: as `matched` gives) moves or makes, as they are after it.
 
     The hits of an indicator are added to the count of its open or acknowledged alert, the one of smallest id if there are
-    several, whose last event moves; indicators without such an alert get a new one.
+    several, whose last event moves; indicators without such an alert get a new one. `alerts` needs to hold only those of
+    the groups found.
     """
     at = F.lit(now).cast("timestamp")
     mine = alerts.filter((F.col("rule_name") == RULE) & F.col("status").isin("open", "acknowledged"))
-    mine = mine.groupBy(F.col("group_key").alias("open_key")).agg(F.min("id").alias("open_id"))
+    mine = mine.groupBy(F.col("group_key").alias("open_key")).agg(F.min_by(F.struct(*alerts.columns), "id").alias("open"))
     hits = found.withColumn("open_key", group_key(F.col("key"))).join(mine, "open_key", "left")
-    added = hits.filter(F.col("open_id").isNotNull()).select(F.col("open_id").alias("hit_id"), F.col("n").alias("hit_n"), F.col("last_at").alias("hit_last"))
-    after = alerts.join(added, F.col("id") == F.col("hit_id"), "left").withColumns(
-        {"event_count": F.col("event_count") + F.coalesce("hit_n", F.lit(0)), "last_event_at": F.coalesce("hit_last", "last_event_at")}
-    )
-    new = hits.filter(F.col("open_id").isNull()).select(
-        F.sha2(F.concat_ws("|", F.lit(RULE), "open_key", F.lit(now)), 256).alias("id"), F.lit(None).cast("string").alias("rule_id"), F.lit(RULE).alias("rule_name"), F.col("open_key").alias("group_key"),
-        "severity", F.lit("open").alias("status"), F.col("n").alias("event_count"), F.col("first_at").alias("first_event_at"), F.col("last_at").alias("last_event_at"), at.alias("created_at"),
-    )
-    return after.select(*alerts.columns).unionByName(new.select(*[c for c in new.columns if c in alerts.columns]), allowMissingColumns=True), new
+    moved = {"event_count": F.col("open.event_count") + F.col("n"), "last_event_at": F.col("last_at")}
+    new = {
+        "id": F.sha2(F.concat_ws("|", F.lit(RULE), "open_key", F.lit(now)), 256), "rule_name": F.lit(RULE), "group_key": F.col("open_key"), "severity": F.col("severity"),
+        "status": F.lit("open"), "event_count": F.col("n"), "first_event_at": F.col("first_at"), "last_event_at": F.col("last_at"), "created_at": at,
+    }
+    value = lambda c: F.when(F.col("open").isNotNull(), moved.get(c, F.col(f"open.{c}"))).otherwise(new.get(c, F.lit(None))).cast(alerts.schema[c].dataType)
+    return hits.select(*[value(c).alias(c) for c in alerts.columns])
+
+
+def alerted(alerts: DataFrame, found: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """All alerts after a scan, as `changed` has it, and the new ones among them."""
+    rows = changed(alerts, found, now)
+    new = rows.join(alerts.select("id"), "id", "left_anti").select(*alerts.columns)
+    return alerts.join(rows.select("id"), "id", "left_anti").select(*alerts.columns).unionByName(rows), new

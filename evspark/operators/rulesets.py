@@ -143,11 +143,16 @@ class Detection:
             raise ValueError("suppress_minutes is 1 to 10080")
 
 
+def group_of(rule: Detection) -> Column:
+    if rule.group == "none":
+        return F.lit("all")
+    return by_field(rule.group.removeprefix("field:")) if rule.group.startswith("field:") else by_capture(rule.group)
+
+
 def hits(events: DataFrame, rule: Detection, now: str) -> DataFrame:
     """rule_id, rule_name, group_key, severity, n, first_at and last_at of the groups that reach the threshold in the window before now."""
-    group = None if rule.group == "none" else by_field(rule.group.removeprefix("field:")) if rule.group.startswith("field:") else by_capture(rule.group)
     since = F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(rule.window_minutes))
-    found = match_groups(events.filter(event_time() > since), *rule.conditions(), group=group, threshold=rule.threshold, limit=MOST_GROUPS)
+    found = match_groups(events.filter(event_time() > since), *rule.conditions(), group=group_of(rule), threshold=rule.threshold, limit=MOST_GROUPS)
     return found.select(F.lit(rule.name).alias("rule_id"), F.lit(rule.name).alias("rule_name"), "group_key", F.lit(rule.severity).alias("severity"), "n", "first_at", "last_at", "sample_ids", "sample_raw")
 
 

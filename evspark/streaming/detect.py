@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..functions.fields import event_time
-from ..operators import ioc
+from ..functions.lineage import cut_lineage
+from ..operators import cycle, ioc
+from ..operators.rulesets import Detection
+from ..sources.changes import ChangeLog, delete_folder, subfolders
 from ..sources.tables import EventTable
+from .panes import Panes
 
 
 def deduplicated(events: DataFrame, within: str = "1 hour") -> DataFrame:
@@ -18,14 +22,17 @@ def deduplicated(events: DataFrame, within: str = "1 hour") -> DataFrame:
     return events.withWatermark("received_at", within).dropDuplicatesWithinWatermark(["id", "received_at"])
 
 
-def _arrival(spark: SparkSession, checkpoint: str, number: int) -> str:
-    """The time that a batch first arrived, kept beside the checkpoint, so that a replay of the batch has it too."""
+def arrival(spark: SparkSession, checkpoint: str, number: int) -> str:
+    """The time that a batch first arrived, kept beside the checkpoint, so that a replay of the batch has it too. Those of the last two batches stay."""
     folder = f"{checkpoint}-arrivals/{number}"
     spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")).write.mode("ignore").parquet(folder)
     kept = spark.read.schema("at string").parquet(folder).first()
     if kept is None:  # a failed write left an empty folder
         spark.range(1).select(F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")).write.mode("overwrite").parquet(folder)
         kept = spark.read.schema("at string").parquet(folder).first()
+    for old in subfolders(spark, f"{checkpoint}-arrivals"):
+        if old.isdigit() and int(old) < number - 1:
+            delete_folder(spark, f"{checkpoint}-arrivals/{old}")
     return kept.at
 
 
@@ -37,41 +44,39 @@ def ingest(events: DataFrame, path: str, checkpoint: str, tenant: str, **trigger
 
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        EventTable(spark, path).append(batch, tenant, now=_arrival(spark, checkpoint, number), batch=f"{checkpoint}#{number}")
+        EventTable(spark, path).append(batch, tenant, now=arrival(spark, checkpoint, number), batch=f"{checkpoint}#{number}")
 
     return each_batch(events, store, checkpoint, **trigger)
 
 
-class Versions:
-    """A small table that every batch writes anew, as a numbered version: a batch that comes again starts from the version before it."""
+def indicator_alerts(events: DataFrame, indicators: DataFrame, alerts: ChangeLog, checkpoint: str, **trigger) -> StreamingQuery:
+    """Scan a stream for indicators; each batch writes the alerts that its hits move or make, so nothing is missed or counted twice."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path, schema
-
-    def _numbers(self) -> list[int]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        done = [f.getPath() for f in (fs.listStatus(hadoop) if fs.exists(hadoop) else [])]
-        return sorted(int(p.getName()) for p in done if p.getName().isdigit() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    def scan(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        found = cut_lineage(ioc.matched(batch, indicators))
+        before = alerts.latest(number, found.select(ioc.group_key(F.col("key")).alias("group_key")))
+        alerts.append(number, ioc.changed(before, found, arrival(spark, checkpoint, number)))
 
-    def before(self, number: int | None = None) -> DataFrame:
-        """The newest version before this number, or of all."""
-        have = [n for n in self._numbers() if number is None or n < number]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{have[-1]}") if have else self.spark.createDataFrame([], self.schema)
+    return each_batch(events, scan, checkpoint, **trigger)
 
-    def write(self, number: int, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/{number}")
 
+def rule_alerts(events: DataFrame, rules: Sequence[Detection], panes: Panes, alerts: ChangeLog, checkpoint: str, **trigger) -> StreamingQuery:
+    """All rules over a stream: a batch's events correct their panes, the panes give the hits, and these move or make alerts.
 
-def indicator_alerts(events: DataFrame, indicators: DataFrame, alerts: Versions, checkpoint: str, **trigger) -> StreamingQuery:
-    """Scan a stream for indicators and keep their alerts; the place in the stream moves only with the alerts of the batch, so nothing is missed or counted twice."""
+    What is read in a batch are its events, the panes of the rules' windows and the alerts of the groups hit. The rules' windows end
+    with the minute of the batch's arrival.
+    """
 
-    def scan(batch: DataFrame, number: int) -> None:
+    def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        after, _ = ioc.alerted(alerts.before(number), ioc.matched(batch, indicators), _arrival(spark, checkpoint, number))
-        alerts.write(number, after)
+        now = arrival(spark, checkpoint, number)[:16] + ":00"
+        panes.add(number, batch)
+        found = cut_lineage(panes.hits(now, number + 1))
+        changed = cycle.changes(alerts.latest(number, found.select("group_key")), found, now)
+        alerts.append(number, changed.filter(F.col("id").isNotNull()).drop("change"))
 
-    return each_batch(events, scan, checkpoint, **trigger)
+    return each_batch(events, run, checkpoint, **trigger)
 
 
 def indicator_hits(events: DataFrame, indicators: DataFrame) -> DataFrame:

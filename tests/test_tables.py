@@ -122,11 +122,8 @@ def test_copy_and_backup(spark, table, tmp_path):
     assert damaged(spark, folder, two.withColumn("digest", F.col("digest") + 1)).count() == two.count()
 
 
-SMALL = "id string, rule_name string, group_key string, severity string, status string, event_count long, first_event_at timestamp, last_event_at timestamp, created_at timestamp"
-
-
 def test_streams(spark, tmp_path):
-    """A stream without ids, replayed from its source with a new checkpoint under the same name, and alerts that count each batch once."""
+    """A stream without ids, replayed from its source with a new checkpoint under the same name."""
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     rows(spark, [0], with_id=False).write.json(f"{source}/1")
     read = lambda: spark.readStream.schema(SCHEMA).json(f"{source}/*")
@@ -137,19 +134,3 @@ def test_streams(spark, tmp_path):
     os.rename(ck, ck + "-lost")  # the progress is lost, so the same batch comes again
     detect.ingest(read(), out, ck, "a", availableNow=True).awaitTermination()
     assert stored(EventTable(spark, out)) == first
-
-    library = spark.createDataFrame([("ip", "10.0.0.1", "f", "high", True)], "type string, value string, source string, severity string, enabled boolean")
-    alerts = detect.Versions(spark, str(tmp_path / "alerts"), SMALL)
-    seen = str(tmp_path / "seen")
-    event = lambda i, text: spark.createDataFrame([(f"e{i}", "a", "syslog", None, T0 + timedelta(minutes=i), None, text, "{}")], SCHEMA)
-    event(1, "from 10.0.0.1").union(event(2, "from 10.0.0.2")).write.json(f"{seen}/1")
-    scan = lambda: detect.indicator_alerts(spark.readStream.schema(SCHEMA).json(f"{seen}/*"), library, alerts, ck + "2", availableNow=True).awaitTermination()
-    scan()
-    event(3, "10.0.0.1 again").write.json(f"{seen}/2")
-    scan()
-    got = alerts.before().collect()
-    assert [(r.group_key, r.event_count, r.status) for r in got] == [("ioc:ip:10.0.0.1", 2, "open")]
-    # The last batch once more, as after a crash before it was noted as done.
-    hits = ioc.matched(event(3, "10.0.0.1 again"), library)
-    alerts.write(1, ioc.alerted(alerts.before(1), hits, "2026-10-01 00:03:00")[0])
-    assert [(r.event_count) for r in alerts.before().collect()] == [2]
