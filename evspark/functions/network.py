@@ -1,30 +1,90 @@
-"""IPv6 addresses and blocks, which built-in functions can't parse: one vectorised function over `ipaddress`."""
+"""IPv4 and IPv6 addresses and blocks by column expressions: 16-byte bounds, canonical text, prefixes."""
 
 from __future__ import annotations
 
-import ipaddress
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .security import ipv4_range, ipv4_text
+
+_GROUP = "[0-9a-f]{1,4}"
+_GROUPS = rf"(?:{_GROUP}(?::{_GROUP})*)?"
+#: Eight groups, or fewer around one `::`.
+_V6 = rf"^(?:{_GROUP}(?::{_GROUP}){{7}}|{_GROUPS}::{_GROUPS})\z"
+#: What IPv4 addresses have before them in 16 bytes, and IPv6 addresses may not.
+_MAPPED = "0" * 20 + "f" * 4
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value evaluated once for a row, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _groups(part: Column) -> Column:
+    return F.transform(F.filter(F.split(part, ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0"))
+
+
+def _v6_hex(address: Column) -> Column:
+    """32 hexadecimal digits of an IPv6 address; null for any other text."""
+    shaped = F.when(address.rlike(_V6), address)
+    double = F.contains(shaped, F.lit("::"))
+    head, tail = _groups(F.substring_index(shaped, "::", 1)), F.when(double, _groups(F.substring_index(shaped, "::", -1))).otherwise(F.array().cast("array<string>"))
+
+    def filled(g: Column) -> Column:
+        n = F.size(g["head"]) + F.size(g["tail"])
+        zeros = F.array_repeat(F.lit("0000"), F.greatest(F.lit(8) - n, F.lit(0)))
+        return F.when(F.when(g["double"], n <= 7).otherwise(n == 8), F.array_join(F.concat(g["head"], zeros, g["tail"]), ""))
+
+    return F.when(shaped.isNotNull(), let(F.struct(head.alias("head"), tail.alias("tail"), double.alias("double")), filled))
+
+
+def prefix_hex(digits: Column, bits: Column, fill: str = "0") -> Column:
+    """The first `bits` bits of hexadecimal digits, the rest zeros, or ones where fill is `f`."""
+    whole = F.floor(bits / 4).cast("int")
+    free = F.element_at(F.array(*[F.lit(x) for x in (16, 8, 4, 2)]), F.pmod(bits, F.lit(4)).cast("int") + 1)
+    nibble = F.conv(F.substr(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    low = nibble - F.pmod(nibble, free)
+    cut = F.lower(F.hex((low if fill == "0" else low + free - 1).cast("long")))
+    return F.rpad(F.concat(F.left(digits, whole), F.when(F.pmod(bits, F.lit(4)) > 0, cut).otherwise("")), 32, fill)
+
+
+def _v6_text(digits: Column) -> Column:
+    """Groups without leading zeros; the first longest run of two or more zero groups is `::`."""
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substr(digits, i * 4 + 1, F.lit(4)), "^0{1,3}", ""))
+
+    def short(text: Column) -> Column:
+        runs = [rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?::|$)(.*)$" for n in range(8, 1, -1)]
+        return F.coalesce(*[F.when(text.rlike(r), F.regexp_replace(text, r, "$1::$2")) for r in runs], text)
+
+    return let(F.array_join(groups, ":"), short)
+
 
 def ip_range(c: Column) -> Column:
-    """start and end as 16-byte big-endian values (IPv4 as ::ffff:a.b.c.d) and the canonical text; null for any other text."""
-
-    def parse(values: pd.Series) -> pd.DataFrame:
-        rows = []
-        for v in values:
-            try:
-                net = ipaddress.ip_network(v.strip(), strict=False)
-            except (ValueError, AttributeError):
-                rows.append((None, None, None))
-                continue
-            base = 0xFFFF << 32 if net.version == 4 else 0
-            ends = [(base + int(a)).to_bytes(16, "big") for a in (net.network_address, net.broadcast_address)]
-            rows.append((*ends, str(net) if net.num_addresses > 1 else str(net.network_address)))
-        return pd.DataFrame(rows, columns=["start", "end", "text"])
-
-    # Pandas functions read these hints at run time, which deferred annotations would hide.
-    parse.__annotations__ = {"values": pd.Series, "return": pd.DataFrame}
-    return F.pandas_udf(parse, "start binary, end binary, text string")(c)
+    """start and end as 16-byte values (IPv4 as ::ffff:a.b.c.d), bits (of these 16 bytes, that all addresses of the block share) and the canonical text.
+
+    Host bits of a block are cleared. Null for any other text: zones, netmasks, dotted tails of IPv6 addresses, and IPv4 addresses in
+    IPv6 form too, which are to be written as IPv4.
+    """
+
+    def parsed(v: Column) -> Column:
+        prefix = F.when(v["size"].rlike(r"^[0-9]{1,3}\z"), v["size"].try_cast("int"))
+        v6 = v["v6"].isNotNull() & ~F.startswith(v["v6"], F.lit(_MAPPED))
+        bits = F.when(v6, F.when(v["size"].isNull(), 128).when(prefix <= 128, prefix)).when(v["v4"].isNotNull(), F.when(v["size"].isNull(), 128).otherwise(prefix + 96))
+        digits = F.when(v6, v["v6"]).otherwise(F.concat(F.lit(_MAPPED), F.lower(F.lpad(F.hex(v["v4"]["start"]), 8, "0"))))
+
+        def bounds(b: Column) -> Column:
+            base = F.when(b["v6"], _v6_text(b["start"])).otherwise(ipv4_text(b["v4"]))
+            text = F.when(b["bits"] == 128, base).otherwise(F.concat(base, F.lit("/"), F.when(b["v6"], b["bits"]).otherwise(b["bits"] - 96).cast("string")))
+            return F.struct(F.unhex(b["start"]).alias("start"), F.unhex(b["end"]).alias("end"), b["bits"].alias("bits"), text.alias("text"))
+
+        ends = lambda x: F.struct(prefix_hex(x["digits"], x["bits"]).alias("start"), prefix_hex(x["digits"], x["bits"], "f").alias("end"), x["bits"].alias("bits"), x["v6"].alias("v6"), x["v4"].alias("v4"))
+        known = F.struct(digits.alias("digits"), bits.alias("bits"), v6.alias("v6"), v["v4"]["start"].alias("v4"))
+        return F.when(bits.isNotNull(), let(let(known, ends), bounds))
+
+    v = F.lower(F.trim(c))
+    address = F.substring_index(v, "/", 1)
+    size = F.when(F.contains(v, F.lit("/")), F.substr(v, F.char_length(address) + 2))
+    parts = F.struct(F.when(F.contains(address, F.lit(":")), _v6_hex(address)).alias("v6"), ipv4_range(v).alias("v4"), size.alias("size"))
+    return F.when(c.isNotNull(), let(parts, parsed))

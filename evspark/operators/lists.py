@@ -5,35 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.network import ip_range
-from ..functions.security import ipv4_range, parent_domains
+from ..functions.network import ip_range, prefix_hex
+from ..functions.security import parent_domains
 
 
 def _blocks(rows: DataFrame, value: str) -> DataFrame:
-    r = ipv4_range(F.col(value))
-    found = rows.withColumn("block", r).filter(F.col("block").isNotNull())
-    return found.withColumn("bits", 32 - F.log2(F.col("block.end") - F.col("block.start") + 1).cast("int"))
+    """rows of an address or block, with _start (16 bytes) and _bits."""
+    found = rows.withColumn("_r", ip_range(F.col(value))).filter(F.col("_r").isNotNull())
+    return found.select(*rows.columns, F.col("_r.start").alias("_start"), F.col("_r.bits").alias("_bits"))
+
+
+def _levels(blocks: DataFrame) -> list[int]:
+    """Prefix lengths that occur: at most 129 numbers."""
+    return sorted(r[0] for r in blocks.select("_bits").distinct().collect())
+
+
+def _above(blocks: DataFrame, levels: list[int], strictly: bool) -> DataFrame:
+    """blocks, a row for each of these prefix lengths that isn't longer than its own (or is shorter), with the prefix at that length."""
+    own = F.col("_bits") - int(strictly)
+    at = F.filter(F.array(*[F.lit(n) for n in levels]).cast("array<int>"), lambda n: n <= own)
+    each = blocks.withColumn("_n", F.explode(at))
+    return each.withColumn("_at", F.when(F.col("_n") == F.col("_bits"), F.col("_start")).otherwise(F.unhex(prefix_hex(F.lower(F.hex("_start")), F.col("_n")))))
 
 
 def overlapping(left: DataFrame, right: DataFrame, left_value: str, right_value: str) -> DataFrame:
-    """Pairs of rows whose addresses or CIDR blocks overlap.
+    """Pairs of rows whose IPv4 or IPv6 addresses or blocks overlap; rows of other texts have none.
 
-    Two blocks overlap if one contains the other, so each side's blocks are joined with the blocks above the
-    other side's: equal joins on (start, bits), with at most 33 rows for a block, and no range condition.
+    Two blocks overlap if one contains the other, so each side's blocks are joined, by equality, with those of their prefixes
+    that have a length of a block of the other side: a list of addresses and blocks has few of these, and an address is a
+    row for each of them. Prefixes are 16 bytes.
     """
     a, b = _blocks(left, left_value), _blocks(right, right_value)
-
-    def above(rows: DataFrame, strictly: bool) -> DataFrame:
-        size = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), 32 - n)
-        levels = F.sequence(F.lit(0), F.col("bits"))
-        levels = F.filter(levels, lambda n: n < F.col("bits")) if strictly else levels
-        up = F.transform(levels, lambda n: F.struct((F.col("block.start") - F.pmod(F.col("block.start"), size(n))).alias("start"), n.alias("bits")))
-        return rows.withColumn("at", F.explode(up))
-
-    key = lambda rows: rows.withColumn("at", F.struct(F.col("block.start").alias("start"), F.col("bits")))
-    inside = above(a, False).drop("block", "bits").join(key(b).drop("block", "bits"), "at")
-    around = key(a).drop("block", "bits").join(above(b, True).drop("block", "bits"), "at")
-    return inside.unionByName(around).drop("at")
+    key = lambda rows: rows.withColumns({"_n": F.col("_bits"), "_at": F.col("_start")}).drop("_bits", "_start")
+    inside = _above(a, _levels(b), False).drop("_bits", "_start").join(key(b), ["_n", "_at"])
+    around = key(a).join(_above(b, _levels(a), True).drop("_bits", "_start"), ["_n", "_at"])
+    return inside.unionByName(around).drop("_n", "_at")
 
 
 def covered_domains(values: DataFrame, allowed: DataFrame, value: str, domain: str) -> DataFrame:
@@ -68,10 +74,27 @@ def shrank(now: Column, before: Column) -> Column:
     return (now < 0.2 * before) & (before >= 20)
 
 
-def etag(entries: DataFrame, now: str) -> DataFrame:
-    """One row: the SHA-256 of the published list, its lines joined by newlines. The list's own size bounds the row."""
-    lines = F.array_join(F.sort_array(F.collect_list("value")), "\n")
-    return published(entries, now).agg(F.sha2(lines.cast("binary"), 256).alias("etag"))
+#: Bytes of a published list up to which its tag is the SHA-256 of its text, as clients can compute it.
+PLAIN_BYTES = 8 << 20
+
+
+def etag(entries: DataFrame, now: str, plain_bytes: int = PLAIN_BYTES) -> DataFrame:
+    """One row: the tag of the published list, which changes with any of its lines.
+
+    Up to plain_bytes, which is counted first, it is the SHA-256 of the lines in order, joined by newlines. A longer list has
+    one made in tasks: the exclusive or of the lines' SHA-256 digests, in four numbers, with the number of lines; lines are
+    distinct, so that none cancels another, and no row holds the list.
+    """
+    lines = published(entries, now)
+    n_bytes = lines.agg(F.sum(F.octet_length("value") + F.lit(1))).first()[0] or 0
+    if n_bytes <= plain_bytes:
+        joined = F.array_join(F.sort_array(F.collect_list("value")), "\n")
+        return lines.agg(F.sha2(joined.cast("binary"), 256).alias("etag"))
+    digest = F.sha2(F.col("value").cast("binary"), 256)
+    quarter = lambda i: F.bit_xor(F.conv(F.substr(digest, F.lit(16 * i + 1), F.lit(16)), 16, -10).cast("long")).alias(f"q{i}")
+    parts = lines.agg(*[quarter(i) for i in range(4)], F.count(F.lit(1)).alias("n"))
+    folded = F.concat_ws(":", *[F.lower(F.hex(f"q{i}")) for i in range(4)], F.col("n").cast("string"))
+    return parts.select(F.sha2(folded.cast("binary"), 256).alias("etag"))
 
 
 def with_counts(lists: DataFrame, entries: DataFrame, now: str) -> DataFrame:
@@ -81,26 +104,6 @@ def with_counts(lists: DataFrame, entries: DataFrame, now: str) -> DataFrame:
     return lists.join(n, "list_id", "left").withColumn("entry_count", F.coalesce("entry_count", F.lit(0))).orderBy(F.lower("name"), "list_id")
 
 
-def overlapping_any(left: DataFrame, right: DataFrame, left_value: str, right_value: str) -> DataFrame:
-    """Pairs of rows whose IPv4 or IPv6 addresses or blocks overlap, joined by equal prefixes as in `overlapping`, at most 129 for a block."""
-
-    def blocks(rows: DataFrame, value: str) -> DataFrame:
-        found = rows.withColumn("_r", ip_range(F.col(value))).filter(F.col("_r.start").isNotNull())
-        digits = F.filter(F.split(F.hex("_r.start"), ""), lambda h: h != "")
-        start = F.array_join(F.transform(digits, lambda h: F.lpad(F.conv(h, 16, 2), 4, "0")), "")
-        ends = F.array_join(F.transform(F.filter(F.split(F.hex("_r.end"), ""), lambda h: h != ""), lambda h: F.lpad(F.conv(h, 16, 2), 4, "0")), "")
-        same = F.array_position(F.zip_with(F.split(start, ""), F.split(ends, ""), lambda a, b: a == b), F.lit(False))
-        return found.withColumn("_bits", F.when(same == 0, start).otherwise(F.left(start, (same - 1).cast("int")))).drop("_r")
-
-    a, b = blocks(left, left_value), blocks(right, right_value)
-    up = lambda rows, strictly: rows.withColumn("_at", F.explode(F.transform(F.sequence(F.lit(0), F.char_length("_bits") - int(strictly)), lambda n: F.left("_bits", n))))
-    key = lambda rows: rows.withColumn("_at", F.col("_bits"))
-    longer = lambda rows: up(rows.filter(F.char_length("_bits") > 0), True)
-    inside = up(a, False).drop("_bits").join(key(b).drop("_bits"), "_at")
-    around = key(a).drop("_bits").join(longer(b).drop("_bits"), "_at")
-    return inside.unionByName(around).drop("_at")
-
-
 def published(entries: DataFrame, now: str) -> DataFrame:
     """Active values in order, one a row."""
     active = F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now).cast("timestamp"))

@@ -70,10 +70,55 @@ def test_ranges(spark):
     assert one(spark, X.ipv4_text(F.lit(3232235777))) == ("192.168.1.1",)
 
 
-def test_ipv6(spark):
-    df = spark.createDataFrame([("2001:DB8::1/32",), ("::1",), ("10.0.0.1",), ("zz",), (None,)], "v string")
-    got = [r[0] for r in df.select(ip_range(F.col("v")).text).collect()]
-    assert got == ["2001:db8::/32", "::1", "10.0.0.1", None, None]
+def as_python(v):
+    """start, end, bits and text by Python's address arithmetic; None for what the library refuses too."""
+    if v is None or "%" in v or (":" in v and "." in v):
+        return None
+    head, _, size = v.strip().partition("/")
+    if "/" in v and not (size.isascii() and size.isdigit() and len(size) <= (3 if ":" in v else 2)):
+        return None
+    try:
+        net = ipaddress.ip_network(v.strip(), strict=False)
+        mapped = net.version == 6 and ipaddress.ip_address(head).ipv4_mapped
+    except ValueError:
+        return None
+    if mapped:
+        return None
+    base = 0xFFFF << 32 if net.version == 4 else 0
+    ends = [(base + int(a)).to_bytes(16, "big") for a in (net.network_address, net.broadcast_address)]
+    whole = net.prefixlen == net.max_prefixlen
+    return (*ends, net.prefixlen + (96 if net.version == 4 else 0), str(net.network_address if whole else net))
+
+
+def test_addresses_of_both_families(spark):
+    rnd = random.Random(2)
+    group = lambda: rnd.choice(["0", "0", "0", "1", "ffff", f"{rnd.randrange(65536):x}", f"{rnd.randrange(65536):04X}"])
+    values = ["2001:DB8::1/32", "::1", "::", "::/0", "1::/16", "10.0.0.1", " 10.0.0.9/8 ", "zz", None, "", ":", ":::", "1:::2", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1::3:4:5:6:7:8", "1:2:3:4::5:6:7:8"]
+    values += ["12345::", "g::", "::1/129", "::1/", "::1/-1", "::1/ 3", "/3", "::1/3/4", "1.2.3.4/33", "01.2.3.4", "1.2.3", "::ffff:1.2.3.4", "::ffff:102:304", "::fffe:102:304", "fe80::1%eth0", "1.2.3.4/255.0.0.0", "::0:0/12", "1:0:0:2:0:0:0:3", "1:0:0:2:3:0:0:4", "0:0:1::"]
+    for _ in range(300):
+        head = ":".join(group() for _ in range(rnd.randrange(9)))
+        tail = ":".join(group() for _ in range(rnd.randrange(8)))
+        text = rnd.choice([head + "::" + tail, ":".join(group() for _ in range(8)), head])
+        values.append(text + rnd.choice(["", f"/{rnd.randrange(131)}"]))
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", ip_range(F.col("v")).alias("r"))
+    wrong = [(r.v, r.r, as_python(r.v)) for r in df.collect() if (None if r.r is None else (bytes(r.r.start), bytes(r.r.end), r.r.bits, r.r.text)) != as_python(r.v)]
+    assert wrong == []
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tags_of_long_lists(spark):
+    from evspark.operators import lists
+
+    names = [f"name {i}" for i in range(500)]
+    entries = lambda rows: spark.createDataFrame([(n, None) for n in rows], "value string, expires_at timestamp")
+    plain = lists.etag(entries(names), "2026-01-01 00:00:00").first()[0]
+    assert plain == __import__("hashlib").sha256("\n".join(sorted(names)).encode()).hexdigest()
+    tag = lambda rows: lists.etag(entries(rows).repartition(3), "2026-01-01 00:00:00", 100).first()[0]
+    long = tag(names)
+    assert long != plain and long == tag(names[::-1] + names[:5])  # whatever the order, repeats are one line
+    assert len({long, tag(names[1:]), tag([*names[1:], "other"]), tag([])}) == 4
+    grouped = lists.etag(entries(names), "2026-01-01 00:00:00", 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in grouped
 
 
 def test_severities(spark):
