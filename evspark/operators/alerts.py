@@ -134,13 +134,17 @@ def cases_with_counts(cases: DataFrame, case_alerts: DataFrame, users: DataFrame
 def to_notify(channels: DataFrame, alerts: DataFrame, sent: DataFrame) -> DataFrame:
     """Channel and alert pairs still to be sent: same tenant, at least as severe, not older than the channel, and its text filter fits.
 
-    The join runs on the tenant, so channels are only paired with their own alerts.
+    An equal join: a channel is a row for each severity that it wants and each month from its creation to the newest alert's, so
+    that an alert meets only the channels that want it (but for those created within its month), and a tenant with many
+    alerts is divided by severity and month.
     """
-    c = channels.select("channel_id", "tenant_id", F.col("min_severity"), F.col("created_at").alias("since"), "name_filter")
-    worse = severity_rank(F.col("severity")) <= severity_rank(F.col("min_severity"))
-    named = F.col("name_filter").isNull() | F.contains(F.lower("rule_name"), F.lower("name_filter"))
-    pairs = alerts.select(F.col("id").alias("alert_id"), "tenant_id", "severity", "rule_name", "created_at").join(c, "tenant_id")
-    return pairs.filter(worse & (F.col("created_at") >= F.col("since")) & named).select("channel_id", "alert_id").join(sent, ["channel_id", "alert_id"], "left_anti")
+    month = lambda c: F.trunc(c, "month")
+    newest = alerts.agg(F.max("created_at")).first()[0]
+    c = channels.select("channel_id", "tenant_id", F.col("created_at").alias("since"), F.lower("name_filter").alias("part"), "min_severity").filter(F.col("since") <= F.lit(newest))
+    c = c.withColumn("rank", F.explode(F.sequence(F.lit(0), severity_rank(F.col("min_severity"))))).withColumn("month", F.explode(F.sequence(month("since"), month(F.lit(newest)), F.expr("interval 1 month"))))
+    a = alerts.select(F.col("id").alias("alert_id"), "tenant_id", severity_rank(F.col("severity")).alias("rank"), month("created_at").alias("month"), "created_at", F.lower("rule_name").alias("name"))
+    pairs = a.join(c.drop("min_severity"), ["tenant_id", "rank", "month"]).filter((F.col("created_at") >= F.col("since")) & (F.col("part").isNull() | F.contains("name", "part")))
+    return pairs.select("channel_id", "alert_id").join(sent.select("channel_id", "alert_id"), ["channel_id", "alert_id"], "left_anti")
 
 
 #: Techniques and tactics of an alert at most.

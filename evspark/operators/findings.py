@@ -21,6 +21,22 @@ def cardinalities(findings: DataFrame, columns: list[str], exact: bool = False)
     return findings.agg(*[(F.count_distinct(c) if exact else F.approx_count_distinct(c)).alias(c) for c in columns])
 
 
+#: Logarithm of the slots of a sketch: a relative error of 0.8 % (one deviation), in some 16 kB.
+SKETCH_LOG = 14
+
+
+def sketches(rows: DataFrame, day: Column, columns: list[str], *by: str) -> DataFrame:
+    """A sketch of the distinct values of each column for each day, to be stored: days are summed up without the rows. Null values don't count."""
+    return rows.groupBy(*by, day.alias("day")).agg(*[F.hll_sketch_agg(c, F.lit(SKETCH_LOG)).alias(c) for c in columns])
+
+
+def distinct_between(sketched: DataFrame, columns: list[str], first: str, last: str, *by: str) -> DataFrame:
+    """About how many distinct values each column has from one day to another, both included, from `sketches`."""
+    days = sketched.filter(F.col("day").between(first, last))
+    merged = [F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns]
+    return days.groupBy(*by).agg(*merged) if by else days.agg(*merged)
+
+
 def detected_since(findings: DataFrame, since: str) -> DataFrame:
     return findings.filter(F.col("detected_at") >= F.lit(since).cast("timestamp")).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 

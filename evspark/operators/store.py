@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import event_time
+from ..functions.lineage import cut_lineage
+from ..sources.envelope import depth
 
 MOST_GROUPS = 1000
 
@@ -103,24 +101,27 @@ def field_keys(events: DataFrame, newest: int = 2000, most: int = 200) -> DataFr
     return keys.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(most)
 
 
-def _leaves(value, at: str, depth: int) -> Iterator[str]:
-    if isinstance(value, dict) and depth < 20:
-        for k, v in value.items():
-            yield from _leaves(v, f"{at}.{k}" if at else k, depth + 1)
-    elif not isinstance(value, dict):
-        yield at
+#: Levels of keys that are followed.
+MOST_LEVELS = 20
 
 
 def leaf_paths(events: DataFrame, root: str = "xdm", newest: int = 500, most: int = 500) -> DataFrame:
-    """Dotted paths of leaves under a key of the newest documents that have an object there; arrays are leaves."""
-    some = events.filter(F.get_json_object("parsed", f"$.{root}").startswith("{")).orderBy(F.desc("received_at"), F.desc("id")).limit(newest)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"path": [p for t in b["doc"] for p in _leaves(json.loads(t), "", 0)]})
-
-    paths = some.select(F.get_json_object("parsed", f"$.{root}").alias("doc")).mapInPandas(walk, "path string")
-    return paths.groupBy("path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "path").limit(most)
+    """Dotted paths of leaves under a key of the newest documents that have an object there; arrays are leaves, empty objects have none.
+
+    The documents are taken apart level by level as variants, as many levels as the deepest of these few has.
+    """
+    doc = F.get_json_object("parsed", f"$.{root}")
+    some = events.filter(doc.startswith("{")).orderBy(F.desc("received_at"), F.desc("id")).limit(newest).select(doc.alias("doc"))
+    some = cut_lineage(some)
+    levels = min(some.agg(F.max(depth(F.col("doc")))).first()[0] or 0, MOST_LEVELS)
+    spark, open_ = events.sparkSession, some.select(F.lit("").alias("at"), F.try_parse_json("doc").alias("v"))
+    leaves = spark.createDataFrame([], "path string")
+    for _ in range(levels):
+        each = open_.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(F.concat("at", F.when(F.col("at") == "", "").otherwise("."), "key").alias("at"), F.col("value").alias("v"))
+        each = each.withColumn("more", F.schema_of_variant("v").startswith("OBJECT"))
+        leaves = leaves.unionByName(each.filter(~F.col("more")).select(F.col("at").alias("path")))
+        open_ = each.filter("more").drop("more")
+    return leaves.groupBy("path").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "path").limit(most)
 
 
 def scan_page(events: DataFrame, after: tuple[str, str] | None, limit: int = 1000) -> DataFrame:

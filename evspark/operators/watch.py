@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut_lineage
+from ..functions.sizes import if_small
+
 
 def _ago(now: str, minutes: Column | int) -> Column:
     m = F.lit(minutes) if isinstance(minutes, int) else minutes
@@ -47,29 +50,33 @@ def day_over_day(rows: DataFrame, key: str, day: str, value: str) -> DataFrame:
     return rows.withColumn("previous", before).withColumn("change", F.col(value) - F.col("previous"))
 
 
+#: Ranges of values for each doubling, in which a percentile is looked for.
+RANGES = 64
+
+
 def p95(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """Nearest-rank 95th percentile, exact.
 
-    Equal values are counted before anything else, so what is ranked are distinct values; their running counts are taken within
-    ranges of values of each group and over the ranges' sums, so that no task holds all of a group.
+    Two passes over the rows. The first counts them by ranges of values, some for each doubling, so that what is shuffled are
+    partial counts of ranges, however many values there are; running counts tell each group's range and the place in it. The
+    second takes the rows of that range only. Nulls are left out, and groups without a value; not-a-number is the largest value.
     """
     v = F.col(value).cast("double")
-    counts = rows.filter(v.isNotNull()).groupBy(*by, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    # A range is the values that agree in sign and the leading bits of the exponent and fraction, so about an eighth of a power of two.
-    size = F.greatest(F.abs("_v"), F.lit(1e-300))
-    counts = counts.withColumn("_r", F.when(F.col("_v") == 0, F.lit(0)).otherwise(F.signum("_v") * (F.floor(F.log2(size) * 8) + 20_000)))
+    # Ranges in the order of their values; a range is the values of a sign with the same whole part of RANGES times the logarithm.
+    at = F.floor(F.log2(F.greatest(F.abs(v), F.lit(1e-300))) * RANGES) + 1100 * RANGES
+    at = F.when(F.isnan(v), 1 << 40).when(F.abs(v) == float("inf"), F.signum(v) * (1 << 39)).when(v == 0, 0).otherwise(F.signum(v) * at)
+    ranged = rows.filter(v.isNotNull()).select(*by, v.alias("_v"), at.cast("long").alias("_r"))
     key = [F.col(c) for c in by]
-    sums = counts.groupBy(*by, "_r").agg(F.sum("_n").alias("_s"))
     of = Window.partitionBy(*key)
-    sums = sums.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_r").alias("_q"), (F.sum("_s").over(of.orderBy("_r")) - F.col("_s")).alias("_before"), F.sum("_s").over(of).alias("_all"), "_s")
-    place = F.ceil(F.lit(0.95) * F.col("_all"))
-    sums = sums.filter((F.col("_before") < place) & (F.col("_before") + F.col("_s") >= place))  # the range that the percentile is in
+    sums = ranged.groupBy(*by, "_r").agg(F.count(F.lit(1)).alias("_n"))
+    sums = sums.withColumns({"_upto": F.sum("_n").over(of.orderBy("_r")), "_all": F.sum("_n").over(of)}).withColumn("_place", F.ceil(F.lit(0.95) * F.col("_all")))
+    found = sums.filter((F.col("_upto") >= F.col("_place")) & (F.col("_upto") - F.col("_n") < F.col("_place")))  # one range of each group
+    found = cut_lineage(found.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)], F.col("_r").alias("_q"), (F.col("_place") - F.col("_upto") + F.col("_n")).alias("_place")))
     same = F.col("_r") == F.col("_q")
     for i, c in enumerate(by):
         same &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    inside = Window.partitionBy(*key, "_r").orderBy("_v")
-    found = counts.join(sums, same).withColumn("_upto", F.sum("_n").over(inside) + F.col("_before"))
-    return found.filter(F.col("_upto") >= place).groupBy(*by).agg(F.min("_v").alias("p95"))
+    counts = ranged.join(if_small(found), same).groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"), F.first("_place").alias("_place"))
+    return counts.withColumn("_upto", F.sum("_n").over(of.orderBy("_v"))).filter(F.col("_upto") >= F.col("_place")).groupBy(*by).agg(F.min("_v").alias("p95"))
 
 
 def daily_growth(days: DataFrame, now: str, most: int = 7) -> DataFrame:

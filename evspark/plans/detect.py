@@ -214,6 +214,24 @@ def daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.daily_summary(_findings(spark, sf_dir))
 
 
+RANGES = (("1993-02-01", "1993-02-28"), ("1994-01-01", "1996-12-31"), ("1992-01-01", "1998-12-31"))
+
+
+def sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct parts and suppliers by return flag for some ranges of days, exactly, and whether the days' sketches say so within three hundredths."""
+    line, columns, by = _read(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"], "l_returnflag"
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    days = D.sketches(line, day, columns, by)
+    close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.03 * F.col(b)
+    out = None
+    for first, last in RANGES:
+        exact = line.filter(day.between(first, last)).groupBy(by).agg(*[F.count_distinct(c).alias(c) for c in columns])
+        about = D.distinct_between(days, columns, first, last, by).select(by, F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+        one = exact.join(about, by).select(F.lit(first).alias("first"), by, F.col("l_partkey").alias("parts"), F.col("l_suppkey").alias("suppliers"), close("p", "l_partkey").alias("parts_close"), close("s", "l_suppkey").alias("suppliers_close"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def disk_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = stand_in(spark, sf_dir)
     n = F.col("id").cast("long")
@@ -276,6 +294,7 @@ QUERIES = {
     "finding_cardinality": lambda s, d: D.cardinalities(_findings(s, d), ["agent", "package"], exact=True),
     "findings_since": lambda s, d: D.detected_since(_findings(s, d), "1998-01-01 00:00:00"),
     "findings_daily": daily_summary,
+    "finding_sketches": sketched,
     "disk_health": disk_health,
     "collector_overview": overview,
     "pack_usage": packs,
@@ -339,6 +358,9 @@ ORACLE_SQL = {
     "finding_cardinality": f"with {_ALERTS_SQL} select count(distinct group_key) as agent, count(distinct rule_name) as package from a",
     "findings_since": f"with {_ALERTS_SQL} select severity, count(*) as n from a where created_at >= timestamp '1998-01-01' group by 1",
     "findings_daily": f"with {_ALERTS_SQL}, d as (select strftime(created_at, '%Y-%m-%d') as day, count(*) filter (rank = 0) as critical, count(*) filter (rank = 1) as high, count(*) filter (rank = 2) as medium, count(*) filter (rank = 3) as low, count(*) as total from a group by 1) select *, total - lag(total) over (order by day) as change from d",
+    "finding_sketches": " union all ".join(
+        f"select '{a}' as first, l_returnflag, count(distinct l_partkey) as parts, count(distinct l_suppkey) as suppliers, true as parts_close, true as suppliers_close from lineitem where strftime(l_shipdate, '%Y-%m-%d') between '{a}' and '{b}' group by l_returnflag" for a, b in RANGES
+    ),
     "disk_health": f"with {STAND_IN_SQL}, h as (select collector_id as host, arg_max(cast(id as bigint) % 100, received_at) as used, max(received_at) as m from e where collector_id is not null and received_at <= timestamp '2024-01-20' and received_at >= timestamp '2024-01-20' - interval 6 hour group by 1) select host, strftime(m, {SQL_SECOND}) as at, cast(used as integer) as percent, m < timestamp '2024-01-20' - interval 15 minute as stale, used >= 90 as full from h",
     "collector_overview": f"with {STAND_IN_SQL}, r as (select 'c' || s_suppkey as name, timestamp '2024-01-29' as last_seen from supplier), c as (select collector_id as seen, count(*) as n_week, count(*) filter (received_at >= timestamp '2024-01-29') as n_day, max(received_at) as m from e where received_at >= timestamp '2024-01-23' and collector_id is not null group by 1) select coalesce(name, seen) as name, name is not null as registered, coalesce(n_week, 0) as n_week, coalesce(n_day, 0) as n_day, strftime(greatest(last_seen, m), {SQL_SECOND}) as last_at from r full join c on name = seen",
     "pack_usage": f"with {_ALERTS_SQL}, r as (select 'r' || i as rule_id, 'pack' || (i % 4) as pack from (select unnest(range(24)) as i)) select pack, count(distinct r.rule_id) as n_rules, count(id) as n_alerts from r left join a on a.rule_id = r.rule_id group by 1",

@@ -204,3 +204,49 @@ def test_broken_feeds_are_refused(spark, document):
     with pytest.raises(Exception, match="BAD_FORMAT"):
         ingest.feed_values(lines, "feed", "low", form="json").collect()
     assert ingest.feed_values(spark.createDataFrame([('{"data": []}',)], "value string"), "feed", "low", form="json").count() == 0
+
+
+def test_leaves_of_deep_documents(spark):
+    deep = "1"
+    for i in range(24):
+        deep = '{"k%d":%s}' % (i, deep)
+    docs = ['{"xdm":{"a":{"b":{"c":null,"d":[{"x":1}],"e":{}}},"f.g":"t"}}', '{"xdm":{}}', '{"xdm":3}', '{"xdm":%s}' % deep, '{"xdm":{"a":{"b":{"c":2}}}}', "bad", None]
+    rows = [(str(i), T0, d) for i, d in enumerate(docs)]
+    e = spark.createDataFrame(rows, "id string, received_at timestamp, parsed string")
+    assert {r["path"]: r.n for r in store.leaf_paths(e).collect()} == {"a.b.c": 2, "a.b.d": 1, "f.g": 1}  # beyond twenty levels nothing
+    assert store.leaf_paths(e.limit(0)).count() == 0 and "Python" not in store.leaf_paths(e)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_p95_of_odd_values(spark):
+    import math
+    import random
+
+    from evspark.operators import watch
+
+    rnd = random.Random(6)
+    groups = {"neg": [-rnd.random() * 100 for _ in range(97)], "mix": [rnd.choice([-1, 1]) * 10 ** rnd.uniform(-5, 5) for _ in range(200)], "same": [3.5] * 50, "zero": [0.0, -0.0, 5e-324, -5e-324], "inf": [float("-inf"), 1.0, float("inf")], "one": [7.0], None: [1.0, 2.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("none", None), ("one", None)]
+    got = {r.g: r.p95 for r in watch.p95(spark.createDataFrame(rows, "g string, v double").repartition(3), "v", "g").collect()}
+    assert got == {g: sorted(vs)[math.ceil(0.95 * len(vs)) - 1] for g, vs in groups.items()}
+    nan = watch.p95(spark.createDataFrame([(1, float("nan")), (1, 2.0)], "g int, v double"), "v", "g").first().p95
+    assert math.isnan(nan)
+    many = spark.range(200_000).selectExpr("id % 2 as g", "1000 + id * 1e-3 as v")
+    plan = watch.p95(many, "v", "g")
+    assert plan.count() == 2
+
+
+def test_notify_meets_wanted_alerts_only(spark):
+    import random
+
+    rnd = random.Random(8)
+    levels = ["critical", "high", "medium", "low", "odd", None]
+    channels = [(f"c{i}", f"t{i % 3}", rnd.choice(levels[:4]), T0 - timedelta(days=rnd.randrange(200)), rnd.choice([None, "x", "RULE"])) for i in range(12)] + [("late", "t0", "low", T0 + timedelta(days=9), None)]
+    rows = [(f"a{i}", f"t{rnd.randrange(4)}", rnd.choice(levels), rnd.choice(["rule x", "other", None]), T0 - timedelta(days=rnd.randrange(220), seconds=rnd.randrange(9999))) for i in range(300)]
+    c = spark.createDataFrame(channels, "channel_id string, tenant_id string, min_severity string, created_at timestamp, name_filter string")
+    a = spark.createDataFrame(rows, "id string, tenant_id string, severity string, rule_name string, created_at timestamp")
+    rank = lambda s: levels[:4].index(s) if s in levels[:4] else 4
+    want = {(k[0], x[0]) for k in channels for x in rows if k[1] == x[1] and rank(x[2]) <= rank(k[2]) and x[4] >= k[3] and (k[4] is None or (x[3] and k[4].lower() in x[3].lower()))}
+    sent = set(sorted(want)[::5])
+    got = {(r.channel_id, r.alert_id) for r in A.to_notify(c, a, spark.createDataFrame(sorted(sent), "channel_id string, alert_id string")).collect()}
+    assert got == want - sent and len(got) > 50
+    assert A.to_notify(c, a.limit(0), spark.createDataFrame([], "channel_id string, alert_id string")).count() == 0
