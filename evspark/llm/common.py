@@ -11,13 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut_lineage, shared_folder  # noqa: F401
+from ..functions.sizes import if_small  # noqa: F401
 
 #: Bytes of text that a Python task works on at once (a longer text is worked on alone).
 SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch between Spark and Python tasks.
 BATCH_BYTES = 4 << 20
-#: Bytes of a table's values up to which it is broadcast; beyond that the same join shuffles.
-BROADCAST_BYTES = 16 << 20
 #: Largest id list, in rows of at most 16 bytes, that is broadcast (so 16 MB); beyond it the same join shuffles.
 BROADCAST_ROWS = 1 << 20
 
@@ -37,14 +36,6 @@ def fresh(df: DataFrame, *names: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def if_small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """df, marked for broadcast if its values have at most `most` bytes, which are summed here: texts as long as they are, 16 for each other value."""
-    size = F.lit(0).cast("long")
-    for f in df.schema:
-        size += F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 16 if f.dataType.typeName() in ("string", "binary") else F.lit(16)
-    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= most else df
-
-
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
     """doc_id, text and y of labelled documents: at most `sample` pairs of id and label, those of the smallest hashes of doc_id.
 

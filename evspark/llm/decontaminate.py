@@ -7,8 +7,8 @@ are then extended from the places of the fingerprints found: the windows around
 with the items' windows as words, and the hit spans are merged into counts. An item of fewer than 10 words is one window of its own length; documents
 are fingerprinted with all k-grams of those lengths as well (at most nine, only where such items exist).
 
-Fingerprints of the benchmark are broadcast only if a count shows that they are few (BROADCAST_ROWS);
-otherwise the same joins shuffle. Partial aggregation brings a document's matches down to one row before
+Fingerprints and windows of the benchmark, and ids of hit documents, are broadcast only if their bytes are summed up to few
+(if_small); otherwise the same joins shuffle. Partial aggregation brings a document's matches down to one row before
 anything is shuffled, so neither a frequent passage nor a long document makes a large group.
 
 Null and empty texts have no words. Documents are told apart by doc_id and a hash of the text, so repeated
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut_lineage, fresh, table
+from .common import cut_lineage, fresh, if_small, table
 
 #: Words of a window, of a k-gram, and k-grams of which the smallest is kept.
 WINDOW, GRAM = 10, 6
@@ -120,11 +120,6 @@ def windows(words: Column, length: Column | int) -> Column:
     return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.array_join(F.slice(words, i + 1, length), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
 
@@ -141,19 +136,19 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         whole = _grams(_hashed(bench.filter(F.col("length") == m)), m, "whole")
         of_items = of_items.unionByName(whole.select(_of_length(m)(F.element_at("whole", 1)).alias("print")))
     # explode_outer here and below: for explode Spark infers a filter, and copies the nested expressions into it.
-    of_items = _small(of_items.filter(F.col("print").isNotNull()).distinct().withColumn("found", F.lit(1)))
+    of_items = if_small(of_items.filter(F.col("print").isNotNull()).distinct().withColumn("found", F.lit(1)))
 
     each = fingerprints(_keyed(docs).withColumn("n_words", F.size("words").cast("long")), "prints", short)
     each = each.select("doc_id", "text_key", "n_words", F.explode_outer("prints").alias("print"))
     marked = each.join(of_items, "print", "left").groupBy("doc_id", "text_key", "n_words").agg(F.max("found").alias("found"))
     marked = cut_lineage(marked)  # a small row for each document, read three times
 
-    hit_keys = _small(marked.filter(F.col("found") == 1).select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")))
+    hit_keys = if_small(marked.filter(F.col("found") == 1).select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key")))
     own = docs.withColumn("text_key", F.xxhash64("text")).join(hit_keys, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left_semi")
     own = own.dropDuplicates(["doc_id", "text_key"]).select("doc_id", "text_key", words_of(F.col("text")).alias("words"))
     places = cut_lineage(extended(own, of_items, short))
     of_bench = bench.select("item", "length", F.explode(windows(F.col("words"), F.col("length"))).alias("gram")).distinct()
-    hits = places.join(_small(of_bench), ["length", "gram"]).select("doc_id", "text_key", "pos", "length", "item")
+    hits = places.join(if_small(of_bench), ["length", "gram"]).select("doc_id", "text_key", "pos", "length", "item")
 
     by_doc = ["doc_id", "text_key"]
     spans = hits.groupBy(*by_doc, "pos").agg(F.max("length").alias("length"))
