@@ -155,6 +155,6 @@ def test_held_out_documents_are_not_learnt_from(spark):
     learnt, every = secrets.labelled(found), secrets.labelled(found.filter(~secrets.held_out()))
     assert learnt.count() == every.count() > 20
     got = secrets.scored(found.filter(secrets.held_out()), secrets.fit_for(found)).withColumn("held_out", secrets.held_out())
-    truth = F.col("value").rlike("^[0-9a-f]{40}$") & (F.col("kind") == "assigned")
+    truth = F.col("value").rlike("^[0-9a-fA-F]{40}$") & (F.col("kind") == "assigned")
     wrong = got.filter(F.col("held_out") & (truth != F.col("secret")))
     assert got.filter(F.col("held_out") & F.col("secret")).count() > 0 and wrong.count() == 0
