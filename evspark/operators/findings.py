@@ -47,6 +47,23 @@ def daily_summary(findings: DataFrame) -> DataFrame:
     return days.withColumn("change", F.col("total") - F.lag("total").over(Window.orderBy("day")))  # one row a day
 
 
+def summary(findings: DataFrame, day: str, since: str) -> DataFrame:
+    """One row for the findings as they are: day, findings_total, machines (column agent), distinct_cves (column cve, where there is one), counts by
+    severity with `unknown` for any other, and with new_ before them those first detected at `since` or later."""
+    at = F.col("detected_at") >= F.lit(since).cast("timestamp")
+    known = F.coalesce(F.col("severity").isin(*SEVERITIES), F.lit(False))
+    cves = [F.count_distinct("cve").alias("distinct_cves")] if "cve" in findings.columns else []
+    each = [f(s) for s in SEVERITIES for f in (lambda s: F.count_if(F.col("severity") == s).alias(s), lambda s: F.count_if(at & (F.col("severity") == s)).alias(f"new_{s}"))]
+    return findings.agg(F.lit(day).alias("day"), F.count(F.lit(1)).alias("findings_total"), F.count_distinct("agent").alias("machines"), *cves, F.count_if(~known).alias("unknown"), F.count_if(at).alias("new_total"), *each)
+
+
+def with_changes(summaries: DataFrame) -> DataFrame:
+    """Summaries, a row a day, with total_change and a change for each severity since the day before that has one; null for the first."""
+    before = Window.orderBy("day")  # one row a day
+    change = lambda c, name: (F.col(c) - F.lag(c).over(before)).alias(name)
+    return summaries.select("*", change("findings_total", "total_change"), *[change(s, f"{s}_change") for s in SEVERITIES])
+
+
 def disk_health(samples: DataFrame, now: str, hours: int = 6, stale_minutes: int = 15, full_percent: int = 90) -> DataFrame:
     """Newest sample of each host within the last hours: percent used, whether it is stale, whether the disk is nearly full."""
     at = F.lit(now).cast("timestamp")

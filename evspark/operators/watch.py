@@ -151,6 +151,19 @@ def rule_health(rules: DataFrame, now: str) -> DataFrame:
     return rules.agg(F.count_if(behind).alias("rules_behind"), F.count_if(F.col("enabled") & F.col("last_error").isNotNull()).alias("rules_with_errors"))
 
 
+def scan_lag(scans: DataFrame, indicators: DataFrame, now: str) -> DataFrame:
+    """One row: lag_minutes, how long ago the latest indicator scan (last_run_at) ended; null if none did, or no indicator is enabled."""
+    lag = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.max("last_run_at"))) / 60_000_000
+    both = scans.select("last_run_at", F.lit(False).alias("enabled")).unionByName(indicators.select(F.lit(None).cast("timestamp").alias("last_run_at"), "enabled"))
+    return both.agg(F.when(F.max("enabled"), lag).alias("lag_minutes"))
+
+
+def overdue(deliveries: DataFrame, now: str, minutes: int = 10) -> DataFrame:
+    """One row: overdue, the pending deliveries whose next attempt should have been that long ago."""
+    late = (F.col("status") == "pending") & (F.col("next_attempt_at") < _ago(now, minutes))
+    return deliveries.agg(F.count_if(F.coalesce(late, F.lit(False))).alias("overdue"))
+
+
 # Measures of capacity, from which value on (or below which) they are a warning and critical.
 CAPACITY_ABOVE = {"mem_pct": (85, 92), "cpu_pct": (70, 85), "load_per_cpu": (1.5, 3)}
 CAPACITY_BELOW = {"disk_free_pct": (20, 10), "days_to_full": (30, 14)}

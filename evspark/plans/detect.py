@@ -214,6 +214,27 @@ def daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.daily_summary(_findings(spark, sf_dir))
 
 
+DAYS = (("1993-01-31", "1993-01-01"), ("1995-06-30", "1995-06-29"), ("1998-07-01", "1993-01-01"))
+
+
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings up to three days, each with those new since another day, and the changes from one to the next."""
+    f, found = _findings(spark, sf_dir).withColumn("cve", F.col("package")), None
+    for day, since in DAYS:
+        one = D.summary(f.filter(F.col("detected_at") <= day), day, f"{since} 00:00:00")
+        found = one if found is None else found.unionByName(one)
+    return D.with_changes(found)
+
+
+def _summaries_sql() -> str:
+    names = ("critical", "high", "medium", "low")
+    each = ", ".join(f"count(*) filter (severity = '{s}') as {s}, count(*) filter (severity = '{s}' and fresh) as new_{s}" for s in names)
+    days = " union all ".join(f"select '{d}' as day, created_at >= timestamp '{s}' as fresh, a.* from (select 1) left join a on created_at <= timestamp '{d}'" for d, s in DAYS)
+    changes = ", ".join(f"{s} - lag({s}) over (order by day) as {s}_change" for s in names)
+    return f"""with {_ALERTS_SQL}, x as ({days}), s as (select day, count(id) as findings_total, count(distinct group_key) as machines, count(distinct rule_name) as distinct_cves, count(*) filter (severity = 'odd') as unknown, count(*) filter (fresh) as new_total, {each} from x group by day)
+select *, findings_total - lag(findings_total) over (order by day) as total_change, {changes} from s"""
+
+
 RANGES = (("1993-02-01", "1993-02-28"), ("1994-01-01", "1996-12-31"), ("1992-01-01", "1998-12-31"))
 
 
@@ -295,6 +316,7 @@ QUERIES = {
     "findings_since": lambda s, d: D.detected_since(_findings(s, d), "1998-01-01 00:00:00"),
     "findings_daily": daily_summary,
     "finding_sketches": sketched,
+    "finding_summaries": summaries,
     "disk_health": disk_health,
     "collector_overview": overview,
     "pack_usage": packs,
@@ -358,6 +380,7 @@ ORACLE_SQL = {
     "finding_cardinality": f"with {_ALERTS_SQL} select count(distinct group_key) as agent, count(distinct rule_name) as package from a",
     "findings_since": f"with {_ALERTS_SQL} select severity, count(*) as n from a where created_at >= timestamp '1998-01-01' group by 1",
     "findings_daily": f"with {_ALERTS_SQL}, d as (select strftime(created_at, '%Y-%m-%d') as day, count(*) filter (rank = 0) as critical, count(*) filter (rank = 1) as high, count(*) filter (rank = 2) as medium, count(*) filter (rank = 3) as low, count(*) as total from a group by 1) select *, total - lag(total) over (order by day) as change from d",
+    "finding_summaries": _summaries_sql(),
     "finding_sketches": " union all ".join(
         f"select '{a}' as first, l_returnflag, count(distinct l_partkey) as parts, count(distinct l_suppkey) as suppliers, true as parts_close, true as suppliers_close from lineitem where strftime(l_shipdate, '%Y-%m-%d') between '{a}' and '{b}' group by l_returnflag" for a, b in RANGES
     ),

@@ -356,6 +356,48 @@ _ENDPOINT_LIST_SQL = f"""{_ENDPOINT_SQL} select id as _id, 'a' as asked from x w
 union all select id, 'c' from x where n % 5 = 0 and n % 6 <> 0 union all select id, 'd' from x where n % 7 = 0 and n % 30 = 14 union all select id, 'e' from x where n % 3 = 0 and n % 8 = 3"""
 
 
+_REQUESTS = (
+    ("a", {"severity": "high", "exclude_rule": "508,510,508", "window": "7d", "limit": "20", "offset": "3"}),
+    ("b", {"agent": "host4", "kind": "file_integrity", "window": "30d", "q": ""}),
+    ("c", {"mitre": "T1110", "q": "HOST", "window": "24h", "limit": "100"}),
+)
+
+
+def endpoint_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of endpoint alerts for requests as a client makes them."""
+    events, found = _endpoint_events(spark, sf_dir), None
+    for name, parameters in _REQUESTS:
+        page = E.page(events, "endpoint", E.asked(parameters, _END), _END).select("_id", F.lit(name).alias("asked"))
+        found = page if found is None else found.unionByName(page)
+    return found
+
+
+def _page_sql(name: str, where: str, days: int, limit: int, offset: int) -> str:
+    return f"(select id as _id, '{name}' as asked from y where {where} and evt between timestamp '{_END}' - interval {days} day and timestamp '{_END}' order by evt desc, id desc limit {limit} offset {offset})"
+
+
+_REQUESTS_SQL = f"with {STAND_IN_SQL}, y as (select id, evt, cast(id as bigint) as n from e where cast(id as bigint) % 2 = 0) " + " union all ".join(
+    [
+        _page_sql("a", "n % 16 between 8 and 11 and n % 30 + 500 not in (508, 510)", 7, 20, 3),
+        _page_sql("b", "n % 9 = 4 and n % 6 <> 0 and n % 3 = 0", 30, 50, 0),
+        _page_sql("c", "n % 5 = 0 and n % 6 <> 0", 1, 100, 0),
+    ]
+)
+
+
+def scan_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long ago the latest customer's order was, as the lag of a scan, and orders as deliveries that are overdue."""
+    o = _read(spark, sf_dir, "orders")
+    scans = o.select(F.col("o_orderdate").cast("timestamp").alias("last_run_at"))
+    ind = _read(spark, sf_dir, "customer").select((F.col("c_custkey") % 4 > 2).alias("enabled"))
+    late = W.overdue(o.select(F.when(F.col("o_orderstatus") == "O", "pending").otherwise("sent").alias("status"), F.col("o_orderdate").cast("timestamp").alias("next_attempt_at")), NOW)
+    return W.scan_lag(scans, ind, NOW).select(F.lit("lag_minutes").alias("measure"), F.col("lag_minutes").alias("value")).unionByName(late.select(F.lit("overdue").alias("measure"), F.col("overdue").cast("double").alias("value")))
+
+
+_SCAN_LAG_SQL = f"""select 'lag_minutes' as measure, epoch_us(timestamp '{NOW}' - max(o_orderdate::timestamp)) / 60000000.0::double as value from orders
+union all select 'overdue', count(*) filter (o_orderstatus = 'O' and o_orderdate < timestamp '{NOW}' - interval 10 minute)::double from orders"""
+
+
 def endpoint_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.severities(_endpoint_events(spark, sf_dir), "endpoint", E.AlertFilter(severity="low", kind="file_integrity"), _START, _END)
 
@@ -409,6 +451,8 @@ QUERIES = {
     "safe_drop_day": safe_drop,
     "ioc_alert_upsert": ioc_alerts,
     "endpoint_alert_list": endpoint_list,
+    "endpoint_requests": endpoint_requests,
+    "scan_lag": scan_lag,
     "endpoint_severities": endpoint_severities,
     "endpoint_machines": endpoint_machines,
     "indicator_types": library_types,
@@ -439,6 +483,8 @@ ORACLE_SQL = {
     "safe_drop_day": _SAFE_DROP_SQL,
     "ioc_alert_upsert": _IOC_ALERTS_SQL,
     "endpoint_alert_list": _ENDPOINT_LIST_SQL,
+    "endpoint_requests": _REQUESTS_SQL,
+    "scan_lag": _SCAN_LAG_SQL,
     "endpoint_severities": f"{_ENDPOINT_SQL} select (['low', 'medium', 'high', 'critical'])[n % 4 + 1] as alert_severity, count(*) as n from x where n % 3 = 0 group by 1",
     "endpoint_machines": f"{_ENDPOINT_SQL} select 'host' || (n % 9) as name, count(*) as n from x where n % 6 <> 0 group by 1",
     "indicator_types": "select (['ip', 'url', 'md5'])[c_custkey % 3 + 1] as type, count(*) as n, count(*) filter (c_custkey % 4 > 0 and c_custkey % 5 <> 0) as n_active from customer group by 1",

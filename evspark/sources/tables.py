@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from dataclasses import dataclass
 
@@ -207,33 +208,55 @@ def day_digests(events: DataFrame) -> DataFrame:
     return events.groupBy(day_of().alias("day")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*[F.col(c) for c in SCHEMA.names])).alias("digest"))
 
 
-def backup(events: DataFrame, folder: str, manifest: DataFrame | None = None) -> DataFrame:
+#: Days that are still receiving events: the last ones are written anew by every backup.
+REFRESH_DAYS = 2
+
+
+def _key(spark: SparkSession, secret: str) -> DataFrame:
+    """One row with the key made of a secret: a table, since values in an expression show in plans and logs."""
+    return F.broadcast(spark.createDataFrame([(hashlib.sha256(secret.encode()).digest(),)], "_key binary"))
+
+
+def backup(events: DataFrame, folder: str, manifest: DataFrame | None = None, secret: str | None = None, now_day: str | None = None) -> DataFrame:
     """Write the days whose digest isn't in the manifest (day, n, digest, part) as gzipped JSON lines; returns the new manifest.
 
-    `part` is the folder below `folder` that a day's newest copy is in.
+    `part` is the folder below `folder` that a day's newest copy is in. With a secret each line is encrypted (AES-GCM, 256 bits). With
+    now_day (YYYY-MM-DD) the REFRESH_DAYS days up to it, and later ones, are written in any case.
     """
     part = uuid.uuid4().hex
     now = day_digests(events)
     before = None if manifest is None else manifest.select("day", "n", "digest", "part")
     named = now.withColumn("part", F.lit(None).cast("string")) if before is None else now.join(before, ["day", "n", "digest"], "left")
+    if now_day is not None:
+        named = named.withColumn("part", F.when(F.col("day") <= F.date_sub(F.lit(now_day).cast("date"), REFRESH_DAYS).cast("string"), F.col("part")))
     named = cut_lineage(named.withColumn("part", F.coalesce("part", F.lit(part))))  # a row for each day
     rows = events.withColumn("day", day_of()).join(named.filter(F.col("part") == part).select("day"), "day", "left_semi")
+    if secret is not None:
+        # One line each: base64 may put line breaks into long values.
+        line = F.regexp_replace(F.base64(F.aes_encrypt(F.to_json(F.struct(*SCHEMA.names)).cast("binary"), F.col("_key"), F.lit("GCM"))), r"\s", "")
+        rows.crossJoin(_key(events.sparkSession, secret)).select(line.alias("value"), "day").write.option("compression", "gzip").partitionBy("day").text(f"{folder}/{part}")
+        return named
     rows.select(*SCHEMA.names, "day").write.option("compression", "gzip").partitionBy("day").json(f"{folder}/{part}")
     return named
 
 
-def restored(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """The events of a backup, each day from the part that the manifest names."""
+def restored(spark: SparkSession, folder: str, manifest: DataFrame, secret: str | None = None) -> DataFrame:
+    """The events of a backup, each day from the part that the manifest names. A line that the secret doesn't open, or that was changed, is no event."""
     parts = [r.part for r in manifest.select("part").distinct().collect()]  # one for each run that wrote something
     out = spark.createDataFrame([], SCHEMA)
     for part in parts:
         of = [r.day for r in manifest.filter(F.col("part") == part).select("day").collect()]
-        rows = spark.read.schema(T.StructType([*SCHEMA, _DAY_FIELD])).json(f"{folder}/{part}")
+        if secret is None:
+            rows = spark.read.schema(T.StructType([*SCHEMA, _DAY_FIELD])).json(f"{folder}/{part}")
+        else:
+            lines = spark.read.schema(T.StructType([T.StructField("value", T.StringType()), _DAY_FIELD])).text(f"{folder}/{part}").crossJoin(_key(spark, secret))
+            plain = F.try_aes_decrypt(F.unbase64("value"), F.col("_key"), F.lit("GCM")).cast("string")
+            rows = lines.select("day", F.from_json(plain, SCHEMA).alias("e")).filter(F.col("e.id").isNotNull()).select("day", "e.*")
         out = out.unionByName(rows.filter(F.col("day").isin(of)).select(*SCHEMA.names))
     return out
 
 
-def damaged(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+def damaged(spark: SparkSession, folder: str, manifest: DataFrame, secret: str | None = None) -> DataFrame:
     """Days of the manifest whose backup doesn't have its count and digest (none, if all is well)."""
-    found = day_digests(restored(spark, folder, manifest))
+    found = day_digests(restored(spark, folder, manifest, secret))
     return manifest.select("day", "n", "digest").join(found, ["day", "n", "digest"], "left_anti")

@@ -15,6 +15,7 @@ from ..operators.rulesets import Detection
 from ..sources.changes import ChangeLog, delete_folder, subfolders
 from ..sources.tables import EventTable
 from .panes import Panes
+from .quarantine import Quarantine
 
 
 def deduplicated(events: DataFrame, within: str = "1 hour") -> DataFrame:
@@ -79,6 +80,15 @@ def rule_alerts(events: DataFrame, rules: Sequence[Detection], panes: Panes, ale
     return each_batch(events, run, checkpoint, **trigger)
 
 
+def parsed_batches(events: DataFrame, parse: Callable[[DataFrame], DataFrame], quarantine: Quarantine, store: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
+    """Parse a stream and store every batch, what can't be parsed as it came; store(rows, number) may be called with the same batch again."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        store(quarantine.run(batch, number, arrival(batch.sparkSession, checkpoint, number), parse), number)
+
+    return each_batch(events, run, checkpoint, **trigger)
+
+
 def indicator_hits(events: DataFrame, indicators: DataFrame) -> DataFrame:
     """Stream-static join: each event with the indicators it has."""
     return ioc.matches(events, indicators)

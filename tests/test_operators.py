@@ -250,3 +250,77 @@ def test_notify_meets_wanted_alerts_only(spark):
     got = {(r.channel_id, r.alert_id) for r in A.to_notify(c, a, spark.createDataFrame(sorted(sent), "channel_id string, alert_id string")).collect()}
     assert got == want - sent and len(got) > 50
     assert A.to_notify(c, a.limit(0), spark.createDataFrame([], "channel_id string, alert_id string")).count() == 0
+
+
+def test_requests_are_checked():
+    from evspark.operators import endpoints as E
+
+    now = "2026-10-02 00:00:00"
+    got = E.asked({"severity": "high", "exclude_rule": "1,2,1", "window": "1h", "limit": "7", "mitre": "T1110.003", "q": ""}, now)
+    assert got == E.Asked(E.AlertFilter(severity="high", exclude=("1", "2"), technique="T1110.003"), "2026-10-01 23:00:00", 7, 0)
+    bad = [{"nope": "1"}, {"window": "2h"}, {"severity": "odd"}, {"rule": "x1"}, {"rule": "12345678901"}, {"exclude_rule": "1,,2"}, {"exclude_rule": ",".join(map(str, range(21)))}, {"mitre": "T11"}]
+    bad += [{"mitre": "T1110.3"}, {"q": "two\nlines"}, {"q": "x" * 201}, {"agent": "\x7f"}, {"policy": "a\tb"}, {"kind": "other"}, {"file_event": "moved"}, {"check_result": "not applicable"}, {"limit": "0"}, {"limit": "101"}, {"offset": "901"}, {"offset": "-1"}]
+    for parameters in bad:
+        with pytest.raises(ValueError):
+            E.asked(parameters, now)
+
+
+def test_encrypted_backup(spark, tmp_path):
+    from evspark.sources.tables import damaged, restored
+
+    rows = [(f"e{i}", "a", "syslog", None if i % 3 else "c", T0 + timedelta(days=i % 4, minutes=i), None, f"line {i} \u00e9", '{"n":%d}' % i) for i in range(20)]
+    e = spark.createDataFrame(rows, SCHEMA)
+    folder = str(tmp_path / "b")
+    one = backup(e, folder, secret="s3cret", now_day="2026-10-04")
+    one = spark.createDataFrame(one.collect(), one.schema)
+    back = restored(spark, folder, one, "s3cret")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, e.collect())) and damaged(spark, folder, one, "s3cret").count() == 0
+    text = spark.read.text(f"{folder}/*/*").collect()
+    assert len(text) == 20 and not any("line" in r.value for r in text)
+    assert restored(spark, folder, one, "other").count() == 0 and damaged(spark, folder, one, "other").count() == 4
+    # Unchanged, but the last two days are written again.
+    two = backup(e, folder, one, secret="s3cret", now_day="2026-10-04").collect()
+    assert {r.day for r in two if r.part not in {x.part for x in one.collect()}} == {"2026-10-03", "2026-10-04"}
+    assert "s3cret" not in back._jdf.queryExecution().toString() and "binary_literal" not in back._jdf.queryExecution().toString()
+
+
+def test_quarantine(spark, tmp_path):
+    """Three failures pause a source for a minute; others are parsed meanwhile; a batch that comes again is treated as before."""
+    from evspark.streaming.quarantine import Quarantine
+
+    bad = {"on": True}
+
+    def parse(rows):
+        broken = F.when((F.col("source_type") == "bad") & F.lit(bad["on"]), F.raise_error(F.lit("no"))).otherwise('{"done":1}')
+        return rows.withColumn("parsed", broken)
+
+    rows = [(f"{s}{i}", "a", s, None, T0, None, "x", '{"k":1}') for i in range(2) for s in ("bad", "good")] + [("n", "a", None, None, T0, None, "x", "{}")]
+    batch = spark.createDataFrame(rows, SCHEMA)
+    q = lambda: Quarantine(spark, str(tmp_path / "q"), "rules 1")
+
+    def run(number, second, frame=batch):
+        got = q().run(frame, number, f"2026-10-01 00:00:{second:02d}" if second < 60 else "2026-10-01 00:01:%02d" % (second - 60), parse).collect()
+        assert len(got) == frame.count() and all(r.parsed == '{"done":1}' for r in got if r.source_type != "bad")
+        return {F_.group(1) if (F_ := __import__("re").search('_parse_error":"(\\w+)"', r.parsed)) else "ok" for r in got if r.source_type == "bad"}
+
+    assert [run(n, n) for n in range(3)] == [{"PARSE_FAILED"}] * 3
+    assert run(3, 10) == {"PARSE_QUARANTINED"} and run(4, 61) == {"PARSE_QUARANTINED"}  # until 00:01:02
+    assert run(3, 10) == {"PARSE_QUARANTINED"}  # the batch again
+    assert run(5, 63) == {"PARSE_FAILED"}  # tried again, one strike
+    bad["on"] = False
+    assert run(6, 64) == {"ok"} and q().log.latest().first().strikes == 0
+    bad["on"] = True
+    assert [run(n, n + 60) for n in (7, 8)] == [{"PARSE_FAILED"}] * 2  # strikes start anew
+    assert Quarantine(spark, str(tmp_path / "q"), "rules 2").run(batch.limit(0), 9, "2026-10-01 00:02:00", parse).count() == 0
+
+
+def test_slow_rules_are_stopped(spark, tmp_path):
+    import time
+
+    from evspark.streaming.quarantine import Quarantine
+
+    batch = spark.createDataFrame([("1", "a", "slow", None, T0, None, "x", "{}")], SCHEMA)
+    wait = F.udf(lambda x: time.sleep(60) or x)
+    began = time.time()
+    got = Quarantine(spark, str(tmp_path / "q"), "r", limit_seconds=3).run(batch, 0, "2026-10-01 00:00:00", lambda rows: rows.withColumn("parsed", wait("parsed"))).first()
+    assert "PARSE_TIMEOUT" in got.parsed and time.time() - began < 40
