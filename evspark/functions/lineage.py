@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. A temporary one stands in for it only where all tasks run on this machine."""
+    """The folder that spark.checkpoint.dir names, else the context's. A temporary one stands in for them only where all tasks run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get()
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return tempfile.mkdtemp(prefix="spark-")

@@ -214,12 +214,13 @@ def unparsed_plan(reasons: DataFrame, active: DataFrame, latest: DataFrame, thre
     reasons: reason, n in the window; active: id of open or acknowledged alerts; latest: at most one row of status, closed_by and age_s.
     Raised at the threshold if none is active, but not within the cool-down of one that a person closed; a threshold of 0 turns the watch off.
     """
-    total = reasons.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     by_hand = (F.col("status") == "closed") & ~F.coalesce(F.col("closed_by") == PLATFORM, F.lit(False))
-    cooling = bool(latest.agg(F.max(by_hand & (F.col("age_s") < cooldown_minutes * 60)).alias("c")).first().c)
-    over = threshold > 0 and total >= threshold
-    rows = active if not over else active.limit(0)
-    closed = rows.select(F.lit("close").alias("action"), F.col("id").cast("string").alias("id"), F.lit(total).cast("long").alias("total"))
-    if not over or cooling or not active.isEmpty():
-        return closed
-    return reasons.sparkSession.range(1).select(F.lit("raise").alias("action"), F.lit(None).cast("string").alias("id"), F.lit(total).cast("long").alias("total"))
+    rows = reasons.agg(F.lit("reasons").alias("kind"), F.lit(None).cast("string").alias("id"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"), F.lit(False).alias("cooling"))
+    cooling = F.coalesce(F.max(by_hand & (F.col("age_s") < cooldown_minutes * 60)), F.lit(False))
+    rows = rows.unionByName(latest.agg(F.lit("raise").alias("kind"), F.lit(None).cast("string").alias("id"), F.lit(0).cast("long").alias("n"), cooling.alias("cooling")))
+    rows = rows.unionByName(active.select(F.lit("close").alias("kind"), F.col("id").cast("string").alias("id"), F.lit(0).cast("long").alias("n"), F.lit(False).alias("cooling")))
+    every = Window.partitionBy(F.lit(1))  # a row for the counts, one for the cool-down, and one for each active alert
+    rows = rows.withColumns({"total": F.sum("n").over(every), "quiet": F.max("cooling").over(every), "n_active": F.count_if(F.col("kind") == "close").over(every)})
+    over = F.lit(threshold > 0) & (F.col("total") >= threshold)
+    wanted = F.when(F.col("kind") == "close", ~over).when(F.col("kind") == "raise", over & ~F.col("quiet") & (F.col("n_active") == 0)).otherwise(False)
+    return rows.filter(wanted).select(F.col("kind").alias("action"), "id", "total")

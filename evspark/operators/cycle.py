@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.fields import event_time
 from ..functions.lineage import cut_lineage
 from .match import MOST_GROUPS, SAMPLES
-from .rulesets import Detection, group_of
+from .rulesets import Detection, conditions_of, group_of
 
 #: Code points of an event's text that are kept for an alert.
 SAMPLE_CHARS = 500
@@ -47,7 +47,7 @@ def matched(events: DataFrame, rules: Sequence[Detection], now: str | None = Non
     at = event_time()
 
     def pair(rule: Detection) -> Column:
-        holds = reduce(lambda a, b: a & b, rule.conditions(), F.lit(True))
+        holds = reduce(lambda a, b: a & b, conditions_of(rule), F.lit(True))
         if now is not None:
             holds &= at > F.lit(now).cast("timestamp") - minutes(rule.window_minutes)
         return F.when(holds, F.struct(F.lit(rule.name).alias("rule_id"), group_of(rule).alias("group_key")))

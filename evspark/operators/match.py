@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import event_time, field
+from ..functions.lineage import cut_lineage
 
 SAMPLES, MOST_GROUPS = 5, 1000
 
@@ -35,7 +36,8 @@ def match_groups(
         found = found.filter(condition)
     if after is not None:
         found = found.filter(event_time() > F.lit(after).cast("timestamp"))
-    found = found.select((F.lit("all") if group is None else group).alias("group_key"), event_time().alias("at"), "id", "raw")
+    # Written, since counts and samples both read them: the events are read once.
+    found = cut_lineage(found.select((F.lit("all") if group is None else group).alias("group_key"), event_time().alias("at"), "id", "raw"))
     counts = found.groupBy("group_key").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.max(F.struct("at", "id", "raw")).alias("newest"))
     counts = counts.filter(F.col("n") >= threshold).orderBy(F.desc("n"), "group_key").limit(min(limit, MOST_GROUPS))
     rank = F.row_number().over(Window.partitionBy("group_key").orderBy(F.desc("at"), F.desc("id")))

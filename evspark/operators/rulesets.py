@@ -16,6 +16,8 @@ from .match import MOST_GROUPS, by_capture, by_field, match_groups
 
 #: Keys of a document, and code points of a value, that rules may leave at most.
 MOST_KEYS, MOST_CHARS = 200, 8192
+#: Conditions of a detection at most: ten filters beside a text, a source type and an expression.
+MOST_CONDITIONS = 13
 
 
 @dataclass(frozen=True)
@@ -143,6 +145,13 @@ class Detection:
             raise ValueError("suppress_minutes is 1 to 10080")
 
 
+def conditions_of(rule: Detection) -> list[Column]:
+    made = rule.conditions()
+    if len(made) > MOST_CONDITIONS:
+        raise ValueError(f"{rule.name} has more than {MOST_CONDITIONS} conditions")
+    return made
+
+
 def group_of(rule: Detection) -> Column:
     if rule.group == "none":
         return F.lit("all")
@@ -152,7 +161,7 @@ def group_of(rule: Detection) -> Column:
 def hits(events: DataFrame, rule: Detection, now: str) -> DataFrame:
     """rule_id, rule_name, group_key, severity, n, first_at and last_at of the groups that reach the threshold in the window before now."""
     since = F.lit(now).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(rule.window_minutes))
-    found = match_groups(events.filter(event_time() > since), *rule.conditions(), group=group_of(rule), threshold=rule.threshold, limit=MOST_GROUPS)
+    found = match_groups(events.filter(event_time() > since), *conditions_of(rule), group=group_of(rule), threshold=rule.threshold, limit=MOST_GROUPS)
     return found.select(F.lit(rule.name).alias("rule_id"), F.lit(rule.name).alias("rule_name"), "group_key", F.lit(rule.severity).alias("severity"), "n", "first_at", "last_at", "sample_ids", "sample_raw")
 
 

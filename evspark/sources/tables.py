@@ -118,6 +118,9 @@ class EventTable:
 
         Later days are not read. Days that lose all their rows are dropped as folders, those that lose some are rewritten, others and
         other tenants' are not touched. At most `most_days` days, the oldest ones, are worked on in a run.
+
+        One writer at a time is meant: there is no lock. Still, a day that got rows since it was counted is left alone for the next
+        run, and days are rewritten before others are dropped, so that a run that ends halfway is finished by the next.
         """
         if not self._exists():
             return Deleted({}, [], [])
@@ -132,6 +135,12 @@ class EventTable:
         rewritten = [d for d in now if d not in set(dropped)]
         if rewritten:
             kept = cut_lineage(old.filter(F.col("day").isin(rewritten) & ~F.col("_gone")).drop("_gone"))
+        counted = {d: sum(r.gone + r.kept for r in days[d]) for d in now}
+        there = {r.day: r["count"] for r in self.stored(tenant).filter(F.col("day").isin(now)).groupBy("day").count().collect()} if now else {}
+        now, left = [d for d in now if there.get(d) == counted[d]], [d for d in now if there.get(d) != counted[d]]
+        dropped, rewritten = [d for d in dropped if d in now], [d for d in rewritten if d in now]
+        if rewritten:
+            kept = kept.filter(F.col("day").isin(rewritten)) if left else kept
             kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("tenant_id", "day").parquet(self.path)
         for d in dropped:
             self._drop(tenant, d)

@@ -44,6 +44,11 @@ def test_rules_without_hits_or_names(spark):
     assert cycle.hits(events.limit(0), forty(), "2024-01-20 00:00:00").count() == 0
     with pytest.raises(ValueError):
         cycle.hits(events, forty()[:1] * 2, "2024-01-20 00:00:00")
+    many = Detection("many", "low", lambda: [F.lit(True)] * 14)
+    with pytest.raises(ValueError):
+        cycle.hits(events, [many], "2024-01-20 00:00:00")
+    with pytest.raises(ValueError):
+        rulesets.hits(events, many, "2024-01-20 00:00:00")
     null = Detection("null", "low", lambda: [P.equals("nothing", "x")])  # null is no match
     assert cycle.hits(events, [null], "2024-01-20 00:00:00").count() == 0
 
