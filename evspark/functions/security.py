@@ -131,6 +131,6 @@ def severity_of_level(level: Column) -> Column:
 
 
 def daily_id(*parts: Column) -> Column:
-    """The same UUID-shaped id for the same parts."""
-    h = F.sha2(F.concat_ws("|", *parts), 256)
-    return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    """The same id for the same parts: a UUID of version 5 and the usual variant, of the SHA-256 of the parts between colons."""
+    h = F.sha2(F.concat_ws(":", *parts), 256)
+    return F.concat(F.left(h, F.lit(8)), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-a"), F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import detect, platform, rules, search, store
+from . import detect, jobs, platform, rules, search, store
 
-QUERIES = search.QUERIES | store.QUERIES | detect.QUERIES | platform.QUERIES | rules.QUERIES
-ORACLE_SQL = search.ORACLE_SQL | store.ORACLE_SQL | detect.ORACLE_SQL | platform.ORACLE_SQL | rules.ORACLE_SQL
+QUERIES = search.QUERIES | store.QUERIES | detect.QUERIES | platform.QUERIES | rules.QUERIES | jobs.QUERIES
+ORACLE_SQL = search.ORACLE_SQL | store.ORACLE_SQL | detect.ORACLE_SQL | platform.ORACLE_SQL | rules.ORACLE_SQL | jobs.ORACLE_SQL

@@ -217,6 +217,8 @@ def day_digests(events: DataFrame) -> DataFrame:
     return events.groupBy(day_of().alias("day")).agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64(*[F.col(c) for c in SCHEMA.names])).alias("digest"))
 
 
+#: Times in backups, to the microsecond.
+_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 #: Days that are still receiving events: the last ones are written anew by every backup.
 REFRESH_DAYS = 2
 
@@ -242,10 +244,10 @@ def backup(events: DataFrame, folder: str, manifest: DataFrame | None = None, se
     rows = events.withColumn("day", day_of()).join(named.filter(F.col("part") == part).select("day"), "day", "left_semi")
     if secret is not None:
         # One line each: base64 may put line breaks into long values.
-        line = F.regexp_replace(F.base64(F.aes_encrypt(F.to_json(F.struct(*SCHEMA.names)).cast("binary"), F.col("_key"), F.lit("GCM"))), r"\s", "")
+        line = F.regexp_replace(F.base64(F.aes_encrypt(F.to_json(F.struct(*SCHEMA.names), _TIMES).cast("binary"), F.col("_key"), F.lit("GCM"))), r"\s", "")
         rows.crossJoin(_key(events.sparkSession, secret)).select(line.alias("value"), "day").write.option("compression", "gzip").partitionBy("day").text(f"{folder}/{part}")
         return named
-    rows.select(*SCHEMA.names, "day").write.option("compression", "gzip").partitionBy("day").json(f"{folder}/{part}")
+    rows.select(*SCHEMA.names, "day").write.options(**_TIMES).option("compression", "gzip").partitionBy("day").json(f"{folder}/{part}")
     return named
 
 
@@ -256,11 +258,11 @@ def restored(spark: SparkSession, folder: str, manifest: DataFrame, secret: str
     for part in parts:
         of = [r.day for r in manifest.filter(F.col("part") == part).select("day").collect()]
         if secret is None:
-            rows = spark.read.schema(T.StructType([*SCHEMA, _DAY_FIELD])).json(f"{folder}/{part}")
+            rows = spark.read.schema(T.StructType([*SCHEMA, _DAY_FIELD])).options(**_TIMES).json(f"{folder}/{part}")
         else:
             lines = spark.read.schema(T.StructType([T.StructField("value", T.StringType()), _DAY_FIELD])).text(f"{folder}/{part}").crossJoin(_key(spark, secret))
             plain = F.try_aes_decrypt(F.unbase64("value"), F.col("_key"), F.lit("GCM")).cast("string")
-            rows = lines.select("day", F.from_json(plain, SCHEMA).alias("e")).filter(F.col("e.id").isNotNull()).select("day", "e.*")
+            rows = lines.select("day", F.from_json(plain, SCHEMA, _TIMES).alias("e")).filter(F.col("e.id").isNotNull()).select("day", "e.*")
         out = out.unionByName(rows.filter(F.col("day").isin(of)).select(*SCHEMA.names))
     return out
 
