@@ -131,6 +131,25 @@ def cases_with_counts(cases: DataFrame, case_alerts: DataFrame, users: DataFrame
     return cases.join(n, "case_id", "left").join(owners, "owner_id", "left").withColumn("n_alerts", F.coalesce("n_alerts", F.lit(0)))
 
 
+#: Rows of a page of cases at most.
+MOST_CASES = 200
+
+
+def cases_page(cases: DataFrame, case_alerts: DataFrame, users: DataFrame, status: str = "active", owner: str | int | None = None, unowned: bool = False, limit: int = 50, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A page of cases with their owners and numbers of alerts, latest update first, and one row with the total of all pages.
+
+    status: `active` (open or under investigation), `all`, or one status. Alerts are counted for the cases of the page only.
+    """
+    found = cases.filter(F.col("status").isin("open", "investigating")) if status == "active" else cases if status == "all" else cases.filter(F.col("status") == status)
+    if unowned:
+        found = found.filter(F.col("owner_id").isNull())
+    elif owner is not None:
+        found = found.filter(F.col("owner_id") == F.lit(owner))
+    page = found.orderBy(F.desc("updated_at"), F.desc("case_number")).offset(offset).limit(min(limit, MOST_CASES))
+    mine = case_alerts.join(F.broadcast(page.select("case_id")), "case_id", "left_semi")  # at most MOST_CASES rows
+    return cases_with_counts(page, mine, users).orderBy(F.desc("updated_at"), F.desc("case_number")), found.agg(F.count(F.lit(1)).alias("total"))
+
+
 def to_notify(channels: DataFrame, alerts: DataFrame, sent: DataFrame) -> DataFrame:
     """Channel and alert pairs still to be sent: same tenant, at least as severe, not older than the channel, and its text filter fits.
 

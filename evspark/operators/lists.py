@@ -104,6 +104,19 @@ def with_counts(lists: DataFrame, entries: DataFrame, now: str) -> DataFrame:
     return lists.join(n, "list_id", "left").withColumn("entry_count", F.coalesce("entry_count", F.lit(0))).orderBy(F.lower("name"), "list_id")
 
 
+#: Rows of a page of entries at most.
+MOST_ENTRIES = 500
+
+
+def entries_page(entries: DataFrame, list_id: str | int, now: str, text: str = "", expired: bool = False, limit: int = 100, offset: int = 0) -> tuple[DataFrame, DataFrame]:
+    """A page of a list's active entries, or of its expired ones, that have a text in them whatever its case, latest first; and one row with the total."""
+    gone = F.coalesce(F.col("expires_at") <= F.lit(now).cast("timestamp"), F.lit(False))
+    found = entries.filter((F.col("list_id") == F.lit(list_id)) & (gone if expired else ~gone))
+    if text:
+        found = found.filter(F.contains(F.lower("value"), F.lower(F.lit(text))))
+    return found.orderBy(F.desc("added_at"), "value").offset(offset).limit(min(limit, MOST_ENTRIES)), found.agg(F.count(F.lit(1)).alias("total"))
+
+
 def published(entries: DataFrame, now: str) -> DataFrame:
     """Active values in order, one a row."""
     active = F.col("expires_at").isNull() | (F.col("expires_at") > F.lit(now).cast("timestamp"))

@@ -11,7 +11,7 @@ from ..functions import predicates as P
 from ..functions import rules as R
 from ..functions.lineage import cut_lineage, shared_folder
 from ..functions.security import daily_id
-from ..operators import indicators, lists, rulesets, watch
+from ..operators import alerts, indicators, lists, rulesets, watch
 from ..operators.rulesets import Detection, DropRule
 from ..sources import ingest
 from ..sources.envelope import STAND_IN_SQL, stand_in
@@ -134,6 +134,60 @@ def guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(k, lists.shrank(k % 11, k % 60).alias("shrank"), daily_id(F.lit("summary"), k.cast("string"), F.lit("2024-01-31")).alias("id"))
 
 
+_PAGES = (("active", None, False, 10, 0), ("all", 7, False, 50, 2), ("closed", None, True, 20, 5))
+
+
+def case_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as cases, orders as their alerts, nations as users: three pages and their totals."""
+    k = F.col("c_custkey")
+    status = F.element_at(F.array(F.lit("open"), F.lit("closed"), F.lit("investigating")), (k % 3 + 1).cast("int"))
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("case_id"), k.alias("case_number"), status.alias("status"), F.when(k % 4 > 0, F.col("c_nationkey")).alias("owner_id"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 50).cast("int")).alias("updated_at"))
+    of = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("alert_id"))
+    users = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("user_id"), F.col("n_name").alias("name"))
+    out = None
+    for i, (status_, owner, unowned, limit, offset) in enumerate(_PAGES):
+        page, total = alerts.cases_page(c, of, users, status_, owner, unowned, limit, offset)
+        rows = page.select(F.lit(i).alias("page"), F.col("case_id").cast("long").alias("case_id"), "owner", F.col("n_alerts").alias("n")).unionByName(total.select(F.lit(i).alias("page"), F.lit(None).cast("long").alias("case_id"), F.lit(None).cast("string").alias("owner"), F.col("total").alias("n")))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def entry_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as entries of their nation's list."""
+    k = F.col("c_custkey")
+    expires = F.when(k % 3 > 0, F.date_add(F.lit("2024-01-31").cast("date"), (k % 9 - 4).cast("int")).cast("timestamp"))
+    e = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_nationkey").alias("list_id"), F.col("c_name").alias("value"), expires.alias("expires_at"), (k % 40).alias("added_at"))
+    out = None
+    for i, (text, expired, limit, offset) in enumerate(_ENTRIES):
+        page, total = lists.entries_page(e, 7, NOW, text, expired, limit, offset)
+        rows = page.select(F.lit(i).alias("page"), "value", F.lit(None).cast("long").alias("total")).unionByName(total.select(F.lit(i).alias("page"), F.lit(None).cast("string").alias("value"), "total"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+_ENTRIES = (("", False, 30, 0), ("CUSTOMER#", True, 10, 1), ("1", False, 500, 3))
+
+
+def _case_pages_sql() -> str:
+    base = "with c as (select c_custkey as k, (['open', 'closed', 'investigating'])[c_custkey % 3 + 1] as status, case when c_custkey % 4 > 0 then c_nationkey end as owner_id, c_custkey % 50 as updated from customer), n as (select o_custkey as k, count(*) as n from orders group by 1) "
+    parts = []
+    for i, (status, owner, unowned, limit, offset) in enumerate(_PAGES):
+        where = {"active": "status in ('open', 'investigating')", "all": "true"}.get(status, f"status = '{status}'") + (" and owner_id is null" if unowned else f" and owner_id = {owner}" if owner is not None else "")
+        parts.append(f"select {i} as page, p.k as case_id, n_name as owner, coalesce(n.n, 0) as n from (select * from c where {where} order by updated desc, k desc limit {limit} offset {offset}) p left join nation on n_nationkey = owner_id left join n on n.k = p.k")
+        parts.append(f"select {i}, null, null, count(*) from c where {where}")
+    return base + " union all ".join(parts)
+
+
+def _entry_pages_sql() -> str:
+    base = "with e as (select c_name as value, case when c_custkey % 3 > 0 then c_custkey % 9 - 4 end as days, c_custkey % 40 as added from customer where c_nationkey = 7) "
+    parts = []
+    for i, (text, expired, limit, offset) in enumerate(_ENTRIES):
+        where = ("days <= 0" if expired else "coalesce(days > 0, true)") + f" and contains(lower(value), '{text.lower()}')"
+        parts.append(f"select * from (select {i} as page, value, null::bigint as total from e where {where} order by added desc, value limit {limit} offset {offset})")
+        parts.append(f"select {i}, null, count(*) from e where {where}")
+    return base + " union all ".join(parts)
+
+
 _CASE = "case source_type when 'error' then received_at >= timestamp '2024-01-31' - interval 5 day when 'view' then true else received_at >= timestamp '2024-01-31' - interval 20 day end"
 _DAY = "strftime(received_at, '%Y-%m-%d')"
 QUERIES = {
@@ -149,6 +203,8 @@ QUERIES = {
     "drop_policy": policy,
     "rule_dry_run": dry_run,
     "feed_guards": guards,
+    "case_pages": case_pages,
+    "entry_pages": entry_pages,
 }
 
 ORACLE_SQL = {
@@ -166,6 +222,8 @@ select strftime(ts, {SQL_SECOND}) as at, event_id from s qualify row_number() ov
   when source_type = 'view' then false else true end""",
     "rule_dry_run": f"""with {STAND_IN_SQL}, m as (select regexp_extract(raw, 'user=(\\d+)', 1) as group_key, evt, id from e where source_type = 'error' and k is distinct from '7' and regexp_matches(raw, '=[0-4]') and evt > timestamp '{THEN}' - interval 7 day),
 r as (select *, row_number() over (partition by group_key order by evt desc, id desc) as rn from m) select group_key, count(*) as n, string_agg(id, ',' order by rn) filter (rn <= 5) as sample_ids from r group by 1 having count(*) >= 2 order by n desc, group_key limit 20""",
+    "case_pages": _case_pages_sql(),
+    "entry_pages": _entry_pages_sql(),
     "feed_guards": """with h as (select s_suppkey as k, sha256('summary:' || s_suppkey || ':2024-01-31') as h from supplier)
 select k as s_suppkey, 5 * (k % 11) < k % 60 and k % 60 >= 20 as shrank, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-a' || h[18:20] || '-' || h[21:32] as id from h""",
 }
