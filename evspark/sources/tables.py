@@ -223,9 +223,10 @@ _TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 REFRESH_DAYS = 2
 
 
-def _key(spark: SparkSession, secret: str) -> DataFrame:
-    """One row with the key made of a secret: a table, since values in an expression show in plans and logs."""
-    return F.broadcast(spark.createDataFrame([(hashlib.sha256(secret.encode()).digest(),)], "_key binary"))
+def _keys(spark: SparkSession, secret: str, days: list[str]) -> DataFrame:
+    """The key made of a secret, a row for each day: a table, since values in an expression show in plans and logs."""
+    key = hashlib.sha256(secret.encode()).digest()
+    return F.broadcast(spark.createDataFrame([(d, key) for d in days], "day string, _key binary"))
 
 
 def backup(events: DataFrame, folder: str, manifest: DataFrame | None = None, secret: str | None = None, now_day: str | None = None) -> DataFrame:
@@ -245,7 +246,8 @@ def backup(events: DataFrame, folder: str, manifest: DataFrame | None = None, se
     if secret is not None:
         # One line each: base64 may put line breaks into long values.
         line = F.regexp_replace(F.base64(F.aes_encrypt(F.to_json(F.struct(*SCHEMA.names), _TIMES).cast("binary"), F.col("_key"), F.lit("GCM"))), r"\s", "")
-        rows.crossJoin(_key(events.sparkSession, secret)).select(line.alias("value"), "day").write.option("compression", "gzip").partitionBy("day").text(f"{folder}/{part}")
+        written = [r.day for r in named.filter(F.col("part") == part).select("day").collect()]
+        rows.join(_keys(events.sparkSession, secret, written), "day").select(line.alias("value"), "day").write.option("compression", "gzip").partitionBy("day").text(f"{folder}/{part}")
         return named
     rows.select(*SCHEMA.names, "day").write.options(**_TIMES).option("compression", "gzip").partitionBy("day").json(f"{folder}/{part}")
     return named
@@ -260,7 +262,7 @@ def restored(spark: SparkSession, folder: str, manifest: DataFrame, secret: str
         if secret is None:
             rows = spark.read.schema(T.StructType([*SCHEMA, _DAY_FIELD])).options(**_TIMES).json(f"{folder}/{part}")
         else:
-            lines = spark.read.schema(T.StructType([T.StructField("value", T.StringType()), _DAY_FIELD])).text(f"{folder}/{part}").crossJoin(_key(spark, secret))
+            lines = spark.read.schema(T.StructType([T.StructField("value", T.StringType()), _DAY_FIELD])).text(f"{folder}/{part}").join(_keys(spark, secret, of), "day")
             plain = F.try_aes_decrypt(F.unbase64("value"), F.col("_key"), F.lit("GCM")).cast("string")
             rows = lines.select("day", F.from_json(plain, SCHEMA, _TIMES).alias("e")).filter(F.col("e.id").isNotNull()).select("day", "e.*")
         out = out.unionByName(rows.filter(F.col("day").isin(of)).select(*SCHEMA.names))
