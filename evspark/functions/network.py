@@ -68,23 +68,28 @@ def ip_range(c: Column) -> Column:
     IPv6 form too, which are to be written as IPv4.
     """
 
-    def parsed(v: Column) -> Column:
-        prefix = F.when(v["size"].rlike(r"^[0-9]{1,3}\z"), v["size"].try_cast("int"))
-        v6 = v["v6"].isNotNull() & ~F.startswith(v["v6"], F.lit(_MAPPED))
-        bits = F.when(v6, F.when(v["size"].isNull(), 128).when(prefix <= 128, prefix)).when(v["v4"].isNotNull(), F.when(v["size"].isNull(), 128).otherwise(prefix + 96))
-        digits = F.when(v6, v["v6"]).otherwise(F.concat(F.lit(_MAPPED), F.lower(F.lpad(F.hex(v["v4"]["start"]), 8, "0"))))
+    v = F.lower(F.trim(c))
+    address = F.substring_index(v, "/", 1)
+    size = F.when(F.contains(v, F.lit("/")), F.substr(v, F.char_length(address) + 2))
+    prefix = F.when(size.rlike(r"^[0-9]{1,3}\z"), size.try_cast("int"))
+
+    def block(start: Column, end: Column, bits: Column, text: Column) -> Column:
+        return F.struct(F.unhex(start).alias("start"), F.unhex(end).alias("end"), bits.alias("bits"), text.alias("text"))
 
+    def four(x: Column) -> Column:
+        digits = lambda n: F.concat(F.lit(_MAPPED), F.lpad(F.hex(n), 8, "0"))
+        start, bits = x["block"]["start"], F.coalesce(x["prefix"], F.lit(32))
+        text = F.concat(ipv4_text(start), F.when(bits < 32, F.concat(F.lit("/"), bits.cast("string"))).otherwise(""))
+        return F.when(x["block"].isNotNull(), block(digits(start), digits(x["block"]["end"]), bits + 96, text))
+
+    def six(x: Column) -> Column:
         def bounds(b: Column) -> Column:
-            base = F.when(b["v6"], _v6_text(b["start"])).otherwise(ipv4_text(b["v4"]))
-            text = F.when(b["bits"] == 128, base).otherwise(F.concat(base, F.lit("/"), F.when(b["v6"], b["bits"]).otherwise(b["bits"] - 96).cast("string")))
-            return F.struct(F.unhex(b["start"]).alias("start"), F.unhex(b["end"]).alias("end"), b["bits"].alias("bits"), text.alias("text"))
+            text = F.concat(_v6_text(b["start"]), F.when(b["bits"] < 128, F.concat(F.lit("/"), b["bits"].cast("string"))).otherwise(""))
+            return block(b["start"], b["end"], b["bits"], text)
 
-        ends = lambda x: F.struct(prefix_hex(x["digits"], x["bits"]).alias("start"), prefix_hex(x["digits"], x["bits"], "f").alias("end"), x["bits"].alias("bits"), x["v6"].alias("v6"), x["v4"].alias("v4"))
-        known = F.struct(digits.alias("digits"), bits.alias("bits"), v6.alias("v6"), v["v4"]["start"].alias("v4"))
-        return F.when(bits.isNotNull(), let(let(known, ends), bounds))
+        bits = F.when(x["size"].isNull(), 128).when(x["prefix"] <= 128, x["prefix"])
+        ends = F.struct(prefix_hex(x["digits"], bits).alias("start"), prefix_hex(x["digits"], bits, "f").alias("end"), bits.alias("bits"))
+        return F.when(bits.isNotNull() & ~F.startswith(x["digits"], F.lit(_MAPPED)), let(ends, bounds))
 
-    v = F.lower(F.trim(c))
-    address = F.substring_index(v, "/", 1)
-    size = F.when(F.contains(v, F.lit("/")), F.substr(v, F.char_length(address) + 2))
-    parts = F.struct(F.when(F.contains(address, F.lit(":")), _v6_hex(address)).alias("v6"), ipv4_range(v).alias("v4"), size.alias("size"))
-    return F.when(c.isNotNull(), let(parts, parsed))
+    of_six = let(F.struct(_v6_hex(address).alias("digits"), size.alias("size"), prefix.alias("prefix")), six)
+    return F.when(F.contains(v, F.lit(":")), of_six).otherwise(let(F.struct(ipv4_range(v).alias("block"), prefix.alias("prefix")), four))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut_lineage
 from ..functions.network import ip_range, prefix_hex
 from ..functions.security import parent_domains
 
@@ -35,7 +36,7 @@ def overlapping(left: DataFrame, right: DataFrame, left_value: str, right_value:
     that have a length of a block of the other side: a list of addresses and blocks has few of these, and an address is a
     row for each of them. Prefixes are 16 bytes.
     """
-    a, b = _blocks(left, left_value), _blocks(right, right_value)
+    a, b = (cut_lineage(_blocks(rows, value)) for rows, value in ((left, left_value), (right, right_value)))  # read three times
     key = lambda rows: rows.withColumns({"_n": F.col("_bits"), "_at": F.col("_start")}).drop("_bits", "_start")
     inside = _above(a, _levels(b), False).drop("_bits", "_start").join(key(b), ["_n", "_at"])
     around = key(a).join(_above(b, _levels(a), True).drop("_bits", "_start"), ["_n", "_at"])
