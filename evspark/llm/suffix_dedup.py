@@ -15,7 +15,9 @@ same anchor form one piece of text. Documents are dealt by id into blocks of abo
    smaller doc_id, and takes the longer of the two common prefixes: the longest previous factor. Spans whose
    factor reaches SPAN are in an earlier document.
    The many different surroundings of a frequent passage would meet in one bucket: of hot anchors the single
-   spans are told their first document by a hash instead, in a window that may spill.
+   spans are told their first document by a hash instead. A span may be in every block, so its rows meet by groups
+   of blocks first, and then the groups' smallest ones: no task holds more of its rows than the root of the number
+   of blocks.
 3. The answer goes back to the block, which marks, removes and hashes.
 
 So texts move once, to their block; after that only hashes, bits, and pieces of shared text move, each at
@@ -31,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import inspect
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -196,7 +199,7 @@ def send_anchors(buckets: int):
     return run
 
 
-def answer_anchors(mail: pa.Table) -> pa.Table:
+def answer_anchors(mail: pa.Table, hot_from: int | None = None) -> pa.Table:
     """Bits for each block's anchors: in more than one document, in very many."""
     rows = mail.to_pylist()
     size = [len(r["a"]) // 6 for r in rows]
@@ -204,7 +207,7 @@ def answer_anchors(mail: pa.Table) -> pa.Table:
     wide[:, :6] = np.frombuffer(b"".join(r["a"] for r in rows), np.uint8).reshape(-1, 6)
     values, inverse = np.unique(wide.view("<u8").ravel(), return_inverse=True)
     total = np.bincount(inverse, np.frombuffer(b"".join(r["b"] for r in rows), np.uint8), len(values))
-    several, hot = (total > 1)[inverse], (total >= HOT)[inverse]
+    several, hot = (total > 1)[inverse], (total >= (hot_from or HOT))[inverse]
     out, at = [], 0
     for r, n in zip(rows, size, strict=True):
         out.append((r["block"], r["bucket"], ANCHORS, np.packbits(several[at : at + n]).tobytes(), np.packbits(hot[at : at + n]).tobytes(), None, None))
@@ -489,8 +492,24 @@ def _dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
     return df.repartition(least, key) if least > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
-def deduplicate(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with_text: the remaining bytes as `kept` too."""
+def first_documents(spans: DataFrame, groups: int) -> DataFrame:
+    """block, span and `first`, the smallest doc with that span, of rows block, span, doc.
+
+    Rows of a span meet by group of blocks, whose smallest ones then meet; what a smaller one of another group changes goes
+    back by group and span. So no task meets more rows of a span than a group has blocks, or than there are groups.
+    """
+    group = F.pmod("block", F.lit(groups))
+    in_group = Window.partitionBy("group", "span").orderBy("doc")
+    dealt = spans.withColumn("group", group)
+    # Both branches read all columns of one exchange, which Spark so makes once; a rank would put a limit before it in one of them.
+    own = dealt.withColumn("least", F.first("doc").over(in_group)).select("group", "block", "span", "least")
+    leaders = dealt.withColumn("before", F.lag("doc").over(in_group)).filter("before is null").select("block", "span", "doc")
+    smaller = leaders.withColumn("first", F.min("doc").over(Window.partitionBy("span"))).filter("first < doc")
+    return own.join(smaller.select(group.alias("group"), "span", "first"), ["group", "span"], "left").select("block", "span", F.coalesce("first", "least").alias("first"))
+
+
+def deduplicate(docs: DataFrame, *, with_text: bool = False, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; with_text: the remaining bytes as `kept` too; hot: documents from which an anchor counts as hot."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // BLOCK_BYTES))
@@ -499,15 +518,15 @@ def deduplicate(docs: DataFrame, *, with_text: bool = False) -> DataFrame:
     bound_batches(docs)
     by_block = _dealt(docs, "block", blocks).groupBy("block")
     asked = _dealt(by_block.applyInArrow(_returning(send_anchors(buckets)), MAIL), "bucket", buckets)
-    bits = asked.groupBy("bucket").applyInArrow(_returning(answer_anchors), MAIL)
+    bits = asked.groupBy("bucket").applyInArrow(_returning(lambda mail: answer_anchors(mail, hot)), MAIL)
     with_bits = by_block.cogroup(bits.groupBy("block"))
     asked = with_bits.applyInArrow(_returning(send_pieces(buckets)), MAIL)
     answers = _dealt(asked, "bucket", buckets).groupBy("bucket").applyInArrow(_returning(answer_pieces), MAIL)
-    # Spans around hot anchors: each block has at most one row of a span, and rows beyond memory are spilled.
-    spans = with_bits.applyInArrow(_returning(send_spans(buckets)), "block long, span binary, doc long")
+    # Spans around hot anchors: each block has at most one row of a span.
+    spans = with_bits.applyInArrow(_returning(send_spans(buckets)), "block long not null, span binary not null, doc long not null")
     none = F.lit(None).cast("binary")
-    first = F.min("doc").over(Window.partitionBy("span"))
-    told = spans.select("block", first.alias("bucket"), F.lit(HOT_SPANS).alias("kind"), F.col("span").alias("a"), none.alias("b"), none.alias("c"), none.alias("d"))
+    firsts = first_documents(spans, math.isqrt(blocks - 1) + 1)
+    told = firsts.select("block", F.col("first").alias("bucket"), F.lit(HOT_SPANS).alias("kind"), F.col("span").alias("a"), none.alias("b"), none.alias("c"), none.alias("d"))
     mail = bits.unionByName(answers).unionByName(told)
     return by_block.cogroup(mail.groupBy("block")).applyInArrow(_returning(remove(buckets, with_text)), RESULT + ", kept binary" * with_text)
 

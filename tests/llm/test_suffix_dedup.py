@@ -92,6 +92,29 @@ def test_hot_path_in_process(monkeypatch):
     assert sorted(got, key=str) == brute(rows)
 
 
+def test_hot_spans(spark, monkeypatch):
+    """Spans around hot anchors through their tasks, over many blocks and in one."""
+    rows = corpus(6, 150)
+    want = brute(rows)
+    df = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)
+    assert sorted(map(tuple, S.deduplicate(df, hot=2).collect()), key=str) == want
+    monkeypatch.setattr(S, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(S, "BUCKET_ANCHORS", 300)
+    assert sorted(map(tuple, S.deduplicate(df, hot=3).collect()), key=str) == want
+
+
+def test_first_documents(spark):
+    rnd = random.Random(7)
+    rows = {(b, bytes([rnd.randint(0, 40)])): rnd.randint(0, 99) for b in range(50) for _ in range(10)} | {(b, b"everywhere"): 200 - b for b in range(50)}
+    least: dict[bytes, int] = {}
+    for (_, s), d in rows.items():
+        least[s] = min(least.get(s, d), d)
+    df = spark.createDataFrame([(b, s, d) for (b, s), d in rows.items()], "block long, span binary, doc long")
+    for groups in (1, 7, 64):
+        got = S.first_documents(df, groups).collect()
+        assert len(got) == len(rows) and all(r["first"] == least[bytes(r["span"])] for r in got)
+
+
 def test_longest_previous_factors():
     """Against brute force, on strings of few letters with long repeats and zero bytes at their ends: all factors of SPAN and more are found as they are."""
     rnd = np.random.default_rng(3)
