@@ -96,47 +96,81 @@ def grey(image: np.ndarray) -> np.ndarray:
     return image if image.ndim == 2 else (image @ np.array([299, 587, 114]) / 1000)
 
 
-def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Area averages of an image, in grey, as doubles.
+def _edges(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the m + 1 edges of m equal parts of n samples lie: whole samples before each, and the part of the next one."""
+    x = np.arange(m + 1) * n / m
+    lo = np.minimum(x.astype(np.int64), n - 1)
+    return lo, x - lo
 
-    The integral image is interpolated at the new pixels' edges. Only its rows at these edges are kept, and those below each are
-    summed STRIP samples at a time, so an image of any size takes little more memory than its samples.
-    """
-    h, w = image.shape[:2]
 
-    def edges(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
-        x = np.arange(m + 1) * n / m
-        lo = np.minimum(x.astype(np.int64), n - 1)
-        return lo, x - lo
+def integral_rows(image: np.ndarray, height: int) -> np.ndarray:
+    """The integral image, in grey, at the edges of `height` equal parts of its rows.
 
-    (y, fy), (x, fx) = edges(h, height), edges(w, width)
+    Up to STRIP samples the whole of it is made and interpolated. Of a larger image only the rows at the edges are kept, and
+    those below each are summed STRIP samples at a time, so an image of any size takes little more memory than its samples.
+    """
+    h, w = image.shape[:2]
+    y, part = _edges(h, height)
+    if h * w <= STRIP:
+        whole = np.zeros((h + 1, w + 1))
+        np.cumsum(np.cumsum(grey(image), axis=0, dtype=np.float64), axis=1, out=whole[1:, 1:])
+        low = whole[y]
+        return low + part[:, None] * (whole[y + 1] - low)
     step = max(1, STRIP // w)
     rows, total, at = np.zeros((height + 1, w + 1)), np.zeros(w + 1), 0
-    for k, (lo, part) in enumerate(zip(y.tolist(), fy.tolist(), strict=True)):
+    for k, (lo, more) in enumerate(zip(y.tolist(), part.tolist(), strict=True)):
         while at < lo:
             upto = min(lo, at + step)
             total[1:] += np.cumsum(grey(image[at:upto]).sum(axis=0, dtype=np.float64))
             at = upto
         rows[k] = total
-        if part:
-            rows[k, 1:] += part * np.cumsum(grey(image[lo : lo + 1])[0], dtype=np.float64)
-    at = rows[:, x] * (1 - fx) + rows[:, x + 1] * fx
+        if more:
+            rows[k, 1:] += more * np.cumsum(grey(image[lo : lo + 1])[0], dtype=np.float64)
+    return rows
+
+
+def area_averages(rows: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Averages of the parts between integral rows of an image of `height` rows, in `width` columns."""
+    w = rows.shape[1] - 1
+    x, part = _edges(w, width)
+    at = rows[:, x] * (1 - part) + rows[:, x + 1] * part
     sums = at[1:, 1:] - at[:-1, 1:] - at[1:, :-1] + at[:-1, :-1]
-    return sums / (h * w / (height * width))
+    return sums / (height * w / ((len(rows) - 1) * width))
 
 
-def difference_hash(image: np.ndarray) -> str:
-    """16 hex digits: of 8 rows of 9 area averages, whether each is below its right neighbour."""
-    small = np.round(resize(image, 8, 9), 6)
+def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Area averages of an image, in grey, as doubles."""
+    return area_averages(integral_rows(image, height), image.shape[0], width)
+
+
+def _signs(small: np.ndarray) -> str:
+    small = np.round(small, 6)
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
-def tile(image: np.ndarray, side: int = TILE) -> bytes:
+def _npy(small: np.ndarray) -> bytes:
     out = io.BytesIO()
-    np.save(out, np.clip(np.rint(resize(image, side, side)), 0, 255).astype(np.uint8))
+    np.save(out, np.clip(np.rint(small), 0, 255).astype(np.uint8))
     return out.getvalue()
 
 
+def difference_hash(image: np.ndarray) -> str:
+    """16 hex digits: of 8 rows of 9 area averages, whether each is below its right neighbour."""
+    return _signs(resize(image, 8, 9))
+
+
+def tile(image: np.ndarray, side: int = TILE) -> bytes:
+    return _npy(resize(image, side, side))
+
+
+def tile_and_hash(image: np.ndarray, side: int = TILE) -> tuple[bytes, str]:
+    """Both from one reduction of the rows, where the 8 rows of the hash are whole ones of the tile."""
+    if side % 8:
+        return tile(image, side), difference_hash(image)
+    h, rows = image.shape[0], integral_rows(image, side)
+    return _npy(area_averages(rows, h, side)), _signs(area_averages(rows[:: side // 8], h, 9))
+
+
 def store(docs: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), form: str = "pnm") -> DataFrame:
     """Columns `keep`, n_bytes of the text and `media`: its zero-padded bytes as an image 64 samples wide."""
     write = {"pnm": write_pnm, "bmp": write_bmp}[form]
@@ -170,7 +204,7 @@ def _inspected(data: bytes | None, side: int) -> tuple:
     except (ValueError, struct.error):
         return (None,) * 6
     payload = image.tobytes()
-    return image.shape[1], image.shape[0], payload, zlib.crc32(payload[-ROW:]), tile(image, side), difference_hash(image)
+    return image.shape[1], image.shape[0], payload, zlib.crc32(payload[-ROW:]), *tile_and_hash(image, side)
 
 
 def inspect(stored: DataFrame, *, keep: tuple[str, ...] = ("doc_id", "n_bytes", "media"), side: int = TILE) -> DataFrame:

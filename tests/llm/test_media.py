@@ -51,6 +51,27 @@ def test_large_images_in_strips(monkeypatch):
     tracemalloc.stop()
 
 
+@pytest.mark.parametrize("shape", [(1, 64), (7, 64), (16, 64), (100, 64), (5000, 64), (9, 5, 3)])
+def test_tile_and_hash_at_once(shape):
+    x = R.integers(0, 256, shape, np.uint8)
+    for side in (8, 12, 16, 24):
+        assert media.tile_and_hash(x, side) == (media.tile(x, side), media.difference_hash(x))
+
+
+def test_long_text_and_empty_tables(spark):
+    """A text beyond a slice, a batch and a strip comes back whole between short ones; empty tables give empty ones."""
+    texts = ["a", "word é " * 900_000, None, "z" * 65]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in media.inspect(media.store(df)).collect()}
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        p = b.ljust(max(64, -(-len(b) // 64) * 64), b"\0")
+        image = np.frombuffer(p, np.uint8).reshape(-1, 64)
+        assert got[i].payload == p and got[i].n_bytes == len(b) and (bytes(got[i].tile), got[i].dhash) == media.tile_and_hash(image)
+    assert media.inspect(media.store(df.limit(0))).count() == 0
+    assert media.inspect(spark.createDataFrame([], "doc_id long, n_bytes long, media binary")).count() == 0
+
+
 def test_query(spark):
     rows = [(1, "abc", "k"), (2, None, "k"), (3, "", "k"), (4, "é" * 500, "k"), (5, "x" * 64, "k"), (6, "abc", "k"), (None, "a\0", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, media string")
