@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .security import ipv4_range, ipv4_text
+from .security import ipv4_range, ipv4_text, let
 
 _GROUP = "[0-9a-f]{1,4}"
 _GROUPS = rf"(?:{_GROUP}(?::{_GROUP})*)?"
@@ -17,11 +15,6 @@ _V6 = rf"^(?:{_GROUP}(?::{_GROUP}){{7}}|{_GROUPS}::{_GROUPS})\z"
 _MAPPED = "0" * 20 + "f" * 4
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with value evaluated once for a row, however often f names it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _groups(part: Column) -> Column:
     return F.transform(F.filter(F.split(part, ":"), lambda g: g != ""), lambda g: F.lpad(g, 4, "0"))
 
@@ -68,11 +61,6 @@ def ip_range(c: Column) -> Column:
     IPv6 form too, which are to be written as IPv4.
     """
 
-    v = F.lower(F.trim(c))
-    address = F.substring_index(v, "/", 1)
-    size = F.when(F.contains(v, F.lit("/")), F.substr(v, F.char_length(address) + 2))
-    prefix = F.when(size.rlike(r"^[0-9]{1,3}\z"), size.try_cast("int"))
-
     def block(start: Column, end: Column, bits: Column, text: Column) -> Column:
         return F.struct(F.unhex(start).alias("start"), F.unhex(end).alias("end"), bits.alias("bits"), text.alias("text"))
 
@@ -91,5 +79,11 @@ def ip_range(c: Column) -> Column:
         ends = F.struct(prefix_hex(x["digits"], bits).alias("start"), prefix_hex(x["digits"], bits, "f").alias("end"), bits.alias("bits"))
         return F.when(bits.isNotNull() & ~F.startswith(x["digits"], F.lit(_MAPPED)), let(ends, bounds))
 
-    of_six = let(F.struct(_v6_hex(address).alias("digits"), size.alias("size"), prefix.alias("prefix")), six)
-    return F.when(F.contains(v, F.lit(":")), of_six).otherwise(let(F.struct(ipv4_range(v).alias("block"), prefix.alias("prefix")), four))
+    def of(v: Column) -> Column:
+        address = F.substring_index(v, "/", 1)
+        size = F.when(F.contains(v, F.lit("/")), F.substr(v, F.char_length(address) + 2))
+        prefix = F.when(size.rlike(r"^[0-9]{1,3}\z"), size.try_cast("int"))
+        of_six = let(F.struct(_v6_hex(address).alias("digits"), size.alias("size"), prefix.alias("prefix")), six)
+        return F.when(F.contains(v, F.lit(":")), of_six).otherwise(let(F.struct(ipv4_range(v).alias("block"), prefix.alias("prefix")), four))
+
+    return let(F.lower(F.trim(c)), of)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,22 +94,22 @@ def candidates(raw: Column) -> Column:
     return F.when(low.rlike(_HINT), every).otherwise(F.array().cast("array<string>"))
 
 
-def ipv4_number(c: Column) -> Column:
-    """An IPv4 address without leading zeros as a number, null for any other text."""
-    p = F.split(c, r"\.")
-    n = F.get(p, F.lit(0)).try_cast("long")
-    for i in (1, 2, 3):
-        n = n * 256 + F.get(p, F.lit(i)).try_cast("long")
-    return F.when(c.rlike(rf"^{IPV4}\z"), n)
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value evaluated once for a row, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def ipv4_range(c: Column) -> Column:
-    """start and end of an address or CIDR block, host bits cleared; null for any other text."""
-    bits = F.coalesce(F.nullif(F.regexp_extract(c, r"/([0-9]{1,2})\z", 1), F.lit("")), F.lit("32")).try_cast("int")
-    size = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), 32 - bits))
-    n = ipv4_number(F.regexp_extract(c, r"^([0-9.]+)(?:/[0-9]{1,2})?\z", 1))
-    start = n - F.pmod(n, size)
-    return F.when(n.isNotNull() & bits.between(0, 32), F.struct(start.alias("start"), (start + size - 1).alias("end")))
+    """start and end of an address without leading zeros or a CIDR block, host bits cleared; null for any other text."""
+
+    def block(p: Column) -> Column:
+        octet = lambda i: F.get(p, F.lit(i))
+        n = octet(0) * (1 << 24) + octet(1) * (1 << 16) + octet(2) * (1 << 8) + octet(3)
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), (32 - F.coalesce(octet(4), F.lit(32))).cast("int"))
+        ends = let(F.struct(n.alias("n"), size.alias("size")), lambda b: let(b["n"] - F.pmod(b["n"], b["size"]), lambda start: F.struct(start.alias("start"), (start + b["size"] - 1).alias("end"))))
+        return F.when(F.coalesce(octet(4), F.lit(32)) <= 32, ends)
+
+    return F.when(c.rlike(rf"^{IPV4}(?:/[0-9]{{1,2}})?\z"), let(F.split(c, "[./]").try_cast("array<bigint>"), block))
 
 
 def ipv4_text(n: Column) -> Column:

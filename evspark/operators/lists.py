@@ -12,8 +12,9 @@ from ..functions.security import parent_domains
 
 def _blocks(rows: DataFrame, value: str) -> DataFrame:
     """rows of an address or block, with _start (16 bytes) and _bits."""
-    found = rows.withColumn("_r", ip_range(F.col(value))).filter(F.col("_r").isNotNull())
-    return found.select(*rows.columns, F.col("_r.start").alias("_start"), F.col("_r.bits").alias("_bits"))
+    # A generator makes the block once; a filter on it would make it again.
+    found = rows.select("*", F.inline(F.array_compact(F.array(ip_range(F.col(value))))).alias("_start", "_r_end", "_bits", "_r_text"))
+    return found.drop("_r_end", "_r_text")
 
 
 def _levels(blocks: DataFrame) -> list[int]:
