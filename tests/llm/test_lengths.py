@@ -40,3 +40,13 @@ def test_query(spark):
     ns = [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
     got = {r.n_tokens: (r.n_docs, r.docs_ge, r.tokens_ge, r.docs_le, r.truncated_tokens) for r in L.query(spark, sf).collect()}
     assert got == brute(ns)
+
+
+def test_text_beyond_a_slice(spark):
+    """A text of several slices and batches between short ones is counted whole."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["short", "some more words é, " * 300_000, None, "last"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = [r.n_tokens for r in L.token_lengths(df).collect()]
+    want = [len(e.ids) for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    assert sorted(got) == sorted(want) and max(got) > 1_000_000

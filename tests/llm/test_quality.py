@@ -33,6 +33,28 @@ def test_edges(spark):
     assert Q.score(docs.limit(0), Q.Gam()).count() == 0
 
 
+def test_text_beyond_a_slice(spark):
+    """A text of several slices between short ones gets the score that its features give, and all rows stay."""
+    docs = spark.createDataFrame([(1, "good text."), (2, "Some words of it. " * 200_000), (3, None), (4, "bad bad bad")], "doc_id long, text string").coalesce(1)
+    model = Q.fit(docs, spark.createDataFrame([(1, 1), (2, 1), (4, 0), (3, 0)], "doc_id long, quality int"))
+    got = {r.doc_id: r.score for r in Q.score(docs, model).collect()}
+    want = model.score(Q.features([r.text or "" for r in docs.orderBy("doc_id").collect()]))
+    assert list(got) == [1, 2, 3, 4] and np.allclose([got[k] for k in (1, 2, 3, 4)], want)
+
+
+def test_ids_labelled_both_ways(spark, tmp_path):
+    """The whole query where ids come twice in the labels with both values, in the documents with two texts: both labels are learnt, once each."""
+    words = [" ".join(f"word{(i * 7 + k) % 50}" for k in range(20)) + "." for i in range(60)]
+    docs = [(i, t) for i, t in enumerate(words)] + [(5, "another text of five"), (5, words[5])]
+    labels = [(i, i % 2) for i in range(60)] + [(i, 1 - i % 2) for i in range(0, 60, 3)] + [(0, 0), (None, 1), (7, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    one, two = ([tuple(r) for r in Q.query(spark, str(tmp_path)).orderBy("doc_id", "score").collect()] for _ in range(2))
+    assert one == two and len(one) == len(docs) and all(0 <= r[2] <= 1 for r in one)
+    twice = Q.labelled_texts(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"), "quality", 1000)
+    assert sorted((r.doc_id, r.y) for r in twice.collect()) == sorted({x for x in labels if None not in x})
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

@@ -86,3 +86,15 @@ def test_graded_labels(spark):
     means = [np.mean([got[d].severity for d, y in grades if d in got and y == g]) for g in range(4)]
     print(right, means)
     assert (np.diff(means) > 0.3).all() and min(right.values()) > 0.5
+
+
+def test_ids_labelled_both_ways(spark, tmp_path):
+    """The whole query where ids come twice in the labels with both values: each row is scored once, alike in every run, and clear words still tell."""
+    docs = [(i, ("vile slur hateful " if i % 2 else "calm kind gentle ") * 5 + f"word{i % 7}") for i in range(200)] + [(5, "calm kind gentle text"), (6, None)]
+    labels = [(i, i % 2) for i in range(200)] + [(i, 1 - i % 2) for i in range(0, 200, 20)] + [(None, 1), (9, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    one, two = ([tuple(r) for r in X.query(spark, str(tmp_path)).orderBy("doc_id", "p_toxic").collect()] for _ in range(2))
+    assert one == two and len(one) == len(docs)
+    said = {r[0]: r[1] for r in one if r[0] not in (5, 6)}
+    assert min(p for d, p in said.items() if d % 2) > 0.8 > 0.4 > max(p for d, p in said.items() if not d % 2)
