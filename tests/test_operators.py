@@ -324,3 +324,16 @@ def test_slow_rules_are_stopped(spark, tmp_path):
     began = time.time()
     got = Quarantine(spark, str(tmp_path / "q"), "r", limit_seconds=3).run(batch, 0, "2026-10-01 00:00:00", lambda rows: rows.withColumn("parsed", wait("parsed"))).first()
     assert "PARSE_TIMEOUT" in got.parsed and time.time() - began < 40
+
+
+def test_blocks_of_lists_keep_columns(spark):
+    """Columns with the names of a block's parts stay as they are, other texts and nulls have no block, and no filter makes the block again."""
+    rows = [("10.1.2.3/16", 1, "a"), ("2001:DB8::/32", 2, "b"), ("10.1.9.9", 3, "c"), ("no address", 4, "d"), (None, 5, "e"), ("10.1.2.3/33", 6, "f")]
+    left = spark.createDataFrame(rows, "ip string, start int, text string")
+    got = lists._blocks(left, "ip")
+    assert got.columns == ["ip", "start", "text", "_start", "_bits"]
+    assert sorted((r.start, r.text, bytes(r._start).hex(), r._bits) for r in got.collect()) == [(1, "a", "0" * 20 + "ffff0a010000", 112), (2, "b", "20010db8" + "0" * 24, 32), (3, "c", "0" * 20 + "ffff0a010909", 128)]
+    assert "Filter" not in got._jdf.queryExecution().optimizedPlan().toString()
+    right = spark.createDataFrame([("10.1.0.0/24", 1), ("10.1.9.0/24", 2), ("2001:db8:1::", 3), ("::/0", 4)], "block string, n int")
+    pairs = {(r.start, r.n) for r in lists.overlapping(left, right, "ip", "block").collect()}
+    assert pairs == {(1, 1), (1, 2), (3, 2), (2, 3), (1, 4), (2, 4), (3, 4)}
