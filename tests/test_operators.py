@@ -1,3 +1,4 @@
+import ipaddress
 from datetime import datetime, timedelta
 
 import pytest
@@ -337,3 +338,22 @@ def test_blocks_of_lists_keep_columns(spark):
     right = spark.createDataFrame([("10.1.0.0/24", 1), ("10.1.9.0/24", 2), ("2001:db8:1::", 3), ("::/0", 4)], "block string, n int")
     pairs = {(r.start, r.n) for r in lists.overlapping(left, right, "ip", "block").collect()}
     assert pairs == {(1, 1), (1, 2), (3, 2), (2, 3), (1, 4), (2, 4), (3, 4)}
+
+
+def test_overlaps_of_large_groups_meet_in_pieces(spark, monkeypatch):
+    """One address and one block of many rows are the work of many tasks; groups of any size give each pair once."""
+    for name, value in (("TASK_PAIRS", 1000), ("FEW_PAIRS", 20), ("PIECE", 16)):
+        monkeypatch.setattr(lists, name, value, raising=False)
+    one = lambda n, value: spark.range(n).select("id", F.lit(value).alias("value"), F.create_map(F.lit("k"), "id").alias("m"))
+    pairs = lists.overlapping(one(300, "10.1.2.3"), one(200, "10.1.0.0/16"), "value", "value")
+    assert pairs.columns == ["id", "value", "m"] * 2
+    met = pairs.toDF("i", "v", "m", "j", "w", "o")
+    tasks = met.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert sum(t.n for t in tasks) == 60_000 and max(t.n for t in tasks) < 6000
+    assert met.select("i", "j").distinct().count() == 60_000
+    text = lambda i, sizes: f"10.{i * i % 3}.{i % 5}.{i % 2}/{sizes[i % len(sizes)]}" if i % 7 else f"2001:db8::{i % 2}"
+    left = [(i, text(i, (32, 32, 24, 16))) for i in range(150)] + [(150, None), (151, "none")]
+    right = [(i, text(i, (8, 24, 20, 32))) for i in range(120)]
+    found = sorted(map(tuple, lists.overlapping(spark.createDataFrame(left, "i int, a string"), spark.createDataFrame(right, "j int, b string"), "a", "b").select("i", "j").collect()))
+    net = {v: ipaddress.ip_network(v, strict=False) for _, v in left[:150] + right}
+    assert found == [(i, j) for i, a in left[:150] for j, b in right if net[a].version == net[b].version and net[a].overlaps(net[b])]
