@@ -76,8 +76,11 @@ class ChangeLog:
             for c in self.by:
                 same &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
             rows = rows.join(groups, same, "left_semi")
-        newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*self.schema.names), "version").alias("row"))
-        return newest.select("row.*")
+        others = [c for c in self.schema.names if c not in self.keys]
+        if not others:
+            return rows.select(*self.schema.names).distinct()
+        newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*others), "version").alias("row"))
+        return newest.select(*[F.col(c if c in self.keys else f"row.{c}") for c in self.schema.names])
 
     def compact(self, keep: int = 2, where: Column | None = None) -> int:
         """Merge all batches but the last `keep` into the parts that they touch, and delete them; with `where` only such rows are kept there. The number of parts written."""

@@ -149,6 +149,20 @@ def test_panes_equal_a_full_evaluation(spark, tmp_path):
     assert panes.hits(str(T0 + timedelta(minutes=601))).count() == 0
 
 
+def test_pairs_of_panes_are_dealt_once(spark):
+    """Counts and newest events of a batch's panes come from one exchange, and older panes are added without another one."""
+    from evspark.streaming.panes import _KEY, added, combined, panes_of
+
+    rows = [("r", "g%d" % (i % 2), T0 + timedelta(seconds=i * 7 % 130), f"e{i}", f"x{i}") for i in range(60)]
+    first, second = (spark.createDataFrame(part, cycle.PAIR) for part in (rows[:25], rows[25:]))
+    assert panes_of(first)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    both = added(panes_of(second), panes_of(first))
+    assert both._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    columns = [*_KEY, "n", "first_at", "last_at", "newest"]
+    want = combined(panes_of(first).unionByName(panes_of(second)), _KEY).join(panes_of(second).select(*_KEY), _KEY, "left_semi")
+    assert plain(both, columns) == plain(want, columns)
+
+
 def test_rule_alerts_over_a_stream(spark, tmp_path):
     """Each batch's hits move or make alerts; a restart goes on where the last batch ended."""
     alerts = ChangeLog(spark, str(tmp_path / "alerts"), ALERTS, ["group_key", "id"], ["group_key"])
