@@ -37,8 +37,8 @@ def settings(spark: SparkSession, rules: Sequence[Detection]) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, "rule_id string, rule_name string, severity string, threshold int, window_minutes int, suppress_minutes int"))
 
 
-def fitting(events: DataFrame, rules: Sequence[Detection], now: str | None = None) -> DataFrame:
-    """at, id, raw and pairs: a row for each event that fits a rule, with the rule_id and group_key of each that it fits, in the order of the rules."""
+def _pairs(events: DataFrame, rules: Sequence[Detection], now: str | None = None) -> tuple[DataFrame, Column]:
+    """The events that may fit a rule, and an array of rule_id and group_key of each that they fit, in the order of the rules."""
     at = event_time()
 
     def pair(rule: Detection) -> Column:
@@ -50,9 +50,15 @@ def fitting(events: DataFrame, rules: Sequence[Detection], now: str | None = Non
     pairs = F.filter(F.array(*[pair(r) for r in rules]), lambda p: p.isNotNull())
     if now is not None:  # older events fit no rule
         events = events.filter(at > F.lit(now).cast("timestamp") - minutes(max(r.window_minutes for r in rules)))
+    return events, pairs
+
+
+def fitting(events: DataFrame, rules: Sequence[Detection]) -> DataFrame:
+    """at, id, raw and pairs: a row for each event that fits a rule, with the rule_id and group_key of each that it fits."""
+    events, pairs = _pairs(events, rules)
     # A generator makes the pairs once; a filter on them would make them again.
     made = F.filter(F.array(pairs), lambda p: F.size(p) > 0)
-    return events.select(at.alias("at"), "id", F.left("raw", F.lit(SAMPLE_CHARS)).alias("raw"), F.explode(made).alias("pairs"))
+    return events.select(event_time().alias("at"), "id", F.left("raw", F.lit(SAMPLE_CHARS)).alias("raw"), F.explode(made).alias("pairs"))
 
 
 def matched(events: DataFrame, rules: Sequence[Detection], now: str | None = None) -> DataFrame:
@@ -62,7 +68,9 @@ def matched(events: DataFrame, rules: Sequence[Detection], now: str | None = Non
     """
     if not rules:
         return events.sparkSession.createDataFrame([], PAIR)
-    return fitting(events, rules, now).select("at", "id", "raw", F.explode("pairs").alias("pair")).select("pair.rule_id", "pair.group_key", "at", "id", "raw")
+    events, pairs = _pairs(events, rules, now)
+    each = events.select(event_time().alias("at"), "id", F.left("raw", F.lit(SAMPLE_CHARS)).alias("raw"), F.explode(pairs).alias("pair"))
+    return each.select("pair.rule_id", "pair.group_key", "at", "id", "raw")
 
 
 def over_threshold(counts: DataFrame, rules: DataFrame, limit: int = MOST_GROUPS) -> DataFrame:
