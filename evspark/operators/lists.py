@@ -40,34 +40,38 @@ def _tasks(pairs: float) -> int:
     return max(1, min(int(pairs / TASK_PAIRS), MOST_TASKS), int(pairs / LARGE_TASK))
 
 
-def _equal(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
-    """_l and _r: pairs of the structs _row of both sides' rows (key, _id, _row) of equal keys, however many rows share a key.
+def _equal(left: DataFrame, right: DataFrame, of_left: DataFrame, of_right: DataFrame, key: list[str]) -> DataFrame:
+    """_l and _r: pairs of the structs _row of both sides' rows (_value, _id, _row) whose values share a key, however many rows have it.
 
-    Groups are counted first. Where two of them make more than FEW_PAIRS pairs, each is divided into arrays of about PIECE rows by
-    a hash of _id; an array goes to as many tasks as the other group has arrays, and each pair of arrays is expanded in a task
-    of its own place. So what is shuffled is the pairs divided by half a piece, and no task holds a group.
+    of_left and of_right tell each value's keys, and how many _rows have it. Groups are counted first. Where two of them make more
+    than FEW_PAIRS pairs, each is divided into arrays of about PIECE rows by a hash of _id; an array goes to as many tasks as the
+    other group has arrays, and each pair of arrays is expanded in a task of its own place. So what is shuffled is the pairs
+    divided by half a piece, no task holds a group, and rows whose keys the other side hasn't aren't shuffled.
     """
-    count = lambda rows, n: rows.groupBy(*key).agg(F.count(F.lit(1)).alias(n))
+    count = lambda values, n: values.groupBy(*key).agg(F.sum("_rows").alias(n))
     n_pairs = F.col("_nl") * F.col("_nr")
-    matched = cut_lineage(count(left, "_nl").join(count(right, "_nr"), key))
+    matched = cut_lineage(count(of_left, "_nl").join(count(of_right, "_nr"), key))
     total = matched.agg(F.sum(n_pairs.cast("double")).alias("n"), F.sum(F.when(n_pairs <= FEW_PAIRS, n_pairs.cast("double"))).alias("few")).first()
     all_pairs, few_pairs = total.n or 0.0, total.few or 0.0
-    rows = lambda side, name: side.select(*key, F.col("_row").alias(name))
+    matched = if_small(matched)
+    meets = lambda of: if_small(cut_lineage(of.join(matched, key).select("_value", *key, "_nl", "_nr")))
+    met_left, met_right = meets(of_left), meets(of_right)
+    rows = lambda side, met, name: side.join(met, "_value").select(*key, F.col("_row").alias(name))
     if all_pairs <= TASK_PAIRS:
-        return rows(left, "_l").join(rows(right, "_r"), key).select("_l", "_r")
+        return rows(left, met_left, "_l").join(rows(right, met_right, "_r"), key).select("_l", "_r")
     parts = lambda n: F.ceil(F.col(n) / PIECE).cast("int")
-    large = if_small(matched.filter(n_pairs > FEW_PAIRS).select(*key, parts("_nl").alias("_pl"), parts("_nr").alias("_pr")))
 
-    def pieces(side: DataFrame, own: str, other: str, place: str, other_place: str, name: str) -> DataFrame:
-        found = side.join(large, key).withColumn(place, F.pmod(F.xxhash64("_id"), F.col(own)).cast("int"))
-        found = found.groupBy(*key, place, other).agg(F.collect_list("_row").alias(name))
-        each = found.select(*key, place, name, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other_place))
+    def pieces(side: DataFrame, met: DataFrame, own: str, other: str, place: str, other_place: str, name: str) -> DataFrame:
+        large = met.filter(n_pairs > FEW_PAIRS).select("_value", *key, parts(own).alias("_own"), parts(other).alias("_other"))
+        found = side.join(large, "_value").withColumn(place, F.pmod(F.xxhash64("_id"), F.col("_own")).cast("int"))
+        found = found.groupBy(*key, place, "_other").agg(F.collect_list("_row").alias(name))
+        each = found.select(*key, place, name, F.explode(F.sequence(F.lit(0), F.col("_other") - 1)).alias(other_place))
         return each.repartition(_tasks(all_pairs - few_pairs), *key, "_i", "_j")
 
-    met = pieces(left, "_pl", "_pr", "_i", "_j", "_ls").join(pieces(right, "_pr", "_pl", "_j", "_i", "_rs"), [*key, "_i", "_j"])
+    met = pieces(left, met_left, "_nl", "_nr", "_i", "_j", "_ls").join(pieces(right, met_right, "_nr", "_nl", "_j", "_i", "_rs"), [*key, "_i", "_j"])
     many = met.select(F.explode("_ls").alias("_l"), "_rs").select("_l", F.explode("_rs").alias("_r"))
-    others = left.join(large.select(*key), key, "left_anti").repartition(_tasks(few_pairs), "_id")
-    return many.unionByName(rows(others, "_l").join(rows(right, "_r"), key).select("_l", "_r"))
+    few = lambda side, met, name: rows(side, met.filter(n_pairs <= FEW_PAIRS), name).repartition(_tasks(few_pairs), *key)
+    return many.unionByName(few(left, met_left, "_l").join(few(right, met_right, "_r"), key).select("_l", "_r"))
 
 
 def overlapping(left: DataFrame, right: DataFrame, left_value: str, right_value: str) -> DataFrame:
@@ -75,21 +79,23 @@ def overlapping(left: DataFrame, right: DataFrame, left_value: str, right_value:
 
     Two blocks overlap if one contains the other, so each side's blocks are joined, by equality, with those of their prefixes
     that have a length of a block of the other side: a list of addresses and blocks has few of these, and an address is a
-    row for each of them. Prefixes are 16 bytes. The result may grow with the product of both sides, what is held and shuffled doesn't.
+    row for each of them. Prefixes are 16 bytes. Texts become blocks and prefixes once each, however many rows have them. The result
+    may grow with the product of both sides, what is held doesn't.
     """
 
-    def blocks(rows: DataFrame, value: str) -> DataFrame:
-        # By value, so that a table of one small file is parsed by several tasks too.
-        found = _blocks(rows.repartition(F.col(value)), value).select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row"), "_start", "_bits")
+    def rows(side: DataFrame, value: str) -> DataFrame:
+        found = side.select(F.struct(*[F.col(f"`{c}`") for c in side.columns]).alias("_row"), F.col(value).alias("_value"))
         return cut_lineage(found.withColumn("_id", F.monotonically_increasing_id()))  # read several times
 
-    a, b = blocks(left, left_value), blocks(right, right_value)
+    blocks = lambda side: cut_lineage(_blocks(side.groupBy("_value").agg(F.count(F.lit(1)).alias("_rows")), "_value"))
+    l_rows, r_rows = rows(left, left_value), rows(right, right_value)
+    a, b = blocks(l_rows), blocks(r_rows)
     # Of each side its own blocks, which the other's prefixes meet, and its prefixes; `_in` tells which of both is the longer one.
-    keyed = lambda rows, inside: rows.select(F.lit(inside).alias("_in"), "_n", "_at", "_id", "_row")
-    own = lambda rows: rows.withColumns({"_n": F.col("_bits"), "_at": F.col("_start")})
+    keyed = lambda values, inside: values.select(F.lit(inside).alias("_in"), "_n", "_at", "_value", "_rows")
+    own = lambda values: values.withColumns({"_n": F.col("_bits"), "_at": F.col("_start")})
     of_a = keyed(_above(a, _levels(b), False), True).unionByName(keyed(own(a), False))
     of_b = keyed(own(b), True).unionByName(keyed(_above(b, _levels(a), True), False))
-    return _equal(of_a, of_b, ["_in", "_n", "_at"]).select("_l.*", "_r.*")
+    return _equal(l_rows, r_rows, of_a, of_b, ["_in", "_n", "_at"]).select("_l.*", "_r.*")
 
 
 def covered_domains(values: DataFrame, allowed: DataFrame, value: str, domain: str) -> DataFrame:

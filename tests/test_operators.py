@@ -357,3 +357,18 @@ def test_overlaps_of_large_groups_meet_in_pieces(spark, monkeypatch):
     found = sorted(map(tuple, lists.overlapping(spark.createDataFrame(left, "i int, a string"), spark.createDataFrame(right, "j int, b string"), "a", "b").select("i", "j").collect()))
     net = {v: ipaddress.ip_network(v, strict=False) for _, v in left[:150] + right}
     assert found == [(i, j) for i, a in left[:150] for j, b in right if net[a].version == net[b].version and net[a].overlaps(net[b])]
+
+
+def test_texts_of_lists_become_blocks_once(spark, monkeypatch):
+    """However many rows have a text; texts of one block meet the same rows, and a row that is there twice makes its pairs twice."""
+    made, blocks = [], lists._blocks
+    monkeypatch.setattr(lists, "_blocks", lambda rows, value: made.append(rows.count()) or blocks(rows, value))
+    left = [(i, ("10.0.0.7", " 10.0.0.7/32 ", "2001:DB8::1", "2001:db8:0::1", "none", None)[i % 6]) for i in range(120)] + [(0, "10.0.0.7")]
+    right = [(j, ("10.0.0.0/24", "10.0.0.9/24", "2001:db8::/32", "10.1.0.0/16", None)[j % 5]) for j in range(50)]
+    a, b = spark.createDataFrame(left, "i int, a string"), spark.createDataFrame(right, "j int, b string")
+    want = sorted((i, j) for i, v in left for j, _ in right if (i % 6 < 2 and j % 5 < 2) or (i % 6 in (2, 3) and j % 5 == 2))
+    for most in (lists.TASK_PAIRS, 100):
+        for name, value in (("TASK_PAIRS", most), ("FEW_PAIRS", min(most, 300)), ("PIECE", 8)):
+            monkeypatch.setattr(lists, name, value)
+        assert sorted(map(tuple, lists.overlapping(a, b, "a", "b").select("i", "j").collect())) == want
+    assert made == [6, 5] * 2
