@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import event_time
 from ..functions.lineage import cut_lineage
+from ..functions.sizes import if_small
 from .match import MOST_GROUPS, SAMPLES
 from .rulesets import Detection, conditions_of, group_of
 
@@ -42,9 +43,9 @@ def _pairs(events: DataFrame, rules: Sequence[Detection], now: str | None = None
     at = event_time()
 
     def pair(rule: Detection) -> Column:
-        holds = reduce(lambda a, b: a & b, conditions_of(rule), F.lit(True))
-        if now is not None:
-            holds &= at > F.lit(now).cast("timestamp") - minutes(rule.window_minutes)
+        # The window first, since it costs least: of an event that isn't in it nothing else is looked at.
+        inside = F.lit(True) if now is None else at > F.lit(now).cast("timestamp") - minutes(rule.window_minutes)
+        holds = reduce(lambda a, b: a & b, conditions_of(rule), inside)
         return F.when(holds, F.struct(F.lit(rule.name).alias("rule_id"), group_of(rule).alias("group_key")))
 
     pairs = F.filter(F.array(*[pair(r) for r in rules]), lambda p: p.isNotNull())
@@ -88,11 +89,15 @@ def newest(pairs: DataFrame, most: int = SAMPLES) -> DataFrame:
 
 
 def hits(events: DataFrame, rules: Sequence[Detection], now: str, limit: int = MOST_GROUPS) -> DataFrame:
-    """What `rulesets.hits` gives for each rule, for all of them: rule_id, rule_name, group_key, severity, n, first_at, last_at, sample_ids and sample_raw, window_minutes and suppress_minutes."""
-    pairs = cut_lineage(matched(events, rules, now))
+    """What `rulesets.hits` gives for each rule, for all of them: rule_id, rule_name, group_key, severity, n, first_at, last_at, sample_ids and sample_raw, window_minutes and suppress_minutes.
+
+    Events of the rules' windows are dealt by id before they meet the rules: stored in order of time, they lie in few parts of a table.
+    """
+    pairs = cut_lineage(matched(events.repartition("id"), rules, now))
     counts = pairs.groupBy("rule_id", "group_key").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.max(F.struct("at", "id", "raw")).alias("newest"))
     found = cut_lineage(over_threshold(counts, settings(events.sparkSession, rules), limit).withColumn("sample_raw", F.col("newest.raw")).drop("newest"))
-    samples = newest(pairs.join(found.select("rule_id", "group_key"), ["rule_id", "group_key"], "left_semi"))
+    # Keys that are broadcast leave the pairs where they are, so that only the newest of each task are shuffled.
+    samples = newest(pairs.join(if_small(found.select("rule_id", "group_key")), ["rule_id", "group_key"], "left_semi"))
     return found.join(samples, ["rule_id", "group_key"])
 
 

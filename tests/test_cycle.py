@@ -38,6 +38,18 @@ def test_events_are_read_once(spark):
     assert plan.count("FileScan") == 1 and plan.count("Generate") == 1 and "Exchange" not in plan and "Python" not in plan
 
 
+def test_events_of_the_windows_are_dealt_and_pairs_stay(spark, monkeypatch):
+    """Events of one part and time are many tasks' work, older ones aren't shuffled, and of the pairs only the newest of each task are."""
+    written, cut = [], cycle.cut_lineage
+    monkeypatch.setattr(cycle, "cut_lineage", lambda df: written.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    found = cycle.hits(stand_in(spark, SF).coalesce(1), forty(), "2024-01-20 00:00:00")
+    dealt = written[0].index("Exchange hashpartitioning(id")
+    assert written[0].index("Generate") < dealt < written[0].index("Filter") and written[0].count("Exchange") == 1
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    semi = plan.index("LeftSemi")
+    assert plan.index("Exchange hashpartitioning(rule_id") < plan.index("Partial", plan.index("WindowGroupLimit")) < semi and "SortMergeJoin" not in plan[plan.rindex("\n", 0, semi) : semi]
+
+
 def test_rules_without_hits_or_names(spark):
     events = stand_in(spark, SF)
     assert cycle.hits(events, [], "2024-01-20 00:00:00").count() == 0
